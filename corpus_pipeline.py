@@ -1,8 +1,70 @@
-"""A training corpus in five stages."""
+"""A training corpus in five stages, each over all that the one before kept."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ticketflow.llm.decontam import contaminated
+from ticketflow.llm.mixing import mix_sources
+from ticketflow.llm.ngram_join import jaccard_components
+from ticketflow.llm.secret_scan import redact_secrets
+from ticketflow.llm.text import cut, shared_dir
+from ticketflow.llm.toxicity import toxicity
+
+#: SQL can express neither the classifier nor the alignment.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not in ids."""
+    return docs.join(ids.select(F.col("doc_id").alias("gone_id")).distinct().hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic."""
+    scores = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, cut(scores.filter("predicted = 1").select("doc_id")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id; of rows that share an id one."""
+    groups = jaccard_components(docs)
+    return _without(docs, groups.filter("doc_id <> component_id")).dropDuplicates(["doc_id"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced."""
+    return redact_secrets(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", hide_secrets),
+    ("mixing", mix),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply STAGES to documents; what a stage returns is written to the shared folder and read again."""
+    shared_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

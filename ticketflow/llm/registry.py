@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ticketflow.llm.decontam import contaminated
 from ticketflow.llm.mixing import mix_sources
+from ticketflow.llm.ngram_join import jaccard_components
 from ticketflow.llm.quality_qda import quality_classifier
 from ticketflow.llm.quality_rules import quality_rules
 from ticketflow.llm.secret_scan import scan_secrets
@@ -18,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": lambda s, d: jaccard_components(table(s, d, "documents")),
     "op5_mix_sources": lambda s, d: mix_sources(table(s, d, "documents")),
     "op6_quality_rules": lambda s, d: quality_rules(table(s, d, "documents")),
     "op7_toxicity": lambda s, d: toxicity(table(s, d, "documents"), table(s, d, "labels")),
     "op8_secret_scan": lambda s, d: scan_secrets(table(s, d, "documents")),
     "op9_quality_classifier": lambda s, d: quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
+    "op10_decontaminate": lambda s, d: contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
 }
 
 ORACLE: dict[str, str] = {}
