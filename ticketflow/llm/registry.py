@@ -12,6 +12,7 @@ from ticketflow.llm.ngram_join import jaccard_components
 from ticketflow.llm.quality_qda import quality_classifier
 from ticketflow.llm.quality_rules import quality_rules
 from ticketflow.llm.secret_scan import scan_secrets
+from ticketflow.llm.suffix_dedup import remove_repeats
 from ticketflow.llm.toxicity import toxicity
 
 
@@ -21,6 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": lambda s, d: jaccard_components(table(s, d, "documents")),
+    "op3_suffix_dedup": lambda s, d: remove_repeats(table(s, d, "documents")).drop("kept"),
     "op5_mix_sources": lambda s, d: mix_sources(table(s, d, "documents")),
     "op6_quality_rules": lambda s, d: quality_rules(table(s, d, "documents")),
     "op7_toxicity": lambda s, d: toxicity(table(s, d, "documents"), table(s, d, "labels")),
