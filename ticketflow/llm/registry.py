@@ -13,6 +13,7 @@ from ticketflow.llm.ngram_join import jaccard_components
 from ticketflow.llm.quality_qda import quality_classifier
 from ticketflow.llm.quality_rules import quality_rules
 from ticketflow.llm.secret_scan import scan_secrets
+from ticketflow.llm.substring_dedup import fuzzy_passages
 from ticketflow.llm.suffix_dedup import remove_repeats
 from ticketflow.llm.toxicity import toxicity
 
@@ -23,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": lambda s, d: jaccard_components(table(s, d, "documents")),
+    "op2_substring_dedup": lambda s, d: fuzzy_passages(table(s, d, "documents")),
     "op3_suffix_dedup": lambda s, d: remove_repeats(table(s, d, "documents")).drop("kept"),
     "op4_license_scan": lambda s, d: license_scan(table(s, d, "documents")),
     "op5_mix_sources": lambda s, d: mix_sources(table(s, d, "documents")),
