@@ -14,6 +14,9 @@ from ticketflow.llm.text import U64, Piece, cut, map_batches, mix, pieces, prefi
 
 #: Length of a repeat in bytes; start positions that share one anchor at most; bytes of an anchor's gram.
 LENGTH, REACH, GRAM = 200, 100, 16
+#: Contexts of a key that meet in one task at most; the strings of keys with more are dealt out one by one.
+FEW = 64
+PIECE = 1 << 19
 #: Keys, ids or ranges up to this many are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -60,7 +63,7 @@ def stretches(docs: DataFrame) -> DataFrame:
     """documents -> row_id, first, n, key, context as arrays, one row per text."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batch.column(1), most=1 << 20):
+        for piece in pieces(batch.column(1), most=PIECE):
             doc, first, n, key, context = _stretches(piece, prefix_hash(piece.data))
             cuts = pa.array(np.searchsorted(doc, np.arange(len(piece) + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in ((first, pa.int32()), (n, pa.int32()), (key.view(np.int64), pa.int64()), (context.view(np.int64), pa.int64()))]
@@ -73,41 +76,124 @@ def _hint(df: DataFrame) -> str:
     return "broadcast" if df.count() <= BROADCAST_ROWS else "merge"
 
 
+def _windows(texts: DataFrame) -> DataFrame:
+    """(row_id, text, parts) -> h, row_id, first, alone: the strings of the stretches in parts, one by one, as hashes."""
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = np.array(batch.column("row_id").to_pylist(), dtype=np.int64)
+        for piece in pieces(batch.column("text"), most=PIECE):
+            own = batch.column("parts").slice(piece.first, len(piece)).to_pylist()
+            count = [len(p) for p in own]
+            run = prefix_hash(piece.data)
+            first = np.array([x["first"] for p in own for x in p], dtype=np.int64) + np.repeat(piece.start, count)
+            n, alone = np.array([x["n"] for p in own for x in p], dtype=np.int64), np.array([x["alone"] for p in own for x in p], dtype=bool)
+            x = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            doc = np.repeat(np.repeat(np.arange(len(own)), count), n)
+            yield pa.RecordBatch.from_arrays([pa.array(span_hash(run, x, x + LENGTH).view(np.int64)), pa.array(ids[piece.first + doc]), pa.array((x - piece.start[doc]).astype(np.int32)), pa.array(np.repeat(alone, n))], ["h", "row_id", "first", "alone"])
+
+    return map_batches(texts.select("row_id", "text", "parts"), each, "h long, row_id long, first int, alone boolean")
+
+
+def _contexts(texts: DataFrame) -> DataFrame:
+    """(row_id, text, parts) -> key, row_id, first, n, anchor, alone, bytes: the stretches in parts with all bytes of their strings."""
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = batch.column("row_id").to_pylist()
+        for piece in pieces(batch.column("text"), most=PIECE):
+            run = prefix_hash(piece.data)
+            own = batch.column("parts").slice(piece.first, len(piece)).to_pylist()
+            rows = [(ids[piece.first + i], x, int(piece.start[i]) + x["first"]) for i in range(len(piece)) for x in own[i]]
+            if not rows:
+                continue
+            at = np.array([r[2] for r in rows])[:, None] + np.arange(REACH)
+            anchor = (span_hash(run, at, at + GRAM) >> U64(24)).argmin(axis=1)
+            data = piece.data.tobytes()
+            columns = [[r[1]["key"] for r in rows], [r[0] for r in rows], [r[1]["first"] for r in rows], [r[1]["n"] for r in rows], anchor, [r[1]["alone"] for r in rows], [data[r[2] : r[2] + r[1]["n"] - 1 + LENGTH] for r in rows]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["key", "row_id", "first", "n", "anchor", "alone", "bytes"])
+
+    return map_batches(texts.select("row_id", "text", "parts"), each, "key long, row_id long, first int, n int, anchor int, alone boolean, bytes binary")
+
+
+def _agreements(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
+    """(row_id, first, n): the starts of a key's lone contexts whose string another of its contexts has.
+
+    Contexts are laid over each other at their anchors. Two that agree on `left` bytes before and on
+    `right` from there share the strings that begin up to `left` before the anchor and end within `right`.
+    """
+    before, after = max(x[3] for x in group), max(len(x[5]) - x[3] for x in group)
+    table = np.full((len(group), before + after), -1, dtype=np.int16)
+    for i, x in enumerate(group):
+        table[i, before - x[3] : before - x[3] + len(x[5])] = np.frombuffer(x[5], dtype=np.uint8)
+    for i, (row_id, first, n, anchor, alone, _) in enumerate(group):
+        if not alone:
+            continue
+        differ = (table != table[i]) | (table[i] < 0)
+        left = np.argmax(np.concatenate([differ[:, :before][:, ::-1], np.ones((len(group), 1), bool)], axis=1), axis=1)
+        right = np.argmax(np.concatenate([differ[:, before:], np.ones((len(group), 1), bool)], axis=1), axis=1)
+        left[i] = -1
+        marks = np.zeros(n + 1, dtype=np.int64)
+        for lo, hi in zip(anchor - left, anchor + right - LENGTH):  # starts lo to hi, from the context's first
+            lo, hi = max(0, int(lo)), min(n - 1, int(hi))
+            if lo <= hi:
+                marks[lo] += 1
+                marks[hi + 1] -= 1
+        on = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(marks[:-1]) > 0).view(np.int8), [0]])))
+        for lo, hi in zip(on[::2], on[1::2]):
+            yield row_id, first + int(lo), int(hi - lo)
+
+
+def _settle(contexts: DataFrame) -> DataFrame:
+    """All contexts of keys with few of them -> row_id, first, n of repeated starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != of:
+                    out += _agreements(held) if len(held) > 1 else []
+                    held, of = [], key
+                held.append(tuple(rest))
+            yield _starts(out)
+        yield _starts(list(_agreements(held)) if len(held) > 1 else [])
+
+    dealt = contexts.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "row_id long, first int, n int")
+
+
+def _starts(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["row_id", "first", "n"])
+
+
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(row_id, text) -> row_id, first, n: ranges of start positions whose LENGTH bytes also start elsewhere."""
     rows = cut(stretches(docs))
     keys = cut(rows.select(F.explode("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
     each = rows.select("row_id", F.inline(F.arrays_zip("first", "n", "key", "context")))
-    shared = cut(each.join(keys.hint(_hint(keys)), "key"))
+    shared = each.join(keys.hint(_hint(keys)), "key")
     contexts = cut(shared.groupBy("key", "context").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row_id", "first", "n")).alias("at")))
-    full = contexts.filter("c > 1").select("key", "context")
-    whole = shared.join(full.hint("merge"), ["key", "context"], "left_semi").select("row_id", "first", "n")
-
-    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
-    left = cut(contexts.join(several.hint("merge"), "key", "left_semi").select("at.row_id", "at.first", "at.n", (F.col("c") == 1).alias("alone")))
-    lists = left.groupBy("row_id").agg(F.collect_list(F.struct("first", "n", "alone")).alias("parts"))
-    ids = cut(left.select(F.col("row_id").alias("p_id")).distinct())
-    texts = docs.join(ids.hint(_hint(ids)), F.col("row_id") == F.col("p_id"), "left_semi").join(lists.hint("merge"), "row_id")
-
-    def windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = batch.column("parts").to_pylist()
-        for piece in pieces(batch.column("text"), most=1 << 20):
-            run = prefix_hash(piece.data)
-            own = parts[piece.first : piece.first + len(piece)]
-            count = [len(p) for p in own]
-            if not sum(count):
-                continue
-            first = np.array([x["first"] for p in own for x in p]) + np.repeat(piece.start, count)
-            n, alone = np.array([x["n"] for p in own for x in p]), np.array([x["alone"] for p in own for x in p])
-            x = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            doc = np.repeat(np.repeat(np.arange(len(own)), count), n)
-            ids = np.array(batch.column("row_id").slice(piece.first, len(piece)).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(span_hash(run, x, x + LENGTH).view(np.int64)), pa.array(ids[doc]), pa.array((x - piece.start[doc]).astype(np.int32)), pa.array(np.repeat(alone, n))], ["h", "row_id", "first", "alone"])
-
-    strings = cut(map_batches(texts.select("row_id", "text", "parts"), windows, "h long, row_id long, first int, alone boolean"))
+    full = cut(contexts.filter("c > 1").select("context"))
+    whole = each.join(full.hint(_hint(full)), "context", "left_semi").select("row_id", "first", "n")
+
+    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    left = cut(contexts.join(several.hint("merge"), "key").select("key", "k", "at.row_id", "at.first", "at.n", (F.col("c") == 1).alias("alone")))
+    out = whole
+    for own, settle in ((f"k <= {FEW}", lambda t: _settle(_contexts(t))), (f"k > {FEW}", _equal_strings)):
+        part = left.filter(own)
+        lists = cut(part.groupBy("row_id").agg(F.collect_list(F.struct("key", "first", "n", "alone")).alias("parts")))
+        ids = lists.select(F.col("row_id").alias("p_id"))
+        texts = docs.join(ids.hint(_hint(ids)), F.col("row_id") == F.col("p_id"), "left_semi").join(lists.hint("merge"), "row_id")
+        out = out.unionByName(settle(texts))
+    return out
+
+
+def _equal_strings(texts: DataFrame) -> DataFrame:
+    """Stretches of keys with many contexts -> row_id, first, n: their strings are counted one by one, so that no key's contexts meet in one task."""
+    strings = _windows(texts)
     twice = strings.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("alone")).filter("c > 1 and alone").select("h")
-    single = strings.filter("alone").join(twice.hint("merge"), "h", "left_semi").select("row_id", "first", F.lit(1).alias("n"))
-    return whole.unionByName(single)
+    return strings.filter("alone").join(twice.hint("merge"), "h", "left_semi").select("row_id", "first", F.lit(1).alias("n"))
 
 
 def _covered(parts: list[dict], size: int) -> list[tuple[int, int]]:
@@ -128,7 +214,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     documents. Start positions are not exchanged one by one: neighbours that share an anchor
     form a stretch, about one for 50 bytes. A stretch whose key occurs once cannot repeat. One whose whole context
     occurs twice repeats entirely, and copies of a context count once from there on, so that a passage in a third of the
-    documents is one row. What is left, the edges of repeats, is settled string by string.
+    documents is one row. What is left, the edges of repeats, is laid over each other at the anchors, or, for keys with many
+    contexts, settled string by string.
 
     Null and empty texts: no bytes, the digest of nothing. Matches inside one document count;
     overlaps too. Repeated rows are copies of each other. Rows are told apart by a number
@@ -140,14 +227,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         numbered = base.withColumn("row_id", F.col("doc_id"))
     else:
         numbered = cut(base.withColumn("row_id", F.monotonically_increasing_id()))
-    starts = cut(repeated_starts(numbered.select("row_id", "text")))
+    starts = repeated_starts(numbered.select("row_id", "text"))
     lists = cut(starts.groupBy("row_id").agg(F.collect_list(F.struct("first", "n")).alias("parts")))
-    joined = numbered.join(lists.withColumnRenamed("row_id", "p_id").hint(_hint(starts)), F.col("row_id") == F.col("p_id"), "left")
+    ids = lists.select(F.col("row_id").alias("p_id"))
+    touched = F.col("row_id") == F.col("p_id")
+    hint = _hint(ids)
+    joined = numbered.join(ids.hint(hint), touched, "left_semi").join(lists.hint("merge"), "row_id").select("doc_id", "text", "parts")
+    others = numbered.join(ids.hint(hint), touched, "left_anti").select("doc_id", "text", F.lit(None).cast(lists.schema["parts"].dataType).alias("parts"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")}
-        for text, parts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("parts").to_pylist()):
-            text = text or b""
+        for text, parts in zip(batch.column("text").cast(pa.binary()), batch.column("parts")):
+            text, parts = text.as_py() or b"", parts.as_py()
             spans = _covered(parts or [], len(text))
             kept, at = [], 0
             for a, b in spans:
@@ -159,4 +250,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64()] * 3 + [pa.binary(), pa.string()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], ["doc_id", *out])
 
-    return map_batches(joined.select("doc_id", "text", "parts"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return map_batches(joined.unionByName(others), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

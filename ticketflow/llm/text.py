@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 PIECE_BYTES = 1 << 20
@@ -108,16 +109,14 @@ class Piece:
 
 def pieces(column: pa.Array, lower: bool = False, most: int = PIECE_BYTES) -> Iterator[Piece]:
     """A text column as pieces of about `most` bytes; a longer text is a piece of its own."""
-    texts = column.cast(pa.binary()).to_pylist() if not pa.types.is_binary(column.type) else column.to_pylist()
+    column = column if pa.types.is_binary(column.type) else column.cast(pa.binary())
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
     first, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > first and held + n > most:
-            yield Piece(texts[first:i], first, lower)
+    for i, n in enumerate([*size, most]):
+        if i > first and (held + n > most or i == len(size)):
+            yield Piece(column.slice(first, i - first).to_pylist(), first, lower)
             first, held = i, 0
         held += n + 1
-    if texts[first:]:
-        yield Piece(texts[first:], first, lower)
 
 
 def ngrams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
