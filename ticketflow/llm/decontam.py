@@ -105,15 +105,16 @@ def _passages(docs: DataFrame, items: Items) -> DataFrame:
 
 
 def _rare(hits: DataFrame, items: Items, share: float) -> np.ndarray:
-    """Which seeds may start an alignment: of each item, the share that fewest documents hold, and any as rare as these."""
+    """Which seeds may start an alignment: of those of an item that occur at all, the share that fewest documents hold, and any as rare as these."""
     df = np.zeros(len(items.seed), dtype=np.int64)
     for seed, n in hits.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).collect():
         df[seed] = n
     rare = np.zeros(len(df), dtype=bool)
     order = np.argsort(items.item, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(items.item[order])) + 1):
+        own = own[df[own] > 0]
         if len(own):
-            limit = np.sort(df[own])[max(0, int(np.ceil(share * len(own))) - 1)]
+            limit = np.sort(df[own])[int(np.ceil(share * len(own))) - 1]
             rare[own] = df[own] <= limit
     return rare
 

@@ -20,6 +20,7 @@ TRAIN_TOXIC, TRAIN_ORDINARY = 3000, 9000
 #: Words in a dictionary at most, and how much more frequent a toxic word has to be.
 DICTIONARY_WORDS, MIN_RATIO, MIN_Z, MIN_COUNT = 1000, 5.0, 6.0, 5
 THRESHOLD = 0.5
+FEATURES = 6
 #: Bytes of a longer word are cut into windows of this size.
 WINDOW = 64
 #: Text that both dictionaries know stands around each window, so that zstandard, which does
@@ -66,7 +67,7 @@ class Distance:
         return d
 
     def features(self, text: bytes | None) -> tuple[float, ...]:
-        """The three largest distances, how many windows pass 4 and 6, and the number of windows (logarithms)."""
+        """The three largest distances, how many windows pass 4 and 6, and the number of windows (logarithms); a text without windows has zeros."""
         d = sorted(map(self, windows(text or b"")), reverse=True)
         top = [*d[:3], 0, 0, 0]
         over = [sum(1 for _ in _over(d, t)) for t in (4, 6)]
@@ -153,7 +154,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
     distance, and a logistic calibration of the largest distances and of the windows past the thresholds is the score.
     The pass over all documents is one map without a shuffle.
 
-    Null and empty texts have no windows and the calibration's score for that. Null labels are
+    Null and empty texts have no windows, hence the score of the shortest texts of the sample without any distance. Null labels are
     not learnt; without labels of both classes every score is 0. Repeated rows are scored alike. Extra columns are not read.
     """
     y = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
@@ -175,10 +176,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
         return rows.select(key, F.encode("text", "UTF-8").alias("text")).mapInArrow(run, f"{key} {kind}, x array<double>")
 
     known = measured(sample, "y", "int").collect()
-    ys, xs = np.array([r[0] for r in known], dtype=float), np.array([r[1] for r in known], dtype=float).reshape(-1, 6)
-    weights = fit_logistic(xs, ys) if 0 < ys.sum() < len(ys) else np.append(np.zeros(6), -1e9)
+    ys, xs = np.array([r[0] for r in known], dtype=float), np.array([r[1] for r in known], dtype=float).reshape(-1, FEATURES)
+    weights = fit_logistic(xs, ys) if 0 < ys.sum() < len(ys) else np.append(np.zeros(FEATURES), -1e9)
     at = F.lit(float(weights[-1]))
-    for i, w in enumerate(weights[:-1]):
-        at = at + F.lit(float(w)) * F.col("x")[i]
+    for i, w in enumerate(weights[:-1]):  # inside the range of the sample, so that an empty or huge text is no extrapolation
+        low, high = (float(xs[:, i].min()), float(xs[:, i].max())) if len(xs) else (0.0, 0.0)
+        at = at + F.lit(float(w)) * F.least(F.greatest(F.col("x")[i], F.lit(low)), F.lit(high))
     out = measured(texts, "doc_id", "long").withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(at, F.lit(30.0)), F.lit(-700.0)))))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
