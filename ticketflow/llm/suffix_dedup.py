@@ -1,4 +1,4 @@
-"""Exact repeats of long byte strings across and within documents."""
+"""Exact repeats of long byte strings: suffixes at anchors, merge-sorted with their common prefixes."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketflow.llm.lcp_merge import LoserTree, front_code
 from ticketflow.llm.text import U64, Piece, cut, map_batches, mix, pieces, prefix_hash, span_hash
 
 #: Length of a repeat in bytes; start positions that share one anchor at most; bytes of an anchor's gram.
@@ -17,6 +18,8 @@ LENGTH, REACH, GRAM = 200, 100, 16
 #: Contexts of a key that meet in one task at most; the strings of keys with more are dealt out one by one.
 FEW = 64
 PIECE = 1 << 19
+#: Suffixes of a bucket, about: one task merges their runs.
+BUCKET = 10_000
 #: Keys, ids or ranges up to this many are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -94,11 +97,17 @@ def _windows(texts: DataFrame) -> DataFrame:
     return map_batches(texts.select("row_id", "text", "parts"), each, "h long, row_id long, first int, alone boolean")
 
 
-def _contexts(texts: DataFrame) -> DataFrame:
-    """(row_id, text, parts) -> key, row_id, first, n, anchor, alone, bytes: the stretches in parts with all bytes of their strings."""
+def _runs(texts: DataFrame, buckets: int) -> DataFrame:
+    """(row_id, text, parts) -> bucket, shared, rest, left, row_id, first, n, alone: sorted runs of the parts' suffixes.
+
+    A suffix begins at a stretch's anchor and ends with the stretch's last string; `left` are the bytes from its
+    first string to the anchor. Each batch sorts its suffixes, one run a bucket, and front-codes them. A bucket
+    takes all suffixes of its keys.
+    """
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("row_id").to_pylist()
+        of: dict[int, list[tuple]] = {}
         for piece in pieces(batch.column("text"), most=PIECE):
             run = prefix_hash(piece.data)
             own = batch.column("parts").slice(piece.first, len(piece)).to_pylist()
@@ -108,11 +117,19 @@ def _contexts(texts: DataFrame) -> DataFrame:
             at = np.array([r[2] for r in rows])[:, None] + np.arange(REACH)
             anchor = (span_hash(run, at, at + GRAM) >> U64(24)).argmin(axis=1)
             data = piece.data.tobytes()
-            columns = [[r[1]["key"] for r in rows], [r[0] for r in rows], [r[1]["first"] for r in rows], [r[1]["n"] for r in rows], anchor, [r[1]["alone"] for r in rows], [data[r[2] : r[2] + r[1]["n"] - 1 + LENGTH] for r in rows]]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["key", "row_id", "first", "n", "anchor", "alone", "bytes"])
+            for (row_id, x, begin), a in zip(rows, anchor.tolist()):
+                of.setdefault(x["key"] % buckets, []).append((data[begin + a : begin + x["n"] - 1 + LENGTH], data[begin : begin + a], row_id, x["first"], x["n"], x["alone"]))
+        out: list[list] = [[] for _ in range(8)]
+        for bucket, suffixes in of.items():
+            suffixes.sort()
+            shared, rest = front_code([x[0] for x in suffixes])
+            for column, v in zip(out, (bucket, shared, rest, *zip(*[x[1:] for x in suffixes]))):
+                column.append(v)
+        kinds = [pa.int64(), *map(pa.list_, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["bucket", "shared", "rest", "left", "row_id", "first", "n", "alone"])
 
-    return map_batches(texts.select("row_id", "text", "parts"), each, "key long, row_id long, first int, n int, anchor int, alone boolean, bytes binary")
+    schema = "bucket long, shared array<int>, rest array<binary>, left array<binary>, row_id array<long>, first array<int>, n array<int>, alone array<boolean>"
+    return map_batches(texts.select("row_id", "text", "parts"), each, schema)
 
 
 def _agreements(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
@@ -143,22 +160,35 @@ def _agreements(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
             yield row_id, first + int(lo), int(hi - lo)
 
 
-def _settle(contexts: DataFrame) -> DataFrame:
-    """All contexts of keys with few of them -> row_id, first, n of repeated starts."""
+def _settle(texts: DataFrame, suffixes: int) -> DataFrame:
+    """All contexts of keys with few of them -> row_id, first, n of repeated starts.
+
+    The runs of a bucket are merged by a loser tree; neighbours that share the bytes of a key form a group.
+    """
+
+    def merged(runs: list[dict]) -> Iterator[tuple[int, int, int]]:
+        group: list[tuple] = []
+        for i, k, suffix, shared in LoserTree([(r["shared"], r["rest"]) for r in runs]):
+            if shared <= LENGTH - REACH and group:
+                yield from _agreements(group) if len(group) > 1 else ()
+                group = []
+            r = runs[i]
+            group.append((r["row_id"][k], r["first"][k], r["n"][k], len(r["left"][k]), r["alone"][k], r["left"][k] + suffix))
+        yield from _agreements(group) if len(group) > 1 else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != of:
-                    out += _agreements(held) if len(held) > 1 else []
-                    held, of = [], key
-                held.append(tuple(rest))
-            yield _starts(out)
-        yield _starts(list(_agreements(held)) if len(held) > 1 else [])
-
-    dealt = contexts.repartition("key").sortWithinPartitions("key")
+            for k in range(batch.num_rows):
+                r = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                if r["bucket"] != of:
+                    yield _starts(list(merged(held)))
+                    held, of = [], r["bucket"]
+                held.append(r)
+        yield _starts(list(merged(held)))
+
+    buckets = max(1, -(-suffixes // BUCKET))
+    dealt = _runs(texts, buckets).repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "row_id long, first int, n int")
 
 
@@ -180,16 +210,16 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     left = cut(contexts.join(several.hint("merge"), "key").select("key", "k", "at.row_id", "at.first", "at.n", (F.col("c") == 1).alias("alone")))
     out = whole
-    for own, settle in ((f"k <= {FEW}", lambda t: _settle(_contexts(t))), (f"k > {FEW}", _equal_strings)):
+    for own, settle in ((f"k <= {FEW}", _settle), (f"k > {FEW}", _equal_strings)):
         part = left.filter(own)
         lists = cut(part.groupBy("row_id").agg(F.collect_list(F.struct("key", "first", "n", "alone")).alias("parts")))
         ids = lists.select(F.col("row_id").alias("p_id"))
         texts = docs.join(ids.hint(_hint(ids)), F.col("row_id") == F.col("p_id"), "left_semi").join(lists.hint("merge"), "row_id")
-        out = out.unionByName(settle(texts))
+        out = out.unionByName(settle(texts, part.count()))
     return out
 
 
-def _equal_strings(texts: DataFrame) -> DataFrame:
+def _equal_strings(texts: DataFrame, _: int) -> DataFrame:
     """Stretches of keys with many contexts -> row_id, first, n: their strings are counted one by one, so that no key's contexts meet in one task."""
     strings = _windows(texts)
     twice = strings.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("alone")).filter("c > 1 and alone").select("h")
@@ -214,8 +244,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     documents. Start positions are not exchanged one by one: neighbours that share an anchor
     form a stretch, about one for 50 bytes. A stretch whose key occurs once cannot repeat. One whose whole context
     occurs twice repeats entirely, and copies of a context count once from there on, so that a passage in a third of the
-    documents is one row. What is left, the edges of repeats, is laid over each other at the anchors, or, for keys with many
-    contexts, settled string by string.
+    documents is one row. What is left, the edges of repeats, is sorted: tasks exchange front-coded sorted runs of the suffixes at the
+    anchors, which loser trees merge without comparing known prefixes again; neighbours that share a key's bytes are laid
+    over each other. Keys with many contexts are settled string by string, so that none meets in one task.
 
     Null and empty texts: no bytes, the digest of nothing. Matches inside one document count;
     overlaps too. Repeated rows are copies of each other. Rows are told apart by a number
