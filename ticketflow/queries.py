@@ -94,6 +94,7 @@ query("strip_label_prefix", lambda t: t.tickets.select("ticket_id", S.strip_labe
       r"SELECT ticket_id, trim(regexp_replace('at 14:00 ' || service, '[\s\p{Z}]+', ' ', 'g')) AS label FROM tickets", "tickets")
 query("cap_words", lambda t: t.tickets.select("ticket_id", S.cap_words(F.col("description")).alias("words"), S.cap_chars(F.col("description"), 120).alias("chars")),
       r"SELECT ticket_id, array_to_string(string_split(trim(regexp_replace(description, '[\s\p{Z}]+', ' ', 'g')), ' ')[1:9], ' ') AS words, substring(trim(description), 1, 120) AS chars FROM tickets", "tickets")
+query("cap_chars", lambda t: t.tickets.select("ticket_id", S.cap_chars(F.col("description"), 200).alias("chars")), "SELECT ticket_id, substring(trim(description), 1, 200) AS chars FROM tickets", "tickets")
 query("script_lang", lambda t: t.tickets.select("ticket_id", S.script_lang(F.concat(F.when(F.col("ticket_id") % 2 == 0, F.lit("خطأ ")).otherwise(F.lit("")), F.col("title"))).alias("script")), "SELECT ticket_id, CASE WHEN ticket_id % 2 = 0 THEN 'ar' ELSE 'en' END AS script FROM tickets", "tickets")
 query("parse_reply", lambda t: t.replies.select("ticket_id", S.parse_reply(F.col("raw"), "kind").alias("kind")), "SELECT ticket_id, CASE ticket_id % 4 WHEN 0 THEN 'incident' WHEN 1 THEN 'inquiry' WHEN 2 THEN 'test' ELSE 'administrative' END AS kind FROM tickets", "tickets")
 query("parse_classification", lambda t: t.replies.select("ticket_id", S.parse_classification(F.concat(F.lit('{"service":"s'), F.col("ticket_id"), F.lit('","needs_review":true}')))["service"].alias("service")), "SELECT ticket_id, 's' || ticket_id AS service FROM tickets", "tickets")
