@@ -18,7 +18,7 @@ SIMILARITY, WORDS = 80, 5
 #: Sets below this size are keyed by single shingles; larger ones by parts of about PART shingles, KEYS of them.
 SMALL, PART, KEYS = 45, 3, 67
 #: Documents of a tile's side; up to how many of a key's documents are paired by a plain self join.
-TILE, SELF_JOIN = 256, 32
+TILE, SELF_JOIN = 1024, 32
 #: Document ids up to this many are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -167,8 +167,36 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return map_batches(docs, each, "node long, tokens array<long>")
 
 
-def verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Candidate (a, b) -> those that link. The b's of an a meet it in one task, or, if there are many, in several that each get a copy of a."""
+def _few(ids: DataFrame) -> DataFrame:
+    """A kept table of ids or keys with the hint for joining it: broadcast if it was counted small."""
+    return ids.hint("broadcast" if ids.count() <= BROADCAST_IDS else "merge")
+
+
+def _likely(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Candidate (a, b) whose sizes and bitmaps leave room for a link."""
+    left = facts.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = facts.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILARITY
+    rows = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(size)
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keep = []
+        for n_a, bits_a, n_b, bits_b in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+            width = 8 * min(len(bits_a), len(bits_b))
+            keep.append(bool(may_link(n_a, fold(bits_a, width), n_b, fold(bits_b, width))))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(rows.select("a", "b", "n_a", "bits_a", "n_b", "bits_b"), each, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate (a, b) -> those that link, by the exact test on their texts' shingles.
+
+    The b's of an a meet it in one task, or, if there are many, in several that each get a copy of a.
+    """
+    pairs = cut(pairs)
+    active = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    tokens = cut(_tokens(texts.join(_few(active), F.col("doc_id") == F.col("node"), "left_semi")).filter(F.size("tokens") > 0))
     count = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
     dealt = pairs.join(count.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / TILE)).alias("salt"), "b")
     dealt = cut(dealt)
@@ -254,9 +282,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Two documents link if their sets of 5-word shingles (lower-cased A-Z) have a Jaccard
     similarity of 0.8 or more; the component is the smallest doc_id that links lead to.
 
-    Equal sets are one node, so copies are never paired. Nodes meet in tiles: a size band and a
-    key (see band_keys). In each tile the first node is compared with the others, in two
-    rounds; what is then still in several components is compared pairwise, in tiles of bounded size, through
+    Equal sets are one node, so copies are never paired. Nodes meet in tiles: those that share a key of a size
+    band (see band_keys) with the same first node. In each tile the first node is compared with the others, and where this
+    linked most of them a second one; what is then still in several components is compared pairwise, in tiles of bounded size, through
     the bitmaps, which drop most pairs, before the exact intersection. A pair inside one
     component needs no comparison, so that a group of many near copies costs its size, not its square.
 
@@ -268,45 +296,45 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sig = cut(signatures(texts))
     sets = sig.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
     member = cut(sig.filter("n > 0").select("doc_id", "h1", "h2", "n").join(sets.hint("merge"), ["h1", "h2", "n"]).select("doc_id", "n", "node"))
-    nodes = member.filter("doc_id = node").select("node").distinct()
-    own = sig.join(nodes.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").filter("n > 0")
-
-    keyed = own.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last")
-    met = cut(keyed.join(shared.hint("merge"), "key").select("key", "node", "n", "center", "c"))
-
-    active = cut(met.select("node").distinct())
-    hint = "broadcast" if active.count() <= BROADCAST_IDS else "merge"
-    wanted = active.hint(hint)
-    tokens = cut(_tokens(texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi")).filter(F.size("tokens") > 0).dropDuplicates(["node"]))
-
-    stars = met.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    nodes = cut(member.filter("doc_id = node").select("node").distinct())
+    own = sig.filter("n > 0").join(_few(nodes), F.col("doc_id") == F.col("node"), "left_semi")
+
+    keyed = own.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n")
+    shared = cut(keyed.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
+    met = keyed.join(_few(shared), "key").distinct()
+    first = met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("last")).filter("low.node < last")
+    met = met.join(first.select("key", F.col("low.node").alias("center"), F.col("low.n").alias("n_center")).hint("merge"), "key")
+    # keys with the same first node are one tile: near copies share dozens of keys and would be compared in each
+    met = cut(met.select(F.col("center").alias("key"), "node", "n", "center", "n_center").distinct())
+    facts = own.select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"])
+
+    close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * SIMILARITY
+    stars = cut(met.filter("node <> center").filter(close("n", "n_center")).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
     versions = member.filter("doc_id <> node").join(nodes.withColumnRenamed("node", "version").hint("merge"), F.col("doc_id") == F.col("version")).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut(verified(stars, tokens).unionByName(versions))
+    links = cut(verified(_likely(stars, facts), texts).unionByName(versions))
 
     def placed(links: DataFrame) -> DataFrame:
         """Rows of keys whose documents lie in several components, with the component."""
-        label = components(links).select(F.col("node").alias("l_node"), "component")
-        rows = met.join(label.hint("merge"), F.col("node") == F.col("l_node"), "left").select("key", "node", "n", "center", "c", F.coalesce("component", "node").alias("component"))
-        open_ = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        label = _few(components(links).select(F.col("node").alias("l_node"), "component"))
+        rows = met.join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", "n", "center", F.coalesce("component", "node").alias("component"))
+        open_ = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c"), F.countDistinct("component").alias("parts")).filter("low < high")
         return cut(rows.join(open_.hint("merge"), "key"))
 
     rows = placed(links)
-    seconds = rows.filter("component > low").groupBy("key").agg(F.min("node").alias("second"))
-    again = rows.join(seconds.hint("merge"), "key").filter("node <> second and component <> second and center <> second and node <> center").select(F.least("node", "second").alias("a"), F.greatest("node", "second").alias("b")).distinct()
-    links = cut(links.unionByName(verified(again.join(stars.hint("merge"), ["a", "b"], "left_anti"), tokens)))
-
-    rows = placed(links)
-    count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g"))
-    rows = rows.drop("c").join(count.hint("merge"), "key").withColumnRenamed("g", "c")
+    joined = rows.filter("2 * parts <= c")  # keys whose first document linked most others; a second one may link more
+    seconds = joined.filter("component > low").groupBy("key").agg(F.min(F.struct("node", "n", "component")).alias("s")).select("key", F.col("s.node").alias("second"), F.col("s.n").alias("n_second"), F.col("s.component").alias("c_second"))
+    again = joined.join(seconds.hint("merge"), "key").filter("node <> second and component <> c_second and center <> second and node <> center").filter(close("n", "n_second")).select(F.least("node", "second").alias("a"), F.greatest("node", "second").alias("b")).distinct()
+    again = cut(_likely(again.join(stars.hint("merge"), ["a", "b"], "left_anti"), facts))
+    if not again.isEmpty():
+        links = cut(links.unionByName(verified(again, texts)))
+        rows = placed(links)
     few = rows.filter(f"c <= {SELF_JOIN}").select("key", "node", "n", "component")
     right = few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    close = (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * SIMILARITY) & (F.col("component") != F.col("c_b"))
-    by_join = few.hint("merge").join(right, "key").filter((F.col("node") < F.col("b")) & close).select(F.col("node").alias("a"), "b")
-    many = rows.filter(f"c > {SELF_JOIN}").join(own.select(F.col("doc_id").alias("b_id"), "bits").dropDuplicates(["b_id"]).hint("merge"), F.col("node") == F.col("b_id")).drop("b_id")
+    by_join = few.hint("merge").join(right, "key").filter((F.col("node") < F.col("b")) & close("n", "n_b") & (F.col("component") != F.col("c_b"))).select(F.col("node").alias("a"), "b")
+    many = rows.filter(f"c > {SELF_JOIN}").join(facts.select("id", "bits").hint("merge"), F.col("node") == F.col("id")).select("key", "node", "n", "component", "bits", "c")
     rest = by_join.unionByName(_tile_pairs(many)).distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")
-    links = cut(links.unionByName(verified(rest, tokens)))
+    links = cut(links.unionByName(verified(_likely(rest, facts), texts)))
 
-    label = components(links).select(F.col("node").alias("l_node"), "component")
-    out = member.join(label.hint("merge"), F.col("node") == F.col("l_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    label = _few(components(links).select(F.col("node").alias("l_node"), "component"))
+    out = member.join(label, F.col("node") == F.col("l_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     return out.unionByName(sig.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
