@@ -18,21 +18,33 @@ from ticketflow.llm.toxicity import toxicity
 ORACLE_SQL = None
 
 
+#: Ids up to this many are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not in ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("gone_id")).distinct().hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """The documents whose doc_id is not in ids; those without an id stay."""
+    gone = cut(ids.select(F.col("doc_id").alias("gone_id")).filter("gone_id is not null").distinct())
+    gone = gone.hint("broadcast" if gone.count() <= BROADCAST_IDS else "merge")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     scores = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, cut(scores.filter("predicted = 1").select("doc_id")))
+    return _without(docs, scores.filter("predicted = 1"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; of rows that share an id one."""
     groups = jaccard_components(docs)
-    return _without(docs, groups.filter("doc_id <> component_id")).dropDuplicates(["doc_id"])
+    kept = _without(docs, groups.filter("doc_id <> component_id"))
+    again = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 and doc_id is not null").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    single = _without(kept, again)
+    repeated = again.select(F.col("doc_id").alias("again_id"))
+    return single.unionByName(kept.join(repeated, kept["doc_id"] == repeated["again_id"], "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
