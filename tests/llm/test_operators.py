@@ -142,6 +142,26 @@ def test_fuzzy_passages(spark):
     assert all(abs(r["first"] - 50) < 8 and abs(r["last"] - 129) < 8 and r["identity"] >= 0.8 for r in got)
 
 
+def test_fuzzy_passages_split_at_unrelated_words(spark):
+    rng = random.Random(14)
+    gaps, texts = [(40, 40), (80, 80), (150, 150), (250, 250), (300, 300), (300, 60), (220, 190)], []
+    for pair in gaps:
+        one, two = words(rng, 60, 9000), words(rng, 60, 9000)
+        texts += [f"{words(rng, 20, 9000)} {one} {words(rng, n, 9000)} {two} {words(rng, 20, 9000)}" for n in pair]
+    got = defaultdict(list)
+    for r in substring_dedup.fuzzy_passages(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect():
+        got[r["other_id"], r["doc_id"]].append((r["other_first"], r["other_last"], r["first"], r["last"]))
+    assert set(got) == {(2 * i, 2 * i + 1) for i in range(len(gaps))}
+    for i, (n, m) in enumerate(gaps):
+        wanted = [(20, 79, 20, 79), (80 + n, 139 + n, 80 + m, 139 + m)]
+        assert np.abs(np.array(sorted(got[2 * i, 2 * i + 1])) - wanted).max() <= 3
+
+
+def test_long_gaps_count_equal_positions():
+    x = np.arange(400)
+    assert substring_dedup._common(x, x[:300]) == substring_dedup._common(x[100:], x) == 300
+
+
 def test_chain_is_collinear_and_best():
     a, b = [0, 5, 10, 15, 20], [0, 5, 40, 10, 15]
     best = max(substring_dedup.chain(a, b), key=len)
