@@ -289,6 +289,17 @@ def test_decontamination(spark, odd):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_edited_copies_beside_verbatim_ones(spark):
+    rng = random.Random(13)
+    item = words(rng, 38, 9000)
+    edited = [" ".join(f"x{i}" if i % n == n - 1 else w for i, w in enumerate(item.split())) for n in (5, 6, 7)]
+    docs = [f"{words(rng, 50, 9000)} {t} {words(rng, 50, 9000)}" for t in [item] * 3 + edited + edited[:1] * 5]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.contaminated(frame(spark, [(i, t, "s") for i, t in enumerate(docs)]), bench).collect()}
+    assert set(got) == set(range(len(docs)))
+    assert all(0.7 <= got[i] < 1 for i in range(3, len(docs)))
+
+
 def test_alignment_matches_plain_dynamic_programming():
     rng = random.Random(11)
     for _ in range(20):

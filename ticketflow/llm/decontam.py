@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketflow.llm.text import Piece, cut, map_batches, ngrams, pieces, prefix_hash, span_hash
+from ticketflow.llm.text import Piece, map_batches, ngrams, pieces, prefix_hash, span_hash
 
-#: Words of a seed; share of an item's seeds, the rarest in the corpus, that may start an alignment.
-SEED_WORDS, RARE_SHARE = 4, 0.5
+#: Words of a seed.
+SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score, as a share of the item's score against itself.
 MIN_SCORE = 0.5
@@ -71,12 +71,17 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _passages(docs: DataFrame, items: Items) -> DataFrame:
-    """Whole texts -> doc_id, item, first, words, seeds: each run of hits of one item, with an item's length of words around it."""
+def _reaches(text: np.ndarray, query: np.ndarray, min_score: float) -> bool:
+    """Whether the text has enough of the item's words for the score: an alignment has MATCH at most for each."""
+    return bool(np.isin(query, text).sum() >= min_score * len(query))
+
+
+def _passages(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
+    """Whole texts -> doc_id, item, first, words: each run of hits of one item, with an item's length of words around it, that could reach the score."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_pylist()
-        out: dict[str, list] = {k: [] for k in ("doc_id", "item", "first", "words", "seeds")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "item", "first", "words")}
         for piece in pieces(batch.column(1), lower=True):
             start, end, doc = piece.words()
             words = span_hash(prefix_hash(piece.data), start, end)
@@ -85,7 +90,7 @@ def _passages(docs: DataFrame, items: Items) -> DataFrame:
                 continue
             of, item = doc[at], items.item[seed]
             order = np.lexsort((at, item, of))
-            at, seed, of, item = at[order], seed[order], of[order], item[order]
+            at, of, item = at[order], of[order], item[order]
             reach = np.array([len(w) for w in items.words])[item]
             new = np.ones(len(at), bool)
             new[1:] = (of[1:] != of[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > reach[1:])
@@ -93,40 +98,25 @@ def _passages(docs: DataFrame, items: Items) -> DataFrame:
             for a, b in zip(begins, np.append(begins[1:], len(at))):
                 lo, hi = np.searchsorted(doc, of[a], side="left"), np.searchsorted(doc, of[a], side="right")
                 p, q = max(lo, at[a] - reach[a]), min(hi, at[b - 1] + 2 * reach[a])
+                if not _reaches(words[p:q], items.words[item[a]], min_score):
+                    continue
                 out["doc_id"].append(ids[piece.first + of[a]])
                 out["item"].append(int(item[a]))
                 out["first"].append(int(p - lo))
                 out["words"].append(words[p:q].view(np.int64))
-                out["seeds"].append(np.unique(seed[a:b]))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
 
-    return map_batches(docs, each, "doc_id long, item int, first long, words array<long>, seeds array<long>")
-
+    return map_batches(docs, each, "doc_id long, item int, first long, words array<long>")
 
-def _rare(hits: DataFrame, items: Items, share: float) -> np.ndarray:
-    """Which seeds may start an alignment: of those of an item that occur at all, the share that fewest documents hold, and any as rare as these."""
-    df = np.zeros(len(items.seed), dtype=np.int64)
-    for seed, n in hits.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).collect():
-        df[seed] = n
-    rare = np.zeros(len(df), dtype=bool)
-    order = np.argsort(items.item, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(items.item[order])) + 1):
-        own = own[df[own] > 0]
-        if len(own):
-            limit = np.sort(df[own])[int(np.ceil(share * len(own))) - 1]
-            rare[own] = df[own] <= limit
-    return rare
 
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, rare_share: float = RARE_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents, benchmark (item_id, text) -> doc_id, item_id, score, first_word, last_word; a row for each pair that aligns.
 
-    Every text is read once and whole. Where it has an item's four-word seed, the words around go to a table of
-    passages; that table gives each seed's document frequency over the corpus. A passage with
-    a rare seed of its item is aligned with the item; the score is a share of the item's own, so
-    1 is a verbatim copy, and edits or lost words lower it. A pair has its best alignment;
-    word numbers are those of the text, from 0, the last included.
+    Every text is read once and whole. Where it has a four-word seed of an item, the words around are a passage, which
+    is aligned with the item unless it holds too few of the item's words for the score, however frequent its seeds are.
+    The score is a share of the item's own, so 1 is a verbatim copy, and edits or lost words lower it. A pair
+    has its best alignment; word numbers are those of the text, from 0, the last included.
 
     The test items go to the tasks in blocks of at most `block_bytes`, one pass for each block, so a larger benchmark
     needs more passes and not more memory. Items of fewer words than a seed match as a whole. Null or
@@ -140,24 +130,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
     out = None
     for k in range(blocks):
         own = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        found = _block(texts, Items([(r[0], r[1]) for r in own.orderBy("item_id", "text").collect()]), min_score, rare_share)
+        found = _block(texts, Items([(r[0], r[1]) for r in own.orderBy("item_id", "text").collect()]), min_score)
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("score", (-F.col("first_word")).alias("a"), "last_word")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", (-F.col("best.a")).alias("first_word"), "best.last_word")
 
 
-def _block(texts: DataFrame, items: Items, min_score: float, rare_share: float) -> DataFrame:
+def _block(texts: DataFrame, items: Items, min_score: float) -> DataFrame:
     schema = "doc_id long, item_id long, score double, first_word long, last_word long"
     if not len(items.seed):
         return texts.sparkSession.createDataFrame([], schema)
-    hits = cut(_passages(texts, items))
-    rare = _rare(hits, items, rare_share)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "score", "first_word", "last_word")}
-        for doc_id, item, first, words, seeds in zip(*(c.to_pylist() for c in batch.columns)):
-            if not rare[seeds].any():
-                continue
+        for doc_id, item, first, words in zip(*(c.to_pylist() for c in batch.columns)):
             text, query = np.array(words, dtype=np.int64).view(np.uint64), items.words[item]
             best, end = align(text, query)
             score = best / (MATCH * len(query))
@@ -168,4 +154,4 @@ def _block(texts: DataFrame, items: Items, min_score: float, rare_share: float)
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
 
-    return map_batches(hits, each, schema)
+    return map_batches(_passages(texts, items, min_score), each, schema)
