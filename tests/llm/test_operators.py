@@ -157,6 +157,24 @@ def test_fuzzy_passages_split_at_unrelated_words(spark):
         assert np.abs(np.array(sorted(got[2 * i, 2 * i + 1])) - wanted).max() <= 3
 
 
+def test_fuzzy_passages_whose_seeds_have_other_first_holders(spark):
+    rng = random.Random(15)
+    texts = []
+    for k in range(6):  # the halves; a third of the passage and words around; what holds only the middle
+        p = words(rng, 60, 9000).split()
+        parts = {0: (p[:30], p[30:]), 1: (p[:38], p[22:]), 2: (p[:20], p[20:40], p[40:]), 3: (p[10:45],), 4: (p[:30], p[30:]), 5: (p[:39], p[11:50], p[21:])}[k]
+        texts += [" ".join([words(rng, 40, 9000), *part, words(rng, 40, 9000)]) for part in parts]
+        texts += [" ".join([words(rng, 40, 9000), *p, words(rng, 40, 9000)]) for _ in range(2 + k % 2)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = substring_dedup.fuzzy_passages(frame(spark, rows)).collect()
+    spans = defaultdict(set)
+    for r in got:
+        spans[r["doc_id"]] |= set(range(r["first"], r["last"] + 1))
+        spans[r["other_id"]] |= set(range(r["other_first"], r["other_last"] + 1))
+    whole = [i for i, t in enumerate(texts) if len(t.split()) == 140]
+    assert len(whole) == 15 and all(spans[i] >= set(range(40, 100)) for i in whole)
+
+
 def test_long_gaps_count_equal_positions():
     x = np.arange(400)
     assert substring_dedup._common(x, x[:300]) == substring_dedup._common(x[100:], x) == 300
