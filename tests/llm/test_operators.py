@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ticketflow.llm import decontam, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
 from ticketflow.llm.graph import components
-from ticketflow.llm.licenses import MIT, canonical_text, license_scan
+from ticketflow.llm.licenses import KNOWN_PASSAGES, MIT, canonical_text, license_passages, license_scan
 from ticketflow.llm.quality_qda import Discriminant, quality_classifier
 
 from .conftest import frame, words
@@ -194,6 +194,17 @@ def test_license_scan(spark):
     assert canonical_text(changed) == canonical_text(MIT)
 
 
+def test_license_passages(spark, odd, nothing):
+    prose = "Some words here.\nAnd more of them."
+    wrapped = "\n\n".join("\n".join(p[i : i + 70] for i in range(0, len(p), 70)) if k == 3 else p.replace(", ", ",\n") for k, p in enumerate(MIT.split("\n\n")[:3])) + "\n\n" + MIT.split("\n\n")[3]
+    texts = [f"{prose}\nReleased under the MIT License.", f"{prose}\nLicensed under CC BY-NC 4.0.\n{prose}", f"{prose}\n\nCopyright (c) 2020 X\n\n{wrapped}\n\n{prose}", MIT.split("\n\n")[1], None, "",
+             f"{prose}\n\n{KNOWN_PASSAGES['Apache-2.0'][-1]}\n\n{prose}", f"{KNOWN_PASSAGES['GPL-3.0'][-1]}\n{prose}\nReleased under the MIT License.\n{prose}\nReleased under the MIT License.", prose]
+    got = {(r["doc_id"], r["license_id"]): r["places"] for r in license_passages(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got.pop((6, "Apache-2.0")) >= 1
+    assert got == {(0, "MIT"): 1, (1, "CC-BY-NC-4.0"): 1, (2, "MIT"): 1, (7, "GPL-3.0"): 1, (7, "MIT"): 2}
+    assert license_passages(odd).collect() == license_passages(nothing).collect() == []
+
+
 def water_fill(sizes, weights, limit=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % len(weights)] for k, s in enumerate(order)}

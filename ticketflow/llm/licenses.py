@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,16 @@ KNOWN = {
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
 }
 
+TEXTS = Path(__file__).with_name("license_texts")
+#: What license_passages looks for besides: whole licence texts and lines that name one.
+KNOWN_PASSAGES = KNOWN | {
+    "Apache-2.0": [*KNOWN["Apache-2.0"], (TEXTS / "Apache-2.0.txt").read_text()],
+    "GPL-3.0": [*KNOWN["GPL-3.0"], (TEXTS / "GPL-3.0.txt").read_text()],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+}
+#: How license_passages splits texts.
+SPLITS = {"paragraph": r"\n[\t\r ]*\n", "line": r"\n"}
+
 #: Fixed values: (pattern, replacement), applied in this order to the text with A-Z lower-cased.
 STEPS = [
     (r"(^|\n)[\t ]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n"),
@@ -125,6 +136,36 @@ def license_scan(docs: DataFrame, known: dict[str, list[str]] = KNOWN) -> DataFr
     return rows.join(table, F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "license_id")
 
 
+def _passage_table(known: dict[str, list[str]]) -> list[tuple[str, str, str, int, int, int]]:
+    """(unit, digest, licence, text, number of the part, parts) of each part of each known text, split as texts are."""
+    out = []
+    for text_no, (name, text) in enumerate((n, t) for n, texts in known.items() for t in texts):
+        for unit, split in {"text": None, **SPLITS}.items():
+            parts = [c for c in map(canonical_text, re.split(split, text) if split else [text]) if c]
+            out += [(unit, hashlib.sha256(c.encode()).hexdigest(), name, text_no, k, len(parts)) for k, c in enumerate(parts)]
+    return out
+
+
+def license_passages(docs: DataFrame, known: dict[str, list[str]] = KNOWN_PASSAGES) -> DataFrame:
+    """documents -> doc_id, license_id, places; a row for each licence that a text holds, alone or among other text, and in how many places.
+
+    A licence is held if the text, or lines or paragraphs in a row, have the digests of all lines or paragraphs of a
+    known text; parts of which the canonical form leaves nothing, as copyright lines, don't count. The known digests are broadcast; only hits are
+    shuffled. Rows that share doc_id and text count once. Null and empty texts give nothing; extra columns are not read.
+    """
+    spark: SparkSession = docs.sparkSession
+    table = F.broadcast(spark.createDataFrame(_passage_table(known), "known_unit string, known string, license_id string, text_no int, k int, n int"))
+    text = F.col("text")
+    units = F.array(*[F.struct(F.lit(unit).alias("unit"), F.filter(F.transform(F.split(text, split) if split else F.array(text), canonical), lambda c: c != "").alias("parts")) for unit, split in {"text": None, **SPLITS}.items()])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.inline(units)).select("doc_id", "h", "unit", F.posexplode("parts").alias("pos", "c"))
+    rows = rows.select("doc_id", "h", "unit", "pos", F.sha2(F.encode("c", "UTF-8"), 256).alias("digest"))
+    hits = rows.join(table, (F.col("digest") == F.col("known")) & (F.col("unit") == F.col("known_unit")))
+    whole = hits.groupBy("doc_id", "h", "unit", "license_id", "text_no", "n", (F.col("pos") - F.col("k")).alias("first")).agg(F.count_distinct("k").alias("found")).filter("found = n")
+    places = whole.groupBy("doc_id", "license_id", "unit").agg(F.count_distinct("h", F.col("first") + F.col("n")).alias("places"))
+    return places.groupBy("doc_id", "license_id").agg(F.max("places").alias("places"))
+
+
 def license_oracle(known: dict[str, list[str]] = KNOWN) -> str:
     """DuckDB SQL with the result of license_scan over documents."""
     c = f"translate(text, '{UPPER}', '{LOWER}')"

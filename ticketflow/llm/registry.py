@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketflow.llm.decontam import contaminated
-from ticketflow.llm.licenses import license_oracle, license_scan
+from ticketflow.llm.licenses import license_oracle, license_passages, license_scan
 from ticketflow.llm.mixing import mix_sources
 from ticketflow.llm.ngram_join import jaccard_components
 from ticketflow.llm.quality_qda import quality_classifier
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": lambda s, d: fuzzy_passages(table(s, d, "documents")),
     "op3_suffix_dedup": lambda s, d: remove_repeats(table(s, d, "documents")).drop("kept"),
     "op4_license_scan": lambda s, d: license_scan(table(s, d, "documents")),
+    "op4_license_passages": lambda s, d: license_passages(table(s, d, "documents")),
     "op5_mix_sources": lambda s, d: mix_sources(table(s, d, "documents")),
     "op6_quality_rules": lambda s, d: quality_rules(table(s, d, "documents")),
     "op7_toxicity": lambda s, d: toxicity(table(s, d, "documents"), table(s, d, "labels")),
