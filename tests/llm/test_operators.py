@@ -49,22 +49,32 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute_components(rows):
-    ids = [i for i, _ in rows]
-    parent = {i: i for i in ids}
+def brute_rows(rows):
+    """(doc_id, n_shingles, component_id) of each row: rows link by text, or by a doc_id that they share."""
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    sets = [(i, shingle_set(t)) for i, t in rows]
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
-                p, q = find(i), find(j)
-                parent[max(p, q)] = min(p, q)
-    return {i: (len(s), find(i)) for i, s in sets}
+    sets = [shingle_set(t) for _, t in rows]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and (100 * len(a & b) >= 80 * len(a | b) or rows[i][0] is not None and rows[i][0] == rows[j][0]):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least.setdefault(find(i), set()).update([] if d is None else [d])
+    return [(d, len(s), min(least[find(i)], default=None) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+def brute_components(rows):
+    return {i: (n, c) for i, n, c in brute_rows(rows)}
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: [(x is None, x or 0) for x in r])
 
 
 def test_ngram_jaccard_matches_brute_force(spark, corpus):
@@ -81,6 +91,20 @@ def test_ngram_jaccard_tiles_and_self_join_agree(spark, corpus, monkeypatch):
     assert got == brute_components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("parts", (1, 3, 7))
+def test_ngram_jaccard_with_shared_and_null_ids(spark, parts):
+    rng = random.Random(17)
+    base, other, third = (words(rng, n, 9000) for n in (150, 150, 80))
+    rows = [(5, base), (None, base), (None, near_copies(rng, base, 1, 2)[0]), (6, other), (6, near_copies(rng, third, 1, 1)[0]), (9, third), (12, near_copies(rng, other, 1, 1)[0]), (12, " "), (20, words(rng, 60, 9000)), (None, words(rng, 60, 9000)), (None, None), (7, words(rng, 30, 9000))]
+    got = ngram_join.jaccard_components(frame(spark, [(i, t, "s") for i, t in rows]).repartition(parts)).select("doc_id", "n_shingles", "component_id").collect()
+    assert in_order(map(tuple, got)) == in_order(brute_rows(rows))
+
+
+def test_ngram_jaccard_on_odd_rows(spark, odd):
+    got = ngram_join.jaccard_components(odd).select("doc_id", "n_shingles", "component_id").collect()
+    assert in_order(map(tuple, got)) == in_order(brute_rows([(r["doc_id"], r["text"]) for r in odd.collect()]))
+
+
 def test_bitmaps_never_reject_a_link():
     rng = np.random.default_rng(5)
     for n in (10, 45, 100, 1000, 9000):

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketflow.llm.text import cut
-
-#: Nodes up to this many are joined by broadcast; more by shuffle.
-BROADCAST_NODES = 500_000
+from ticketflow.llm.text import cut, join_hint
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -21,7 +18,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     pairs = links.select("a", "b").filter("a <> b")
     both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")))
-    hint = "broadcast" if labels.count() <= BROADCAST_NODES else "merge"
+    hint = join_hint(labels)
     for _ in range(rounds):
         near = both.join(labels.hint(hint), F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
         stepped = labels.join(near.hint(hint), F.col("node") == F.col("a")).select("node", F.col("component").alias("was"), F.least("component", "least").alias("component"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.llm.graph import components
-from ticketflow.llm.text import U64, Piece, cut, map_batches, mix, pieces, shingles
+from ticketflow.llm.text import U64, Piece, cut, join_hint, map_batches, map_iter, mix, pieces, shingles
 
 #: Similarity in hundredths, and words of a shingle.
 SIMILARITY, WORDS = 80, 5
@@ -19,9 +20,6 @@ SIMILARITY, WORDS = 80, 5
 SMALL, PART, KEYS = 45, 3, 67
 #: Documents of a tile's side; up to how many of a key's documents are paired by a plain self join.
 TILE, SELF_JOIN = 1024, 32
-#: Document ids up to this many are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
-
 
 def bands(n: int) -> list[tuple[int, int]]:
     """The size bands (low, high) in which a set of n shingles needs keys; (0, 0) is the single-shingle scheme, for pairs with a set under SMALL.
@@ -120,14 +118,21 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(_spans(owner[order], n), pa.int32()), pa.array(values[order].view(np.int64)))
 
 
+def _set_hashes(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """One hash of each set: two order-free sums of its shingles and its size, scrambled."""
+    sums = []
+    for salt in (0, 0x5851F42D4C957F2D):
+        run = np.concatenate([[U64(0)], np.cumsum(mix(tokens ^ U64(salt)))]).astype(np.uint64)
+        sums.append(run[cuts[1:]] - run[cuts[:-1]])
+    return mix(mix(sums[0]) + U64(3) * sums[1] + np.diff(cuts).astype(np.uint64))
+
+
 def _signatures(piece: Piece) -> dict[str, pa.Array]:
-    """Of each text: set size, two hashes of the set, keys, bitmap."""
+    """Of each text: set size, node (the hash of its set), keys, bitmap."""
     n = len(piece)
     tokens, owner = shingles(piece, WORDS)
     cuts = _spans(owner, n)
     size = np.diff(cuts)
-    total = np.concatenate([[U64(0)], np.cumsum(mix(tokens))]).astype(np.uint64)
-    other = np.concatenate([[U64(0)], np.cumsum(mix(tokens ^ U64(0x5851F42D4C957F2D)))]).astype(np.uint64)
     of_band: dict[tuple[int, int], list[int]] = {}
     for i in np.flatnonzero(size):
         for b in bands(int(size[i])):
@@ -140,20 +145,20 @@ def _signatures(piece: Piece) -> dict[str, pa.Array]:
         keys.append(k)
         owners.append(docs[o])
     return {
-        "n": pa.array(size, pa.int64()), "h1": pa.array((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64)), "h2": pa.array((other[cuts[1:]] - other[cuts[:-1]]).view(np.int64)),
+        "n": pa.array(size, pa.int64()), "node": pa.array(_set_hashes(tokens, cuts).view(np.int64)),
         "keys": _lists(np.concatenate(keys), np.concatenate(owners), n), "bits": pa.array([bitmap(tokens[cuts[i] : cuts[i + 1]]) for i in range(n)], pa.binary()),
     }
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id, n, h1, h2, keys, bits."""
+    """documents -> doc_id, n, node, keys, bits. Texts with the same set of shingles have the same node."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batch.column(1), lower=True):
             s = _signatures(piece)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), *s.values()], ["doc_id", *s])
 
-    return map_batches(docs, each, "doc_id long, n long, h1 long, h2 long, keys array<long>, bits binary")
+    return map_batches(docs, each, "doc_id long, n long, node long, keys array<long>, bits binary")
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -162,14 +167,15 @@ def _tokens(docs: DataFrame) -> DataFrame:
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batch.column(1), lower=True):
             t, owner = shingles(piece, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), _lists(t, owner, len(piece))], ["node", "tokens"])
+            node = _set_hashes(t, _spans(owner, len(piece)))
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), _lists(t, owner, len(piece))], ["node", "tokens"])
 
     return map_batches(docs, each, "node long, tokens array<long>")
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    """A kept table of ids or keys with the hint for joining it: broadcast if it was counted small."""
-    return ids.hint("broadcast" if ids.count() <= BROADCAST_IDS else "merge")
+    """A kept table of ids or keys with the hint for joining it."""
+    return ids.hint(join_hint(ids))
 
 
 def _likely(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -189,14 +195,21 @@ def _likely(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return map_batches(rows.select("a", "b", "n_a", "bits_a", "n_b", "bits_b"), each, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate (a, b) -> those that link, by the exact test on their texts' shingles.
+def verified(pairs: DataFrame, texts: DataFrame, held: DataFrame) -> DataFrame:
+    """Candidate nodes (a, b) -> those that link, by the exact test on their texts' shingles. held: node, doc_id of one text that has it.
 
     The b's of an a meet it in one task, or, if there are many, in several that each get a copy of a.
     """
     pairs = cut(pairs)
-    active = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    tokens = cut(_tokens(texts.join(_few(active), F.col("doc_id") == F.col("node"), "left_semi")).filter(F.size("tokens") > 0))
+    if pairs.isEmpty():
+        return pairs
+    active = cut(pairs.select(F.explode(F.array("a", "b")).alias("a_node")).distinct())
+    wanted = cut(held.join(_few(active), F.col("node") == F.col("a_node"), "left_semi").select(F.col("doc_id").alias("w_id"), F.col("node").alias("w_node")))
+    tokens = _tokens(texts.join(_few(wanted.select("w_id").distinct()), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi"))
+    tokens = cut(tokens.join(_few(wanted), F.col("node") == F.col("w_node"), "left_semi"))
+    again = tokens.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")  # rows that share an id and the set
+    if not again.isEmpty():
+        tokens = cut(tokens.dropDuplicates(["node"]))
     count = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
     dealt = pairs.join(count.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / TILE)).alias("salt"), "b")
     dealt = cut(dealt)
@@ -220,7 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "b")
-    return rows.mapInArrow(run, "a long, b long")
+    return map_iter(rows, run, "a long, b long")
 
 
 def _tile_pairs(rows: DataFrame) -> DataFrame:
@@ -252,28 +265,24 @@ def _tile_pairs(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
-        found: set[tuple[int, int]] = set()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-            found.clear()
-            return out
+        def tile() -> Iterator[pa.RecordBatch]:
+            pairs = pairs_of(held, of[1], of[2])
+            while part := list(islice(pairs, 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for key, i, j, block, node, n, comp, bits in zip(*(c.to_pylist() for c in batch.columns)):
                 if of != (key, i, j):
                     if of is not None:
-                        found.update(pairs_of(held, of[1], of[2]))
+                        yield from tile()
                     held, of = [], (key, i, j)
                 held.append((block, node, n, comp, bits))
-            if len(found) > 50_000:
-                yield flush()
         if of is not None:
-            found.update(pairs_of(held, of[1], of[2]))
-        yield flush()
+            yield from tile()
 
     dealt = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_iter(dealt, run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -288,53 +297,62 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     the bitmaps, which drop most pairs, before the exact intersection. A pair inside one
     component needs no comparison, so that a group of many near copies costs its size, not its square.
 
-    Null, empty and wordless texts: n_shingles 0, a component of their own. Repeated rows: each
-    gets the same answer. Rows that share a doc_id but not the text count as versions of one document, hence
-    as linked. Empty table: empty result. Columns other than doc_id and text are not read.
+    Null, empty and wordless texts: n_shingles 0, linked with nothing; their component_id is their doc_id. Repeated rows: each
+    gets the same answer. Rows that share a doc_id but not the text are versions of one document: links of one
+    count for all that have words. A null doc_id names no document: such rows are
+    linked by their texts alone, and the component is the smallest doc_id that is known, null if none is. Empty table: empty
+    result. Columns other than doc_id and text are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = cut(signatures(texts))
-    sets = sig.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
-    member = cut(sig.filter("n > 0").select("doc_id", "h1", "h2", "n").join(sets.hint("merge"), ["h1", "h2", "n"]).select("doc_id", "n", "node"))
-    nodes = cut(member.filter("doc_id = node").select("node").distinct())
-    own = sig.filter("n > 0").join(_few(nodes), F.col("doc_id") == F.col("node"), "left_semi")
+    full = sig.filter("n > 0")
+    sets = cut(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    first_rows = sets.select(F.col("node").alias("s_node"), F.col("doc_id").alias("s_id"))
+    own = full.join(_few(first_rows), (F.col("node") == F.col("s_node")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left_semi")
 
-    keyed = own.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n")
+    keyed = own.select(F.explode("keys").alias("key"), "node", "n")
     shared = cut(keyed.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
     met = keyed.join(_few(shared), "key").distinct()
     first = met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("last")).filter("low.node < last")
     met = met.join(first.select("key", F.col("low.node").alias("center"), F.col("low.n").alias("n_center")).hint("merge"), "key")
     # keys with the same first node are one tile: near copies share dozens of keys and would be compared in each
     met = cut(met.select(F.col("center").alias("key"), "node", "n", "center", "n_center").distinct())
-    facts = own.select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"])
+    facts = own.select(F.col("node").alias("id"), "n", "bits").dropDuplicates(["id"])
 
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * SIMILARITY
     stars = cut(met.filter("node <> center").filter(close("n", "n_center")).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
-    versions = member.filter("doc_id <> node").join(nodes.withColumnRenamed("node", "version").hint("merge"), F.col("doc_id") == F.col("version")).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut(verified(_likely(stars, facts), texts).unionByName(versions))
+    ids = full.select("doc_id", "node").filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
+    ids = cut(ids.select("doc_id", "a"))  # of documents in several versions
+    versions = full.select("doc_id", F.col("node").alias("b")).join(_few(ids), "doc_id").filter("a <> b").select("a", "b").distinct()
+    links = cut(verified(_likely(stars, facts), texts, sets).unionByName(versions))
 
     def placed(links: DataFrame) -> DataFrame:
-        """Rows of keys whose documents lie in several components, with the component."""
+        """Rows of keys whose nodes lie in several components, with the component."""
         label = _few(components(links).select(F.col("node").alias("l_node"), "component"))
         rows = met.join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", "n", "center", F.coalesce("component", "node").alias("component"))
         open_ = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c"), F.countDistinct("component").alias("parts")).filter("low < high")
         return cut(rows.join(open_.hint("merge"), "key"))
 
     rows = placed(links)
-    joined = rows.filter("2 * parts <= c")  # keys whose first document linked most others; a second one may link more
+    joined = rows.filter("2 * parts <= c")  # keys whose first node linked most others; a second one may link more
     seconds = joined.filter("component > low").groupBy("key").agg(F.min(F.struct("node", "n", "component")).alias("s")).select("key", F.col("s.node").alias("second"), F.col("s.n").alias("n_second"), F.col("s.component").alias("c_second"))
     again = joined.join(seconds.hint("merge"), "key").filter("node <> second and component <> c_second and center <> second and node <> center").filter(close("n", "n_second")).select(F.least("node", "second").alias("a"), F.greatest("node", "second").alias("b")).distinct()
     again = cut(_likely(again.join(stars.hint("merge"), ["a", "b"], "left_anti"), facts))
     if not again.isEmpty():
-        links = cut(links.unionByName(verified(again, texts)))
+        links = cut(links.unionByName(verified(again, texts, sets)))
         rows = placed(links)
     few = rows.filter(f"c <= {SELF_JOIN}").select("key", "node", "n", "component")
     right = few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
     by_join = few.hint("merge").join(right, "key").filter((F.col("node") < F.col("b")) & close("n", "n_b") & (F.col("component") != F.col("c_b"))).select(F.col("node").alias("a"), "b")
     many = rows.filter(f"c > {SELF_JOIN}").join(facts.select("id", "bits").hint("merge"), F.col("node") == F.col("id")).select("key", "node", "n", "component", "bits", "c")
     rest = by_join.unionByName(_tile_pairs(many)).distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")
-    links = cut(links.unionByName(verified(_likely(rest, facts), texts)))
-
-    label = _few(components(links).select(F.col("node").alias("l_node"), "component"))
-    out = member.join(label, F.col("node") == F.col("l_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
-    return out.unionByName(sig.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    links = cut(links.unionByName(verified(_likely(rest, facts), texts, sets)))
+
+    label = components(links).select(F.col("node").alias("l_node"), "component")
+    placed_sets = cut(sets.select("node", "doc_id").join(_few(label), F.col("node") == F.col("l_node")).select("node", "doc_id", "component"))
+    names = placed_sets.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_set = cut(placed_sets.join(_few(cut(names)), "component").select(F.col("node").alias("c_node"), "component_id"))
+    alone = sets.select(F.col("node").alias("s_node"), F.col("doc_id").alias("s_id"))
+    answer = cut(alone.join(_few(of_set), F.col("s_node") == F.col("c_node"), "left").select("s_node", F.coalesce("component_id", "s_id").alias("component_id")))
+    worded = full.select("doc_id", "n", "node").join(_few(answer), F.col("node") == F.col("s_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return worded.unionByName(sig.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -7,6 +7,7 @@ the longest text, not the batch.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+#: Bytes of an Arrow batch, so that a worker's memory does not follow the number of rows.
+BATCH_BYTES = 4 << 20
+#: Bytes of a side that is broadcast at most, and what a row of a few longs takes as a hashed relation.
+BROADCAST_BYTES, HASHED_ROW_BYTES = 48 << 20, 64
 U64 = np.uint64
 
 _PRIME = 0x9E3779B97F4A7C15
@@ -31,12 +36,14 @@ _LOWER[0x41:0x5B] += 32
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: in the cluster's shared folder, or in one of our own where the session names none."""
+    """Make checkpoint() usable: in the cluster's shared folder, or, in local mode without one, in a folder of our own."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ticketflow-ckpt-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local["):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ticketflow-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,6 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_hint(df: DataFrame, row_bytes: int = HASHED_ROW_BYTES) -> str:
+    """How to join a kept table of ids or keys: by broadcast if it was counted to fit BROADCAST_BYTES, else by shuffle."""
+    return "broadcast" if df.count() * row_bytes <= BROADCAST_BYTES else "merge"
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values, so that all bits depend on all bits."""
     h = h ^ (h >> U64(30))
@@ -156,12 +168,21 @@ def shingles(piece: Piece, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return h[new], owner[new]
 
 
+def map_iter(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow on batches of BATCH_BYTES at most, or fewer where the session asks for fewer."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """map_iter with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from each(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_iter(df, run, schema)
