@@ -145,16 +145,25 @@ def test_suffix_dedup_matches_brute_force(spark):
     assert got == dict(enumerate(brute_removed(texts)))
 
 
-def test_suffix_dedup_with_few_and_many_contexts(spark, monkeypatch):
+def removed(df):
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return in_order([tuple(r[k] for k in names) for r in suffix_dedup.remove_repeats(df).collect()])
+
+
+def test_suffix_dedup_of_hot_anchors_and_odd_rows(spark, odd, monkeypatch):
     rng = random.Random(9)
-    passage = words(rng, 90)
+    passage, line = words(rng, 90), words(rng, 45)
     texts = [f"{words(rng, 20, 9000)} {passage[k : k + 320]} {words(rng, 20, 9000)}" for k in range(0, 120, 2)]
-    df = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    wanted = dict(enumerate(brute_removed(texts)))
-    for few in (2, 1000):
+    texts += [f"{words(rng, rng.randrange(3), 9000)} {line} {words(rng, 3, 9000)}" for _ in range(150)]  # one passage, each time with other words around
+    texts += [f"{line[:-k]}{'x' * k} {words(rng, 3, 9000)}" for k in range(1, 40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[70]), (None, None)]
+    wanted = in_order([(i, *x) for (i, _), x in zip(rows, brute_removed([t for _, t in rows]))])
+    df = frame(spark, [(i, t, "s") for i, t in rows])
+    for few in (1, 64):
         monkeypatch.setattr(suffix_dedup, "FEW", few)
-        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect()}
-        assert got == wanted
+        assert removed(df) == wanted
+    given = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert removed(odd) == in_order([(i, *x) for (i, _), x in zip(given, brute_removed([t for _, t in given]))])
 
 
 def test_fuzzy_passages(spark):

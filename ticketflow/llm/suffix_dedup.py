@@ -7,27 +7,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.llm.lcp_merge import LoserTree, front_code
-from ticketflow.llm.text import U64, Piece, cut, map_batches, mix, pieces, prefix_hash, span_hash
+from ticketflow.llm.text import U64, Piece, cut, join_hint, map_batches, map_iter, mix, pieces, prefix_hash, span_hash
 
 #: Length of a repeat in bytes; start positions that share one anchor at most; bytes of an anchor's gram.
-LENGTH, REACH, GRAM = 200, 100, 16
-#: Contexts of a key that meet in one task at most; the strings of keys with more are dealt out one by one.
-FEW = 64
+LENGTH, REACH, GRAM = 200, 128, 16
+#: Contexts of a key that are merged as one group at most, and the widths of the cells into which stretches of a key with more are cut.
+FEW, CELLS = 64, (32, 8, 1)
 PIECE = 1 << 19
 #: Suffixes of a bucket, about: one task merges their runs.
 BUCKET = 10_000
-#: Keys, ids or ranges up to this many are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Of a gram's hash the upper bits count, then its place.
+LOW = U64(32)
 
 
 def _argmin_windows(h: np.ndarray, w: int) -> np.ndarray:
     """Position of the first smallest value of each w consecutive ones."""
-    n = len(h)
-    low = U64(max(24, n.bit_length()))
+    n, low = len(h), LOW
     packed = (h >> low << low) | np.arange(n, dtype=np.uint64)
     pad = np.full((-n) % w, np.uint64(0xFFFFFFFFFFFFFFFF))
     blocks = np.concatenate([packed, pad]).reshape(-1, w)
@@ -41,7 +41,7 @@ def _stretches(piece: Piece, run: np.ndarray) -> tuple[np.ndarray, ...]:
 
     A start's anchor is the position with the smallest gram hash among the REACH positions from
     it; equal strings of LENGTH bytes have it at the same place. The key is the hash of the
-    anchor's REACH + 1 bytes, which lie in every string of the stretch; the context is the hash of all bytes that its strings cover.
+    LENGTH - REACH + 1 bytes from the anchor, which lie in every string of the stretch; the context is the hash of all bytes that its strings cover.
     """
     size = len(piece.data)
     if size < LENGTH:
@@ -75,60 +75,86 @@ def stretches(docs: DataFrame) -> DataFrame:
     return map_batches(docs, each, "row_id long, first array<int>, n array<int>, key array<long>, context array<long>")
 
 
-def _hint(df: DataFrame) -> str:
-    return "broadcast" if df.count() <= BROADCAST_ROWS else "merge"
+def _anchors(run: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The anchor of each start: all starts of a stretch have the same."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    at = first[:, None] + np.arange(REACH)
+    return first + (span_hash(run, at, at + GRAM) >> LOW).argmin(axis=1)
 
 
-def _windows(texts: DataFrame) -> DataFrame:
-    """(row_id, text, parts) -> h, row_id, first, alone: the strings of the stretches in parts, one by one, as hashes."""
+def _parts(batch: pa.RecordBatch, piece: Piece) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(row_id, text, parts) rows -> for each part of the piece's texts the text number, and the parts' fields, `first` counted from the piece."""
+    lists = batch.column("parts").slice(piece.first, len(piece))
+    flat, count = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(piece)), count)
+    fields = {flat.type.field(k).name: flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)}
+    fields["first"] = fields["first"].astype(np.int64) + piece.start[doc]
+    return doc, fields
+
+
+def _cells(texts: DataFrame, width: int) -> DataFrame:
+    """(row_id, text, parts) -> row_id, first, n, key, context, lead, alone: the parts' stretches, cut into cells of `width` starts.
+
+    A cell holds the starts that lie c * width to (c + 1) * width - 1 bytes before the anchor, so strings that are equal are
+    in the same cell of equal stretches. Its key is the hash of the LENGTH - width + 1 bytes that all its strings have in
+    common; they begin `lead` bytes before the anchor. A narrower cell has a longer key, and at width 1 the key is the string.
+    """
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = np.array(batch.column("row_id").to_pylist(), dtype=np.int64)
+        ids = batch.column("row_id").to_numpy(zero_copy_only=False)
         for piece in pieces(batch.column("text"), most=PIECE):
-            own = batch.column("parts").slice(piece.first, len(piece)).to_pylist()
-            count = [len(p) for p in own]
+            doc, f = _parts(batch, piece)
+            if not len(doc):
+                continue
             run = prefix_hash(piece.data)
-            first = np.array([x["first"] for p in own for x in p], dtype=np.int64) + np.repeat(piece.start, count)
-            n, alone = np.array([x["n"] for p in own for x in p], dtype=np.int64), np.array([x["alone"] for p in own for x in p], dtype=bool)
-            x = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            doc = np.repeat(np.repeat(np.arange(len(own)), count), n)
-            yield pa.RecordBatch.from_arrays([pa.array(span_hash(run, x, x + LENGTH).view(np.int64)), pa.array(ids[piece.first + doc]), pa.array((x - piece.start[doc]).astype(np.int32)), pa.array(np.repeat(alone, n))], ["h", "row_id", "first", "alone"])
-
-    return map_batches(texts.select("row_id", "text", "parts"), each, "h long, row_id long, first int, alone boolean")
+            anchor = _anchors(run, f["first"])
+            far = anchor - f["first"]
+            near = far - f["n"] + 1
+            cells = far // width - near // width + 1
+            of = np.repeat(np.arange(len(doc)), cells)
+            c = near[of] // width + np.arange(len(of)) - np.repeat(np.cumsum(cells) - cells, cells)
+            lead = c * width
+            high, low = np.minimum(far[of], lead + width - 1), np.maximum(near[of], lead)
+            first, n, begin = anchor[of] - high, high - low + 1, anchor[of] - lead
+            key = mix(span_hash(run, begin, begin + LENGTH - width + 1) ^ mix(c.astype(np.uint64)))
+            context = mix(span_hash(run, first, first + n - 1 + LENGTH) ^ mix((begin - first).astype(np.uint64)))
+            owner = doc[of]
+            columns = [pa.array(ids[piece.first + owner]), pa.array((first - piece.start[owner]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(lead.astype(np.int32)), pa.array(f["alone"][of])]
+            yield pa.RecordBatch.from_arrays(columns, ["row_id", "first", "n", "key", "context", "lead", "alone"])
+
+    return map_batches(texts.select("row_id", "text", "parts"), each, "row_id long, first int, n int, key long, context long, lead int, alone boolean")
 
 
 def _runs(texts: DataFrame, buckets: int) -> DataFrame:
-    """(row_id, text, parts) -> bucket, shared, rest, left, row_id, first, n, alone: sorted runs of the parts' suffixes.
+    """(row_id, text, parts) -> bucket, common, shared, rest, left, row_id, first, n, alone: sorted runs of the parts' suffixes.
 
-    A suffix begins at a stretch's anchor and ends with the stretch's last string; `left` are the bytes from its
-    first string to the anchor. Each batch sorts its suffixes, one run a bucket, and front-codes them. A bucket
-    takes all suffixes of its keys.
+    A suffix begins with the bytes that all strings of its key have in common, `common` of them, and ends with the
+    part's last string; `left` are the bytes before it from the part's first string on. Each batch sorts its suffixes, one
+    run a bucket, and front-codes them. A bucket takes all suffixes of its keys.
     """
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("row_id").to_pylist()
-        of: dict[int, list[tuple]] = {}
+        of: dict[tuple[int, int], list[tuple]] = {}
         for piece in pieces(batch.column("text"), most=PIECE):
-            run = prefix_hash(piece.data)
-            own = batch.column("parts").slice(piece.first, len(piece)).to_pylist()
-            rows = [(ids[piece.first + i], x, int(piece.start[i]) + x["first"]) for i in range(len(piece)) for x in own[i]]
-            if not rows:
-                continue
-            at = np.array([r[2] for r in rows])[:, None] + np.arange(REACH)
-            anchor = (span_hash(run, at, at + GRAM) >> U64(24)).argmin(axis=1)
+            doc, f = _parts(batch, piece)
             data = piece.data.tobytes()
-            for (row_id, x, begin), a in zip(rows, anchor.tolist()):
-                of.setdefault(x["key"] % buckets, []).append((data[begin + a : begin + x["n"] - 1 + LENGTH], data[begin : begin + a], row_id, x["first"], x["n"], x["alone"]))
-        out: list[list] = [[] for _ in range(8)]
-        for bucket, suffixes in of.items():
+            anchor = _anchors(prefix_hash(piece.data), f["first"])
+            start = piece.start[doc]
+            for d, s, a, first, n, key, alone, lead, common in zip(doc.tolist(), start.tolist(), anchor.tolist(), *(f[k].tolist() for k in ("first", "n", "key", "alone", "lead", "common"))):
+                begin = a - lead
+                of.setdefault((key % buckets, common), []).append((data[begin : first + n - 1 + LENGTH], data[first:begin], ids[piece.first + d], first - s, n, alone))
+        out: list[list] = [[] for _ in range(9)]
+        for (bucket, common), suffixes in of.items():
             suffixes.sort()
             shared, rest = front_code([x[0] for x in suffixes])
-            for column, v in zip(out, (bucket, shared, rest, *zip(*[x[1:] for x in suffixes]))):
+            for column, v in zip(out, (bucket, common, shared, rest, *zip(*[x[1:] for x in suffixes]))):
                 column.append(v)
-        kinds = [pa.int64(), *map(pa.list_, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["bucket", "shared", "rest", "left", "row_id", "first", "n", "alone"])
+        kinds = [pa.int64(), pa.int32(), *map(pa.list_, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["bucket", "common", "shared", "rest", "left", "row_id", "first", "n", "alone"])
 
-    schema = "bucket long, shared array<int>, rest array<binary>, left array<binary>, row_id array<long>, first array<int>, n array<int>, alone array<boolean>"
+    schema = "bucket long, common int, shared array<int>, rest array<binary>, left array<binary>, row_id array<long>, first array<int>, n array<int>, alone array<boolean>"
     return map_batches(texts.select("row_id", "text", "parts"), each, schema)
 
 
@@ -169,10 +195,10 @@ def _settle(texts: DataFrame, suffixes: int) -> DataFrame:
     def merged(runs: list[dict]) -> Iterator[tuple[int, int, int]]:
         group: list[tuple] = []
         for i, k, suffix, shared in LoserTree([(r["shared"], r["rest"]) for r in runs]):
-            if shared <= LENGTH - REACH and group:
+            r = runs[i]
+            if shared < r["common"] and group:
                 yield from _agreements(group) if len(group) > 1 else ()
                 group = []
-            r = runs[i]
             group.append((r["row_id"][k], r["first"][k], r["n"][k], len(r["left"][k]), r["alone"][k], r["left"][k] + suffix))
         yield from _agreements(group) if len(group) > 1 else ()
 
@@ -181,15 +207,15 @@ def _settle(texts: DataFrame, suffixes: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 r = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
-                if r["bucket"] != of:
+                if (r["bucket"], r["common"]) != of:
                     yield _starts(list(merged(held)))
-                    held, of = [], r["bucket"]
+                    held, of = [], (r["bucket"], r["common"])
                 held.append(r)
         yield _starts(list(merged(held)))
 
     buckets = max(1, -(-suffixes // BUCKET))
-    dealt = _runs(texts, buckets).repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "row_id long, first int, n int")
+    dealt = _runs(texts, buckets).repartition(buckets, "bucket", "common").sortWithinPartitions("bucket", "common")
+    return map_iter(dealt, run, "row_id long, first int, n int")
 
 
 def _starts(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -197,33 +223,43 @@ def _starts(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["row_id", "first", "n"])
 
 
+def _with_parts(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The texts that have parts, each with an array of its own: row_id, text, parts."""
+    lists = cut(parts.groupBy("row_id").agg(F.collect_list(F.struct(*[c for c in parts.columns if c != "row_id"])).alias("parts")))
+    ids = lists.select(F.col("row_id").alias("p_id"))
+    return docs.join(ids.hint(join_hint(ids)), F.col("row_id") == F.col("p_id"), "left_semi").join(lists.hint("merge"), "row_id")
+
+
+def _sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stretches or cells (row_id, first, n, key, context, lead, alone) -> (row_id, first, n) of lone ones that repeat as a whole, and one of each context of the keys that have several: key, k (how many), row_id, first, n, lead, alone.
+
+    Contexts are the same if both their hashes are. `alone` are those whose strings are not yet known to repeat.
+    """
+    contexts = cut(rows.groupBy("key", "context").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("open"), F.min(F.struct("row_id", "first", "n", "lead")).alias("at")))
+    full = cut(contexts.filter("c > 1 and open").select("key", "context"))
+    whole = rows.filter("alone").join(full.hint(join_hint(full)), ["key", "context"], "left_semi").select("row_id", "first", "n")
+    alone = (F.col("c") == 1) & F.col("open")
+    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(alone).alias("any")).filter("k > 1 and any").select("key", "k")
+    return whole, cut(contexts.join(several.hint("merge"), "key").select("key", "k", "at.row_id", "at.first", "at.n", "at.lead", alone.alias("alone")))
+
+
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(row_id, text) -> row_id, first, n: ranges of start positions whose LENGTH bytes also start elsewhere."""
     rows = cut(stretches(docs))
     keys = cut(rows.select(F.explode("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
-    each = rows.select("row_id", F.inline(F.arrays_zip("first", "n", "key", "context")))
-    shared = each.join(keys.hint(_hint(keys)), "key")
-    contexts = cut(shared.groupBy("key", "context").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row_id", "first", "n")).alias("at")))
-    full = cut(contexts.filter("c > 1").select("context"))
-    whole = each.join(full.hint(_hint(full)), "context", "left_semi").select("row_id", "first", "n")
-
-    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    left = cut(contexts.join(several.hint("merge"), "key").select("key", "k", "at.row_id", "at.first", "at.n", (F.col("c") == 1).alias("alone")))
-    out = whole
-    for own, settle in ((f"k <= {FEW}", _settle), (f"k > {FEW}", _equal_strings)):
-        part = left.filter(own)
-        lists = cut(part.groupBy("row_id").agg(F.collect_list(F.struct("key", "first", "n", "alone")).alias("parts")))
-        ids = lists.select(F.col("row_id").alias("p_id"))
-        texts = docs.join(ids.hint(_hint(ids)), F.col("row_id") == F.col("p_id"), "left_semi").join(lists.hint("merge"), "row_id")
-        out = out.unionByName(settle(texts, part.count()))
-    return out
-
-
-def _equal_strings(texts: DataFrame, _: int) -> DataFrame:
-    """Stretches of keys with many contexts -> row_id, first, n: their strings are counted one by one, so that no key's contexts meet in one task."""
-    strings = _windows(texts)
-    twice = strings.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("alone")).filter("c > 1 and alone").select("h")
-    return strings.filter("alone").join(twice.hint("merge"), "h", "left_semi").select("row_id", "first", F.lit(1).alias("n"))
+    each = rows.select("row_id", F.inline(F.arrays_zip("first", "n", "key", "context")), F.lit(0).alias("lead"), F.lit(True).alias("alone"))
+    level = each.join(keys.hint(join_hint(keys)), "key", "left_semi")
+    out, few, width = None, None, REACH
+    for narrower in (*CELLS, None):
+        whole, left = _sorted_out(level)
+        part = left.filter(F.col("k") <= FEW).select("row_id", "key", "first", "n", "alone", "lead", F.lit(LENGTH - width + 1).alias("common"))
+        out = whole if out is None else out.unionByName(whole)
+        few = part if few is None else few.unionByName(part)
+        hot = left.filter(F.col("k") > FEW)
+        if hot.isEmpty():
+            break
+        level, width = cut(_cells(_with_parts(docs, hot.select("row_id", "first", "n", "alone")), narrower)), narrower
+    return out.unionByName(_settle(_with_parts(docs, few), few.count()))
 
 
 def _covered(parts: list[dict], size: int) -> list[tuple[int, int]]:
@@ -242,15 +278,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Every byte goes that lies in a string of LENGTH bytes which starts more than once in all of the
     documents. Start positions are not exchanged one by one: neighbours that share an anchor
-    form a stretch, about one for 50 bytes. A stretch whose key occurs once cannot repeat. One whose whole context
+    form a stretch, about one for 64 bytes. A stretch whose key occurs once cannot repeat. One whose whole context
     occurs twice repeats entirely, and copies of a context count once from there on, so that a passage in a third of the
     documents is one row. What is left, the edges of repeats, is sorted: tasks exchange front-coded sorted runs of the suffixes at the
     anchors, which loser trees merge without comparing known prefixes again; neighbours that share a key's bytes are laid
-    over each other. Keys with many contexts are settled string by string, so that none meets in one task.
+    over each other. Stretches of a key with many contexts are first cut into cells, with longer keys: cells inside
+    the repeat are alike and go at once, and only those at its edges are cut again, until the groups are small.
 
     Null and empty texts: no bytes, the digest of nothing. Matches inside one document count;
     overlaps too. Repeated rows are copies of each other. Rows are told apart by a number
-    of their own, not by doc_id. Columns other than doc_id and text are not read.
+    of their own, not by doc_id, which may be null or shared. Empty table: empty result. Columns other than doc_id and text are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     unclear = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null")
@@ -262,7 +299,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lists = cut(starts.groupBy("row_id").agg(F.collect_list(F.struct("first", "n")).alias("parts")))
     ids = lists.select(F.col("row_id").alias("p_id"))
     touched = F.col("row_id") == F.col("p_id")
-    hint = _hint(ids)
+    hint = join_hint(ids)
     joined = numbered.join(ids.hint(hint), touched, "left_semi").join(lists.hint("merge"), "row_id").select("doc_id", "text", "parts")
     others = numbered.join(ids.hint(hint), touched, "left_anti").select("doc_id", "text", F.lit(None).cast(lists.schema["parts"].dataType).alias("parts"))
 
