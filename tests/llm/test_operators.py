@@ -211,6 +211,7 @@ def test_fuzzy_passages_whose_seeds_have_other_first_holders(spark):
 def test_long_gaps_count_equal_positions():
     x = np.arange(400)
     assert substring_dedup._common(x, x[:300]) == substring_dedup._common(x[100:], x) == 300
+    assert substring_dedup._common(np.tile(x, 3), np.append(x[50:], 7)) == 351  # the 7 after the end comes from the next round
 
 
 def test_chain_is_collinear_and_best():
@@ -443,3 +444,46 @@ def test_classifiers_on_empty_tables(spark, odd, nothing):
         assert run(nothing, labels).collect() == []
         assert run(odd, labels).count() == odd.count()
     assert decontam.contaminated(nothing, spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).collect() == []
+
+
+def brute_passages(texts, least, identity):
+    """Pairs of texts with a stretch of `least` words or more, that begins and ends with equal words and of which the share `identity` is equal, and which words lie in one, by comparing all with all."""
+    w = [t.split() for t in texts]
+    held = defaultdict(set)
+    pairs = set()
+    for i in range(len(w)):
+        for j in range(i):
+            for shift in range(-len(w[i]) + least, len(w[j]) - least + 1):
+                a = max(0, -shift)
+                n = min(len(w[i]) - a, len(w[j]) - a - shift)
+                equal = np.array([w[i][a + k] == w[j][a + shift + k] for k in range(n)])
+                if equal.sum() < identity * least:
+                    continue
+                run, on = np.append(0, np.cumsum(equal)), np.flatnonzero(equal)
+                for k in on:
+                    last = [m for m in on if m - k + 1 >= least and run[m + 1] - run[k] >= identity * (m - k + 1)]
+                    if last:
+                        pairs.add((i, j))
+                        held[i] |= set(range(a + k, a + last[-1] + 1))
+                        held[j] |= set(range(a + shift + k, a + shift + last[-1] + 1))
+    return pairs, held
+
+
+def test_fuzzy_passages_recall_against_brute_force(spark):
+    rng = random.Random(18)
+    quotes = words(rng, 160, 9000).split()
+    texts = [" ".join([words(rng, 30, 9000), *quotes[k : k + n], words(rng, 30, 9000)]) for k, n in [(4 * i, 28 if i % 2 else 36) for i in range(32)]]  # short quotes come first
+    texts += [" ".join([words(rng, 40, 9000), *quotes, words(rng, 40, 9000)]) for _ in range(2)]
+    for edits in (0, 1, 3, 4):  # copies differ in twice as many words
+        p = words(rng, 70, 9000)
+        texts += [f"{words(rng, 40, 9000)} {t} {words(rng, 40, 9000)}" for t in near_copies(rng, p, 4, edits)]
+    got = substring_dedup.fuzzy_passages(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    pairs, held = brute_passages(texts, 40, 0.8)
+    found = defaultdict(set)
+    for r in got:
+        found[r["doc_id"]] |= set(range(r["first"], r["last"] + 1))
+        found[r["other_id"]] |= set(range(r["other_first"], r["other_last"] + 1))
+        assert r["last"] - r["first"] + 1 >= 40 and r["identity"] >= 0.8
+    assert found[32] >= set(range(40, 200)) and found[33] >= set(range(40, 200))
+    assert sum(len(found[i] & held[i]) for i in held) >= 0.9 * sum(map(len, held.values()))
+    assert set(found) <= set(held)
