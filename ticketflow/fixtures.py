@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Table names stand in braces. What a view needs comes before it.
 VIEWS: dict[str, str] = {
-    "tickets": """SELECT d.doc_id AS ticket_id, substring(d.text, 1, 80) AS title, substring(d.text, 81, 8000) AS description, d.lang,
+    "tickets": """SELECT d.doc_id AS ticket_id, substring(d.text, 1, 80) AS title, substring(d.text, 81) AS description, d.lang,
  CASE WHEN d.doc_id % 10 = 0 THEN NULL WHEN d.lang = 'en' THEN 'SysA' WHEN d.lang = 'fr' THEN 'SysB' WHEN d.lang = 'de' THEN 'SysC' ELSE 'SysD' END AS affected_system,
  CASE WHEN d.doc_id % 17 = 0 THEN 'General / Unspecified' WHEN d.doc_id % 13 = 0 THEN concat('Svc ', d.source, ' - SysA.OFFERING-GAP') WHEN d.doc_id % 5 = 0 THEN concat('Svc ', d.source, ' - SysA')
       WHEN d.source = 'src7' THEN concat('7.1 Svc src7 - SysA.Off', CAST(d.doc_id % 3 AS STRING)) ELSE concat('Svc ', d.source, ' - SysA.Off', CAST(d.doc_id % 3 AS STRING)) END AS service,
@@ -61,7 +61,9 @@ def sql(body: str, *views: str) -> str:
                 order.append(x)
     names = {t: t for t in (*BASE, *VIEWS)}
     ctes = [f"{v} AS ({VIEWS[v].format(**names)})" for v in order]
-    body = body.strip()
-    if ctes and body[:5].upper() == "WITH ":
-        body = ", " + body[5:]
-    return ("WITH " + ", ".join(ctes) + " " if ctes else "") + body
+    body, head = body.strip(), "WITH "
+    if ctes and body.startswith("WITH RECURSIVE "):
+        head = "WITH RECURSIVE "
+    if ctes and body.startswith("WITH "):
+        body = ", " + body.removeprefix(head)
+    return (head + ", ".join(ctes) + " " if ctes else "") + body

@@ -53,7 +53,7 @@ def embed_texts(df: DataFrame, fn: Callable[[list[str]], list[list[float]]], dim
             yield pd.DataFrame({"text": frame["text"], "embedding": [list(map(float, v)) if error is None and v is not None and len(v) == dim else None for v in (vectors or [None] * len(frame))]})
 
     distinct = df.select("text").filter("text is not null").distinct().mapInPandas(run, "text string, embedding array<double>")
-    return df.select("id", "text").join(distinct, "text", "left").select("id", "embedding")
+    return df.select("id", "text").join(distinct.hint("merge"), "text", "left").select("id", "embedding")
 
 
 def extract_attachments(df: DataFrame, fn: Callable[[str], str | None], max_bytes: int, mimes: tuple[str, ...] = ("image/png", "image/jpeg")) -> DataFrame:
@@ -66,7 +66,7 @@ def extract_attachments(df: DataFrame, fn: Callable[[str], str | None], max_byte
             yield pd.DataFrame({"sha": frame["sha"], "text": [g[0] for g in got], "status": ["ok" if g[1] is None else "failed" for g in got]})
 
     once = df.filter(ok).dropDuplicates(["sha"]).select("sha", "content").mapInPandas(run, "sha string, text string, status string")
-    rows = df.withColumn("gated", ~F.coalesce(ok, F.lit(False))).join(once, "sha", "left")
+    rows = df.withColumn("gated", ~F.coalesce(ok, F.lit(False))).join(once.hint("merge"), "sha", "left")
     return rows.select("id", F.when(~F.col("gated"), F.col("text")).alias("text"), F.when(F.col("gated"), "skipped").otherwise(F.col("status")).alias("status"))
 
 

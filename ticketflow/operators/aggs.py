@@ -95,8 +95,20 @@ def attachment_accuracy(got: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def attachment_stats(df: DataFrame) -> DataFrame:
-    """Files, distinct contents, share that a cache would answer."""
-    return df.agg(F.count(F.lit(1)).alias("files"), F.countDistinct("sha").alias("unique_files"), F.round(1 - F.countDistinct("sha") / F.count(F.lit(1)), 6).alias("hit_rate"), F.count_if(F.col("has_signal")).alias("with_signal"))
+    """Files, distinct contents, share that a cache would answer, files with a signal and their share."""
+    n = F.count(F.lit(1))
+    signal = F.count_if(F.col("has_signal"))
+    return df.agg(n.alias("files"), F.countDistinct("sha").alias("unique_files"), F.round(1 - F.countDistinct("sha") / n, 6).alias("hit_rate"), signal.alias("with_signal"), F.round(signal / n, 4).alias("signal_share"))
+
+
+def attachment_counts(df: DataFrame, top: int = 50) -> DataFrame:
+    """(quality, status, page, codes, types) of files -> list, value, n: files by quality and by status, and the `top` most frequent pages, signal codes and object types."""
+    page = S.blank_to_null(S.normalize_page(F.col("page")))
+    lists = [("quality", F.array("quality")), ("status", F.array("status")), ("page", F.array(page)), ("code", F.col("codes")), ("type", F.transform("types", lambda x: F.coalesce(S.blank_to_null(x), F.lit("(empty)"))))]
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("list"), v.alias("v")) for name, v in lists])).alias("x")).select("x.list", F.explode("x.v").alias("value"))
+    counts = rows.filter("value is not null and value <> ''").groupBy("list", "value").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("list").orderBy(F.desc("n"), "value")
+    return counts.withColumn("place", F.row_number().over(w)).filter(F.col("list").isin("quality", "status") | (F.col("place") <= top)).drop("place")
 
 
 def member_purity_flags(mb: DataFrame) -> DataFrame:

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.operators import aggs
+from ticketflow.operators.joins import SMALL_ROWS
 from ticketflow.operators.windows import accepted_edges, topn_neighbours, weakest_edges
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the session's checkpoint folder (one of our own only where none is set)."""
+    """Cut the lineage through the session's checkpoint folder (in local mode without one, through a folder of our own)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ticketflow-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ticketflow-"))
     return df.checkpoint(eager=True)
 
 
@@ -26,12 +30,13 @@ def connected_components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
     kept in the checkpoint folder; it ends when nothing changes.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    hint = "broadcast" if labels.count() <= SMALL_ROWS else "merge"
     for _ in range(max_iter):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        near = both.join(labels.withColumnRenamed("node", "b").hint(hint), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        step = labels.join(near.hint(hint), "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = cut(step.join(up, "component", "left").select("node", "was", F.least("component", "up").alias("component")))
+        new = cut(step.join(up.hint(hint), "component", "left").select("node", "was", F.least("component", "up").alias("component")))
         labels = new.select("node", "component")
         if new.filter("was <> component").isEmpty():
             return labels

@@ -1,19 +1,24 @@
 """Joins over tickets, clusters, members and the taxonomy.
 
 Dimension tables (taxonomy, clusters) are joined without hints where Spark knows their size; a side is
-broadcast by hint only after its rows were counted (`small`).
+broadcast by hint only after its rows were counted (`small`). Tables from explode are joined by merge, as
+their size cannot be estimated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
 
 SMALL_ROWS = 200_000
+#: Vectors of a tile's side.
+TILE = 2048
 
 
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
@@ -54,7 +59,7 @@ def queue_details(queue: DataFrame, st: DataFrame) -> DataFrame:
 
 def proposal_details(props: DataFrame, st: DataFrame) -> DataFrame:
     """Proposals with their members' titles, in the members' order."""
-    each = props.select("proposal_id", F.posexplode("member_ids").alias("position", "ticket_id")).join(st.select("ticket_id", "title", "service"), "ticket_id", "left")
+    each = props.select("proposal_id", F.posexplode("member_ids").alias("position", "ticket_id")).hint("merge").join(st.select("ticket_id", "title", "service"), "ticket_id", "left")
     rows = each.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("position", "ticket_id", "title", "service"))).alias("members"))
     return rows
 
@@ -62,7 +67,7 @@ def proposal_details(props: DataFrame, st: DataFrame) -> DataFrame:
 def lookup_by_reference(st: DataFrame, refs: DataFrame) -> DataFrame:
     """The newest ticket whose source ids hold the reference."""
     each = st.select("ticket_id", "created_at", F.explode("source_ticket_ids").alias("reference"))
-    hits = each.join(refs.select("reference").distinct(), "reference")
+    hits = each.hint("merge").join(refs.select("reference").distinct(), "reference")
     return hits.groupBy("reference").agg(F.max_by("ticket_id", F.struct("created_at", "ticket_id")).alias("ticket_id"))
 
 
@@ -87,9 +92,9 @@ def split_service(df: DataFrame, tx: DataFrame) -> DataFrame:
     """
     values = df.select("service").filter("service is not null").distinct()
     keys = tx.select(F.col("service").alias("key")).distinct()
-    hit = values.select("service", F.explode(prefixes(F.col("service"))).alias("key")).join(keys, "key")
+    hit = values.select("service", F.explode(prefixes(F.col("service"))).alias("key")).hint("merge").join(keys, "key")
     best = hit.groupBy("service").agg(F.max_by("key", F.length("key")).alias("service_key"))
-    out = df.join(best, "service", "left")
+    out = df.join(small(best), "service", "left")
     rest = F.expr("substring(service, length(service_key) + 2)")
     return out.withColumn("offering", F.nullif(rest, F.lit(""))).withColumn("service_key", F.coalesce("service_key", "service"))
 
@@ -118,7 +123,7 @@ def snap_service(df: DataFrame, tx: DataFrame, system_pattern: str) -> DataFrame
     """(affected_system, service) with the taxonomy service it means: exact, as prefix, or by an unambiguous core; else null."""
     keys = tx.select(F.col("system").alias("affected_system"), F.col("service").alias("key")).distinct()
     values = df.select("affected_system", "service").distinct()
-    hit = values.select("affected_system", "service", F.explode(prefixes(F.trim("service"))).alias("key")).join(keys, ["affected_system", "key"])
+    hit = values.select("affected_system", "service", F.explode(prefixes(F.trim("service"))).alias("key")).hint("merge").join(keys, ["affected_system", "key"])
     exact = hit.groupBy("affected_system", "service").agg(F.max_by("key", F.length("key")).alias("by_prefix"))
     core = keys.withColumn("core", S.service_core(F.col("key"), system_pattern)).filter("core <> ''").groupBy("affected_system", "core").agg(F.count("*").alias("n"), F.min("key").alias("by_core")).filter("n = 1").drop("n")
     out = values.withColumn("core", S.service_core(F.col("service"), system_pattern)).join(core, ["affected_system", "core"], "left").join(exact, ["affected_system", "service"], "left")
@@ -157,41 +162,57 @@ def block_pairs(vec: DataFrame, floor: float, block: str) -> DataFrame:
 
 
 def similar_pairs(vec: DataFrame, floor: float = 0.40, block: str | None = None) -> DataFrame:
-    """block_pairs; without a block all vectors form one."""
+    """block_pairs; without a block all vectors form one, and the work grows with their square: above some 100,000 give a block."""
     return block_pairs(vec if block else vec.withColumn("all", F.lit(0)), floor, block or "all").select("a", "b", "sim")
 
 
-def knn_similar(queries: DataFrame, vec: DataFrame, threshold: float = 0.80, k: int = 5) -> DataFrame:
-    """Of each query the k nearest other vectors with a cosine of `threshold` or more.
+def tiled(left: DataFrame, left_id: str, right: DataFrame, right_id: str, on: str, size: int = TILE) -> DataFrame:
+    """Rows of both tables with the same `on`, each pair once: a key's rows are dealt over blocks of about `size` on both sides, and each pair of blocks is a join key.
 
-    The queries, a counted few, are broadcast in their blocks; more of them run through a shuffle of tiles.
+    So no task gets all of a hot key, and a key with few rows on both sides is not copied at all.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), S.l2_normalize(F.col("embedding").cast("array<double>")).alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(8)).alias("block"))
-    v = vec.select("vec_id", S.l2_normalize(F.col("embedding").cast("array<double>")).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("block"))
-    rows = v.join(small(q, 20_000), "block").filter("query_id <> vec_id").withColumn("sim", F.round(S.dot(F.col("q"), F.col("v")), 6)).filter(F.col("sim") >= threshold)
+    blocks = lambda df, name: df.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+    sizes = small(blocks(left, "_rows").join(blocks(right, "_columns"), on))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = left.join(sizes, on).withColumn("_i", deal(left_id, "_rows")).withColumn("_j", every("_columns")).drop("_rows", "_columns")
+    b = right.join(sizes, on).withColumn("_j", deal(right_id, "_columns")).withColumn("_i", every("_rows")).drop("_rows", "_columns")
+    return a.hint("merge").join(b, [on, "_i", "_j"]).drop("_i", "_j")
+
+
+def _unit(name: str) -> Column:
+    return S.l2_normalize(F.col(name).cast("array<double>"))
+
+
+def knn_similar(queries: DataFrame, vec: DataFrame, threshold: float = 0.80, k: int = 5) -> DataFrame:
+    """Of each query the k nearest other vectors with a cosine of `threshold` or more; exact, by tiles of queries and vectors."""
+    q = queries.select(F.col("vec_id").alias("query_id"), _unit("embedding").alias("q"), F.lit(0).alias("all"))
+    v = vec.select("vec_id", _unit("embedding").alias("v"), F.lit(0).alias("all"))
+    rows = tiled(q, "query_id", v, "vec_id", "all").filter("query_id <> vec_id").withColumn("sim", F.round(S.dot(F.col("q"), F.col("v")), 6)).filter(F.col("sim") >= threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return rows.select("query_id", "vec_id", "sim").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def centroids(mb: DataFrame) -> DataFrame:
     """Normalised mean of the normalised member vectors of each cluster; null for a zero sum."""
-    unit = mb.select("cluster_id", F.posexplode(S.l2_normalize(F.col("embedding").cast("array<double>"))).alias("i", "x"))
-    mean = unit.groupBy("cluster_id", "i").agg(F.avg("x").alias("x"))
-    c = mean.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs")).select("cluster_id", F.transform("xs", lambda s: s["x"]).alias("c"))
-    return c.select("cluster_id", F.when(S.norm(F.col("c")) > 0, S.l2_normalize(F.col("c"))).alias("centroid"))
+    unit = mb.select("cluster_id", _unit("embedding").alias("v")).filter("v is not null")
+    mean = unit.groupBy("cluster_id").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("c"))
+    return mean.select("cluster_id", F.when(S.norm(F.col("c")) > 0, S.l2_normalize(F.col("c"))).alias("centroid"))
 
 
 def candidate_clusters(st: DataFrame, cl: DataFrame, mb: DataFrame, vetoes: DataFrame | None = None, k: int = 5, veto_first: bool = False) -> DataFrame:
     """Of each (ticket_id, affected_system, embedding) the k active clusters of its system with the best score.
 
-    The score is the larger of the cosine to the centroid and to the best member. Vetoed
+    The score is the larger of the cosine to the centroid and to the best member; each pair of a tile of tickets and a
+    tile of the system's members is one task's work, and scores are reduced before they are shuffled. Vetoed
     clusters go after the cut, or before it with `veto_first`.
     """
     active = cl.filter("status = 'active'").select("cluster_id", S.system_of(F.col("affected_system")).alias("system"))
-    members = mb.select("cluster_id", S.l2_normalize(F.col("embedding").cast("array<double>")).alias("v"))
-    points = centroids(mb).filter("centroid is not null").select("cluster_id", F.col("centroid").alias("v")).unionByName(members).join(active, "cluster_id")
-    t = st.select("ticket_id", S.system_of(F.col("affected_system")).alias("system"), S.l2_normalize(F.col("embedding").cast("array<double>")).alias("t"))
-    scored = t.join(points, "system").groupBy("ticket_id", "cluster_id").agg(F.round(F.max(S.dot(F.col("t"), F.col("v"))), 6).alias("score"))
+    members = mb.select("cluster_id", F.col("ticket_id").alias("point"), _unit("embedding").alias("v"))
+    centers = centroids(mb).filter("centroid is not null").select("cluster_id", F.lit(None).cast("long").alias("point"), F.col("centroid").alias("v"))
+    points = centers.unionByName(members).join(active, "cluster_id").withColumn("point", F.xxhash64("cluster_id", "point"))
+    t = st.select("ticket_id", S.system_of(F.col("affected_system")).alias("system"), _unit("embedding").alias("t"))
+    scored = tiled(t, "ticket_id", points, "point", "system").groupBy("ticket_id", "cluster_id").agg(F.round(F.max(S.dot(F.col("t"), F.col("v"))), 6).alias("score"))
     if vetoes is not None and veto_first:
         scored = scored.join(vetoes, ["ticket_id", "cluster_id"], "left_anti")
     w = Window.partitionBy("ticket_id").orderBy(F.desc("score"), "cluster_id")
@@ -201,22 +222,27 @@ def candidate_clusters(st: DataFrame, cl: DataFrame, mb: DataFrame, vetoes: Data
     return top
 
 
+def _best_exemplar(rows: DataFrame) -> DataFrame:
+    """(ticket_id, group_id, sim) -> ticket_id, b: the largest sim, ties to the smaller group."""
+    return rows.groupBy("ticket_id").agg(F.max(F.struct("sim", (-F.col("group_id")).alias("g"))).alias("b"))
+
+
 def exemplar_match(st: DataFrame, exemplars: DataFrame, threshold: float = 0.60) -> DataFrame:
     """The best exemplar of the ticket's own offering; below `threshold` the ticket goes to the pool."""
-    t = st.select("ticket_id", F.coalesce(S.offering_key(F.col("service")), F.lit(S.NO_OFFERING)).alias("offering"), S.l2_normalize(F.col("embedding").cast("array<double>")).alias("t"))
-    e = exemplars.select("offering", "group_id", S.l2_normalize(F.col("embedding").cast("array<double>")).alias("e"))
-    best = t.join(e, "offering").withColumn("sim", F.round(S.dot(F.col("t"), F.col("e")), 6)).groupBy("ticket_id").agg(F.max(F.struct("sim", (-F.col("group_id")).alias("g"))).alias("b"))
+    t = st.select("ticket_id", F.coalesce(S.offering_key(F.col("service")), F.lit(S.NO_OFFERING)).alias("offering"), _unit("embedding").alias("t"))
+    e = exemplars.select("offering", "group_id", _unit("embedding").alias("e")).withColumn("exemplar", F.xxhash64("group_id", "e"))
+    best = _best_exemplar(tiled(t, "ticket_id", e, "exemplar", "offering").withColumn("sim", F.round(S.dot(F.col("t"), F.col("e")), 6)))
     out = t.select("ticket_id", "offering").join(best, "ticket_id", "left")
     hit = F.col("b.sim") >= threshold
     return out.select("ticket_id", "offering", F.when(hit, -F.col("b.g")).alias("group_id"), F.col("b.sim").alias("sim"), F.when(hit, "matched").otherwise("pool").alias("outcome"))
 
 
 def cross_group_match(st: DataFrame, exemplars: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The best exemplar of any offering, if it is close enough. The exemplars, a counted few, are broadcast; more are joined tile by tile."""
-    t = st.select("ticket_id", S.l2_normalize(F.col("embedding").cast("array<double>")).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("tile"))
-    e = exemplars.select("group_id", S.l2_normalize(F.col("embedding").cast("array<double>")).alias("e"), F.pmod(F.hash("group_id", "offering"), F.lit(4)).alias("tile"))
-    best = t.join(small(e, 20_000), "tile").withColumn("sim", F.round(S.dot(F.col("t"), F.col("e")), 6)).filter(F.col("sim") >= threshold)
-    return best.groupBy("ticket_id").agg(F.max(F.struct("sim", (-F.col("group_id")).alias("g"))).alias("b")).select("ticket_id", (-F.col("b.g")).alias("group_id"), F.col("b.sim").alias("sim"))
+    """The best exemplar of any offering, if it is close enough, by tiles of tickets and exemplars."""
+    t = st.select("ticket_id", _unit("embedding").alias("t"), F.lit(0).alias("all"))
+    e = exemplars.select("group_id", _unit("embedding").alias("e"), F.lit(0).alias("all")).withColumn("exemplar", F.xxhash64("group_id", "e"))
+    rows = tiled(t, "ticket_id", e, "exemplar", "all").withColumn("sim", F.round(S.dot(F.col("t"), F.col("e")), 6)).filter(F.col("sim") >= threshold)
+    return _best_exemplar(rows).select("ticket_id", (-F.col("b.g")).alias("group_id"), F.col("b.sim").alias("sim"))
 
 
 def verdict_coverage(presented: DataFrame, returned: DataFrame) -> DataFrame:

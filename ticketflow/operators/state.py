@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
-from ticketflow.operators.joins import cross_system_members, validate_service, verdict_coverage
+from ticketflow.operators.joins import cross_system_members, remint_guard, validate_service, verdict_coverage
 
 PINNED = ("human", "admin")
+#: Fixed value: the name of a group that has no other.
+GENERIC_NAME = "مقترح جديد"
 
 
 def upsert_tickets(old: DataFrame, new: DataFrame, keep: Sequence[str] = ("created_at", "source_status")) -> DataFrame:
@@ -59,8 +61,18 @@ def apply_assign_verdicts(cl: DataFrame, mb: DataFrame, st: DataFrame, shortlist
     return clusters, members, log
 
 
+def guard_names(groups: DataFrame, st: DataFrame, generic: str = GENERIC_NAME, most: int = 120) -> DataFrame:
+    """The label guard of M4: a group's name if it is Arabic, else its smallest member's title, else the generic name, capped."""
+    titles = groups.filter("group_no is not null").join(st.select("ticket_id", "title"), "ticket_id").groupBy("batch", "group_no").agg(F.min_by("title", "ticket_id").alias("_title"))
+    name = F.when(F.col("name").rlike(S.ARABIC), S.cap_chars(F.col("name"), most)).otherwise(F.coalesce(S.blank_to_null(S.cap_chars(F.col("_title"), most)), F.lit(generic)))
+    return groups.join(titles, ["batch", "group_no"], "left").withColumn("name", name).select(*groups.columns)
+
+
 def judge_groups(presented: DataFrame, groups: DataFrame, st: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """M4: (batch, ticket_id) shown, (batch, group_no, name, ticket_id) answered (group_no null for singletons) -> each group with its new id or the reason against it."""
+    """M4: (batch, ticket_id) shown, (batch, group_no, name, ticket_id) answered (group_no null for singletons) -> each group with its new id or the reason against it.
+
+    A group's ids meet in one row for its stable id; they come from one batch, which holds some 20 tickets.
+    """
     cover = verdict_coverage(presented, groups)
     rows = groups.filter("group_no is not null").join(st.select("ticket_id", "service", S.system_of(F.col("affected_system")).alias("system")), "ticket_id", "left")
     key = F.nullif(S.service_key(F.col("service")), F.lit(""))
@@ -73,6 +85,29 @@ def judge_groups(presented: DataFrame, groups: DataFrame, st: DataFrame, blocked
     return out.select("batch", "group_no", "name", "system", "n", F.when(F.col("reason").isNull(), S.cluster_id(F.col("system"), F.col("name"), F.col("ids"))).alias("cluster_id"), "reason")
 
 
+def apply_group_verdicts(cl: DataFrame, mb: DataFrame, st: DataFrame, presented: DataFrame, groups: DataFrame, vetoes: DataFrame | None = None, status: str = "proposed") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M4: clusters, members, log. cluster_id is text, as new ids are.
+
+    Names pass the label guard; a group is refused for a wrong coverage of its batch, fewer than two members, members of several
+    services, or a live veto by a cluster of its name and system (J20). A group whose id is known is skipped; the others become clusters with `status`.
+    """
+    named = guard_names(groups, st)
+    blocked = None
+    if vetoes is not None:
+        each = named.filter("group_no is not null").join(st.select("ticket_id", S.system_of(F.col("affected_system")).alias("system")), "ticket_id")
+        blocked = remint_guard(each.select(F.struct("batch", "group_no").alias("group_id"), "system", "name", "ticket_id"), cl, vetoes).select("group_id.batch", "group_id.group_no")
+    log = judge_groups(presented, named, st, blocked)
+    log = log.join(cl.select(F.col("cluster_id").cast("string").alias("cluster_id"), F.lit("known id").alias("known")).distinct(), "cluster_id", "left").withColumn("reason", F.coalesce("reason", "known"))
+    log = log.select("batch", "group_no", "name", "system", "n", "cluster_id", "reason")
+    new = log.filter("reason is null")
+    text = lambda df: df.withColumn("cluster_id", F.col("cluster_id").cast("string"))
+    minted = new.groupBy("cluster_id").agg(F.min("name").alias("name"), F.lit(status).alias("status"), F.min("system").alias("affected_system"))
+    clusters = text(cl).select("cluster_id", "name", "status", "affected_system").unionByName(minted)
+    asked = named.join(new.select("batch", "group_no", "cluster_id", "system"), ["batch", "group_no"]).select("ticket_id", "system", "cluster_id", F.lit("llm").alias("assigned_by"), F.lit(0).alias("seq"))
+    clusters, members, _ = apply_memberships(clusters, text(mb), asked)
+    return clusters, members, log
+
+
 def apply_audit_verdicts(cl: DataFrame, mb: DataFrame, verdicts: DataFrame, floor: float = 0.85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M5: (cluster_id, ticket_id, decision) -> clusters, members, log.
 
@@ -135,7 +170,7 @@ def decide_pool_proposals(props: DataFrame, exemplars: DataFrame, pool: DataFram
     rows = props.join(decisions, "proposal_id").select("proposal_id", "decision", "target", F.explode("member_ids").alias("ticket_id"))
     taken = rows.filter(F.col("decision").isin("approve", "merge")).select(F.when(F.col("decision") == "merge", F.col("target")).otherwise(F.col("proposal_id")).alias("group_id"), "ticket_id")
     cool = rows.filter("decision = 'reject'").select("ticket_id", F.lit(True).alias("_cool")).distinct()
-    left = pool.join(taken.select("ticket_id"), "ticket_id", "left_anti").join(cool, "ticket_id", "left")
+    left = pool.join(taken.select("ticket_id").hint("merge"), "ticket_id", "left_anti").join(cool.hint("merge"), "ticket_id", "left")
     left = left.withColumn("cooldown_until", F.when(F.col("_cool"), now + F.make_interval(hours=F.lit(cooldown_hours))).otherwise(F.col("cooldown_until"))).drop("_cool")
     return exemplars.unionByName(taken).distinct(), left
 

@@ -13,6 +13,7 @@ from ticketflow.operators import aggs as A
 from ticketflow.operators import graph as G
 from ticketflow.operators import joins as J
 from ticketflow.operators import state as M
+from ticketflow.operators import views as V
 from ticketflow.operators import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,11 +70,11 @@ def _plain(df: DataFrame, *times: str) -> DataFrame:
 # ---- P: scalar functions ------------------------------------------------------------------
 query("content_hash", lambda t: t.tickets.select("ticket_id", S.content_hash(F.col("title"), F.col("description")).alias("h")),
       r"SELECT ticket_id, substring(sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(title || ' ' || description), '<[^>]+>', ' ', 'g'), '\p{Nd}+(\.\p{Nd}+)?', '#', 'g'), '[\s\p{Z}]+', ' ', 'g'))), 1, 16) AS h FROM tickets", "tickets")
-query("embedding_text", lambda t: t.tickets.select("ticket_id", S.embedding_text(F.col("severity"), F.col("assign_group"), F.col("assignee"), F.col("service")).alias("text")),
-      "SELECT ticket_id, trim(concat_ws(' | ', nullif(severity, ''), nullif(assign_group, ''), CASE WHEN coalesce(assignee, '') <> '' THEN 'OCR: ' || assignee END)) || coalesce(' | Classified as: ' || service, '') AS text FROM tickets", "tickets")
+query("embedding_text", lambda t: t.tickets.select("ticket_id", S.embedding_text(F.col("title"), F.when(F.col("ticket_id") % 7 != 0, F.col("description")), F.col("assignee"), F.col("service")).alias("text")),
+      "SELECT ticket_id, trim(concat_ws(' | ', nullif(title, ''), CASE WHEN ticket_id % 7 <> 0 THEN nullif(description, '') END, CASE WHEN coalesce(assignee, '') <> '' THEN 'OCR: ' || assignee END)) || coalesce(' | Classified as: ' || service, '') AS text FROM tickets", "tickets")
 query("local_status", lambda t: t.tickets.select("ticket_id", S.local_status(F.col("source_status")).alias("status")), f"SELECT ticket_id, {_ST} AS status FROM tickets", "tickets")
-query("priority_from_severity", lambda t: t.tickets.select("ticket_id", S.priority_from_severity(F.lit(None).cast("string"), F.col("severity")).alias("priority")),
-      "SELECT ticket_id, CASE severity WHEN 'Critical' THEN 'critical' WHEN 'Major' THEN 'high' WHEN 'Minor' THEN 'medium' WHEN 'Cosmetic' THEN 'low' ELSE 'medium' END AS priority FROM tickets", "tickets")
+query("priority_from_severity", lambda t: t.tickets.select("ticket_id", S.priority_from_severity(F.when(F.col("ticket_id") % 5 == 0, "urgent"), F.col("severity")).alias("priority")),
+      "SELECT ticket_id, CASE WHEN ticket_id % 5 = 0 THEN 'urgent' ELSE CASE severity WHEN 'Critical' THEN 'critical' WHEN 'Major' THEN 'high' WHEN 'Minor' THEN 'medium' WHEN 'Cosmetic' THEN 'low' ELSE 'medium' END END AS priority FROM tickets", "tickets")
 query("ticket_kind", lambda t: t.tickets.select("ticket_id", S.ticket_kind(F.col("ticket_kind")).alias("kind")), f"SELECT ticket_id, {_KIND} AS kind FROM tickets", "tickets")
 query("system_of", lambda t: t.tickets.select("ticket_id", S.system_of(F.col("affected_system")).alias("system")), f"SELECT ticket_id, {_SYS} AS system FROM tickets", "tickets")
 query("offering_key", lambda t: t.tickets.select("ticket_id", S.offering_key(F.col("service")).alias("offering")), f"SELECT ticket_id, {_OFF} AS offering FROM tickets", "tickets")
@@ -84,8 +85,9 @@ query("resolve_system", lambda t: t.tickets.select("ticket_id", S.resolve_system
       """SELECT ticket_id, CASE WHEN contains(x, 'benchmark') THEN 'SysA' WHEN contains(x, 'idiot') THEN 'SysB' WHEN contains(x, 'token') AND regexp_matches(x, '[0-9]{4}') AND NOT contains(x, 'password') THEN 'SysC'
  WHEN (contains(x, 'clown') OR contains(x, 'trash'))::INT + contains(x, 'license')::INT + contains(x, 'ción')::INT = 1 THEN CASE WHEN contains(x, 'clown') OR contains(x, 'trash') THEN 'SysA' WHEN contains(x, 'license') THEN 'SysB' ELSE 'SysD' END END AS system
  FROM (SELECT ticket_id, lower(title || chr(10) || description) AS x FROM tickets)""", "tickets")
-query("confidence_honesty", lambda t: t.tickets.select("ticket_id", S.confidence_honesty(F.col("service"), F.col("title"), F.lit("high")).alias("confidence")),
-      "SELECT ticket_id, CASE WHEN contains(lower(service), 'general') OR contains(lower(service), 'unspecified') OR ends_with(service, '.OFFERING-GAP') OR contains(lower(title), 'closest') OR contains(lower(title), 'safe bet') THEN 'low' ELSE 'high' END AS confidence FROM tickets", "tickets")
+_REASON = lambda: F.concat(F.lit("It is "), F.element_at(F.array(*map(F.lit, ("clear", "the Closest one", "not in the allowed list", "a SAFE bet", "the best match available", "known"))), F.least(F.col("ticket_id") % 19, F.lit(5)).cast("int") + 1))
+query("confidence_honesty", lambda t: t.tickets.select("ticket_id", S.confidence_honesty(F.col("service"), _REASON(), F.when(F.col("ticket_id") % 2 == 0, "high").otherwise("medium")).alias("confidence")),
+      "SELECT ticket_id, CASE WHEN contains(lower(service), 'general') OR contains(lower(service), 'unspecified') OR ends_with(service, '.OFFERING-GAP') OR ticket_id % 19 IN (1, 2, 3, 4) THEN 'low' WHEN ticket_id % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM tickets", "tickets")
 query("normalize_code", lambda t: t.pages.select("page_id", S.normalize_code(F.col("url")).alias("code")), r"SELECT page_id, upper(regexp_replace(url, '[ \t\r\n_-]', '', 'g')) AS code FROM pages")
 query("normalize_page", lambda t: t.pages.select("page_id", S.normalize_page(F.concat(F.lit("المُحْفَظَة ٧ "), F.col("url"))).alias("page")), r"SELECT page_id, 'محفظه7' || upper(regexp_replace(url, '[ \t\r\n_-]', '', 'g')) AS page FROM pages")
 query("mask_pii", lambda t: t.documents.select("doc_id", S.mask_pii(F.col("text")).alias("masked")))
@@ -112,13 +114,13 @@ query("team_of", lambda t: t.tickets.select("ticket_id", S.team_of(F.col("assign
       "SELECT ticket_id, CASE ticket_id % 4 WHEN 0 THEN 'Payments' WHEN 1 THEN 'Infrastructure' WHEN 2 THEN 'Operations' ELSE 'App Support' END AS team FROM tickets", "tickets")
 query("ground_values", lambda t: t.pages.select("page_id", S.ground_value(F.concat(F.lit("Page-"), F.col("page_id")), F.col("url"), F.when(F.col("page_id") % 5 == 0, "unreadable").otherwise("clear")).alias("value")),
       r"SELECT page_id, CASE WHEN page_id % 5 <> 0 AND contains(upper(regexp_replace(url, '[ \t\r\n_-]', '', 'g')), 'PAGE' || page_id) THEN 'Page-' || page_id END AS value FROM pages")
-query("combine_texts", lambda t: t.discussions.filter("text <> ''").groupBy("ticket_id").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(F.lit("["), x["role"], F.lit("]\n"), x["text"])), "\n\n"), 1, 20000).alias("text")),
+query("combine_texts", lambda t: V.combine_texts(t.discussions),
       "SELECT ticket_id, substring(string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text), 1, 20000) AS text FROM discussions WHERE text <> '' GROUP BY ticket_id", "discussions")
-query("list_tickets", lambda t: t.tickets.filter((S.local_status(F.col("source_status")) == "active") & (F.col("affected_system") == "SysA")).orderBy(F.desc("created_at"), "ticket_id").offset(5).limit(50).select("ticket_id"),
+query("list_tickets", lambda t: V.list_tickets(t.tickets, "active", "SysA", 50, 5).select("ticket_id"),
       f"SELECT ticket_id FROM tickets WHERE {_ST} = 'active' AND affected_system = 'SysA' ORDER BY created_at DESC, ticket_id LIMIT 50 OFFSET 5", "tickets")
-query("search_clusters", lambda t: A.cluster_summary(t.clusters, t.members, t.tickets.join(t.members.select("ticket_id").distinct(), "ticket_id", "left_semi")).join(t.members.select("cluster_id", "ticket_id").join(t.tickets.filter(F.contains(F.lower("description"), F.lit("clown"))), "ticket_id").select("cluster_id").distinct(), "cluster_id", "left_semi").select("cluster_id", "n", "worst"),
+query("search_clusters", lambda t: V.search_clusters(t.clusters, t.members, t.tickets, "Clown").select("cluster_id", "n", "worst"),
       f"SELECT cluster_id, count(*) AS n, {_WORST} AS worst FROM members JOIN tickets USING (ticket_id) JOIN clusters c USING (cluster_id) WHERE c.status = 'active' AND cluster_id IN (SELECT cluster_id FROM members JOIN tickets USING (ticket_id) WHERE contains(lower(description), 'clown')) GROUP BY 1 HAVING count(*) >= 2", "tickets", "members", "clusters")
-query("routed_projection", lambda t: t.tickets.select("ticket_id", F.when(S.ticket_kind(F.col("ticket_kind")).isin(*S.CLUSTER_KINDS), F.col("severity")).alias("severity"), F.when(S.ticket_kind(F.col("ticket_kind")).isin(*S.CLUSTER_KINDS), F.col("service")).otherwise(F.coalesce(S.offering_key(F.col("service")), "service")).alias("service")),
+query("routed_projection", lambda t: V.routed_projection(t.tickets),
       f"SELECT ticket_id, CASE WHEN {_KIND} IN ('incident','service_request') THEN severity END AS severity, CASE WHEN {_KIND} IN ('incident','service_request') THEN service ELSE coalesce({_OFF}, service) END AS service FROM tickets", "tickets")
 
 # ---- J: joins -------------------------------------------------------------------------------
@@ -219,7 +221,11 @@ _VALS = lambda t, m: t.pages.select(F.col("page_id").alias("file"), F.when(F.col
 query("attachment_accuracy", lambda t: A.attachment_accuracy(_VALS(t, 4), _VALS(t, 6)),
       "SELECT CASE WHEN page_id % 2 = 0 THEN 'code' ELSE 'page' END AS field, sum(1 + (page_id % 4 = page_id % 6)::INT) AS correct, sum((page_id % 4 <> page_id % 6)::INT) AS missed, sum((page_id % 4 <> page_id % 6)::INT) AS invented FROM pages GROUP BY 1")
 query("attachment_stats", lambda t: A.attachment_stats(t.documents.select(F.sha2("text", 256).alias("sha"), F.contains("text", F.lit("token")).alias("has_signal"))),
-      "SELECT count(*) AS files, count(DISTINCT text) AS unique_files, round(1 - count(DISTINCT text) / count(*), 6) AS hit_rate, count(*) FILTER (contains(text, 'token')) AS with_signal FROM documents")
+      "SELECT count(*) AS files, count(DISTINCT text) AS unique_files, round(1 - count(DISTINCT text) / count(*), 6) AS hit_rate, count(*) FILTER (contains(text, 'token')) AS with_signal, round(count(*) FILTER (contains(text, 'token')) / count(*), 4) AS signal_share FROM documents")
+query("attachment_counts", lambda t: A.attachment_counts(t.pages.select(F.element_at(F.array(F.lit("clear"), F.lit("partial"), F.lit("unreadable")), (F.col("page_id") % 3 + 1).cast("int")).alias("quality"), F.when(F.col("page_id") % 4 == 0, "failed").otherwise("ok").alias("status"), F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("page-"), F.col("page_id") % 61)).alias("page"), F.array(F.concat(F.lit("C"), F.col("page_id") % 70), F.lit("")).alias("codes"), F.array(F.when(F.col("page_id") % 2 == 0, "button").otherwise("")).alias("types"))),
+      """WITH x AS (SELECT 'quality' AS list, ['clear', 'partial', 'unreadable'][page_id % 3 + 1] AS value FROM pages UNION ALL SELECT 'status', CASE WHEN page_id % 4 = 0 THEN 'failed' ELSE 'ok' END FROM pages UNION ALL SELECT 'page', 'PAGE' || (page_id % 61) FROM pages WHERE page_id % 5 <> 0
+ UNION ALL SELECT 'code', 'C' || (page_id % 70) FROM pages UNION ALL SELECT 'type', CASE WHEN page_id % 2 = 0 THEN 'button' ELSE '(empty)' END FROM pages), c AS (SELECT list, value, count(*) AS n FROM x GROUP BY 1, 2)
+ SELECT * FROM c QUALIFY list IN ('quality', 'status') OR row_number() OVER (PARTITION BY list ORDER BY n DESC, value) <= 50""")
 query("member_purity_flags", lambda t: A.member_purity_flags(t.members.select("cluster_id", "ticket_id").join(t.tickets.select("ticket_id", "service"), "ticket_id")).select("cluster_id", "ticket_id", "flagged"),
       f"WITH {_MT}, c AS (SELECT cluster_id, service, count(*) AS n FROM mt GROUP BY 1, 2), th AS (SELECT cluster_id, coalesce(max(n) FILTER (r = 3), 0) AS third FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, service) AS r FROM c) GROUP BY 1) SELECT mt.cluster_id, ticket_id, n <= third AS flagged FROM mt JOIN c ON c.cluster_id = mt.cluster_id AND c.service = mt.service JOIN th ON th.cluster_id = mt.cluster_id", "members", "tickets")
 _RUNS = lambda t: t.tickets.select("ticket_id", F.explode(F.array(*[F.struct(F.lit(k).alias("run"), F.concat(F.lit("s"), F.pmod(F.col("ticket_id") * k, F.lit(4))).alias("service"), F.concat(F.lit("v"), F.pmod(F.col("ticket_id"), F.lit(k + 1))).alias("severity")) for k in (1, 2, 3)])).alias("x")).select("ticket_id", "x.*")
@@ -271,8 +277,8 @@ query("state_changes", lambda t: W.state_changes(t.probes, "service", ["ts", "ev
       "SELECT service, event_id, CASE WHEN status = 'unreachable' THEN 'DOWN' ELSE 'RECOVERED' END AS change FROM (SELECT *, lag(status) OVER (PARTITION BY service ORDER BY ts, event_id) AS b FROM probes) WHERE b IS NOT NULL AND b <> status", "probes")
 query("rank_by_count", lambda t: W.rank_by_count(A.subsystem_rollup(t.tickets).select("system", "service", "n"), 10), f"SELECT {_SYS} AS system, {_SVC} AS service, count(*) AS n FROM tickets WHERE {_ST} = 'active' AND {_KIND} IN ('incident','service_request') GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n DESC, system, service LIMIT 10", "tickets")
 query("rank_by_size_severity", lambda t: W.rank_by_size_severity(A.cluster_summary(t.clusters, t.members, t.tickets), 5).select("cluster_id", "n", "worst"), f"WITH {_SUM} SELECT cluster_id, n, worst FROM summary ORDER BY n DESC, CASE worst WHEN 'Critical' THEN 4 WHEN 'Major' THEN 3 WHEN 'Minor' THEN 2 ELSE 1 END DESC, cluster_id LIMIT 5", *_SUMV)
-query("due_rows", lambda t: W.due_rows(t.attempts.groupBy("reference").agg(F.max("ts").alias("next_retry_at"), F.max_by("outcome", "attempt_id").alias("o")).withColumn("status", F.when(F.col("o") == "ok", "succeeded").otherwise("retryable")), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 50).select("reference"),
-      "SELECT reference FROM (SELECT reference, max(ts) AS n, arg_max(outcome, attempt_id) AS o FROM attempts GROUP BY 1) WHERE o <> 'ok' AND n <= TIMESTAMP '2024-01-20' ORDER BY n, reference LIMIT 50", "attempts")
+query("due_rows", lambda t: W.due_rows(t.attempts.groupBy("reference").agg(F.max("ts").alias("next_retry_at"), F.max_by("outcome", "attempt_id").alias("o")).withColumn("status", F.when(F.col("o") == "ok", "succeeded").otherwise("retryable")), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 50).select("reference"),
+      "SELECT reference FROM (SELECT reference, max(ts) AS n, arg_max(outcome, attempt_id) AS o FROM attempts GROUP BY 1) WHERE o <> 'ok' AND n <= TIMESTAMP '2024-01-30 12:00:00' ORDER BY n, reference LIMIT 50", "attempts")
 query("top_values", lambda t: W.top_values(t.tickets, "service", 8), "SELECT service AS value, count(*) AS n FROM tickets WHERE service IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 8", "tickets")
 query("display_order", lambda t: W.display_order(t.nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("sort_order"), (F.col("n_nationkey") % 4 != 0).alias("active"))).select("name", "place"), "SELECT n_name AS name, row_number() OVER (ORDER BY n_regionkey, n_name) AS place FROM nation WHERE n_nationkey % 4 <> 0")
 _VER = lambda df: df.withColumn("verdict", F.when((F.col("a") + F.col("b")) % 7 == 0, "NO").otherwise("YES")).withColumn("second", F.when((F.col("a") + F.col("b")) % 5 == 0, "NO").otherwise("YES"))

@@ -15,7 +15,7 @@ from ticketflow.operators import joins as J
 from ticketflow.operators import state as M
 from ticketflow.operators import windows as W
 from ticketflow.plans import maintenance as P
-from ticketflow.queries import _ACCEPT, _CAND, _COVER, _EX, _EXSQL, _KEY, _KIND, _MODE, _MT, _OFF, _PAIRS, _PR, _SHOWN, _ST, _SUMV, _SYS, _TV, _VER, _ANS, NOW, Tables, _now, _plain, query
+from ticketflow.queries import _ACCEPT, _CAND, _COVER, _EX, _EXSQL, _KEY, _KIND, _MODE, _MT, _OFF, _PAIRS, _PR, _SHOWN, _ST, _SUMV, _SYS, _TV, _VER, _VETO, _ANS, NOW, Tables, _now, _plain, query
 from ticketflow.sources import intake as I
 from ticketflow.streaming import streams as ST
 
@@ -53,10 +53,11 @@ _RAW = lambda t: t.tickets.select(F.when(F.col("ticket_id") % 3 == 0, F.col("tit
 _MAPPED = "SELECT coalesce(nullif(trim(CASE WHEN ticket_id % 3 = 0 THEN title END), ''), nullif(trim(CASE WHEN ticket_id % 3 <> 0 THEN service END), '')) AS title, nullif(trim(assign_group), '') AS description, coalesce(nullif(trim(source_status), ''), 'active') AS status, CASE WHEN ticket_id % 7 <> 0 THEN assignee END AS assignee, NULL::VARCHAR AS assign_group, 'medium' AS priority, NULL::VARCHAR AS affected_system FROM tickets"
 
 
-def _array_files(t: Tables) -> str:
-    """Tickets as files that each hold one JSON array."""
+def _array_files(t: Tables, size: int = 500) -> str:
+    """Tickets as files that each hold one JSON array, of about `size` tickets."""
     path = scratch(t, "arrays")
-    t.tickets.groupBy((F.col("ticket_id") % 8).alias("part")).agg(F.to_json(F.collect_list(F.struct("ticket_id", "title"))).alias("value")).write.partitionBy("part").text(path)
+    files = -(-t.tickets.count() // size)
+    t.tickets.groupBy(F.pmod(F.xxhash64("ticket_id"), F.lit(files)).alias("part")).agg(F.to_json(F.collect_list(F.struct("ticket_id", "title"))).alias("value")).write.partitionBy("part").text(path)
     return path
 
 
@@ -75,7 +76,9 @@ _CHG = lambda t: t.events.select(F.col("event_id").alias("reference"), F.unix_mi
 _OUT = lambda t: t.events.select(F.col("event_id").alias("reference"), F.when(F.col("event_id") % 10007 == 777, "failed").otherwise("ok").alias("result"))
 _STAMP = 1_704_500_000_000
 query("changed_since", lambda t: I.changed_since(_CHG(t), _OUT(t), _STAMP)[1], f"SELECT greatest({_STAMP}, coalesce(least(max((epoch_us(ts) // 1000)) FILTER (event_id % 10007 <> 777) + 1, min((epoch_us(ts) // 1000)) FILTER (event_id % 10007 = 777) - 1), {_STAMP})) AS next_stamp FROM events WHERE (epoch_us(ts) // 1000) >= {_STAMP}")
-query("capped_extract", lambda t: I.capped_extract(t.tickets.select("created_at", "ticket_id"), 50, ["created_at", "ticket_id"])[1].select("ticket_id"), "SELECT ticket_id FROM tickets ORDER BY created_at, ticket_id LIMIT 1 OFFSET 50", "tickets")
+query("changed_since_batch", lambda t: I.changed_since(_CHG(t), _OUT(t), _STAMP)[0], f"SELECT event_id AS reference, epoch_us(ts) // 1000 AS change_ms FROM events WHERE (epoch_us(ts) // 1000) >= {_STAMP}")
+_marked = lambda rows: rows[0].withColumn("held", F.lit(False)).unionByName(rows[1].withColumn("held", F.lit(True)))
+query("capped_extract", lambda t: _marked(I.capped_extract(t.tickets.select("created_at", "ticket_id"), 50, ["created_at", "ticket_id"])).select("ticket_id", "held"), "SELECT ticket_id, row_number() OVER (ORDER BY created_at, ticket_id) > 50 AS held FROM tickets ORDER BY created_at, ticket_id LIMIT 51", "tickets")
 _PAY = lambda t: I.validate_payload(t.documents.select(F.col("doc_id").cast("string").alias("source_reference"), F.when(F.col("doc_id") % 20 == 3, " ").otherwise(F.substring("text", 1, 50)).alias("title"), F.col("text").alias("description")))
 query("validate_payload", lambda t: _PAY(t)[1].select("source_reference", F.array_join("errors", ",").alias("errors")),
       "SELECT doc_id::VARCHAR AS source_reference, concat_ws(',', CASE WHEN doc_id % 20 = 3 THEN 'title:required' END, CASE WHEN length(trim(text)) > 8000 THEN 'description:too_long' END) AS errors FROM documents WHERE doc_id % 20 = 3 OR length(trim(text)) > 8000")
@@ -97,7 +100,8 @@ _SNAP = f"SELECT c.cluster_id, c.name, x.size, a.system, b.service FROM clusters
 query("cluster_snapshot", lambda t: I.cluster_snapshot(t.clusters, t.members, t.tickets), f"WITH {_MT} {_SNAP}", *_SUMV)
 query("snapshot_diff", lambda t: J.snapshot_diff(I.cluster_snapshot(t.clusters, t.members.filter("ticket_id % 2 = 0"), t.tickets), I.cluster_snapshot(t.clusters, t.members, t.tickets)),
       f"WITH {_MT}, h AS (SELECT * FROM mt WHERE ticket_id % 2 = 0), n AS ({_SNAP}), o AS ({_SNAP.replace('FROM mt', 'FROM h')}) SELECT n.cluster_id, o.system AS old_system, o.service AS old_service, n.system, n.service FROM n JOIN o ON n.cluster_id = o.cluster_id WHERE n.system IS DISTINCT FROM o.system OR n.service IS DISTINCT FROM o.service", *_SUMV)
-query("backfill_batch", lambda t: I.backfill_batch(t.orders.select(F.col("o_custkey").alias("reference")), t.attempts.select("reference"), "reference").groupBy().agg(F.count("*").alias("rows"), F.max("batch").alias("last_batch")), "SELECT count(*) AS rows, 0 AS last_batch FROM (SELECT DISTINCT o_custkey AS reference FROM orders WHERE o_custkey NOT IN (SELECT reference FROM attempts))", "attempts")
+query("backfill_batch", lambda t: I.backfill_batch(t.orders.select(F.col("o_custkey").alias("reference")), t.attempts.select("reference"), "reference", 20, 1).select("reference", "part", "batch"), "SELECT reference, 0 AS part, (row_number() OVER (ORDER BY reference) - 1) // 20 AS batch FROM (SELECT DISTINCT o_custkey AS reference FROM orders WHERE o_custkey NOT IN (SELECT reference FROM attempts))", "attempts")
+query("backfill_batch_sizes", lambda t: I.backfill_batch(t.orders.select(F.col("o_custkey").alias("reference")), t.attempts.select("reference"), "reference", 3).groupBy("part", "batch").agg(F.count("*").alias("n")).groupBy().agg(F.sum("n").alias("rows"), (F.max("n") <= 3).alias("within")), "SELECT count(*) AS rows, true AS within FROM (SELECT DISTINCT o_custkey AS reference FROM orders WHERE o_custkey NOT IN (SELECT reference FROM attempts))", "attempts")
 
 # ---- G ---------------------------------------------------------------------------------------
 _CC = "cc(node, m) AS (SELECT a, a FROM e0 UNION SELECT e0.b, cc.m FROM cc JOIN e0 ON e0.a = cc.node)"
@@ -110,7 +114,26 @@ query("oversize_guard", lambda t: G.oversize_guard(_PR(t), _BYLABEL(t), _VER(_PR
  SELECT a, b, sim FROM e WHERE NOT EXISTS (SELECT 1 FROM weak w WHERE w.a = e.a AND w.b = e.b AND (w.a + w.b) % 5 = 0)""")
 query("drift_prune", lambda t: G.drift_prune(t.embeddings.select(F.col("vec_id").alias("node"), (F.col("vec_id") / 3).cast("long").alias("component")).unionByName(t.embeddings.select((F.col("vec_id") + 100_000).alias("node"), (F.col("label") + 100_000).alias("component"))), t.embeddings.select((F.col("vec_id") + 100_000).alias("ticket_id")).filter("ticket_id % 4 = 0").unionByName(t.embeddings.select(F.col("vec_id").alias("ticket_id")))),
       "WITH c AS (SELECT vec_id AS node, vec_id // 3 AS component FROM embeddings UNION ALL SELECT vec_id + 100000, label + 100000 FROM embeddings), n AS (SELECT component, count(*) AS n FROM c GROUP BY 1), k AS (SELECT node, component FROM c JOIN n USING (component) WHERE n < 4 OR NOT (node < 100000 OR node % 4 = 0)) SELECT node, component FROM k WHERE component IN (SELECT component FROM k GROUP BY 1 HAVING count(*) >= 2)")
-query("pool_proposals", lambda t: (lambda p: p[0].unionByName(p[1]))(G.pool_proposals(t.tickets, J.similar_pairs(t.embeddings, 0.15, "label"), _VER(_PR(t)), t.tickets.filter("ticket_id % 23 = 0").select("ticket_id"), 0.15, 0.30, 3, min_sim=0.10)))
+
+
+def _proposals(auto: str, verdicts: bool, pool: str) -> str:
+    """SQL of pool_proposals over pr (a, b, sim) and the tickets of `pool`, with the verdicts of _VER and the removals below, or without."""
+    yes, second, removed = ("(a + b) % 7 <> 0", "(a + b) % 5 <> 0", "ticket_id % 23 = 0 AND ticket_id IN (SELECT ticket_id FROM tickets)") if verdicts else ("false", "false", "false")
+    walk = "(node, m) AS (SELECT a, a FROM {e} UNION SELECT {e}.b, {c}.m FROM {c} JOIN {e} ON {e}.a = {c}.node)"
+    return f"""both_ AS (SELECT a, b, sim FROM pr WHERE sim >= 0.15 UNION ALL SELECT b, a, sim FROM pr WHERE sim >= 0.15), tn AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM both_) WHERE r <= 3),
+ acc AS (SELECT * FROM tn WHERE sim >= {auto} OR {yes}), e1 AS (SELECT a, b FROM acc UNION ALL SELECT b, a FROM acc), cc1{walk.format(e='e1', c='cc1')}, k1 AS (SELECT node, min(m) AS component FROM cc1 GROUP BY 1),
+ big AS (SELECT component FROM k1 GROUP BY 1 HAVING count(*) > 20), w AS (SELECT a, b FROM (SELECT acc.*, row_number() OVER (PARTITION BY component ORDER BY sim, a, b) AS r, count(*) OVER (PARTITION BY component) AS k FROM acc JOIN k1 ON node = a WHERE component IN (SELECT component FROM big)) WHERE r <= greatest(1, floor(k * 0.25)) AND NOT ({second})),
+ kept AS (SELECT * FROM acc WHERE (a, b) NOT IN (SELECT (a, b) FROM w)), e2 AS (SELECT a, b FROM kept UNION ALL SELECT b, a FROM kept), cc2{walk.format(e='e2', c='cc2')}, k2 AS (SELECT node, min(m) AS component FROM cc2 GROUP BY 1),
+ d AS (SELECT node AS ticket_id, component FROM (SELECT node AS ticket_id, node, component, count(*) OVER (PARTITION BY component) AS n FROM k2) WHERE n < 4 OR NOT ({removed})), m AS (SELECT * FROM d WHERE component IN (SELECT component FROM d GROUP BY 1 HAVING count(*) >= 3)),
+ sv AS (SELECT m.component, m.ticket_id, t.service FROM m JOIN tickets t ON t.ticket_id = m.ticket_id WHERE t.ticket_id IN (SELECT ticket_id FROM {pool})), sc AS (SELECT component, service, count(*) AS n, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, service) AS r FROM sv GROUP BY 1, 2), th AS (SELECT component, coalesce(max(n) FILTER (r = 3), 0) AS third FROM sc GROUP BY 1),
+ fl AS (SELECT sv.component, count(*) FILTER (sc.n <= third) AS flagged, count(DISTINCT sv.service) AS services FROM sv JOIN sc ON sc.component = sv.component AND sc.service = sv.service JOIN th ON th.component = sv.component GROUP BY 1),
+ ms AS (SELECT x.component, round(avg(sim), 6) AS mean_sim FROM pr JOIN m x ON x.ticket_id = a JOIN m y ON y.ticket_id = b AND y.component = x.component WHERE sim >= 0.15 GROUP BY 1),
+ out AS (SELECT component, n, coalesce(mean_sim, 0.0) AS mean_sim, coalesce(flagged, 0) AS flagged, coalesce(services, 0) AS services, members FROM (SELECT component, count(*) AS n, string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY ticket_id) AS members FROM m GROUP BY 1) LEFT JOIN fl USING (component) LEFT JOIN ms USING (component))
+ SELECT component, n, mean_sim, flagged, services, NOT (flagged >= greatest(1, floor(n / 3)) OR mean_sim < 0.10 OR services > 6) AS passed, members FROM out"""
+
+
+query("pool_proposals", lambda t: (lambda p: p[0].unionByName(p[1]))(G.pool_proposals(t.tickets, J.similar_pairs(t.embeddings, 0.15, "label"), _VER(_PR(t)), t.tickets.filter("ticket_id % 23 = 0").select("ticket_id"), 0.15, 0.30, 3, min_sim=0.10)).select("component", "n", "mean_sim", "flagged", "services", "passed", "members"),
+      f"WITH RECURSIVE {_PAIRS}, {_proposals('0.30', True, 'tickets')}", "tickets")
 query("cohesion_gate", lambda t: A.cohesion_gate(t.embeddings.select(F.col("label").alias("component"), F.col("vec_id").alias("ticket_id")), J.similar_pairs(t.embeddings, 0.05, "label"), t.embeddings.select(F.col("label").alias("component"), F.col("vec_id").alias("ticket_id"), (F.col("vec_id") % 5).alias("service"), (F.col("vec_id") % 41 == 0).alias("flagged")), 0.12),
       f"""WITH {_PAIRS}, s AS (SELECT label AS component, round(avg(sim), 6) AS mean_sim FROM pr JOIN embeddings v ON v.vec_id = a WHERE sim >= 0.05 GROUP BY 1), c AS (SELECT label AS component, count(*) AS n, count(*) FILTER (vec_id % 41 = 0) AS flagged, count(DISTINCT vec_id % 5) AS services FROM embeddings GROUP BY 1)
  SELECT component, n, coalesce(mean_sim, 0.0) AS mean_sim, flagged, services, NOT (flagged >= greatest(1, floor(n / 3)) OR coalesce(mean_sim, 0.0) < 0.12 OR services > 6) AS passed FROM c LEFT JOIN s USING (component)""")
@@ -125,36 +148,47 @@ _REQSQL = """rq AS (SELECT ticket_id, CASE WHEN log_id % 2 = 0 THEN 'SysA' ELSE
  rc AS (SELECT rq.*, c.cluster_id IS NOT NULL AS known, coalesce(nullif(trim(c.affected_system), ''), (SELECT arg_min(system, seq) FROM rq q WHERE q.cluster_id = rq.cluster_id)) AS target FROM rq LEFT JOIN clusters c ON c.cluster_id = rq.cluster_id),
  good AS (SELECT * FROM rc WHERE known AND target = system), won AS (SELECT ticket_id, arg_max(cluster_id, seq) AS cluster_id FROM good GROUP BY 1)"""
 query("apply_memberships", lambda t: M.apply_memberships(t.clusters, t.members, _REQ(t))[1], f"WITH {_REQSQL} SELECT cluster_id, ticket_id, assigned_by FROM members WHERE ticket_id NOT IN (SELECT ticket_id FROM won) UNION ALL SELECT cluster_id, ticket_id, 'llm' FROM won", "members", "clusters", "assignment_log")
+query("apply_memberships_clusters", lambda t: M.apply_memberships(t.clusters, t.members, _REQ(t))[0], f"WITH {_REQSQL} SELECT cluster_id, name, status, coalesce(nullif(trim(affected_system), ''), (SELECT arg_min(system, seq) FROM rq WHERE rq.cluster_id = c.cluster_id), affected_system) AS affected_system FROM clusters c", "members", "clusters", "assignment_log")
 query("apply_memberships_refused", lambda t: M.apply_memberships(t.clusters, t.members, _REQ(t))[2], f"WITH {_REQSQL} SELECT ticket_id, cluster_id, CASE WHEN NOT known THEN 'unknown cluster' ELSE 'other system' END AS reason FROM rc WHERE NOT known OR target <> system", "members", "clusters", "assignment_log")
 _VERD = lambda t: J.candidate_clusters(_TV(t), t.clusters, t.members).filter("rank = 1").select("ticket_id", F.when(F.col("ticket_id") % 10 == 1, "shrug").otherwise("assign").alias("action"), F.when(F.col("ticket_id") % 50 == 0, 77).otherwise(F.col("cluster_id")).alias("cluster_id"), F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("ticket_id") % 3 + 1).cast("int")).alias("confidence"))
 query("apply_assign_verdicts", lambda t: M.apply_assign_verdicts(t.clusters, t.members, t.tickets, J.candidate_clusters(_TV(t), t.clusters, t.members), _VERD(t))[2],
       f"{_CAND} SELECT ticket_id, CASE WHEN ok THEN 'assign' ELSE 'none_fit' END AS outcome, CASE WHEN ok THEN cluster_id END AS cluster_id, CASE WHEN ticket_id % 10 = 1 THEN 'unexpected action' WHEN ticket_id % 50 = 0 THEN 'cluster not among candidates' END AS safeguard FROM (SELECT *, ticket_id % 10 <> 1 AND ticket_id % 50 <> 0 AND ticket_id % 3 <> 2 AS ok FROM top WHERE rank = 1)", "tickets", "clusters", "members")
-_GRP = lambda t: _ANS(t).withColumn("group_no", F.when(F.col("ticket_id") % 5 != 0, F.col("ticket_id") % 3)).withColumn("name", F.concat(F.lit("Group "), F.col("group_no")))
-query("apply_group_verdicts", lambda t: M.judge_groups(_SHOWN(t), _GRP(t), t.tickets).select("batch", "group_no", "n", "reason", "cluster_id"),
-      f"""WITH {_COVER}, g AS (SELECT batch, r0.ticket_id % 3 AS group_no, 'Group ' || (r0.ticket_id % 3) AS name, r0.ticket_id, nullif({_KEY}, '') AS key, {_SYS} AS system FROM r0 LEFT JOIN tickets t ON t.ticket_id = r0.ticket_id WHERE r0.ticket_id % 5 <> 0),
- a AS (SELECT g.batch, group_no, name, count(*) AS n, count(DISTINCT key) AS services, min(system) AS system, string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY CAST(ticket_id AS VARCHAR)) AS ids FROM g GROUP BY ALL),
- j AS (SELECT a.*, CASE WHEN NOT (missing = 0 AND invented = 0 AND repeated = 0) THEN 'coverage' WHEN n < 2 THEN 'too few' WHEN services > 1 THEN 'several services' END AS reason FROM a JOIN cover USING (batch))
- SELECT batch, group_no, n, reason, CASE WHEN reason IS NULL THEN 'cl_' || substring(sha256(system || '|' || name || '|' || ids), 1, 12) END AS cluster_id FROM j""", "tickets")
+_GRP = lambda t: _ANS(t).withColumn("group_no", F.when(F.col("ticket_id") % 5 != 0, F.col("ticket_id") % 11)).withColumn("name", F.when(F.col("group_no") % 2 == 0, F.concat(F.lit("مجموعة "), F.col("group_no"))).otherwise(F.lit("Group")))
+_GRPSQL = f"""{_COVER}, g AS (SELECT batch, r0.ticket_id % 11 AS group_no, r0.ticket_id, title, nullif({_KEY}, '') AS key, {_SYS} AS system FROM r0 LEFT JOIN tickets t ON t.ticket_id = r0.ticket_id WHERE r0.ticket_id % 5 <> 0),
+ a AS (SELECT g.batch, group_no, CASE WHEN group_no % 2 = 0 THEN 'مجموعة ' || group_no ELSE coalesce(nullif(substring(trim(arg_min(title, ticket_id)), 1, 120), ''), 'مقترح جديد') END AS name, count(*) AS n, count(DISTINCT key) AS services, min(system) AS system, string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY CAST(ticket_id AS VARCHAR)) AS ids FROM g GROUP BY g.batch, group_no),
+ q AS (SELECT a.*, CASE WHEN NOT (missing = 0 AND invented = 0 AND repeated = 0) THEN 'coverage' WHEN n < 2 THEN 'too few' WHEN services > 1 THEN 'several services' END AS reason FROM a JOIN cover USING (batch)),
+ j AS (SELECT *, CASE WHEN reason IS NULL THEN 'cl_' || substring(sha256(system || '|' || name || '|' || ids), 1, 12) END AS cluster_id FROM q), won AS (SELECT g.ticket_id, j.cluster_id FROM j JOIN g ON g.batch = j.batch AND g.group_no = j.group_no WHERE reason IS NULL AND g.system = j.system)"""
+_GRPRUN = lambda t: M.apply_group_verdicts(t.clusters, t.members, t.tickets, _SHOWN(t), _GRP(t))
+query("judge_groups", lambda t: M.judge_groups(_SHOWN(t), M.guard_names(_GRP(t), t.tickets), t.tickets).select("batch", "group_no", "name", "n", "reason", "cluster_id"), f"WITH {_GRPSQL} SELECT batch, group_no, name, n, reason, cluster_id FROM j", "tickets")
+query("apply_group_verdicts", lambda t: _GRPRUN(t)[1], f"WITH {_GRPSQL} SELECT cluster_id::VARCHAR AS cluster_id, ticket_id, assigned_by FROM members WHERE ticket_id NOT IN (SELECT ticket_id FROM won) UNION ALL SELECT cluster_id, ticket_id, 'llm' FROM won", "tickets", "members")
+query("apply_group_verdicts_clusters", lambda t: _GRPRUN(t)[0], f"WITH {_GRPSQL} SELECT cluster_id::VARCHAR AS cluster_id, name, status, affected_system FROM clusters UNION ALL SELECT cluster_id, name, 'proposed', system FROM j WHERE reason IS NULL", "tickets", "clusters")
 _AUD = lambda t: t.members.filter("not (cluster_id = 3 and ticket_id % 50 = 0)").select("cluster_id", "ticket_id", F.when((F.col("ticket_id") % 9 == 0) | (F.col("cluster_id") == 4), "remove").otherwise("keep").alias("decision"))
 _AUDSQL = """a AS (SELECT cluster_id, count(*) AS n, count(*) FILTER (cluster_id = 3 AND ticket_id % 50 = 0) AS wrong, count(*) FILTER ((ticket_id % 9 = 0 OR cluster_id = 4) AND NOT (cluster_id = 3 AND ticket_id % 50 = 0)) AS removed, count(*) FILTER (NOT (ticket_id % 9 = 0 OR cluster_id = 4) OR assigned_by = 'human') AS kept, max((assigned_by = 'human')::INT) AS pins FROM members GROUP BY 1),
  l AS (SELECT cluster_id, n, removed, CASE WHEN wrong > 0 THEN 'coverage' WHEN removed > 0.85 * n THEN 'floor' WHEN kept < 2 AND pins = 0 THEN 'retired' ELSE 'applied' END AS result FROM a)"""
 query("apply_audit_verdicts", lambda t: M.apply_audit_verdicts(t.clusters, t.members, _AUD(t))[2], f"WITH {_AUDSQL} SELECT * FROM l", "members")
+query("apply_audit_clusters", lambda t: M.apply_audit_verdicts(t.clusters, t.members, _AUD(t))[0], f"WITH {_AUDSQL} SELECT c.cluster_id, name, CASE WHEN result = 'retired' THEN 'retired' ELSE status END AS status, affected_system FROM clusters c LEFT JOIN l USING (cluster_id)", "members", "clusters")
 query("apply_audit_members", lambda t: M.apply_audit_verdicts(t.clusters, t.members, _AUD(t))[1], f"WITH {_AUDSQL} SELECT cluster_id, ticket_id, assigned_by FROM members JOIN l USING (cluster_id) WHERE result <> 'retired' AND NOT (result = 'applied' AND ticket_id % 9 = 0 AND assigned_by <> 'human')", "members")
-query("demote_small", lambda t: M.demote_small(t.clusters, t.members.filter("cluster_id <> 1 or ticket_id < 20"), 40)[0], "SELECT cluster_id, name, CASE WHEN status = 'active' AND (SELECT count(*) FROM members m WHERE m.cluster_id = c.cluster_id AND (cluster_id <> 1 OR ticket_id < 20)) < 40 THEN 'retired' ELSE status END AS status, affected_system FROM clusters c", "members", "clusters")
+query("demote_small", lambda t: M.demote_small(t.clusters, t.members.filter("cluster_id <> 1 or assigned_by = 'human'"), 40)[0], "SELECT cluster_id, name, CASE WHEN status = 'active' AND (SELECT count(*) FROM members m WHERE m.cluster_id = c.cluster_id AND (cluster_id <> 1 OR assigned_by = 'human')) < 40 THEN 'retired' ELSE status END AS status, affected_system FROM clusters c", "members", "clusters")
+query("demote_small_log", lambda t: M.demote_small(t.clusters, t.members.filter("cluster_id <> 1 or assigned_by = 'human'"), 40)[2], "WITH m AS (SELECT * FROM members WHERE cluster_id <> 1 OR assigned_by = 'human') SELECT cluster_id, ticket_id, 'demoted' AS action FROM m JOIN clusters c USING (cluster_id) WHERE c.status = 'active' AND cluster_id IN (SELECT cluster_id FROM m GROUP BY 1 HAVING count(*) < 40)", "members", "clusters")
 query("evict_cross_system", lambda t: M.evict_cross_system(t.clusters, t.members, t.tickets)[0].select("cluster_id", "ticket_id"), f"SELECT cluster_id, ticket_id FROM members JOIN clusters c USING (cluster_id) JOIN (SELECT ticket_id, {_SYS} AS system FROM tickets) t USING (ticket_id) WHERE trim(c.affected_system) = '' OR trim(c.affected_system) = t.system", "members", "clusters", "tickets")
 query("backfill_cluster_system", lambda t: M.backfill_cluster_system(t.clusters, t.members, t.tickets), f"WITH {_MT} SELECT c.cluster_id, name, status, coalesce(nullif(trim(affected_system), ''), raw_system, affected_system) AS affected_system FROM clusters c LEFT JOIN {_MODE.format(by='cluster_id', name='raw_system', src='mt')} m ON m.cluster_id = c.cluster_id", *_SUMV)
-_DEC = lambda t: t.events.filter("event_id < 40").select((F.col("event_id") % 12).alias("cluster_id"), F.when(F.col("user_id") % 2 == 0, "approve").otherwise("reject").alias("decision"), F.col("event_id").alias("seq"))
-_DECSQL = "d AS (SELECT event_id % 12 AS cluster_id, CASE WHEN user_id % 2 = 0 THEN 'approve' ELSE 'reject' END AS decision, event_id AS seq FROM events WHERE event_id < 40), f AS (SELECT d.* FROM d JOIN clusters c USING (cluster_id) WHERE c.status = 'proposed' QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY seq) = 1)"
+_DEC = lambda t: t.events.select((F.col("event_id") % 12).alias("cluster_id"), F.when(F.col("user_id") % 2 == 0, "approve").otherwise("reject").alias("decision"), F.col("event_id").alias("seq"))
+_DECSQL = "d AS (SELECT event_id % 12 AS cluster_id, CASE WHEN user_id % 2 = 0 THEN 'approve' ELSE 'reject' END AS decision, event_id AS seq FROM events), f AS (SELECT d.* FROM d JOIN clusters c USING (cluster_id) WHERE c.status = 'proposed' QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY seq) = 1)"
 query("decide_proposals", lambda t: M.decide_proposals(t.clusters, t.members, _DEC(t))[0], f"WITH {_DECSQL} SELECT c.cluster_id, name, coalesce(CASE decision WHEN 'approve' THEN 'active' WHEN 'reject' THEN 'retired' END, status) AS status, affected_system FROM clusters c LEFT JOIN f USING (cluster_id)", "clusters")
+query("decide_proposals_members", lambda t: M.decide_proposals(t.clusters, t.members, _DEC(t))[1].select("cluster_id", "ticket_id"), f"WITH {_DECSQL} SELECT cluster_id, ticket_id FROM members WHERE cluster_id NOT IN (SELECT cluster_id FROM f WHERE decision = 'reject')", "members", "clusters")
 query("decide_proposals_conflicts", lambda t: M.decide_proposals(t.clusters, t.members, _DEC(t))[2], f"WITH {_DECSQL} SELECT cluster_id, seq, decision FROM d WHERE seq NOT IN (SELECT seq FROM f)", "clusters")
 _PROPS = lambda t: t.members.groupBy(F.col("cluster_id").alias("proposal_id")).agg(F.array_sort(F.collect_list("ticket_id")).alias("member_ids"))
 _PDEC = lambda t: t.clusters.select(F.col("cluster_id").alias("proposal_id"), F.element_at(F.array(F.lit("approve"), F.lit("reject"), F.lit("merge")), (F.col("cluster_id") % 3 + 1).cast("int")).alias("decision"), F.lit(500).cast("long").alias("target"))
 _POOL = lambda t: t.tickets.select("ticket_id", F.when(F.col("ticket_id") % 4 == 0, F.lit("2024-02-01 12:00:00").cast("timestamp")).alias("cooldown_until"))
-query("decide_pool_proposals", lambda t: M.decide_pool_proposals(_PROPS(t), t.members.limit(0).select(F.col("cluster_id").cast("long").alias("group_id"), "ticket_id"), _POOL(t), _PDEC(t), _now())[1].select("ticket_id", F.col("cooldown_until").isNotNull().alias("cooling")),
+_HAD = lambda t: t.members.filter("ticket_id % 7 = 0").select(F.when(F.col("ticket_id") % 2 == 0, 500).otherwise(501).cast("long").alias("group_id"), "ticket_id")
+query("decide_pool_exemplars", lambda t: M.decide_pool_proposals(_PROPS(t), _HAD(t), _POOL(t), _PDEC(t), _now())[0],
+      "SELECT CASE WHEN ticket_id % 2 = 0 THEN 500 ELSE 501 END AS group_id, ticket_id FROM members WHERE ticket_id % 7 = 0 UNION SELECT CASE WHEN cluster_id % 3 = 2 THEN 500 ELSE cluster_id END, ticket_id FROM members WHERE cluster_id % 3 <> 1", "members")
+query("decide_pool_proposals", lambda t: M.decide_pool_proposals(_PROPS(t), _HAD(t), _POOL(t), _PDEC(t), _now())[1].select("ticket_id", F.col("cooldown_until").isNotNull().alias("cooling")),
       "SELECT t.ticket_id, m.ticket_id IS NOT NULL OR t.ticket_id % 4 = 0 AS cooling FROM tickets t LEFT JOIN (SELECT * FROM members WHERE cluster_id % 3 = 1) m ON m.ticket_id = t.ticket_id WHERE t.ticket_id NOT IN (SELECT ticket_id FROM members WHERE cluster_id % 3 <> 1)", "tickets", "members")
 query("active_pool", lambda t: M.active_pool(_POOL(t), _now()).select("ticket_id"), "SELECT ticket_id FROM tickets WHERE ticket_id % 4 <> 0", "tickets")
 _RES = lambda t: t.tickets.filter("ticket_id % 2 = 0").select("ticket_id", F.lit("healed service").alias("service"), F.when(F.col("ticket_id") % 3 == 0, "failed").otherwise("ok").alias("classification_status"))
 query("heal_failed", lambda t: M.heal_failed(t.tickets.select("ticket_id", "service", "classification_status"), _RES(t))[0], "SELECT ticket_id, CASE WHEN h THEN 'healed service' ELSE service END AS service, CASE WHEN h THEN 'ok' ELSE classification_status END AS classification_status FROM (SELECT *, classification_status = 'failed' AND ticket_id % 2 = 0 AND ticket_id % 3 <> 0 AS h FROM tickets)", "tickets")
+query("heal_failed_counts", lambda t: M.heal_failed(t.tickets.select("ticket_id", "service", "classification_status"), _RES(t))[1], "SELECT count(*) FILTER (ticket_id % 3 <> 0) AS healed, count(*) FILTER (ticket_id % 3 = 0) AS still_failed FROM tickets WHERE classification_status = 'failed' AND ticket_id % 2 = 0", "tickets")
 _QUEUE = lambda t: t.tickets.filter("ticket_id % 58 = 0").select("ticket_id", F.lit(2).alias("attempts"))
 query("recover_or_queue", lambda t: M.recover_or_queue(t.tickets.select("ticket_id", "service", "classification_status"), _RES(t).withColumn("classification_status", F.lit("failed")), _QUEUE(t))[1], "SELECT ticket_id, 2 AS attempts FROM tickets WHERE ticket_id % 58 = 0", "tickets")
 _COR = lambda t: t.tickets.filter("ticket_id % 4 = 0").select("ticket_id", F.when(F.col("ticket_id") % 16 == 0, "NONE_OF_THE_ABOVE").when(F.col("ticket_id") % 12 == 0, "no such service").otherwise("Svc src4 - SysA.Off1").alias("service"))
@@ -170,11 +204,31 @@ query("resync_columns", lambda t: M.resync_columns(t.tickets.withColumn("json",
 query("seed_clusters", lambda t: M.seed_clusters(t.members.groupBy("cluster_id").agg(F.collect_list("ticket_id").alias("member_ids")).select(F.lit("SysA").alias("system"), F.concat(F.lit("P"), F.col("cluster_id")).alias("name"), "member_ids"), t.clusters.select(F.col("cluster_id").cast("string").alias("cluster_id")))[1],
       "WITH s AS (SELECT cluster_id, 'cl_' || substring(sha256('SysA|P' || cluster_id || '|' || string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY CAST(ticket_id AS VARCHAR))), 1, 12) AS id FROM members GROUP BY 1) SELECT s.id AS cluster_id, ticket_id, 'seed' AS assigned_by FROM members JOIN s USING (cluster_id)", "members")
 _EMB = lambda t: t.embeddings.select(F.col("vec_id").alias("ticket_id"), "embedding")
-query("sweep", lambda t: P.sweep(t.tickets, t.clusters, t.members, t.assignment_log, _EMB(t), _now(), 0.3)[2])
-query("repool", lambda t: P.repool(t.tickets, _EMB(t), _EX(t), 0.30, 0.35)[1],
-      f"""WITH {_EXSQL}, b AS (SELECT ticket_id, max(round(list_cosine_similarity(v, e), 6)) AS s FROM tv JOIN ex USING (offering) GROUP BY 1), o AS (SELECT ticket_id, coalesce(s >= 0.30, false) AS own FROM tv LEFT JOIN b USING (ticket_id)),
- c AS (SELECT DISTINCT ticket_id FROM tv CROSS JOIN ex WHERE round(list_cosine_similarity(v, e), 6) >= 0.35 AND ticket_id IN (SELECT ticket_id FROM o WHERE NOT own))
- SELECT (SELECT count(*) FROM o WHERE own) AS own_matched, (SELECT count(*) FROM c) AS cross_matched, (SELECT count(*) FROM o WHERE NOT own) - (SELECT count(*) FROM c) AS left""", "tickets", "members")
+_ANSWER = lambda b: b.withColumn("group_no", F.when(F.col("ticket_id") % 4 != 0, F.col("ticket_id") % 9)).withColumn("name", F.lit("مشكلة"))
+_SWEEP = lambda t: P.sweep(t.tickets, t.clusters, t.members.withColumn("assigned_by", F.col("assigned_by")), t.assignment_log, _EMB(t), _now(), 0.3, _ANSWER)
+_SWEEPSQL = f"""small AS (SELECT c.cluster_id FROM clusters c LEFT JOIN members m USING (cluster_id) WHERE status = 'active' GROUP BY 1 HAVING count(m.ticket_id) < 2),
+ c1 AS (SELECT cluster_id, name, CASE WHEN cluster_id IN (SELECT cluster_id FROM small) THEN 'retired' ELSE status END AS status, affected_system FROM clusters), m1 AS (SELECT * FROM members WHERE cluster_id NOT IN (SELECT cluster_id FROM small)),
+ m2 AS (SELECT m1.* FROM m1 JOIN c1 USING (cluster_id) LEFT JOIN (SELECT ticket_id, {_SYS} AS system FROM tickets) t USING (ticket_id) WHERE t.system IS NULL OR coalesce(trim(c1.affected_system), '') = '' OR trim(c1.affected_system) = t.system),
+ pool AS (SELECT * FROM tickets WHERE {_KIND} IN ('incident','service_request') AND ticket_id NOT IN (SELECT ticket_id FROM m2)),
+ {_CAND[5:].replace("FROM members", "FROM m2").replace("FROM clusters", "FROM c1").replace("FROM tickets t", "FROM pool t")}, {_VETO},
+ best AS (SELECT ticket_id, arg_max(cluster_id, struct_pack(s := score, g := -cluster_id)) AS cluster_id FROM top ANTI JOIN vetoes USING (ticket_id, cluster_id) GROUP BY 1 HAVING max(score) >= 0.3),
+ m3 AS (SELECT cluster_id::VARCHAR AS cluster_id, ticket_id, assigned_by FROM m2 UNION ALL SELECT cluster_id::VARCHAR, ticket_id, 'llm' FROM best),
+ rest AS (SELECT t.*, {_SYS} AS system FROM tickets t WHERE {_KIND} IN ('incident','service_request') AND ticket_id NOT IN (SELECT ticket_id FROM m3)),
+ b AS (SELECT ticket_id, system, service, system || '|' || ((row_number() OVER (PARTITION BY system ORDER BY ticket_id) - 1) // 20) AS batch FROM rest),
+ ga AS (SELECT batch, ticket_id % 9 AS group_no, count(*) AS n, count(DISTINCT nullif({_KEY}, '')) AS services, min(system) AS system, string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY CAST(ticket_id AS VARCHAR)) AS ids, list(ticket_id) AS members FROM b WHERE ticket_id % 4 <> 0 GROUP BY 1, 2),
+ named AS (SELECT c.cluster_id, c.name, coalesce(nullif(trim(c.affected_system), ''), 'Unknown') AS system FROM c1 c), stop AS (SELECT DISTINCT ga.batch, ga.group_no FROM ga JOIN named ON named.name = 'مشكلة' AND named.system = ga.system JOIN vetoes v ON v.cluster_id = named.cluster_id AND list_contains(ga.members, v.ticket_id)),
+ won AS (SELECT 'cl_' || substring(sha256(system || '|مشكلة|' || ids), 1, 12) AS cluster_id, system, unnest(members) AS ticket_id FROM ga WHERE n >= 2 AND services <= 1 AND (batch, group_no) NOT IN (SELECT (batch, group_no) FROM stop))"""
+query("sweep", lambda t: _SWEEP(t)[1], f"WITH {_SWEEPSQL} SELECT * FROM m3 UNION ALL SELECT cluster_id, ticket_id, 'llm' FROM won", "tickets", "clusters", "members", "assignment_log")
+query("sweep_clusters", lambda t: _SWEEP(t)[0].select("cluster_id", "name", "status"), f"WITH {_SWEEPSQL} SELECT cluster_id::VARCHAR AS cluster_id, name, status FROM c1 UNION ALL SELECT DISTINCT cluster_id, 'مشكلة', 'proposed' FROM won", "tickets", "clusters", "members", "assignment_log")
+query("sweep_figures", lambda t: _SWEEP(t)[2].select("demoted", "assigned", "pool", "batches", "groups"), f"WITH {_SWEEPSQL} SELECT (SELECT count(*) FROM members WHERE cluster_id IN (SELECT cluster_id FROM small)) AS demoted, (SELECT count(*) FROM best) AS assigned, (SELECT count(*) FROM b) AS pool, (SELECT count(DISTINCT batch) FROM b) AS batches, (SELECT count(DISTINCT cluster_id) FROM won) AS groups", "tickets", "clusters", "members", "assignment_log")
+_REPOOL = lambda t: P.repool(t.tickets, _EMB(t), _EX(t), 0.30, 0.35, floor=0.15, auto=0.18, top=3, min_sim=0.10)
+_REPSQL = f"""{_EXSQL}, b AS (SELECT ticket_id, max(round(list_cosine_similarity(v, e), 6)) AS s FROM tv JOIN ex USING (offering) GROUP BY 1), o AS (SELECT ticket_id, offering, v, coalesce(s >= 0.30, false) AS own FROM tv LEFT JOIN b USING (ticket_id)),
+ c AS (SELECT DISTINCT ticket_id FROM tv CROSS JOIN ex WHERE round(list_cosine_similarity(v, e), 6) >= 0.35 AND ticket_id IN (SELECT ticket_id FROM o WHERE NOT own)), l AS (SELECT * FROM o WHERE NOT own AND ticket_id NOT IN (SELECT ticket_id FROM c)),
+ z AS (SELECT offering, count(*) AS n FROM l GROUP BY 1 HAVING count(*) >= 3), pr AS (SELECT x.ticket_id AS a, y.ticket_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS sim FROM l x JOIN l y ON x.offering = y.offering AND x.ticket_id < y.ticket_id WHERE x.offering IN (SELECT offering FROM z))"""
+query("repool", lambda t: _REPOOL(t)[3].select("own_matched", "cross_matched", "left"), f"WITH {_REPSQL} SELECT (SELECT count(*) FROM o WHERE own) AS own_matched, (SELECT count(*) FROM c) AS cross_matched, (SELECT count(*) FROM l) AS left", "tickets", "members")
+query("repool_sizes", lambda t: _REPOOL(t)[0], f"WITH {_REPSQL} SELECT * FROM z", "tickets", "members")
+_BOTH = lambda good, review: good.unionByName(review).select("component", "n", "mean_sim", "flagged", "services", "passed", "members")
+query("repool_proposals", lambda t: _BOTH(*_REPOOL(t)[1:3]), f"WITH RECURSIVE {_REPSQL}, {_proposals('0.18', False, 'l')}", "tickets", "members")
 
 # ---- ST --------------------------------------------------------------------------------------
 query("ingest_once", lambda t: streamed(t, ST.ingest_once(stream_of(t, "events", "ts").select("user_id", "ts"), "user_id", "ts", "400 days"), "append").select("user_id"), "SELECT DISTINCT user_id FROM events")
@@ -212,7 +266,8 @@ query("extract_attachments", lambda t: X.extract_attachments(t.pages.select(F.co
 
 def _sql_functions(t: Tables) -> DataFrame:
     X.register_sql(t.spark)
-    return t.spark.sql("SELECT ticket_id, tf_offering_key(service) AS offering, tf_service_key(service) AS key FROM {tickets}", tickets=t.tickets)
+    vectors = t.embeddings.select(F.col("vec_id").alias("ticket_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return t.spark.sql("SELECT t.ticket_id, tf_offering_key(service) AS offering, tf_service_key(service) AS key, tf_normalize_code(assign_group) AS code, round(tf_dot(v, v), 4) AS dot FROM {tickets} t LEFT JOIN {vectors} e ON e.ticket_id = t.ticket_id", tickets=t.tickets, vectors=vectors)
 
 
-query("register_sql", _sql_functions, f"SELECT ticket_id, {_OFF} AS offering, {_KEY} AS key FROM tickets", "tickets")
+query("register_sql", _sql_functions, f"SELECT ticket_id, {_OFF} AS offering, {_KEY} AS key, upper(regexp_replace(assign_group, '[ \\t\\r\\n_-]', '', 'g')) AS code, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS dot FROM tickets LEFT JOIN embeddings ON vec_id = ticket_id", "tickets")
