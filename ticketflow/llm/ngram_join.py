@@ -292,7 +292,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     similarity of 0.8 or more; the component is the smallest doc_id that links lead to.
 
     Equal sets are one node, so copies are never paired. Nodes meet in tiles: those that share a key of a size
-    band (see band_keys) with the same first node. In each tile the first node is compared with the others, and where this
+    band (see band_keys) with the same first node, the one with the smallest doc_id, as copies come after what they were made from. In each tile the first node is compared with the others, and where this
     linked most of them a second one; what is then still in several components is compared pairwise, in tiles of bounded size, through
     the bitmaps, which drop most pairs, before the exact intersection. A pair inside one
     component needs no comparison, so that a group of many near copies costs its size, not its square.
@@ -310,13 +310,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     first_rows = sets.select(F.col("node").alias("s_node"), F.col("doc_id").alias("s_id"))
     own = full.join(_few(first_rows), (F.col("node") == F.col("s_node")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left_semi")
 
-    keyed = own.select(F.explode("keys").alias("key"), "node", "n")
+    keyed = own.select(F.explode("keys").alias("key"), "node", "n", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("place"))
     shared = cut(keyed.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
     met = keyed.join(_few(shared), "key").distinct()
-    first = met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("last")).filter("low.node < last")
+    first = met.groupBy("key").agg(F.min(F.struct("place", "node", "n")).alias("low"), F.min("node").alias("least"), F.max("node").alias("last")).filter("least < last")
     met = met.join(first.select("key", F.col("low.node").alias("center"), F.col("low.n").alias("n_center")).hint("merge"), "key")
     # keys with the same first node are one tile: near copies share dozens of keys and would be compared in each
-    met = cut(met.select(F.col("center").alias("key"), "node", "n", "center", "n_center").distinct())
+    met = cut(met.select(F.col("center").alias("key"), "node", "n", "place", "center", "n_center").distinct())
     facts = own.select(F.col("node").alias("id"), "n", "bits").dropDuplicates(["id"])
 
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * SIMILARITY
@@ -329,13 +329,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     def placed(links: DataFrame) -> DataFrame:
         """Rows of keys whose nodes lie in several components, with the component."""
         label = _few(components(links).select(F.col("node").alias("l_node"), "component"))
-        rows = met.join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", "n", "center", F.coalesce("component", "node").alias("component"))
-        open_ = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c"), F.countDistinct("component").alias("parts")).filter("low < high")
+        rows = met.join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", "n", "place", "center", F.coalesce("component", "node").alias("component"))
+        main = F.max(F.when(F.col("node") == F.col("center"), F.col("component"))).alias("main")
+        open_ = rows.groupBy("key").agg(main, F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c"), F.countDistinct("component").alias("parts")).filter("low < high")
         return cut(rows.join(open_.hint("merge"), "key"))
 
     rows = placed(links)
     joined = rows.filter("2 * parts <= c")  # keys whose first node linked most others; a second one may link more
-    seconds = joined.filter("component > low").groupBy("key").agg(F.min(F.struct("node", "n", "component")).alias("s")).select("key", F.col("s.node").alias("second"), F.col("s.n").alias("n_second"), F.col("s.component").alias("c_second"))
+    seconds = joined.filter("component <> main").groupBy("key").agg(F.min(F.struct("place", "node", "n", "component")).alias("s")).select("key", F.col("s.node").alias("second"), F.col("s.n").alias("n_second"), F.col("s.component").alias("c_second"))
     again = joined.join(seconds.hint("merge"), "key").filter("node <> second and component <> c_second and center <> second and node <> center").filter(close("n", "n_second")).select(F.least("node", "second").alias("a"), F.greatest("node", "second").alias("b")).distinct()
     again = cut(_likely(again.join(stars.hint("merge"), ["a", "b"], "left_anti"), facts))
     if not again.isEmpty():
