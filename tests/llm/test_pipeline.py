@@ -24,3 +24,20 @@ def test_pipeline(spark, tmp_path):
     assert len(got & toxic) <= 3 and len(set(range(600)) - toxic - got) <= 3
     kept = corpus_pipeline.hide_secrets(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").filter("doc_id = 2003"), "")
     assert {r["text"].split()[-1] for r in kept.collect()} == {"<secret>"}
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark, tmp_path):
+    rng = random.Random(32)
+    texts = [words(rng, 90, 9000) for _ in range(6)]
+    rows = [(1, texts[0], "t"), (1, texts[1], "t"), (2, texts[2], "t"), (3, texts[2], "t"), (4, texts[1], "t"), (None, texts[3], "t"), (None, texts[3], "t"), (None, texts[4], "t"), (None, texts[0], "t"), (5, None, "t")]
+    got = corpus_pipeline.one_of_each_group(spark, frame(spark, rows), "")
+    assert got.columns == frame(spark, rows).columns
+    assert sorted((r["doc_id"] or 0, texts.index(r["text"]) if r["text"] else -1) for r in got.collect()) == [(0, 3), (0, 4), (1, 0), (1, 1), (2, 2), (5, -1)]
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    columns = [c.split()[0] for c in SCHEMA.split(", ")][:5]
+    frame(spark, []).select(*columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -103,7 +103,8 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
-        for text in batch.column(1).to_pylist():
+        for value in batch.column(1):  # one text at a time
+            text = value.as_py()
             spans = all_spans(text, scope)
             base = [x for x in spans if x[2] in KINDS[:3]]
             for k in KINDS[:3]:
@@ -122,7 +123,8 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>", scope: int = SCOPE)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = []
-        for text in batch.column("text").to_pylist():
+        for value in batch.column("text"):
+            text = value.as_py()
             if text:
                 out, at = [], 0
                 for start, end, _ in sorted(all_spans(text, scope)):

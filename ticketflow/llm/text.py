@@ -7,6 +7,8 @@ the longest text, not the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -15,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-PIECE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 18
 #: Bytes of an Arrow batch, so that a worker's memory does not follow the number of rows.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of a side that is broadcast at most, and what a row of a few longs takes as a hashed relation.
 BROADCAST_BYTES, HASHED_ROW_BYTES = 48 << 20, 64
 U64 = np.uint64
@@ -168,13 +170,25 @@ def shingles(piece: Piece, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return h[new], owner[new]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and idle ones would keep what their largest text took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_iter(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow on batches of BATCH_BYTES at most, or fewer where the session asks for fewer."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(name).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

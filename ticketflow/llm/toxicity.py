@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.llm.quality_qda import held_out
-from ticketflow.llm.text import cut, map_batches
+from ticketflow.llm.text import cut, map_batches, map_iter
 
 #: Bound of the training sample: labelled documents of each class, chosen by a hash of the id.
 TRAIN_TOXIC, TRAIN_ORDINARY = 3000, 9000
@@ -26,7 +26,7 @@ WINDOW = 64
 #: Text that both dictionaries know stands around each window, so that zstandard, which does
 #: not look for matches at the very end of a block, can match all of a short word.
 _LEFT, _RIGHT = bytes(range(0x80, 0x90)), bytes(range(0xA0, 0xB8))
-_CACHE_WORDS = 400_000
+_CACHE_WORDS, _COUNTS = 120_000, 40_000
 #: Beginnings of words count as candidates too, so that a stem is learnt from few of its forms.
 STEM = range(4, 8)
 
@@ -51,6 +51,7 @@ class Distance:
         end = b" " + _LEFT + b"  " + _RIGHT
         self.coders = [self.coder(b" ".join([*ordinary, b""]) + end), self.coder(b" ".join([*ordinary, *toxic, b""]) + end)]
         self.known: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
 
     @staticmethod
     def coder(content: bytes) -> zstandard.ZstdCompressor:
@@ -60,10 +61,13 @@ class Distance:
     def __call__(self, window: bytes) -> int:
         d = self.known.get(window)
         if d is None:
-            if len(self.known) >= _CACHE_WORDS:
-                self.known.clear()
-            b = b"".join([_LEFT, b" ", window, b" ", _RIGHT])
-            d = self.known[window] = len(self.coders[0].compress(b)) - len(self.coders[1].compress(b))
+            d = self.older.get(window)
+            if d is None:
+                b = b"".join([_LEFT, b" ", window, b" ", _RIGHT])
+                d = len(self.coders[0].compress(b)) - len(self.coders[1].compress(b))
+            if len(self.known) >= _CACHE_WORDS:  # frequent windows come back from the older half
+                self.older, self.known = self.known, {}
+            self.known[window] = d
         return d
 
     def features(self, text: bytes | None) -> tuple[float, ...]:
@@ -110,16 +114,22 @@ def _class_counts(sample: DataFrame, keep: list[bytes] | None) -> DataFrame:
     """Segments of the words of the sample's whole texts -> word, toxic, ordinary. With `keep`, each (word before, segment) pair of a class counts once, and only for those segments."""
     wanted = None if keep is None else set(keep)
 
+    def counted(counts: Counter) -> pa.RecordBatch:
+        keys = list(counts)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["y", "word", "before", "n"])
+
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = (text or b"").lower().split()
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            words = (text.as_py() or b"").lower().split()
             if wanted is None:
                 counts.update((y, x, b"") for w in words for x in segments(w))
             else:
                 counts.update({(y, x, before) for before, w in zip([b"", *words], words) for x in segments(w) if x in wanted})
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["y", "word", "before", "n"])
+            if len(counts) > _COUNTS:  # sums of parts are as good
+                yield counted(counts)
+                counts.clear()
+        yield counted(counts)
 
     rows = map_batches(sample.select("y", F.encode("text", "UTF-8").alias("text")), each, "y int, word binary, before binary, n long")
     if wanted is not None:
@@ -145,7 +155,7 @@ def train_distance(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
     return ordinary[::-1], toxic[::-1]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_toxic: int = TRAIN_TOXIC, train_ordinary: int = TRAIN_ORDINARY) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_toxic: int = TRAIN_TOXIC, train_ordinary: int = TRAIN_ORDINARY, carry: str | None = None) -> DataFrame:
     """documents, labels -> doc_id, held_out, score, predicted; one row per row of documents, over its whole text.
 
     The dictionaries and the calibration are learnt from a bounded sample: at most `train_toxic` and
@@ -155,32 +165,36 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
     The pass over all documents is one map without a shuffle.
 
     Null and empty texts have no windows, hence the score of the shortest texts of the sample without any distance. Null labels are
-    not learnt; without labels of both classes every score is 0. Repeated rows are scored alike. Extra columns are not read.
+    not learnt; without labels of both classes every score is 0. A document that is labelled twice counts twice. Repeated rows are
+    scored alike. Rows without a doc_id are scored and never learnt; held_out is null for them. Extra columns are not read, but for
+    `carry`, the name of a number column that the result has too.
     """
     y = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
     chosen = None
     for label, most in ((1, train_toxic), (0, train_ordinary)):
         own = y.filter(F.col("y") == label).orderBy(F.xxhash64("l_id"), "l_id").limit(most)
         chosen = own if chosen is None else chosen.unionByName(own)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    extra = [F.col(carry).cast("long").alias(carry)] if carry else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     sample = cut(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "y", "text"))
     ordinary, toxic = train_distance(sample)
 
-    def measured(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    def measured(rows: DataFrame, keys: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             distance = Distance(ordinary, toxic)
             for batch in batches:
-                x = [distance.features(t) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], [key, "x"])
+                x = [distance.features(t.as_py()) for t in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(x, pa.list_(pa.float64()))], [*batch.schema.names[1:], "x"])
 
-        return rows.select(key, F.encode("text", "UTF-8").alias("text")).mapInArrow(run, f"{key} {kind}, x array<double>")
+        names = [k.split()[0] for k in keys.split(", ")]
+        return map_iter(rows.select(F.encode("text", "UTF-8").alias("text"), *names), run, f"{keys}, x array<double>")
 
-    known = measured(sample, "y", "int").collect()
+    known = measured(sample, "y int").collect()
     ys, xs = np.array([r[0] for r in known], dtype=float), np.array([r[1] for r in known], dtype=float).reshape(-1, FEATURES)
     weights = fit_logistic(xs, ys) if 0 < ys.sum() < len(ys) else np.append(np.zeros(FEATURES), -1e9)
     at = F.lit(float(weights[-1]))
     for i, w in enumerate(weights[:-1]):  # inside the range of the sample, so that an empty or huge text is no extrapolation
         low, high = (float(xs[:, i].min()), float(xs[:, i].max())) if len(xs) else (0.0, 0.0)
         at = at + F.lit(float(w)) * F.least(F.greatest(F.col("x")[i], F.lit(low)), F.lit(high))
-    out = measured(texts, "doc_id", "long").withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(at, F.lit(30.0)), F.lit(-700.0)))))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = measured(texts, f"doc_id long, {carry} long" if carry else "doc_id long").withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(at, F.lit(30.0)), F.lit(-700.0)))))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *([carry] if carry else []))
