@@ -11,45 +11,57 @@ from ticketflow.llm.decontam import contaminated
 from ticketflow.llm.mixing import mix_sources
 from ticketflow.llm.ngram_join import jaccard_components
 from ticketflow.llm.secret_scan import redact_secrets
-from ticketflow.llm.text import cut, shared_dir
+from ticketflow.llm.text import cut, join_hint, shared_dir
 from ticketflow.llm.toxicity import toxicity
 
 #: SQL can express neither the classifier nor the alignment.
 ORACLE_SQL = None
 
 
-#: Ids up to this many are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number for each row, and that column's name: doc_id, where every row has one of its own."""
+    name = "row_no"
+    while name in docs.columns:
+        name += "_"
+    unclear = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null")
+    if unclear.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not in ids; those without an id stay."""
-    gone = cut(ids.select(F.col("doc_id").alias("gone_id")).filter("gone_id is not null").distinct())
-    gone = gone.hint("broadcast" if gone.count() <= BROADCAST_IDS else "merge")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+def _without(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """The rows whose number is not in gone, without their numbers."""
+    gone = cut(gone.toDF("gone_no").distinct())
+    return rows.join(gone.hint(join_hint(gone)), rows[name] == gone["gone_no"], "left_anti").drop(name)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
-    scores = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.filter("predicted = 1"))
+    rows, no = _numbered(docs)
+    scores = toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=no)
+    return _without(rows, no, scores.filter("predicted = 1").select(no))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of rows that share an id one."""
-    groups = jaccard_components(docs)
-    kept = _without(docs, groups.filter("doc_id <> component_id"))
-    again = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 and doc_id is not null").select("doc_id"))
-    if again.isEmpty():
-        return kept
-    single = _without(kept, again)
-    repeated = again.select(F.col("doc_id").alias("again_id"))
-    return single.unionByName(kept.join(repeated, kept["doc_id"] == repeated["again_id"], "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates the document with the smallest id; rows are told apart by number, so that two texts under one id are two documents."""
+    rows, no = _numbered(docs)
+    groups = jaccard_components(rows.select(F.col(no).alias("doc_id"), "text"))
+    # numbers are ids, or, where ids are unclear, in order of nothing: then the smallest id of a group is looked up
+    if rows.filter(~F.col("doc_id").eqNullSafe(F.col(no))).isEmpty():
+        return _without(rows, no, groups.filter("doc_id <> component_id").select("doc_id"))
+    groups = cut(groups.select(F.col("doc_id").alias("g_no"), "component_id"))
+    ids = rows.select(F.col(no).alias("i_no"), F.col("doc_id").alias("i_id"))
+    placed = cut(groups.join(ids.hint("merge"), F.col("g_no") == F.col("i_no")).select("g_no", "component_id", F.struct(F.col("i_id").isNull(), "i_id", "g_no").alias("place")))
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.g_no").alias("first_no"))
+    gone = placed.join(first.hint("merge"), F.col("g_no") == F.col("first_no"), "left_anti")
+    return _without(rows, no, gone.select("g_no"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows, no = _numbered(docs)
+    found = contaminated(rows.select(F.col(no).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, no, found.select("doc_id"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +84,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; what a stage returns is written to the shared folder and read again."""
+    """Apply STAGES to documents; what a stage returns is written to the shared folder and read again.
+
+    Null and empty texts are kept by every filter. Null or repeated doc_ids: each row is a document of its own, of
+    which only copies go. Extra columns stay as they are, up to the last stage. An empty table gives an empty result.
+    """
     shared_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
