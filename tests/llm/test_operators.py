@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ticketflow.llm import decontam, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
 from ticketflow.llm.graph import components
-from ticketflow.llm.licenses import KNOWN_PASSAGES, MIT, canonical_text, license_passages, license_scan
+from ticketflow.llm.licenses import BSD_2, BSD_3, BSL_1, ISC, KNOWN, MIT, TEXTS, ZLIB, canonical_text, license_passages, license_scan
 from ticketflow.llm.quality_qda import Discriminant, quality_classifier
 
 from .conftest import frame, words
@@ -228,11 +229,32 @@ def test_license_scan(spark):
     assert canonical_text(changed) == canonical_text(MIT)
 
 
+def test_license_files_as_they_are_found(spark, odd, nothing):
+    """Titles, holders, wrapping, list marks, comment signs and spellings, written out by hand rather than from the patterns."""
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n) for p in t.split("\n\n"))
+    holder = "Copyright (c) 2011-2024, Some One <some@one.org>\nAll rights reserved.\n\n"
+    body = MIT.removeprefix("MIT License\n\n")
+    cases = [
+        ("MIT", f"The MIT License (MIT)\n\nCopyright © 2020 X\n\n{wrap(body, 72)}\n"), ("MIT", f"MIT License\n\n{holder}{wrap(body, 50)}"), ("MIT", "/*\n" + "\n".join(f" * {x}" for x in wrap(body, 60).split("\n")) + "\n */"), ("MIT", body.replace("sublicense", "sub-licence")),
+        ("ISC", f"ISC License\n\nCopyright (c) 2004-2010 by Internet Consortium\n\n{wrap(ISC, 64)}"), ("ISC", f"The ISC License (ISC)\n{wrap(ISC, 40)}"), ("ISC", wrap(ISC, 78)),
+        ("BSD-2-Clause", f"BSD 2-Clause License\n\n{holder}{wrap(BSD_2, 75)}"), ("BSD-2-Clause", holder + wrap(BSD_2, 70).replace("1. ", "* ").replace("2. ", "* ")), ("BSD-3-Clause", f"The 3-Clause BSD License\n\n{holder}{BSD_3.replace('COPYRIGHT HOLDER OR', 'COPYRIGHT OWNER OR')}"), ("BSD-3-Clause", f"Copyright 2003 X.\n{wrap(BSD_3, 79).replace('1. ', '  a) ').replace('2. ', '  b) ').replace('3. ', '  c) ')}"),
+        ("Zlib", f"zlib License\n\n(C) 1995-2022 A and B\n\n{wrap(ZLIB, 77)}"), ("BSL-1.0", wrap(BSL_1, 70)), ("BSL-1.0", BSL_1.replace("organization", "organisation")),
+    ]
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "GFDL-1.3"):
+        text = (TEXTS / f"{name}.txt").read_text()
+        cases += [(name, text), (name, text.upper().replace("\n", "\r\n")), (name, re.sub(r"[^\S\n]+", " ", text.replace("license", "licence"))), (None, text.replace("the", "teh", 1))]
+    cases += [("GPL-2.0", (TEXTS / "GPL-2.0.txt").read_text().partition("END OF TERMS")[0]), (None, body + " Not."), (None, "copyright notice and this permission notice"), (None, "")]
+    got = {r["doc_id"]: r["license_id"] for r in license_scan(frame(spark, [(i, t, "s") for i, (_, t) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+    digests = {r["doc_id"]: r["digest"] for r in license_scan(odd).collect()}
+    assert digests[0] is digests[1] is digests[2] is None and digests[3] == digests[4] == hashlib.sha256(b"one").hexdigest() and license_scan(nothing).collect() == []
+
+
 def test_license_passages(spark, odd, nothing):
     prose = "Some words here.\nAnd more of them."
     wrapped = "\n\n".join("\n".join(p[i : i + 70] for i in range(0, len(p), 70)) if k == 3 else p.replace(", ", ",\n") for k, p in enumerate(MIT.split("\n\n")[:3])) + "\n\n" + MIT.split("\n\n")[3]
     texts = [f"{prose}\nReleased under the MIT License.", f"{prose}\nLicensed under CC BY-NC 4.0.\n{prose}", f"{prose}\n\nCopyright (c) 2020 X\n\n{wrapped}\n\n{prose}", MIT.split("\n\n")[1], None, "",
-             f"{prose}\n\n{KNOWN_PASSAGES['Apache-2.0'][-1]}\n\n{prose}", f"{KNOWN_PASSAGES['GPL-3.0'][-1]}\n{prose}\nReleased under the MIT License.\n{prose}\nReleased under the MIT License.", prose]
+             f"{prose}\n\n{(TEXTS / 'Apache-2.0.txt').read_text()}\n\n{prose}", f"{(TEXTS / 'GPL-3.0.txt').read_text()}\n{prose}\nReleased under the MIT License.\n{prose}\nReleased under the MIT License.", prose]
     got = {(r["doc_id"], r["license_id"]): r["places"] for r in license_passages(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
     assert got.pop((6, "Apache-2.0")) >= 1
     assert got == {(0, "MIT"): 1, (1, "CC-BY-NC-4.0"): 1, (2, "MIT"): 1, (7, "GPL-3.0"): 1, (7, "MIT"): 2}
@@ -274,6 +296,25 @@ def test_mixing(spark, monkeypatch):
     assert sorted((r["doc_id"], r["taken"]) for r in again.collect()) == sorted((r["doc_id"], r["taken"]) for r in got)
 
 
+def test_mixing_with_shared_and_missing_ids(spark, odd):
+    rng = random.Random(22)
+    rows = [(None, words(rng, 30), "a")] * 300 + [(7, words(rng, 9), "b")] * 200 + [(None, words(rng, rng.choice([5, 60])), "c") for _ in range(100)] + [(i, words(rng, 40), "b") for i in range(50)]
+    df = frame(spark, rows)
+    got = mixing.mix_sources(df, block_rows=32).collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    wanted = water_fill(sizes, (1, 2, 3))
+    assert all(abs(taken[s] - wanted[s]) <= 60 for s in wanted)
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((i, s, len(t.split())) for i, t, s in rows)
+    again = mixing.mix_sources(df.repartition(5), block_rows=32).collect()
+    assert Counter((r["doc_id"], r["source"], r["taken"]) for r in again) == Counter((r["doc_id"], r["source"], r["taken"]) for r in got)
+    odd_rows = [(r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in odd.collect()]
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in mixing.mix_sources(odd).collect()) == Counter(odd_rows)
+
+
 def test_flight_keeps_count_and_size():
     rng = random.Random(6)
     sizes, p = [rng.randrange(1, 500) for _ in range(400)], [0.37] * 400
@@ -338,6 +379,35 @@ def test_secret_scan(spark, odd):
     assert clean[100]["text"] == "é <secret>' <secret>" and clean[100]["n_chars"] == 20 and clean[0]["text"] is None
 
 
+def brute_linked(text, base, scope):
+    """Weak parts with complementary parts, by looking at all pairs."""
+    parts = base + [(m.start(), m.end(), kind) for kind, p in (("weak_secret", secret_scan.WEAK_SECRET), ("weak_id", secret_scan.WEAK_ID), ("endpoint", secret_scan.ENDPOINT)) for m in p.finditer(text)]
+    near = defaultdict(set)
+    for a in parts:
+        for b in parts:
+            if a != b and (a[0], a[1], a[2]) < (b[0], b[1], b[2]) and a[1] <= b[0] <= a[1] + scope and not re.search(r"\n[ \t\r]*\n", text[a[0] : b[0]] + text[b[0] : b[0] + 1]):
+                near[a].add(b[2])
+                near[b].add(a[2])
+    secret, ident = {"assign", "hex", "weak_secret"}, {"access", "weak_id"}
+    holds = {"weak_secret": lambda n: n & (ident | {"endpoint"}), "weak_id": lambda n: n & secret, "endpoint": lambda n: n & secret and n & ident}
+    return {p for p in parts if p[2] in holds and holds[p[2]](near[p]) and not any(b[0] < p[1] and p[0] < b[1] for b in base)}
+
+
+def test_linked_parts_match_all_pairs():
+    rng = random.Random(23)
+    parts = ["user=bob", "login: amy.x", "client_id=zz9", "https://db.example.org/x", "10.0.0.1:5432", "Qx7" + "aB3" * 8, "Zk9" + "mN4" * 9, "password=hunter22", "AKIA" + "A1B2C3D4E5F6G7H8", "0123456789abcdef" * 2]
+    linked = 0
+    for _ in range(300):
+        text = ""
+        for _ in range(rng.randrange(2, 9)):
+            text += rng.choice(parts) + rng.choice([" ", "\n", "\n\n", "\n \n", " plain words here " * rng.randrange(1, 12)])
+        base = secret_scan.base_spans(text)
+        got = secret_scan.linked_spans(text, base)
+        assert set(got) == brute_linked(text, base, secret_scan.SCOPE)
+        linked += len(got)
+    assert linked > 300
+
+
 def test_decontamination(spark, odd):
     rng = random.Random(12)
     items = [words(rng, 40, 9000) for _ in range(6)] + ["three word item", "", None]
@@ -363,6 +433,32 @@ def test_decontamination_finds_edited_copies_beside_verbatim_ones(spark):
     assert all(0.7 <= got[i] < 1 for i in range(3, len(docs)))
 
 
+def test_decontamination_recall_with_a_stock_phrase_in_every_item(spark):
+    rng = random.Random(24)
+    stock = words(rng, 12, 9000)
+    items = [f"{words(rng, 14, 9000)} {stock} {words(rng, 14, 9000)}" for _ in range(12)]
+    docs, wanted = [], {}
+    for i, item in enumerate(items):
+        w = item.split()
+        for edits in (0, 4, 8, 12):
+            e = list(w)
+            for k in rng.sample(range(len(w)), edits):
+                e[k] = rng.choice([f"x{k}", f"x{k} y{k}", ""])
+            docs.append(f"{words(rng, 30, 9000)} {' '.join(e)} {words(rng, 30, 9000)}")
+    docs += [f"{words(rng, 30, 9000)} {stock} {words(rng, 30, 9000)}" for _ in range(10)]
+    for d, text in enumerate(docs):
+        t = [hash(x) for x in text.split()]
+        for i, item in enumerate(items):
+            q = [hash(x) for x in item.split()]
+            score = decontam.align(np.array(t), np.array(q))[0] / (2 * len(q))
+            if score >= decontam.MIN_SCORE:
+                wanted[d, i] = score
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(frame(spark, [(i, t, "s") for i, t in enumerate(docs)]), bench).collect()}
+    assert set(got) <= set(wanted) and all(got[k] == pytest.approx(wanted[k]) for k in got)
+    assert len(got) >= 0.9 * len(wanted) and {d for d, _ in got} == {d for d, _ in wanted} and not any(d >= 48 for d, _ in got)
+
+
 def test_alignment_matches_plain_dynamic_programming():
     rng = random.Random(11)
     for _ in range(20):

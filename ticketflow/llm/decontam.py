@@ -120,7 +120,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
 
     The test items go to the tasks in blocks of at most `block_bytes`, one pass for each block, so a larger benchmark
     needs more passes and not more memory. Items of fewer words than a seed match as a whole. Null or
-    empty texts and items match nothing. Repeated documents each get their rows, those that share a doc_id one row an item.
+    empty texts and items match nothing. Repeated documents, those that share a doc_id and those without one are one document of
+    that id, or of none, with one row an item: the best of all. Of equal alignments the first counts. Empty tables: empty result.
     Extra columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -55,50 +55,84 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution."""
+BSL_1 = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+TEXTS = Path(__file__).with_name("license_texts")
+END = "END OF TERMS AND CONDITIONS"
+
+
+def _published(name: str) -> list[str]:
+    """A long licence as published, and without the advice that some have after their terms."""
+    text = (TEXTS / f"{name}.txt").read_text()
+    return [text, *([text[: text.index(END)], text[: text.index(END) + len(END)]] if END in text else [])]
+
+
 KNOWN = {
-    "MIT": [MIT, MIT.removeprefix("MIT License"), "Released under the MIT License."],
-    "ISC": [ISC, "ISC License\n" + ISC],
-    "0BSD": [BSD_0],
+    "MIT": [MIT, "Released under the MIT License."],
+    "ISC": [ISC, ISC.replace("and/or distribute", "and distribute")],
+    "0BSD": [BSD_0, BSD_0.replace("and/or distribute", "and distribute")],
+    "BSL-1.0": [BSL_1],
     "BSD-2-Clause": [BSD_2],
     "BSD-3-Clause": [BSD_3],
-    "Apache-2.0": [APACHE_NOTICE, "Licensed under the Apache License, Version 2.0."],
+    "Apache-2.0": [APACHE_NOTICE, "Licensed under the Apache License, Version 2.0.", *_published("Apache-2.0")],
     "Unlicense": [UNLICENSE],
     "Zlib": [ZLIB],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-}
-
-TEXTS = Path(__file__).with_name("license_texts")
-#: What license_passages looks for besides: whole licence texts and lines that name one.
-KNOWN_PASSAGES = KNOWN | {
-    "Apache-2.0": [*KNOWN["Apache-2.0"], (TEXTS / "Apache-2.0.txt").read_text()],
-    "GPL-3.0": [*KNOWN["GPL-3.0"], (TEXTS / "GPL-3.0.txt").read_text()],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", *_published("GPL-3.0")],
+    **{name: _published(name) for name in ("GPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "GFDL-1.3")},
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
 }
+
 #: How license_passages splits texts.
 SPLITS = {"paragraph": r"\n[\t\r ]*\n", "line": r"\n"}
 
-#: Fixed values: (pattern, replacement), applied in this order to the text with A-Z lower-cased.
-STEPS = [
-    (r"(^|\n)[\t ]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n"),
+# Fixed values: (pattern, replacement), applied in this order to the text with A-Z lower-cased.
+#: Copyright lines: those that begin with the word and a sign, year or placeholder, or with a sign and a year; not sentences about copyright. List marks.
+LINES = [
+    (r"(^|\n)[\t #*/;.-]*(copyright[\t :]*(by[\t ]|\(c\)|©|&copy;|[0-9]{4}|[<\[{](yyyy|year))|(\(c\)|©)[\t ]*(copyright|[0-9]{4}|[<\[{](yyyy|year))|all rights reserved)[^\n]*", "\n"),
+    (r"(^|\n)[\t #*/;]*(\(?([0-9]{1,2}|[a-z]|i{1,3}|iv|vi?)[.)]|[*•+-])[\t ]+", "\n"),
+]
+#: What separates words.
+MARKS = [
     (r"https?://", " "),
     (r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{2010}-\x{2015}\x{2018}-\x{201f}\x{2022}]+", " "),
-    (r" (sub ?licence|sub license) ", " sublicense "),
-    (r" licence ", " license "),
-    (r" non commercial ", " noncommercial "),
-    (r" copyright owner ", " copyright holder "),
+]
+#: A title before the text; then the published list of equivalent spellings.
+WORDS = [
+    (r"^ (the )?((mit|expat|x11|isc|zlib|libpng|0bsd|bsd|new|revised|modified|simplified|zero|clause|[0-4]) ){1,6}license ((mit|expat|x11|isc|zlib|libpng|0bsd|bsd|clause|[0-4]) ){0,4}", " "),
+    (r" (sub ?licence|sub license)", " sublicense"),
+    (r" licence", " license"),
+    (r" non commercial", " noncommercial"),
+    (r" copyright owner", " copyright holder"),
     (r" per cent ", " percent "),
-    (r" acknowledgement ", " acknowledgment "),
+    (r" (acknowledg|judg)ement", " $1ment"),
+    (r" (author|capital|categor|emphas|initial|maxim|minim|optim|organ|real|recogn|util|summar)is(e|es|ed|ing|ation|ations) ", " $1iz$2 "),
+    (r" (fav|hon|lab|behavi|col)our", " $1or"),
+    (r" (cancel|label|model|signal)l(ed|ing) ", " $1$2 "),
+    (r" (cent|calib)re ", " $1er "),
+    (r" (analog|catalog)ue", " $1"),
+    (r" (off|def)ence", " $1ense"),
+    (r" practise", " practice"),
+    (r" artefact", " artifact"),
+    (r" analyse", " analyze"),
+    (r" (program)me ", " $1 "),
+    (r" (fulfil|wilful) ", " $1l "),
+    (r" whilst ", " while "),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def canonical(text: Column) -> Column:
-    """A text's canonical form: lower case, no copyright lines, no punctuation, one spelling, single spaces."""
+    """A text's canonical form: lower case, no copyright lines, title, list marks and punctuation, one spelling, single spaces."""
     c = F.translate(text, UPPER, LOWER)
-    for pattern, to in STEPS[:3]:
+    for pattern, to in LINES + MARKS:
         c = F.regexp_replace(c, F.lit(pattern), F.lit(to))
     c = F.concat(F.lit(" "), F.trim(c), F.lit(" "))
-    for pattern, to in STEPS[3:]:
+    for pattern, to in WORDS:
         c = F.regexp_replace(c, F.lit(pattern), F.lit(to))
     return F.trim(c)
 
@@ -106,12 +140,12 @@ def canonical(text: Column) -> Column:
 def canonical_text(text: str) -> str:
     """The same for one known text, while the digests are made."""
     c = text.translate(str.maketrans(UPPER, LOWER))
-    fixed = [(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", p), to) for p, to in STEPS]
-    for pattern, to in fixed[:3]:
-        c = re.sub(pattern, to, c)
+    here = lambda p: re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", p)
+    for pattern, to in LINES + MARKS:
+        c = re.sub(here(pattern), to, c)
     c = f" {c.strip(' ')} "
-    for pattern, to in fixed[3:]:
-        c = re.sub(pattern, to, c)
+    for pattern, to in WORDS:
+        c = re.sub(pattern, re.sub(r"\$([0-9])", r"\\\1", to), c)
     return c.strip(" ")
 
 
@@ -146,7 +180,7 @@ def _passage_table(known: dict[str, list[str]]) -> list[tuple[str, str, str, int
     return out
 
 
-def license_passages(docs: DataFrame, known: dict[str, list[str]] = KNOWN_PASSAGES) -> DataFrame:
+def license_passages(docs: DataFrame, known: dict[str, list[str]] = KNOWN) -> DataFrame:
     """documents -> doc_id, license_id, places; a row for each licence that a text holds, alone or among other text, and in how many places.
 
     A licence is held if the text, or lines or paragraphs in a row, have the digests of all lines or paragraphs of a
@@ -162,19 +196,19 @@ def license_passages(docs: DataFrame, known: dict[str, list[str]] = KNOWN_PASSAG
     rows = rows.select("doc_id", "h", "unit", "pos", F.sha2(F.encode("c", "UTF-8"), 256).alias("digest"))
     hits = rows.join(table, (F.col("digest") == F.col("known")) & (F.col("unit") == F.col("known_unit")))
     whole = hits.groupBy("doc_id", "h", "unit", "license_id", "text_no", "n", (F.col("pos") - F.col("k")).alias("first")).agg(F.count_distinct("k").alias("found")).filter("found = n")
-    places = whole.groupBy("doc_id", "license_id", "unit").agg(F.count_distinct("h", F.col("first") + F.col("n")).alias("places"))
+    places = whole.groupBy("doc_id", "license_id", "unit").agg(F.count_distinct("h", "first").alias("places"))
     return places.groupBy("doc_id", "license_id").agg(F.max("places").alias("places"))
 
 
 def license_oracle(known: dict[str, list[str]] = KNOWN) -> str:
     """DuckDB SQL with the result of license_scan over documents."""
     c = f"translate(text, '{UPPER}', '{LOWER}')"
-    for pattern, to in STEPS[:3]:
+    for pattern, to in LINES + MARKS:
         to = "chr(10)" if to == "\n" else f"'{to}'"
         c = f"regexp_replace({c}, '{pattern}', {to}, 'g')"
     c = f"' ' || trim({c}, ' ') || ' '"
-    for pattern, to in STEPS[3:]:
-        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    for pattern, to in WORDS:
+        c = f"regexp_replace({c}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
     rows = ", ".join(f"('{d}', '{n}')" for d, n in digests(known))
     return f"""WITH known(known, license_id) AS (VALUES {rows}),
 c AS (SELECT doc_id, trim({c}, ' ') AS c FROM documents),

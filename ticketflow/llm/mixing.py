@@ -16,12 +16,12 @@ from ticketflow.llm.text import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one flight; a source with more is dealt over several.
 BLOCK_ROWS = 4096
-#: Rows of a source, about, that stay out of the first flight, to make up for the last rounding.
+#: Rows of a source, about, that stay out of the first flight and enter the second, to make up for the last rounding.
 RESERVE_ROWS = 64
 #: Sources up to this many are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
-_ROW = "doc_id long, source string, size long, whole long, p double, block long"
+_ROW = "doc_id long, k long, source string, size long, whole long, p double, block long"
 
 
 def word_count(text: Column) -> Column:
@@ -103,7 +103,7 @@ def land(sizes: list[int], p: list[float]) -> None:
 
 def _sample(level: int, last: bool, seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(order=[zlib.crc32(f"{seed} {level} {d}".encode()) for d in rows["doc_id"]]).sort_values(["order", "doc_id", "size"], kind="stable")
+        rows = rows.assign(order=[zlib.crc32(f"{seed} {level} {d} {k}".encode()) for d, k in zip(rows["doc_id"], rows["k"])]).sort_values(["order", "doc_id", "k", "size"], kind="stable")
         sizes, p = [int(x) for x in rows["size"]], [float(x) for x in rows["p"]]
         head = rows.iloc[0]
         fly(sizes, p, Random(zlib.crc32(f"{seed} {level} {head['source']} {head['block']}".encode())))
@@ -123,14 +123,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: fl
     size is dealt over blocks of about `block_rows` rows; each block leaves at most two open
     probabilities, and these go through the same step again, until one block a source is left,
     where the landing phase rounds the last two. So a source misses its target by less than
-    one document, whatever its size; about RESERVE_ROWS of its documents join only in that last
-    step and are turned where that brings the words nearer.
+    one document, whatever its size; about RESERVE_ROWS of its documents skip the first step, so that
+    the last one has some to turn where that brings the words nearer.
 
-    Null text or no words: size 0, taken 0. Null source: a source of its own. Repeated rows:
-    each is a document. Empty table: empty result. Columns other than doc_id, text and source
-    are not read. The choice depends on seed, ids and sizes alone, so reruns agree.
+    Null text or no words: size 0, taken 0. Null source: a source of its own. Repeated rows, and rows that share
+    a doc_id or have none: each is a document; those with the same id, source and size are numbered, so that they are dealt over
+    blocks like others. Empty table: empty result. Columns other than doc_id, text and source
+    are not read. The choice depends on seed, ids, sources and sizes alone, so reruns agree.
     """
     sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    if sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").isEmpty():
+        sized = sized.withColumn("k", F.lit(0).cast("long"))
+    else:
+        alike = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("c"))
+        sized = cut(alike.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).drop("c"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = cut(source_targets(totals, weights, limit))
     small = targets.count() <= BROADCAST_SOURCES
@@ -139,10 +145,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: fl
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
-    block = lambda n: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.greatest(F.ceil(n / F.lit(block_rows)), F.lit(1)))
+    block = lambda n: F.pmod(F.xxhash64(F.col("doc_id"), F.col("k"), F.lit(seed)), F.greatest(F.ceil(n / F.lit(block_rows)), F.lit(1)))
 
-    reserve = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.greatest(F.col("n"), F.lit(1))) < RESERVE_ROWS
-    first = rows.withColumn("block", F.when(reserve, F.lit(-1)).otherwise(block(F.col("n")))).select("doc_id", "source", "size", "whole", "p", "block")
+    reserve = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("k")), F.greatest(F.col("n"), F.lit(1))) < RESERVE_ROWS
+    first = rows.withColumn("block", F.when(reserve, F.lit(-1)).otherwise(block(F.col("n")))).select("doc_id", "k", "source", "size", "whole", "p", "block")
     flown = first.filter("block >= 0").groupBy("source", "block").applyInPandas(_sample(0, False, seed), _ROW)
     state = cut(flown.unionByName(first.filter("block < 0")))
     done, level = [], 0
@@ -156,7 +162,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: fl
         last = most <= block_rows
         if not last:
             c = count.withColumnRenamed("source", "c_source").hint(hint)
-            rest = rest.drop("block").join(c, F.col("source").eqNullSafe(F.col("c_source"))).withColumn("block", block(F.col("n"))).select("doc_id", "source", "size", "whole", "p", "block")
+            rest = rest.drop("block").join(c, F.col("source").eqNullSafe(F.col("c_source"))).withColumn("block", block(F.col("n"))).select("doc_id", "k", "source", "size", "whole", "p", "block")
         else:
             rest = rest.withColumn("block", F.lit(0).cast("long"))
         state = rest.groupBy("source", "block").applyInPandas(_sample(level, last, seed), _ROW)
