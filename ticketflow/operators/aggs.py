@@ -11,12 +11,30 @@ from ticketflow.functions import scalars as S
 from ticketflow.operators.joins import centroids, unassigned_pool
 
 
-def subsystem_rollup(st: DataFrame, min_count: int = 2) -> DataFrame:
-    """A1: active tickets of eligible kinds by system and service: count, worst severity, smallest and largest id."""
+def joined(ids: Column) -> Column:
+    """A group's sorted ids in one row, for groups that fit a row; for others take the rows that the functions beside offer."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(ids)), lambda x: x.cast("string")), ",")
+
+
+def _worst() -> Column:
+    return S.severity_name(F.max(S.severity_rank(F.coalesce("severity", F.lit("Minor")))))
+
+
+def _by_subsystem(st: DataFrame) -> DataFrame:
     active = st.filter((S.local_status(F.col("source_status")) == "active") & S.ticket_kind(F.col("ticket_kind")).isin(*S.CLUSTER_KINDS))
-    by = active.groupBy(S.system_of(F.col("affected_system")).alias("system"), S.system_of(F.col("service")).alias("service"))
-    rows = by.agg(F.count(F.lit(1)).alias("n"), S.severity_name(F.max(S.severity_rank(F.coalesce("severity", F.lit("Minor"))))).alias("worst"), F.array_join(F.transform(F.array_sort(F.collect_list("ticket_id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return rows.filter(F.col("n") >= min_count)
+    return active.select(S.system_of(F.col("affected_system")).alias("system"), S.system_of(F.col("service")).alias("service"), "ticket_id", "severity")
+
+
+def subsystem_rollup(st: DataFrame, min_count: int = 2, ids: bool = False) -> DataFrame:
+    """A1: active tickets of eligible kinds by system and service: count and worst severity; `ids`: also their ids in one row."""
+    more = [joined(F.col("ticket_id")).alias("ids")] if ids else []
+    return _by_subsystem(st).groupBy("system", "service").agg(F.count(F.lit(1)).alias("n"), _worst().alias("worst"), *more).filter(F.col("n") >= min_count)
+
+
+def subsystem_tickets(st: DataFrame, min_count: int = 2) -> DataFrame:
+    """A1: the tickets behind subsystem_rollup, a row each."""
+    large = subsystem_rollup(st, min_count).select("system", "service")
+    return _by_subsystem(st).select("system", "service", "ticket_id").join(large, ["system", "service"], "left_semi")
 
 
 def worst_severity(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -43,20 +61,21 @@ def centroid_similarity(mb: DataFrame) -> DataFrame:
     return rows.select("cluster_id", "ticket_id", F.when((F.col("n") >= 2) & F.col("centroid").isNotNull(), F.round(S.cosine(F.col("v"), F.col("centroid")), 3)).alias("similarity"))
 
 
-def cluster_summary(cl: DataFrame, mb: DataFrame, st: DataFrame, min_members: int = 2) -> DataFrame:
-    """A5: active clusters with members: system, service, worst severity, count and ids."""
+def cluster_summary(cl: DataFrame, mb: DataFrame, st: DataFrame, min_members: int = 2, ids: bool = False) -> DataFrame:
+    """A5: active clusters with members: system, service, worst severity and count; `ids`: also their members' ids in one row."""
     rows = cl.filter("status = 'active'").select("cluster_id", "name", F.col("affected_system").alias("own_system")).join(mb.select("cluster_id", "ticket_id"), "cluster_id").join(st.select("ticket_id", "affected_system", "service", "severity"), "ticket_id")
-    base = rows.groupBy("cluster_id", "name", "own_system").agg(F.count(F.lit(1)).alias("n"), S.severity_name(F.max(S.severity_rank(F.coalesce("severity", F.lit("Minor"))))).alias("worst"), F.array_join(F.transform(F.array_sort(F.collect_list("ticket_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    more = [joined(F.col("ticket_id")).alias("ids")] if ids else []
+    base = rows.groupBy("cluster_id", "name", "own_system").agg(F.count(F.lit(1)).alias("n"), _worst().alias("worst"), *more)
     out = base.filter(F.col("n") >= min_members).join(dominant_labels(rows, ["cluster_id"]), "cluster_id", "left")
-    return out.select("cluster_id", "name", F.coalesce(S.blank_to_null(F.col("own_system")), "system").alias("system"), "service", "worst", "n", "ids")
+    return out.select("cluster_id", "name", F.coalesce(S.blank_to_null(F.col("own_system")), "system").alias("system"), "service", "worst", "n", *(["ids"] if ids else []))
 
 
-def cluster_report(cl: DataFrame, mb: DataFrame, st: DataFrame) -> DataFrame:
-    """A4: A5 with the members as an array of (ticket_id, similarity in percent), nearest first."""
-    sim = centroid_similarity(mb.join(st.select("ticket_id"), "ticket_id", "left_semi")).withColumn("percent", F.round(F.col("similarity") * 100, 1))
-    bodies = sim.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("percent")).alias("order"), "ticket_id"))).alias("m"))
-    text = F.array_join(F.transform("m", lambda x: F.concat(x["ticket_id"].cast("string"), F.lit(":"), F.coalesce(F.format_number(-x["order"], 1), F.lit("")))), ",")
-    return cluster_summary(cl, mb, st).drop("ids").join(bodies.select("cluster_id", text.alias("members")), "cluster_id", "left")
+def cluster_report(cl: DataFrame, mb: DataFrame, st: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A4: A5, and its members with their similarity in percent, a row each."""
+    summary = cluster_summary(cl, mb, st)
+    sim = centroid_similarity(mb.join(st.select("ticket_id"), "ticket_id", "left_semi"))
+    members = sim.join(summary.select("cluster_id"), "cluster_id", "left_semi").select("cluster_id", "ticket_id", F.round(F.col("similarity") * 100, 1).alias("percent"))
+    return summary, members
 
 
 def status_summary(st: DataFrame, cl: DataFrame, mb: DataFrame) -> DataFrame:
@@ -68,13 +87,18 @@ def status_summary(st: DataFrame, cl: DataFrame, mb: DataFrame) -> DataFrame:
 
 
 def gap_rollup(events: DataFrame) -> DataFrame:
-    """(service, suggested_offering, ref, at) -> count, refs in order, first and last sighting."""
-    return events.groupBy("service", "suggested_offering").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "ref"))), lambda x: x["ref"].cast("string")), ",").alias("refs"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
+    """(service, suggested_offering, ref, at) -> count, first and last sighting. The refs, in order of `at`, are the events' own rows."""
+    return events.groupBy("service", "suggested_offering").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
 
 
 def occurrence_rollup(df: DataFrame, key: str) -> DataFrame:
     """Sightings of each key."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("occurrence_count"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.array_join(F.transform(F.array_sort(F.collect_set("ticket_id")), lambda x: x.cast("string")), ",").alias("source_ids"))
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("occurrence_count"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
+
+
+def occurrence_ids(df: DataFrame, key: str) -> DataFrame:
+    """The source ids of each key, a row each."""
+    return df.select(key, "ticket_id").distinct()
 
 
 def accuracy_report(flags: DataFrame, names: Sequence[str]) -> DataFrame:

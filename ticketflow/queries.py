@@ -47,7 +47,6 @@ _RES = "('resolved','closed','verified','cancelled','canceled','rejected','dupli
 _ST = f"CASE WHEN lower(trim(source_status)) IN {_RES} THEN 'resolved' ELSE 'active' END"
 _RANK = "CASE coalesce(severity, 'Minor') WHEN 'Critical' THEN 4 WHEN 'Major' THEN 3 WHEN 'Minor' THEN 2 WHEN 'Cosmetic' THEN 1 ELSE 0 END"
 _WORST = f"CASE max({_RANK}) WHEN 4 THEN 'Critical' WHEN 3 THEN 'Major' WHEN 1 THEN 'Cosmetic' ELSE 'Minor' END"
-_IDS = "string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY ticket_id)"
 _OFF = "CASE WHEN contains(service, '.') THEN trim(regexp_extract(trim(service), '^((?s:.)*)\\.[^.]*$', 1)) END"
 _HEAD = "trim(split_part(trim(service), '.', 1))"
 _KEY = f"CASE WHEN coalesce(trim(service), '') = '' OR ends_with(trim(service), '.OFFERING-GAP') OR starts_with(lower({_HEAD}), 'system/application') OR {_HEAD} = 'General / Unspecified' THEN '' ELSE {_HEAD} END"
@@ -194,27 +193,31 @@ query("rerun_agreement", lambda t: J.rerun_agreement(t.tickets, t.eval_rows.sele
       "SELECT 'affected_system' AS field, count(*) AS n, round(avg((affected_system IS NOT DISTINCT FROM model_system)::INT), 6) AS agreement FROM tickets JOIN eval_rows USING (ticket_id) UNION ALL SELECT 'service', count(*), round(avg((service IS NOT DISTINCT FROM model_service)::INT), 6) FROM tickets JOIN eval_rows USING (ticket_id)", "tickets", "eval_rows")
 
 # ---- A: aggregations -----------------------------------------------------------------------
-query("subsystem_rollup", lambda t: A.subsystem_rollup(t.tickets), f"SELECT {_SYS} AS system, {_SVC} AS service, count(*) AS n, {_WORST} AS worst, {_IDS} AS ids FROM tickets WHERE {_ST} = 'active' AND {_KIND} IN ('incident','service_request') GROUP BY 1, 2 HAVING count(*) >= 2", "tickets")
+_SUBSYS = f"FROM tickets WHERE {_ST} = 'active' AND {_KIND} IN ('incident','service_request')"
+query("subsystem_rollup", lambda t: A.subsystem_rollup(t.tickets), f"SELECT {_SYS} AS system, {_SVC} AS service, count(*) AS n, {_WORST} AS worst {_SUBSYS} GROUP BY 1, 2 HAVING count(*) >= 2", "tickets")
+query("subsystem_tickets", lambda t: A.subsystem_tickets(t.tickets), f"SELECT {_SYS} AS system, {_SVC} AS service, ticket_id {_SUBSYS} QUALIFY count(*) OVER (PARTITION BY {_SYS}, {_SVC}) >= 2", "tickets")
 query("worst_severity", lambda t: A.worst_severity(t.tickets, ["service"]), f"SELECT service, {_WORST} AS worst FROM tickets GROUP BY 1", "tickets")
 _MODE = "(SELECT {by}, {name} FROM (SELECT {by}, {name}, row_number() OVER (PARTITION BY {by} ORDER BY count(*) DESC, {name}) AS r FROM {src} WHERE {name} IS NOT NULL GROUP BY {by}, {name}) WHERE r = 1)"
 _MT = f"mt AS (SELECT cluster_id, ticket_id, {_SYS} AS system, nullif(trim(service), '') AS service, severity, lang, source_status, created_at, nullif(trim(affected_system), '') AS raw_system FROM members JOIN tickets USING (ticket_id))"
 query("dominant_labels", lambda t: A.dominant_labels(t.members.select("cluster_id", "ticket_id").join(t.tickets, "ticket_id"), ["cluster_id"]),
       f"WITH {_MT} SELECT a.cluster_id, system, service FROM {_MODE.format(by='cluster_id', name='system', src='mt')} a LEFT JOIN {_MODE.format(by='cluster_id', name='service', src='mt')} b ON a.cluster_id = b.cluster_id", "members", "tickets")
-_SUM = f"""{_MT}, summary AS (SELECT c.cluster_id, c.name, coalesce(nullif(trim(c.affected_system), ''), a.system) AS system, b.service, x.worst, x.n, x.ids FROM clusters c JOIN (SELECT cluster_id, count(*) AS n, {_WORST} AS worst, {_IDS} AS ids FROM mt GROUP BY 1) x ON x.cluster_id = c.cluster_id
+_SUM = f"""{_MT}, summary AS (SELECT c.cluster_id, c.name, coalesce(nullif(trim(c.affected_system), ''), a.system) AS system, b.service, x.worst, x.n FROM clusters c JOIN (SELECT cluster_id, count(*) AS n, {_WORST} AS worst FROM mt GROUP BY 1) x ON x.cluster_id = c.cluster_id
  LEFT JOIN {_MODE.format(by='cluster_id', name='system', src='mt')} a ON a.cluster_id = c.cluster_id LEFT JOIN {_MODE.format(by='cluster_id', name='service', src='mt')} b ON b.cluster_id = c.cluster_id WHERE c.status = 'active' AND n >= 2)"""
 _SUMV = ("members", "tickets", "clusters")
 query("cluster_summary", lambda t: A.cluster_summary(t.clusters, t.members, t.tickets), f"WITH {_SUM} SELECT * FROM summary", *_SUMV)
 _SIM = "sim AS (SELECT m.cluster_id, ticket_id, CASE WHEN count(*) OVER (PARTITION BY m.cluster_id) >= 2 THEN round(list_cosine_similarity(embedding::DOUBLE[], c), 3) END AS similarity FROM members m JOIN cent ON cent.cluster_id = m.cluster_id)"
 query("centroid_similarity", lambda t: A.centroid_similarity(t.members), f"WITH {_CENT}, {_SIM} SELECT * FROM sim", "members")
-query("cluster_report", lambda t: A.cluster_report(t.clusters, t.members, t.tickets),
-      f"WITH {_CENT}, {_SIM}, {_SUM} SELECT s.cluster_id, name, system, service, worst, n, members FROM summary s LEFT JOIN (SELECT cluster_id, string_agg(ticket_id || ':' || printf('%.1f', round(similarity * 100, 1)), ',' ORDER BY round(similarity * 100, 1) DESC, ticket_id) AS members FROM sim GROUP BY 1) b ON b.cluster_id = s.cluster_id", *_SUMV)
+query("cluster_report", lambda t: A.cluster_report(t.clusters, t.members, t.tickets)[0], f"WITH {_SUM} SELECT * FROM summary", *_SUMV)
+query("cluster_report_members", lambda t: A.cluster_report(t.clusters, t.members, t.tickets)[1], f"WITH {_CENT}, {_SIM}, {_SUM} SELECT cluster_id, ticket_id, round(similarity * 100, 1) AS percent FROM sim WHERE cluster_id IN (SELECT cluster_id FROM summary)", *_SUMV)
 query("status_summary", lambda t: A.status_summary(t.tickets, t.clusters, t.members),
       f"""SELECT (SELECT count(*) FROM tickets) AS tickets, (SELECT count(*) FROM tickets WHERE classification_status <> 'failed') AS ok, (SELECT count(*) FROM tickets WHERE classification_status = 'failed') AS failed, (SELECT count(*) FROM tickets WHERE {_ST} = 'active') AS active, (SELECT count(*) FROM tickets WHERE {_ST} <> 'active') AS resolved,
  (SELECT count(*) FROM clusters) AS clusters, (SELECT count(*) FROM clusters WHERE status = 'active') AS clusters_active, (SELECT count(*) FROM clusters WHERE status = 'proposed') AS clusters_proposed, (SELECT count(*) FROM tickets WHERE {_KIND} IN ('incident','service_request') AND ticket_id NOT IN (SELECT ticket_id FROM members)) AS unassigned""", *_SUMV)
 query("gap_rollup", lambda t: _plain(A.gap_rollup(t.tickets.filter(F.endswith("service", F.lit(S.GAP))).select("service", F.concat(F.lit("want"), F.col("ticket_id") % 2).alias("suggested_offering"), F.col("ticket_id").alias("ref"), F.col("created_at").alias("at"))), "first_seen", "last_seen"),
-      "SELECT service, 'want' || (ticket_id % 2) AS suggested_offering, count(*) AS n, string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY created_at, ticket_id) AS refs, epoch_us(min(created_at)) AS first_seen, epoch_us(max(created_at)) AS last_seen FROM tickets WHERE ends_with(service, '.OFFERING-GAP') GROUP BY 1, 2", "tickets")
+      "SELECT service, 'want' || (ticket_id % 2) AS suggested_offering, count(*) AS n, epoch_us(min(created_at)) AS first_seen, epoch_us(max(created_at)) AS last_seen FROM tickets WHERE ends_with(service, '.OFFERING-GAP') GROUP BY 1, 2", "tickets")
 query("occurrence_rollup", lambda t: _plain(A.occurrence_rollup(t.tickets.withColumn("key", S.content_hash(F.col("title"), F.lit(""))), "key"), "first_seen", "last_seen").drop("key"),
-      r"SELECT count(*) AS occurrence_count, epoch_us(min(created_at)) AS first_seen, epoch_us(max(created_at)) AS last_seen, string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY ticket_id) AS source_ids FROM tickets GROUP BY trim(regexp_replace(regexp_replace(regexp_replace(lower(title || ' '), '<[^>]+>', ' ', 'g'), '\p{Nd}+(\.\p{Nd}+)?', '#', 'g'), '[\s\p{Z}]+', ' ', 'g'))", "tickets")
+      r"SELECT count(*) AS occurrence_count, epoch_us(min(created_at)) AS first_seen, epoch_us(max(created_at)) AS last_seen FROM tickets GROUP BY trim(regexp_replace(regexp_replace(regexp_replace(lower(title || ' '), '<[^>]+>', ' ', 'g'), '\p{Nd}+(\.\p{Nd}+)?', '#', 'g'), '[\s\p{Z}]+', ' ', 'g'))", "tickets")
+query("occurrence_ids", lambda t: A.occurrence_ids(t.tickets.withColumn("key", S.content_hash(F.col("title"), F.lit(""))), "key"),
+      r"SELECT DISTINCT substring(sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(title || ' '), '<[^>]+>', ' ', 'g'), '\p{Nd}+(\.\p{Nd}+)?', '#', 'g'), '[\s\p{Z}]+', ' ', 'g'))), 1, 16) AS key, ticket_id FROM tickets", "tickets")
 _ACC = ", ".join(f"sum({f}::INT) AS {f}_n, count({f}) AS {f}_d, CASE WHEN count({f}) > 0 THEN round(100.0 * sum({f}::INT) / count({f}), 1) END AS {f}_pct" for f in _FLAGS)
 query("accuracy_report", lambda t: A.accuracy_report(J.prediction_vs_truth(t.eval_rows, t.taxonomy), _FLAGS), f"WITH {_PVT} SELECT true_system, grouping(true_system) AS overall, {_ACC} FROM f GROUP BY GROUPING SETS ((true_system), ())", "tickets", "taxonomy", "eval_rows")
 _VALS = lambda t, m: t.pages.select(F.col("page_id").alias("file"), F.when(F.col("page_id") % 2 == 0, "code").otherwise("page").alias("field"), F.array(F.concat(F.lit("a"), F.col("page_id") % m), F.concat(F.lit("b"), F.col("page_id") % 3)).alias("values"))
