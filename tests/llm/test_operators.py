@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ticketflow.llm import decontam, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
+from ticketflow.llm import decontam, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup, text, toxicity
 from ticketflow.llm.graph import components
 from ticketflow.llm.licenses import BSD_2, BSD_3, BSL_1, ISC, KNOWN, MIT, TEXTS, ZLIB, canonical_text, license_passages, license_scan
 from ticketflow.llm.quality_qda import Discriminant, quality_classifier
@@ -106,6 +106,17 @@ def test_ngram_jaccard_on_odd_rows(spark, odd):
     assert in_order(map(tuple, got)) == in_order(brute_rows([(r["doc_id"], r["text"]) for r in odd.collect()]))
 
 
+def test_bitmap_of_a_table_keeps_all_its_keys(spark, monkeypatch):
+    rng = random.Random(25)
+    held, others = ([rng.randrange(-(2**63), 2**63) for _ in range(500)] for _ in range(2))
+    held += [0, -1, 1, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(held + others)], "key long, i long")
+    for bits, most in ((1 << 28, 20), (1 << 15, 60), (8, 500)):
+        monkeypatch.setattr(text, "BITMAP_BITS", bits)
+        kept = {r["i"] for r in text.maybe_in(rows, "key", text.bitmap_of(spark.createDataFrame([(k,) for k in held], "key long"), "key")).collect()}
+        assert kept >= set(range(len(held))) and len(kept) - len(held) <= most
+
+
 def test_bitmaps_never_reject_a_link():
     rng = np.random.default_rng(5)
     for n in (10, 45, 100, 1000, 9000):

@@ -16,12 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PIECE_BYTES = 1 << 18
 #: Bytes of an Arrow batch, so that a worker's memory does not follow the number of rows.
 BATCH_BYTES = 2 << 20
 #: Bytes of a side that is broadcast at most, and what a row of a few longs takes as a hashed relation.
 BROADCAST_BYTES, HASHED_ROW_BYTES = 48 << 20, 64
+#: Bits of a bitmap that says which hashes may be in a table.
+BITMAP_BITS = 1 << 28
 U64 = np.uint64
 
 _PRIME = 0x9E3779B97F4A7C15
@@ -59,6 +62,24 @@ def join_hint(df: DataFrame, row_bytes: int = HASHED_ROW_BYTES) -> str:
     return "broadcast" if df.count() * row_bytes <= BROADCAST_BYTES else "merge"
 
 
+def bitmap_of(keys: DataFrame, key: str) -> DataFrame:
+    """The bits of a table of hashes -> bucket, bits: 2 ** 28 bits, hence 32 MB, whatever the table's size."""
+    at = F.col(key).bitwiseAND(F.lit(BITMAP_BITS - 1)) + 1
+    return cut(keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")))
+
+
+def maybe_in(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """The rows whose bit is set: all of those whose key is in the bitmap's table, and some others, the more the larger that table is.
+
+    The bitmap is broadcast, so most rows that a join would drop need no shuffle.
+    """
+    at = F.col(key).bitwiseAND(F.lit(BITMAP_BITS - 1)) + 1
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.join(bitmap.hint("broadcast"), F.bitmap_bucket_number(at) == F.col("bucket"))
+    return held.filter(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0).drop("bucket", "bits")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values, so that all bits depend on all bits."""
     h = h ^ (h >> U64(30))
