@@ -122,18 +122,22 @@ def normalize_page(c: Column) -> Column:
     return F.regexp_replace(normalize_code(c), "^ال", "")
 
 
+# Labels and patterns of personal data, with what replaces them, in this order.
+PII_DOCUMENT = r"(رقم\s*(?:الهوية|الإقامة|الاقامة|الجواز)|الهوية\s*الوطنية|جواز\s*السفر|national\s*id|iqama|residence\s*(?:id|permit|number)|passport(?:\s*(?:no|number))?)"
+PII_NAME = r"(الاسم(?:\s*(?:الثلاثي|الرباعي|الأول|الكامل))?|اسم\s*(?:المستفيد|العميل)?|full\s*name|customer\s*name|beneficiary\s*name|name)"
+PII_STOP = r"(?:رقم|الهوية|الإقامة|الاقامة|الجواز|جواز|الاسم|اسم|البريد|هاتف|عنوان|جوال|name|phone|email|address|passport|iqama|national|dob|date|mobile)"
+PII_WORD = r"[؀-ۿA-Za-z]+"
+PII = (
+    (r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "[EMAIL]"),
+    (r"(?<!\d)(?:(?:\+?966[\s\-]*)?0?5\d{8}|\+\d[\d\s\-()]{7,15}\d)(?!\d)", "[PHONE]"),
+    (PII_DOCUMENT + r"\s*[:：]?\s*([A-Za-z0-9][A-Za-z0-9\-]{1,40})", "$1 [DOC-ID]"),
+    (PII_NAME + r"\s*[:：]?\s*(" + PII_WORD + r"(?:\s+(?!" + PII_STOP + r"\b)" + PII_WORD + r"){0,2})(?![\d\-])", "$1 [NAME]"),
+)
+
+
 def mask_pii(c: Column) -> Column:
     """Addresses, phone numbers, labelled document numbers and names; never bare codes."""
-    doc = r"(رقم\s*(?:الهوية|الإقامة|الاقامة|الجواز)|الهوية\s*الوطنية|جواز\s*السفر|national\s*id|iqama|residence\s*(?:id|permit|number)|passport(?:\s*(?:no|number))?)"
-    name = r"(الاسم(?:\s*(?:الثلاثي|الرباعي|الأول|الكامل))?|اسم\s*(?:المستفيد|العميل)?|full\s*name|customer\s*name|beneficiary\s*name|name)"
-    stop = r"(?:رقم|الهوية|الإقامة|الاقامة|الجواز|جواز|الاسم|اسم|البريد|هاتف|عنوان|جوال|name|phone|email|address|passport|iqama|national|dob|date|mobile)"
-    word = r"[؀-ۿA-Za-z]+"
-    for pattern, to in (
-        (r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "[EMAIL]"),
-        (r"(?<!\d)(?:(?:\+?966[\s\-]*)?0?5\d{8}|\+\d[\d\s\-()]{7,15}\d)(?!\d)", "[PHONE]"),
-        (doc + r"\s*[:：]?\s*([A-Za-z0-9][A-Za-z0-9\-]{1,40})", "$1 [DOC-ID]"),
-        (name + r"\s*[:：]?\s*(" + word + r"(?:\s+(?!" + stop + r"\b)" + word + r"){0,2})(?![\d\-])", "$1 [NAME]"),
-    ):
+    for pattern, to in PII:
         c = F.regexp_replace(c, pattern, to)
     return c
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
+from ticketflow.operators.graph import cut
 from ticketflow.operators.joins import cross_system_members, remint_guard, validate_service, verdict_coverage
 
 PINNED = ("human", "admin")
@@ -98,7 +99,7 @@ def apply_group_verdicts(cl: DataFrame, mb: DataFrame, st: DataFrame, presented:
         blocked = remint_guard(each.select(F.struct("batch", "group_no").alias("group_id"), "system", "name", "ticket_id"), cl, vetoes).select("group_id.batch", "group_id.group_no")
     log = judge_groups(presented, named, st, blocked)
     log = log.join(cl.select(F.col("cluster_id").cast("string").alias("cluster_id"), F.lit("known id").alias("known")).distinct(), "cluster_id", "left").withColumn("reason", F.coalesce("reason", "known"))
-    log = log.select("batch", "group_no", "name", "system", "n", "cluster_id", "reason")
+    log = cut(log.select("batch", "group_no", "name", "system", "n", "cluster_id", "reason"))
     new = log.filter("reason is null")
     text = lambda df: df.withColumn("cluster_id", F.col("cluster_id").cast("string"))
     minted = new.groupBy("cluster_id").agg(F.min("name").alias("name"), F.lit(status).alias("status"), F.min("system").alias("affected_system"))

@@ -20,15 +20,15 @@ def sweep(st: DataFrame, cl: DataFrame, mb: DataFrame, lg: DataFrame, embeddings
     """
     cl, mb, demoted = state.demote_small(cl, mb)
     mb, evicted = state.evict_cross_system(cl, mb, st)
-    vetoes = windows.live_vetoes(lg, now)
+    cl, mb, vetoes = graph.cut(cl), graph.cut(mb), graph.cut(windows.live_vetoes(lg, now))
     pool = joins.unassigned_pool(st, mb).join(embeddings, "ticket_id")
-    cards = joins.candidate_clusters(pool, cl, mb, vetoes)
+    cards = graph.cut(joins.candidate_clusters(pool, cl, mb, vetoes))
     best = cards.groupBy("ticket_id").agg(F.max(F.struct("score", (-F.col("cluster_id")).alias("c"))).alias("b")).select("ticket_id", F.lit("assign").alias("action"), (-F.col("b.c")).alias("cluster_id"), F.when(F.col("b.score") >= min_score, "high").otherwise("low").alias("confidence"))
     cl, members, log = state.apply_assign_verdicts(cl, mb, st, cards, graph.cut(best))
-    members = graph.cut(members)
+    cl, members = graph.cut(cl), graph.cut(members)
     left = windows.batch_assign(joins.unassigned_pool(st, members).select("ticket_id", S.system_of(F.col("affected_system")).alias("system")), 20, ["system"], ["ticket_id"])
     batches = graph.cut(left.select(F.concat_ws("|", "system", "batch").alias("batch"), "ticket_id"))
-    groups = answer(batches) if answer else batches.limit(0).select("batch", F.lit(None).cast("long").alias("group_no"), F.lit(None).cast("string").alias("name"), "ticket_id")
+    groups = graph.cut(answer(batches)) if answer else batches.limit(0).select("batch", F.lit(None).cast("long").alias("group_no"), F.lit(None).cast("string").alias("name"), "ticket_id")
     shown = batches.join(groups.select("batch").distinct(), "batch", "left_semi")
     cl, members, verdicts = state.apply_group_verdicts(cl, members, st, shown, groups, vetoes, status)
     figures = demoted.agg(F.count(F.lit(1)).alias("demoted")).crossJoin(evicted.agg(F.count(F.lit(1)).alias("evicted"))).crossJoin(log.agg(F.count_if(F.col("outcome") == "assign").alias("assigned"))).crossJoin(batches.agg(F.count(F.lit(1)).alias("pool"), F.countDistinct("batch").alias("batches"))).crossJoin(verdicts.agg(F.count_if(F.col("reason").isNull()).alias("groups"), F.count_if(F.col("reason") == "evicted before").alias("veto_skipped"), F.count_if(F.col("reason") == "several services").alias("service_skipped")))
