@@ -83,8 +83,13 @@ STAGES = [
 ]
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; what a stage returns is written to the shared folder and read again.
+    """Apply STAGES to documents; what a stage returns is written to the shared folder and read again, and removed once the next one is written.
 
     Null and empty texts are kept by every filter. Null or repeated doc_ids: each row is a document of its own, of
     which only copies go. Extra columns stay as they are, up to the last stage. An empty table gives an empty result.
@@ -95,4 +100,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
