@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.llm.lcp_merge import LoserTree, front_code
-from ticketflow.llm.text import U64, Piece, cut, join_hint, map_batches, map_iter, mix, pieces, prefix_hash, span_hash
+from ticketflow.llm.text import U64, Piece, bitmap_of, cut, join_hint, map_batches, map_iter, maybe_in, mix, pieces, prefix_hash, span_hash
 
 #: Length of a repeat in bytes; start positions that share one anchor at most; bytes of an anchor's gram.
 LENGTH, REACH, GRAM = 200, 128, 16
@@ -233,11 +233,11 @@ def _with_parts(docs: DataFrame, parts: DataFrame) -> DataFrame:
 def _sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stretches or cells (row_id, first, n, key, context, lead, alone) -> (row_id, first, n) of lone ones that repeat as a whole, and one of each context of the keys that have several: key, k (how many), row_id, first, n, lead, alone.
 
-    Contexts are the same if both their hashes are. `alone` are those whose strings are not yet known to repeat.
+    Contexts are the same if both their hashes are. Keys and contexts grow with the data, so they are joined by shuffle at any size. `alone` are those whose strings are not yet known to repeat.
     """
     contexts = cut(rows.groupBy("key", "context").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("open"), F.min(F.struct("row_id", "first", "n", "lead")).alias("at")))
     full = cut(contexts.filter("c > 1 and open").select("key", "context"))
-    whole = rows.filter("alone").join(full.hint(join_hint(full)), ["key", "context"], "left_semi").select("row_id", "first", "n")
+    whole = rows.filter("alone").join(full.hint("merge"), ["key", "context"], "left_semi").select("row_id", "first", "n")
     alone = (F.col("c") == 1) & F.col("open")
     several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(alone).alias("any")).filter("k > 1 and any").select("key", "k")
     return whole, cut(contexts.join(several.hint("merge"), "key").select("key", "k", "at.row_id", "at.first", "at.n", "at.lead", alone.alias("alone")))
@@ -248,7 +248,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     rows = cut(stretches(docs))
     keys = cut(rows.select(F.explode("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
     each = rows.select("row_id", F.inline(F.arrays_zip("first", "n", "key", "context")), F.lit(0).alias("lead"), F.lit(True).alias("alone"))
-    level = each.join(keys.hint(join_hint(keys)), "key", "left_semi")
+    level = maybe_in(each, "key", bitmap_of(keys, "key")).join(keys.hint("merge"), "key", "left_semi")
     out, few, width = None, None, REACH
     for narrower in (*CELLS, None):
         whole, left = _sorted_out(level)
