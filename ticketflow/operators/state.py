@@ -90,7 +90,8 @@ def apply_group_verdicts(cl: DataFrame, mb: DataFrame, st: DataFrame, presented:
     """M4: clusters, members, log. cluster_id is text, as new ids are.
 
     Names pass the label guard; a group is refused for a wrong coverage of its batch, fewer than two members, members of several
-    services, or a live veto by a cluster of its name and system (J20). A group whose id is known is skipped; the others become clusters with `status`.
+    services, or a live veto by a cluster of its name and system (J20). A group whose id is known is skipped; the others become clusters with `status`, of
+    their members' smallest system; members of another system are not taken in (M2).
     """
     named = guard_names(groups, st)
     blocked = None
@@ -104,7 +105,8 @@ def apply_group_verdicts(cl: DataFrame, mb: DataFrame, st: DataFrame, presented:
     text = lambda df: df.withColumn("cluster_id", F.col("cluster_id").cast("string"))
     minted = new.groupBy("cluster_id").agg(F.min("name").alias("name"), F.lit(status).alias("status"), F.min("system").alias("affected_system"))
     clusters = text(cl).select("cluster_id", "name", "status", "affected_system").unionByName(minted)
-    asked = named.join(new.select("batch", "group_no", "cluster_id", "system"), ["batch", "group_no"]).select("ticket_id", "system", "cluster_id", F.lit("llm").alias("assigned_by"), F.lit(0).alias("seq"))
+    own = st.select("ticket_id", S.system_of(F.col("affected_system")).alias("system"))
+    asked = named.join(new.select("batch", "group_no", "cluster_id"), ["batch", "group_no"]).join(own, "ticket_id").select("ticket_id", "system", "cluster_id", F.lit("llm").alias("assigned_by"), F.lit(0).alias("seq"))
     clusters, members, _ = apply_memberships(clusters, text(mb), asked)
     return clusters, members, log
 
