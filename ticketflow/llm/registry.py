@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketflow.llm.decontam import contaminated
+from ticketflow.llm.divergence import ORACLE as DIVERGENCE_SQL
+from ticketflow.llm.divergence import divergence
 from ticketflow.llm.licenses import license_oracle, license_passages, license_scan
 from ticketflow.llm.mixing import mix_sources
 from ticketflow.llm.ngram_join import jaccard_components
@@ -34,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": lambda s, d: scan_secrets(table(s, d, "documents")),
     "op9_quality_classifier": lambda s, d: quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
     "op10_decontaminate": lambda s, d: contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op13_source_divergence": lambda s, d: divergence(table(s, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {"op4_license_scan": license_oracle()}
+ORACLE: dict[str, str] = {"op4_license_scan": license_oracle(), "op13_source_divergence": DIVERGENCE_SQL}
