@@ -23,6 +23,8 @@ from ticketflow.llm.text import cut, join_hint, map_iter, pieces
 SCALE, PRIOR = 1_000_000_000, 5
 #: Terms of a bucket (about), and sources of a block.
 BUCKET, BLOCK = 1024, 64
+#: A count and a place in one number: more places than a bucket can have.
+PLACES = 1 << 16
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def _bucket_distances(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     for k, packed in enumerate(rows["packed"]):
         if packed is not None and len(packed):
             packed = np.asarray(packed, dtype=np.int64)
-            counts[k, packed % (64 * BUCKET)] = packed // (64 * BUCKET)
+            counts[k, packed % PLACES] = packed // PLACES
     one, two = np.flatnonzero(rows["block"] == i), np.flatnonzero(rows["block"] == j)
     a, b = np.repeat(one, len(two)), np.tile(two, len(one))
     a, b = a[a < b], b[a < b]
@@ -162,7 +164,7 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = over.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value").withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top)
 
-    packed = rows.groupBy("lang", "bucket", "source").agg(F.collect_list(F.col("n") * (64 * BUCKET) + F.col("place")).alias("packed"))
+    packed = rows.groupBy("lang", "bucket", "source").agg(F.collect_list(F.col("n") * PLACES + F.col("place")).alias("packed"))
     widths = rows.groupBy("lang", "bucket").agg((F.max("place") + 1).alias("width"))
     every = cut(widths).hint("merge").join(few, "lang").join(packed.hint("merge"), ["lang", "bucket", "source"], "left")
     blocks = groups.groupBy("lang").agg((F.max("block") + 1).alias("blocks"))
