@@ -1,11 +1,11 @@
 """Spelling variants: words one edit apart, through a variable-length gram index.
 
-Grams of 3 to 6 characters are counted over all words. A word is decomposed at each start into the shortest gram that is
-not frequent, so common grams are always extended and lists stay short. As the gram at a start depends on its own
-characters alone, an edit changes only the grams that lie over it; the most that one edit can reach is the
-word's bound, and of two words one edit apart the rarest gram that survives is among the first bound + 1 of both. Only
-those are indexed, each with all that stands before it or all that stands after it, as a single edit leaves one of these
-sides whole. Words that meet in a list are verified; a long list is cut by what is left of its words when a character is taken out.
+Grams of 2 to 5 characters are counted over all words, and only frequent ones enter the dictionary. A word is decomposed from
+its start, and again from its end, into the shortest grams that are not frequent, so common grams are always extended. As a gram
+depends on its own characters alone, an edit affects no gram before it in the one decomposition and none after it in the other. For each place
+that an edit can have, the word is in the list of all that its unaffected grams cover, on the side where that is more; two words one
+edit apart meet in the list of that place. Words that meet are verified; a long list is cut by what is left of its
+words when a character at one of its places is taken out.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from ticketflow.llm.terms import held, latin_letters, runs, term_array
 from ticketflow.llm.text import cut, join_hint, map_batches, map_iter, mix, pieces, powers, span_hash
 
 #: Shortest and longest gram.
-SHORT, LONG = 3, 6
+SHORT, LONG = 2, 5
 #: A gram is frequent in more words than this, or more where the dictionary of frequent grams would pass its bound.
 FREQUENT, DICTIONARY = 32, 500_000
 #: A list with more words is cut.
-LIST = 32
+LIST = 64
 #: Runs of more bytes are hashed one by one.
 SLOT = 64
 
@@ -114,21 +114,50 @@ class Grams:
         at = np.flatnonzero(self.room >= n)
         return at, span_hash(self.run, at, at + n)
 
-    def decomposed(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, length and hash of the gram at each start, and whether it is frequent all the same."""
-        at = np.flatnonzero(self.room >= SHORT)
-        size, common = np.zeros(len(at), dtype=np.int64), np.ones(len(at), dtype=bool)
+    def marks(self, frequent: np.ndarray, back: bool) -> np.ndarray:
+        """Where grams meet when each word is decomposed from its start, or `back` from its end."""
+        at = np.arange(len(self.word) + 1)
+        size = np.zeros(len(at), dtype=np.int64)
+        room = np.append(0, at[:-1] - self.begin[self.word] + 1) if back else np.append(self.room, 0)
+        common = np.ones(len(at), dtype=bool)
         for n in range(SHORT, LONG + 1):
-            open_ = np.flatnonzero(common & (self.room[at] >= n))
-            h = span_hash(self.run, at[open_], at[open_] + n)
+            open_ = np.flatnonzero(common & (room >= n))
+            h = span_hash(self.run, open_ - n, open_) if back else span_hash(self.run, open_, open_ + n)
             size[open_] = n
             common[open_] = np.isin(h, frequent)
-        return at, size, span_hash(self.run, at, at + size), common
-
-    def bounds(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """For each word, the most grams that lie over one character."""
-        over = np.bincount(at, minlength=len(self.word) + 1) - np.bincount(at + size, minlength=len(self.word) + 1)
-        return np.maximum.reduceat(np.cumsum(over)[: len(self.word)], self.begin)
+        size[common & (size < LONG)] = 0  # the rest of a word is no gram
+        mark = np.zeros(len(at), dtype=bool)
+        now = self.stop if back else self.begin
+        while len(now := now[size[now] > 0]):
+            now = now - size[now] if back else now + size[now]
+            mark[now] = True
+        return mark
+
+    def lists(self, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Key, word, first and last place of an edit (in the padded word) of each list that a word is in."""
+        size = self.stop - self.begin
+        half = (size - 1) // 2
+        out = []
+        for back in (False, True):
+            mark, index = self.marks(frequent, back), np.arange(len(self.word) + 1)
+            # where what is kept ends (or, back, begins): the last mark before a place, the place itself where there is none
+            low, high = (self.begin + 1, self.stop - half) if back else (self.begin + half, self.stop - 1)
+            place = np.repeat(low - np.cumsum(high - low + 1) + (high - low + 1), high - low + 1) + np.arange((high - low + 1).sum())
+            word = np.repeat(np.arange(len(size)), high - low + 1)
+            if back:
+                edge = np.minimum.accumulate(np.where(mark, index, len(index))[::-1])[::-1][place]
+                edge = np.where(edge < self.stop[word], edge, place)
+            else:
+                edge = np.maximum.accumulate(np.where(mark, index, -1))[place]
+                edge = np.where(edge > self.begin[word], edge, place)
+            new = np.ones(len(edge), dtype=bool)
+            new[1:] = (edge[1:] != edge[:-1]) | (word[1:] != word[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(edge)) - 1
+            of, edge = word[first], edge[first]
+            key = span_hash(self.run, edge, self.stop[of]) ^ np.uint64(2) if back else span_hash(self.run, self.begin[of], edge) ^ np.uint64(1)
+            out.append((mix(key), of, place[first] - self.begin[of] - back, place[last] - self.begin[of] - back))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _frequent(words: DataFrame) -> np.ndarray:
@@ -152,50 +181,32 @@ def _frequent(words: DataFrame) -> np.ndarray:
 
 
 def _indexed(words: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """word, n -> key, at, word, n: a row for each list that a word is in. `at` is where the side that may differ begins (after a kept start), or, negative, ends."""
+    """word, n -> key, low, high, word, n: a row for each list that a word is in, with the places of an edit that it is for."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        grams = Grams(batch.column("word").to_pylist())
-        at, size, h, common = grams.decomposed(frequent)
-        of = grams.word[at]
-        order = np.lexsort((h, common, of))
-        at, size, h, of = at[order], size[order], h[order], of[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-        rank = np.cumsum(new)
-        first = np.ones(len(of), dtype=bool)
-        first[1:] = of[1:] != of[:-1]
-        rank -= np.maximum.accumulate(np.where(first, rank, 0))
-        used = rank <= grams.bounds(at, size)[of]
-        at, size, of = at[used], size[used], of[used]
-        begin, stop = grams.begin[of], grams.stop[of]
-        before, after = at + size < stop, at > begin
-        key = np.concatenate([mix(span_hash(grams.run, begin[before], (at + size)[before]) ^ np.uint64(1)), mix(span_hash(grams.run, at[after], stop[after]) ^ np.uint64(2))])
-        place = np.concatenate([(at + size - begin)[before], -(at - begin)[after]])
-        owner = np.concatenate([of[before], of[after]])
+        key, of, low, high = Grams(batch.column("word").to_pylist()).lists(frequent)
         for k in range(0, len(key), 50_000):
-            some = pa.array(owner[k : k + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 50_000].view(np.int64)), pa.array(place[k : k + 50_000], pa.int32()), batch.column("word").take(some), batch.column("n").take(some)], ["key", "at", "word", "n"])
+            some = pa.array(of[k : k + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 50_000].view(np.int64)), pa.array(low[k : k + 50_000], pa.int32()), pa.array(high[k : k + 50_000], pa.int32()), batch.column("word").take(some), batch.column("n").take(some)], ["key", "low", "high", "word", "n"])
 
-    return map_batches(words.select("word", "n"), each, "key long, at int, word string, n long")
+    return map_batches(words.select("word", "n"), each, "key long, low int, high int, word string, n long")
 
 
 def _cut_lists(rows: DataFrame) -> DataFrame:
-    """Rows of long lists -> key, word, n: words one edit apart share what is left of the open side, whole or without one character."""
+    """Rows of long lists -> key, word, n: words one edit apart share what is left, whole or without the character at the edit's place."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, owner = [], []
-        for k, (key, at, word) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "at", "word")))):
+        for k, (key, low, high, word) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "word")))):
             padded = f"^{word}$"
-            rest = padded[at:] if at > 0 else padded[:-at]
-            for form in {rest} | {rest[:j] + rest[j + 1 :] for j in range(len(rest))}:
+            for form in {padded} | {padded[:j] + padded[j + 1 :] for j in range(low, high + 1)}:
                 keys.append(f"{key}:{form}")
                 owner.append(k)
         for k in range(0, len(keys), 50_000):
             some = pa.array(owner[k : k + 50_000])
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 50_000], pa.string()), batch.column("word").take(some), batch.column("n").take(some)], ["key", "word", "n"])
 
-    return map_batches(rows.select("key", "at", "word", "n"), each, "key string, word string, n long").withColumn("key", F.xxhash64("key"))
+    return map_batches(rows.select("key", "low", "high", "word", "n"), each, "key string, word string, n long").withColumn("key", F.xxhash64("key"))
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -206,16 +217,14 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, n), distinct words of 7 characters or more -> a, n_a, b, n_b: each pair that is one inserted, deleted or replaced character apart, once.
+    """(word, n), distinct words -> a, n_a, b, n_b: each pair that is one inserted, deleted or replaced character apart, once.
 
-    Seven characters leave every word at least one gram that an edit does not reach. Word lists longer than LIST are cut, so that
-    no list is paired beyond its near words; an empty table gives no pairs.
+    Lists longer than LIST are cut, so that no list is paired beyond its near words; an empty table gives no pairs.
     """
     index = cut(_indexed(words, _frequent(words)))
     lists = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     met = cut(index.join(lists.hint("merge"), "key"))
-    long = cut(_cut_lists(met.filter(F.col("c") > LIST)).distinct())
-    return cut(_met(met.filter(F.col("c") <= LIST)).unionByName(_met(long)).distinct())
+    return cut(_met(met.filter(F.col("c") <= LIST)).unionByName(_met(_cut_lists(met.filter(F.col("c") > LIST)))).distinct())
 
 
 def roots(forms: DataFrame, rounds: int = 60) -> DataFrame:
