@@ -52,9 +52,10 @@ def order(rows):
     return sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
 
 
-def test_vectors_against_all_pairs(spark, monkeypatch):
-    """Groups of near copies at all distances round the limit, a hot group, equal vectors, several tiles."""
-    monkeypatch.setattr(pq, "PER_LIST", 40)
+@pytest.mark.parametrize("per_list", [40, 10**6])
+def test_vectors_against_all_pairs(spark, monkeypatch, per_list):
+    """Groups of near copies at all distances round the limit, a hot group, equal vectors, several tiles; with one list the result is exact."""
+    monkeypatch.setattr(pq, "PER_LIST", per_list)
     monkeypatch.setattr(pq, "BLOCK", 64)
     rng = np.random.default_rng(5)
     vecs = list(rng.normal(size=(300, 24)))
@@ -66,7 +67,11 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     vecs += [vecs[0] + rng.normal(size=24) * 0.15 for _ in range(200)] + [vecs[1]] * 30
     rows = [(1000 - k, list(v)) for k, v in enumerate(vecs)]
     got = [tuple(r) for r in pq.embedding_duplicates(vector_frame(spark, rows)).select("vec_id", "n_links", "component_id", "kept").collect()]
-    assert order(got) == order(brute_vectors(rows))
+    want = brute_vectors(rows)
+    if per_list > len(rows):
+        assert order(got) == order(want)
+    links = {r[0]: r[1] for r in want}
+    assert all(n <= links[i] for i, n, _, _ in got) and sum(r[1] for r in got) >= 0.97 * sum(links.values())
 
 
 def test_odd_vectors(spark):
@@ -85,7 +90,7 @@ def test_table_distances_bound_true_ones():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 20))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = pq.fit(x, 5)
+    q = pq.fit(x, 5, 0.95)
     own, codes, error = pq.encode(x, q)
     for k in range(5):
         member = np.flatnonzero(own == k)
@@ -94,15 +99,20 @@ def test_table_distances_bound_true_ones():
         assert (np.abs(got - true) <= error[member] + 1e-9).all()
 
 
-def test_probes_hold_every_pair_in_reach():
+def test_probes_find_pairs_at_the_threshold():
+    """Pairs at the cosine 0.95, in 64 dimensions and in groups of 8: nearly all are found from the one side that asks, and few lists are asked."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(500, 8))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = pq.fit(x, 12)
-    own, _, _ = pq.encode(x, q)
-    ask = pq.probes(x, own, q, 0.5)
-    a, b = np.nonzero(np.linalg.norm(x[:, None] - x, axis=2) <= 0.5)
-    assert ask[a, own[b]].all() and ask.mean() < 0.9
+    for x in (rng.normal(size=(12_000, 64)), rng.normal(size=(300, 8))[rng.integers(0, 300, 12_000)] + 0.3 * rng.normal(size=(12_000, 8))):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q = pq.fit(x[:6000], 46, 0.95)
+        aside = rng.normal(size=x.shape)
+        aside -= (aside * x).sum(axis=1, keepdims=True) * x
+        y = 0.95 * x + np.sqrt(1 - 0.95**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+        own, other = pq.encode(x, q)[0], pq.encode(y, q)[0]
+        ask, ask_y = pq.probes(x, own, q), pq.probes(y, other, q)
+        at = np.arange(len(x))
+        found = np.where(own <= other, ask[at, other], ask_y[at, own])
+        assert found.mean() >= 0.985 and ask.sum(axis=1).mean() < 12
 
 
 def brute_words(docs):

@@ -1,9 +1,9 @@
 """Near duplicates among vectors by product quantisation.
 
 Unit vectors are dealt to coarse inverted lists; what is left after the list's centre is quantised in subspaces, a code each. A vector asks
-every list that could hold one within the distance of the threshold, and there compares its own residual, through tables of
+the nearest lists, as many as hold nearly all vectors that lie just at the threshold, and there compares its own residual, through tables of
 squared distances to the codewords, with the codes of the members. The quantisation error of each member is kept, so that the
-table distance bounds the true one from both sides, and no pair at the threshold is skipped. What passes is decided by the exact cosine.
+table distance bounds the true one from both sides, and no pair that meets is skipped. What passes is decided by the exact cosine.
 Lists and questions are dealt in blocks; a task compares two blocks and returns a row for each vector, not for each pair.
 """
 
@@ -24,14 +24,18 @@ from ticketflow.llm.text import _give_back, cut, join_hint, map_batches
 PER_LIST, LISTS, SAMPLE = 256, 4096, 40_000
 #: Subspaces, codewords of each, rounds of fitting.
 SUBSPACES, CODES, ROUNDS = 16, 256, 8
+#: Share of vectors at the threshold whose list must be among those asked.
+SURE = 0.995
 #: Vectors of a block, and pairs that are held at once.
 BLOCK, CHUNK = 1024, 1 << 17
 
 
 class Quantiser(NamedTuple):
-    """Centres of the lists, and codewords of each subspace (bounds cut the dimensions)."""
+    """Centres of the lists, how many lists are asked and how far their border may be, and codewords of each subspace (bounds cut the dimensions)."""
 
     centers: np.ndarray
+    asked: int
+    border: float
     bounds: list[int]
     words: list[np.ndarray]
 
@@ -53,12 +57,29 @@ def kmeans(x: np.ndarray, n: int, rounds: int = ROUNDS) -> np.ndarray:
     return centers
 
 
-def fit(x: np.ndarray, lists: int) -> Quantiser:
-    """Fit lists and codes on a sample of unit vectors."""
+def borders(x: np.ndarray, own: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances to the centres (less a constant of the row), and distances to the borders between the own list and each other."""
+    square = (centers**2).sum(axis=1)
+    d = square - 2 * x @ centers.T
+    apart = np.sqrt(np.maximum(square[own][:, None] + square - 2 * centers[own] @ centers.T, 1e-18))
+    return d, (d - d[np.arange(len(x)), own][:, None]) / (2 * apart)
+
+
+def fit(x: np.ndarray, lists: int, least: float) -> Quantiser:
+    """Fit lists and codes on a sample of unit vectors. Asked are as many lists as hold SURE of vectors whose cosine to one of the sample is just `least`, in random directions."""
     centers = kmeans(x, lists)
-    rest = x - centers[_nearest(x, centers)]
+    own = _nearest(x, centers)
+    rest = x - centers[own]
     bounds = [int(b) for b in np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1)]
-    return Quantiser(centers, bounds, [kmeans(np.ascontiguousarray(rest[:, a:b]), CODES) for a, b in zip(bounds, bounds[1:])])
+    some = x[np.linspace(0, len(x) - 1, min(len(x), 8192)).astype(np.int64)]
+    aside = np.random.Generator(np.random.PCG64(11)).normal(size=some.shape)
+    aside -= (aside * some).sum(axis=1, keepdims=True) * some
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+    other = _nearest(least * some + np.sqrt(1 - least**2) * aside, centers)
+    d, border = borders(some, _nearest(some, centers), centers)
+    at = np.arange(len(some))
+    asked = int(np.ceil(np.quantile((d < d[at, other][:, None]).sum(axis=1) + 1, SURE)))
+    return Quantiser(centers, asked, float(np.quantile(border[at, other], SURE)), bounds, [kmeans(np.ascontiguousarray(rest[:, a:b]), CODES) for a, b in zip(bounds, bounds[1:])])
 
 
 def units(raw: list[bytes]) -> np.ndarray:
@@ -80,13 +101,12 @@ def encode(x: np.ndarray, q: Quantiser) -> tuple[np.ndarray, np.ndarray, np.ndar
     return own, codes, np.sqrt(error)
 
 
-def probes(x: np.ndarray, own: np.ndarray, q: Quantiser, reach: float) -> np.ndarray:
-    """Which lists could hold a vector within `reach`: those whose border with the own list is no farther. True where to ask."""
-    c = q.centers
-    square = (c**2).sum(axis=1)
-    d = square - 2 * x @ c.T
-    apart = np.sqrt(np.maximum(square[own][:, None] + square - 2 * c[own] @ c.T, 0))
-    near = d - d[np.arange(len(x)), own][:, None] <= 2 * apart * reach + 1e-9
+def probes(x: np.ndarray, own: np.ndarray, q: Quantiser) -> np.ndarray:
+    """The lists that a vector asks: true where it does, its own always."""
+    d, border = borders(x, own, q.centers)
+    near = border <= q.border
+    if q.asked < len(q.centers):
+        near &= d <= np.partition(d, q.asked - 1, axis=1)[:, q.asked - 1 : q.asked]
     near[np.arange(len(x)), own] = True
     return near
 
@@ -155,8 +175,7 @@ def _linked(classes: DataFrame, least: float) -> DataFrame:
     lists = int(min(LISTS, max(1, count // PER_LIST)))
     drawn = classes.select("embedding").orderBy(F.xxhash64("node", F.lit("sample"))).limit(min(SAMPLE, max(lists * 16, 4096))).toArrow().column("embedding")
     width = len(drawn[0])
-    q = fit(units([drawn.combine_chunks().flatten().to_numpy().astype(np.float64).tobytes()[k * width * 8 : (k + 1) * width * 8] for k in range(len(drawn))]), lists)
-    reach = float(np.sqrt(2 - 2 * least))
+    q = fit(units([drawn.combine_chunks().flatten().to_numpy().astype(np.float64).tobytes()[k * width * 8 : (k + 1) * width * 8] for k in range(len(drawn))]), lists, least)
 
     def index(batch: pa.RecordBatch):
         for k in range(0, batch.num_rows, 2048):
@@ -165,7 +184,7 @@ def _linked(classes: DataFrame, least: float) -> DataFrame:
             raw = [flat[at : at + width].tobytes() for at in range(0, len(flat), width)]
             x = units(raw)
             own, codes, error = encode(x, q)
-            ask = probes(x, own, q, reach)
+            ask = probes(x, own, q)
             ask &= np.arange(ask.shape[1]) >= own[:, None]  # two lists meet once, from the smaller one's side
             to = np.split(np.nonzero(ask)[1], np.cumsum(ask.sum(axis=1))[:-1])
             yield pa.RecordBatch.from_arrays([part.column("node"), part.column("times"), pa.array(raw, pa.binary()), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(to, pa.list_(pa.int32()))], ["node", "times", "v", "list", "codes", "error", "probes"])
@@ -184,8 +203,8 @@ def _linked(classes: DataFrame, least: float) -> DataFrame:
 def embedding_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, embedding) -> vec_id, n_links, component_id, kept: one row per row, linked where the cosine is `least` or more.
 
-    Lists and codes are fitted on at most SAMPLE vectors, chosen by hash; every vector is indexed. Probing and table distances use
-    bounds that hold for every pair, so the fit changes the work, not the result: recall is 1, but for cosines within rounding of `least`.
+    Lists and codes are fitted on at most SAMPLE vectors, chosen by hash; every vector is indexed. A pair is found if the one in the lower list asks
+    the other's, which SURE of pairs just at `least` do, and nearly all closer ones; no link is false. Table distances use bounds that hold for every pair.
 
     Equal vectors are one node, told apart by two 64-bit hashes. Null vectors, zero ones and those with null or non-finite parts are linked with
     nothing, and vectors of different length are not linked. Repeated rows are vectors of their own and link with each other. A row without an
