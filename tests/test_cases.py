@@ -1,7 +1,10 @@
 """Hand-made cases for single operators."""
 
-from pyspark.sql import functions as F
+import math
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ticketflow.functions import hooks as X
 from ticketflow.functions import scalars as S
@@ -107,11 +110,34 @@ def test_pool_proposals_do_not_depend_on_order(spark):
     pairs = [(0, 1, 0.7), (0, 2, 0.7), (1, 2, 0.7), (2, 3, 0.6)]
     verdicts = [(a, b, "NO" if b == 3 else "YES", "YES") for a, b, _ in pairs]
     none = spark.createDataFrame([], "ticket_id int")
+    vectors = spark.createDataFrame([(i, [1.0, 0.1 * i]) for i in range(4)], "ticket_id int, embedding array<double>")
     got = []
     for order in (pairs, pairs[::-1]):
-        p, _ = G.pool_proposals(st, spark.createDataFrame(order, "a int, b int, sim double"), spark.createDataFrame(verdicts, "a int, b int, verdict string, second string"), none)
-        got.append(rows(p.select("members")))
-    assert got == [[("0,1,2",)]] * 2
+        p, _, members = G.pool_proposals(st, vectors, spark.createDataFrame(order, "a int, b int, sim double"), spark.createDataFrame(verdicts, "a int, b int, verdict string, second string"), none)
+        got.append(rows(members.join(p, "component", "left_semi").select("ticket_id")))
+    assert got == [[(0,), (1,), (2,)]] * 2
+
+
+def test_cohesion_is_over_all_pairs(spark):
+    """Three tickets with cosines 0.6, 0.5 and 0.0: the pair under the floor counts too, so the gate closes."""
+    vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.6, 0.5, math.sqrt(0.39)]), (3, [0.0, 1.0, 0.0]), (4, [2.0, 0.0, 0.0]), (5, [3.0, 0.1, 0.0]), (6, [1.0, 0.2, 0.0]), (7, [0.0, 0.0, 0.0]), (8, None)], "ticket_id int, embedding array<double>")
+    comps = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (4, 4), (4, 5), (4, 6), (7, 7), (7, 8)], "component int, ticket_id int")
+    flags = comps.select("component", "ticket_id", F.lit("s").alias("service"), F.lit(False).alias("flagged"))
+    got = {r["component"]: (r["mean_sim"], r["passed"]) for r in A.cohesion_gate(comps, vectors, flags).collect()}
+    assert got[1] == (round(1.1 / 3, 6), False)
+    assert got[4][0] > 0.97 and got[4][1] and got[7] == (0.0, False)
+
+
+def test_cohesion_equals_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5))
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "ticket_id int, embedding array<double>")
+    got = A.cohesion(df.select((F.col("ticket_id") % 4).alias("component"), "ticket_id"), df).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for r in got:
+        part = u[np.arange(60) % 4 == r["component"]]
+        a, b = np.triu_indices(len(part), 1)
+        assert abs(r["mean_sim"] - (part @ part.T)[a, b].mean()) < 1e-6
 
 
 def test_next_stamp(spark):

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
 from ticketflow.operators.joins import centroids, unassigned_pool
+from ticketflow.operators.vectors import unit
 
 
 def joined(ids: Column) -> Column:
@@ -143,13 +146,25 @@ def member_purity_flags(mb: DataFrame) -> DataFrame:
     return mb.join(kept, ["cluster_id", "service"])
 
 
-def cohesion_gate(comps: DataFrame, pairs: DataFrame, flags: DataFrame, min_sim: float = 0.45, max_services: int = 6, cap: int | None = None) -> DataFrame:
-    """(component, ticket_id), (a, b, sim), (component, ticket_id, service, flagged) -> figures and whether a component passes."""
+def cohesion(comps: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(component, ticket_id), (ticket_id, embedding) -> component, mean_sim: the mean cosine over all pairs of members with a vector, null with fewer than two.
+
+    Over all pairs the cosines sum to (|sum of unit vectors|^2 - sum of their squares) / 2, so one vector
+    aggregate for each component takes the place of its pairs.
+    """
+    rows = comps.select("component", "ticket_id").join(vectors.select("ticket_id", unit("embedding").alias("v")).filter("v is not null"), "ticket_id")
+    sums = rows.groupBy("component").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("s"), F.count(F.lit(1)).alias("m"), F.sum(S.dot(F.col("v"), F.col("v"))).alias("own"))
+    return sums.select("component", F.when(F.col("m") > 1, F.round((S.dot(F.col("s"), F.col("s")) - F.col("own")) / (F.col("m") * (F.col("m") - 1)), 6)).alias("mean_sim"))
+
+
+def cohesion_gate(comps: DataFrame, vectors: DataFrame, flags: DataFrame, min_sim: float = 0.45, max_services: int = 6, cap: int | None = None) -> DataFrame:
+    """(component, ticket_id), (ticket_id, embedding), (component, ticket_id, service, flagged) -> figures and whether a component passes.
+
+    A component of one vector or none has no cohesion (0.0) and fails; members without a service count as one service more.
+    """
     size = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    a, b = comps.select(F.col("component"), F.col("ticket_id").alias("a")), comps.select(F.col("component").alias("other"), F.col("ticket_id").alias("b"))
-    inside = pairs.join(a, "a").join(b, "b").filter("component = other").groupBy("component").agg(F.round(F.avg("sim"), 6).alias("mean_sim"))
-    f = flags.groupBy("component").agg(F.count_if("flagged").alias("flagged"), F.countDistinct("service").alias("services"))
-    rows = size.join(inside, "component", "left").join(f, "component", "left").na.fill({"mean_sim": 0.0, "flagged": 0, "services": 0})
+    f = flags.groupBy("component").agg(F.count_if("flagged").alias("flagged"), F.countDistinct(F.coalesce(F.col("service").cast("string"), F.lit("?"))).alias("services"))
+    rows = size.join(cohesion(comps, vectors), "component", "left").join(f, "component", "left").na.fill({"mean_sim": 0.0, "flagged": 0, "services": 0})
     out = (F.col("flagged") >= F.greatest(F.lit(1), F.floor(F.col("n") / 3))) | (F.col("mean_sim") < min_sim) | (F.col("services") > max_services)
     return rows.withColumn("passed", ~(out if cap is None else out | (F.col("n") > cap)))
 

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.operators import aggs
 from ticketflow.operators.joins import SMALL_ROWS
+from ticketflow.operators.lineage import cut
 from ticketflow.operators.windows import accepted_edges, topn_neighbours, weakest_edges
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the session's checkpoint folder (in local mode without one, through a folder of our own)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ticketflow-"))
-    return df.checkpoint(eager=True)
-
-
 def connected_components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
     """G1: (a, b) -> node, component (the smallest node), for nodes with an edge.
 
@@ -60,14 +48,14 @@ def drift_prune(comps: DataFrame, removals: DataFrame, at_least: int = 4) -> Dat
     return kept.join(left, "component", "left_semi").select("node", "component")
 
 
-def pool_proposals(st: DataFrame, pairs: DataFrame, verdicts: DataFrame, removals: DataFrame, floor: float = 0.40, auto: float = 0.90, top: int = 10, min_size: int = 3, min_sim: float = 0.45, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(ticket_id, service) and similar pairs inside offerings -> (proposals, needs_review), a row for each component."""
+def pool_proposals(st: DataFrame, vectors: DataFrame, pairs: DataFrame, verdicts: DataFrame, removals: DataFrame, floor: float = 0.40, auto: float = 0.90, top: int = 10, min_size: int = 3, min_sim: float = 0.45, cap: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ticket_id, service), (ticket_id, embedding) and similar pairs inside offerings -> (proposals, needs_review), a row for each component, and the members of both, a row each."""
     edges = cut(accepted_edges(topn_neighbours(pairs, top, floor), verdicts, auto))
     edges = cut(oversize_guard(edges, connected_components(edges), verdicts))
     comps = cut(drift_prune(connected_components(edges), removals))
     size = comps.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= min_size).select("component")
-    members = comps.join(size, "component", "left_semi").select("component", F.col("node").alias("ticket_id"))
+    members = cut(comps.join(size, "component", "left_semi").select("component", F.col("node").alias("ticket_id")))
     named = members.join(st.select("ticket_id", "service"), "ticket_id")
     flags = aggs.member_purity_flags(named.withColumnRenamed("component", "cluster_id")).withColumnRenamed("cluster_id", "component")
-    gate = cut(aggs.cohesion_gate(members, pairs, flags, min_sim=min_sim, cap=cap).join(members.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list("ticket_id")), lambda x: x.cast("string")), ",").alias("members")), "component"))
-    return gate.filter("passed"), gate.filter(~F.col("passed"))
+    gate = cut(aggs.cohesion_gate(members, vectors, flags, min_sim=min_sim, cap=cap))
+    return gate.filter("passed"), gate.filter(~F.col("passed")), members

@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
+from ticketflow.operators.vectors import Index, best_groups, build_index, close_pairs, unit
 
 SMALL_ROWS = 200_000
-#: Vectors of a tile's side.
-TILE = 2048
 
 
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
@@ -146,103 +145,78 @@ def pinned_system(df: DataFrame, tx: DataFrame, system_pattern: str) -> DataFram
 
 
 def block_pairs(vec: DataFrame, floor: float, block: str) -> DataFrame:
-    """Unordered pairs of one block with a cosine of `floor` or more.
-
-    Vectors are normalised once; pairs come from an equi join on the block, and a block with many
-    vectors is cut into tiles, so that no task gets all of a hot block.
-    """
-    unit = vec.select(F.col("vec_id"), F.col(block).alias("block"), S.l2_normalize(F.col("embedding").cast("array<double>")).alias("v"))
-    size = unit.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / 512).alias("tiles"))
-    dealt = unit.join(size, "block").withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")))
-    left = dealt.select("block", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("other"), F.col("tile").alias("own"), F.col("vec_id").alias("p"), F.col("v").alias("u"))
-    right = dealt.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile"))).alias("own"), F.col("tile").alias("other"), F.col("vec_id").alias("q"), F.col("v").alias("w"))
-    rows = left.hint("merge").join(right, ["block", "own", "other"]).filter((F.col("own") < F.col("other")) | (F.col("p") < F.col("q")))
-    rows = rows.withColumn("sim", F.round(S.dot(F.col("u"), F.col("w")), 6)).filter(F.col("sim") >= floor)
-    return rows.select("block", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "sim")
+    """Unordered pairs of one block with a cosine of `floor` or more; blocks are cut into cells and tiles, which are multiplied as matrices."""
+    return close_pairs(vec.select(F.col("vec_id").alias("id"), F.col(block).alias("block"), unit("embedding").alias("v")), floor)
 
 
 def similar_pairs(vec: DataFrame, floor: float = 0.40, block: str | None = None) -> DataFrame:
-    """block_pairs; without a block all vectors form one, and the work grows with their square: above some 100,000 give a block."""
+    """block_pairs; without a block all vectors form one."""
     return block_pairs(vec if block else vec.withColumn("all", F.lit(0)), floor, block or "all").select("a", "b", "sim")
 
 
-def tiled(left: DataFrame, left_id: str, right: DataFrame, right_id: str, on: str, size: int = TILE) -> DataFrame:
-    """Rows of both tables with the same `on`, each pair once: a key's rows are dealt over blocks of about `size` on both sides, and each pair of blocks is a join key.
-
-    So no task gets all of a hot key, and a key with few rows on both sides is not copied at all.
-    """
-    blocks = lambda df, name: df.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
-    sizes = small(blocks(left, "_rows").join(blocks(right, "_columns"), on))
-    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    a = left.join(sizes, on).withColumn("_i", deal(left_id, "_rows")).withColumn("_j", every("_columns")).drop("_rows", "_columns")
-    b = right.join(sizes, on).withColumn("_j", deal(right_id, "_columns")).withColumn("_i", every("_rows")).drop("_rows", "_columns")
-    return a.hint("merge").join(b, [on, "_i", "_j"]).drop("_i", "_j")
-
-
-def _unit(name: str) -> Column:
-    return S.l2_normalize(F.col(name).cast("array<double>"))
+def vector_index(vec: DataFrame) -> Index:
+    """(vec_id, embedding) as an index for knn_similar."""
+    return build_index(vec.select(F.lit(0).alias("block"), F.col("vec_id").alias("grp"), unit("embedding").alias("v")))
 
 
-def knn_similar(queries: DataFrame, vec: DataFrame, threshold: float = 0.80, k: int = 5) -> DataFrame:
-    """Of each query the k nearest other vectors with a cosine of `threshold` or more; exact, by tiles of queries and vectors."""
-    q = queries.select(F.col("vec_id").alias("query_id"), _unit("embedding").alias("q"), F.lit(0).alias("all"))
-    v = vec.select("vec_id", _unit("embedding").alias("v"), F.lit(0).alias("all"))
-    rows = tiled(q, "query_id", v, "vec_id", "all").filter("query_id <> vec_id").withColumn("sim", F.round(S.dot(F.col("q"), F.col("v")), 6)).filter(F.col("sim") >= threshold)
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    return rows.select("query_id", "vec_id", "sim").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def knn_similar(queries: DataFrame, vec: DataFrame | Index, threshold: float = 0.80, k: int = 5) -> DataFrame:
+    """Of each query the k nearest other vectors with a cosine of `threshold` or more, exact; `vec` may be an index that was built before."""
+    index = vec if isinstance(vec, Index) else vector_index(vec)
+    q = queries.select(F.col("vec_id").alias("query"), F.lit(0).alias("block"), unit("embedding").alias("v"))
+    return best_groups(q, index, k, threshold, apart=True).select(F.col("query").alias("query_id"), F.col("grp").alias("vec_id"), F.col("score").alias("sim"), "rank")
 
 
 def centroids(mb: DataFrame) -> DataFrame:
     """Normalised mean of the normalised member vectors of each cluster; null for a zero sum."""
-    unit = mb.select("cluster_id", _unit("embedding").alias("v")).filter("v is not null")
-    mean = unit.groupBy("cluster_id").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("c"))
+    rows = mb.select("cluster_id", unit("embedding").alias("v")).filter("v is not null")
+    mean = rows.groupBy("cluster_id").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("c"))
     return mean.select("cluster_id", F.when(S.norm(F.col("c")) > 0, S.l2_normalize(F.col("c"))).alias("centroid"))
 
 
-def candidate_clusters(st: DataFrame, cl: DataFrame, mb: DataFrame, vetoes: DataFrame | None = None, k: int = 5, veto_first: bool = False) -> DataFrame:
-    """Of each (ticket_id, affected_system, embedding) the k active clusters of its system with the best score.
+def cluster_index(cl: DataFrame, mb: DataFrame) -> Index:
+    """Centroids and members of active clusters, by system, as an index that many shortlists can use."""
+    active = cl.filter("status = 'active'").select("cluster_id", S.system_of(F.col("affected_system")).alias("block"))
+    points = centroids(mb).filter("centroid is not null").select("cluster_id", F.col("centroid").alias("v")).unionByName(mb.select("cluster_id", unit("embedding").alias("v")))
+    return build_index(points.join(active, "cluster_id").select("block", F.col("cluster_id").alias("grp"), "v"))
+
 
-    The score is the larger of the cosine to the centroid and to the best member; each pair of a tile of tickets and a
-    tile of the system's members is one task's work, and scores are reduced before they are shuffled. Vetoed
-    clusters go after the cut, or before it with `veto_first`.
+def shortlist(st: DataFrame, index: Index, vetoes: DataFrame | None = None, k: int = 5, veto_first: bool = False) -> DataFrame:
+    """Of each (ticket_id, affected_system, embedding) the k clusters of its system with the best score: the larger of the cosine to the centroid and to the best member.
+
+    Vetoed clusters go after the cut, or before it with `veto_first`.
     """
-    active = cl.filter("status = 'active'").select("cluster_id", S.system_of(F.col("affected_system")).alias("system"))
-    members = mb.select("cluster_id", F.col("ticket_id").alias("point"), _unit("embedding").alias("v"))
-    centers = centroids(mb).filter("centroid is not null").select("cluster_id", F.lit(None).cast("long").alias("point"), F.col("centroid").alias("v"))
-    points = centers.unionByName(members).join(active, "cluster_id").withColumn("point", F.xxhash64("cluster_id", "point"))
-    t = st.select("ticket_id", S.system_of(F.col("affected_system")).alias("system"), _unit("embedding").alias("t"))
-    scored = tiled(t, "ticket_id", points, "point", "system").groupBy("ticket_id", "cluster_id").agg(F.round(F.max(S.dot(F.col("t"), F.col("v"))), 6).alias("score"))
-    if vetoes is not None and veto_first:
-        scored = scored.join(vetoes, ["ticket_id", "cluster_id"], "left_anti")
-    w = Window.partitionBy("ticket_id").orderBy(F.desc("score"), "cluster_id")
-    top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    if vetoes is not None and not veto_first:
+    t = st.select(F.col("ticket_id").alias("query"), S.system_of(F.col("affected_system")).alias("block"), unit("embedding").alias("v"))
+    early = vetoes is not None and veto_first
+    more = (vetoes.groupBy("ticket_id").agg(F.countDistinct("cluster_id").alias("c")).agg(F.max("c")).first()[0] or 0) if early else 0
+    top = best_groups(t, index, k + more).select(F.col("query").alias("ticket_id"), F.col("grp").alias("cluster_id"), "score", "rank")
+    if vetoes is not None:
         top = top.join(vetoes, ["ticket_id", "cluster_id"], "left_anti")
+    if early:
+        w = Window.partitionBy("ticket_id").orderBy("rank")
+        top = top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return top
 
 
-def _best_exemplar(rows: DataFrame) -> DataFrame:
-    """(ticket_id, group_id, sim) -> ticket_id, b: the largest sim, ties to the smaller group."""
-    return rows.groupBy("ticket_id").agg(F.max(F.struct("sim", (-F.col("group_id")).alias("g"))).alias("b"))
+def candidate_clusters(st: DataFrame, cl: DataFrame, mb: DataFrame, vetoes: DataFrame | None = None, k: int = 5, veto_first: bool = False) -> DataFrame:
+    """Shortlist over an index of the clusters as they are."""
+    return shortlist(st, cluster_index(cl, mb), vetoes, k, veto_first)
 
 
 def exemplar_match(st: DataFrame, exemplars: DataFrame, threshold: float = 0.60) -> DataFrame:
-    """The best exemplar of the ticket's own offering; below `threshold` the ticket goes to the pool."""
-    t = st.select("ticket_id", F.coalesce(S.offering_key(F.col("service")), F.lit(S.NO_OFFERING)).alias("offering"), _unit("embedding").alias("t"))
-    e = exemplars.select("offering", "group_id", _unit("embedding").alias("e")).withColumn("exemplar", F.xxhash64("group_id", "e"))
-    best = _best_exemplar(tiled(t, "ticket_id", e, "exemplar", "offering").withColumn("sim", F.round(S.dot(F.col("t"), F.col("e")), 6)))
-    out = t.select("ticket_id", "offering").join(best, "ticket_id", "left")
-    hit = F.col("b.sim") >= threshold
-    return out.select("ticket_id", "offering", F.when(hit, -F.col("b.g")).alias("group_id"), F.col("b.sim").alias("sim"), F.when(hit, "matched").otherwise("pool").alias("outcome"))
+    """The best exemplar of the ticket's own offering; below `threshold` the ticket goes to the pool. Ties go to the smaller group."""
+    t = st.select(F.col("ticket_id").alias("query"), F.coalesce(S.offering_key(F.col("service")), F.lit(S.NO_OFFERING)).alias("block"), unit("embedding").alias("v"))
+    index = build_index(exemplars.select(F.col("offering").alias("block"), F.col("group_id").alias("grp"), unit("embedding").alias("v")))
+    best = best_groups(t, index, 1).select(F.col("query").alias("ticket_id"), F.col("grp").alias("best"), F.col("score").alias("sim"))
+    hit = F.col("sim") >= threshold
+    out = t.select(F.col("query").alias("ticket_id"), F.col("block").alias("offering")).join(best, "ticket_id", "left")
+    return out.select("ticket_id", "offering", F.when(hit, F.col("best")).alias("group_id"), "sim", F.when(hit, "matched").otherwise("pool").alias("outcome"))
 
 
 def cross_group_match(st: DataFrame, exemplars: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The best exemplar of any offering, if it is close enough, by tiles of tickets and exemplars."""
-    t = st.select("ticket_id", _unit("embedding").alias("t"), F.lit(0).alias("all"))
-    e = exemplars.select("group_id", _unit("embedding").alias("e"), F.lit(0).alias("all")).withColumn("exemplar", F.xxhash64("group_id", "e"))
-    rows = tiled(t, "ticket_id", e, "exemplar", "all").withColumn("sim", F.round(S.dot(F.col("t"), F.col("e")), 6)).filter(F.col("sim") >= threshold)
-    return _best_exemplar(rows).select("ticket_id", (-F.col("b.g")).alias("group_id"), F.col("b.sim").alias("sim"))
+    """The best exemplar of any offering, if it is close enough."""
+    t = st.select(F.col("ticket_id").alias("query"), F.lit(0).alias("block"), unit("embedding").alias("v"))
+    index = build_index(exemplars.select(F.lit(0).alias("block"), F.col("group_id").alias("grp"), unit("embedding").alias("v")))
+    return best_groups(t, index, 1, threshold).select(F.col("query").alias("ticket_id"), F.col("grp").alias("group_id"), F.col("score").alias("sim"))
 
 
 def verdict_coverage(presented: DataFrame, returned: DataFrame) -> DataFrame:

@@ -35,11 +35,12 @@ def sweep(st: DataFrame, cl: DataFrame, mb: DataFrame, lg: DataFrame, embeddings
     return cl, members, figures
 
 
-def repool(st: DataFrame, embeddings: DataFrame, exemplars: DataFrame, own: float = 0.60, cross: float = 0.75, min_count: int = 3, verdicts: DataFrame | None = None, removals: DataFrame | None = None, **proposing) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def repool(st: DataFrame, embeddings: DataFrame, exemplars: DataFrame, own: float = 0.60, cross: float = 0.75, min_count: int = 3, verdicts: DataFrame | None = None, removals: DataFrame | None = None, **proposing) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Match tickets to exemplars of their offering, then to any at a stricter threshold; propose groups from the pools of `min_count` tickets or more that are left.
 
     `verdicts` and `removals` are those of pool_proposals (none: pairs are joined by similarity alone), `proposing` its other
-    arguments. Returns the sizes of the pools, proposals, proposals to review, and one row of figures.
+    arguments. Returns the sizes of the pools, proposals, proposals to review, the members of both, and one row of figures. Nothing is
+    changed: decide_pool_proposals does that with the decisions on what is returned here.
     """
     t = st.join(embeddings, "ticket_id")
     first = graph.cut(joins.exemplar_match(t, exemplars, own))
@@ -51,6 +52,6 @@ def repool(st: DataFrame, embeddings: DataFrame, exemplars: DataFrame, own: floa
     pairs = graph.cut(joins.similar_pairs(open_.withColumnRenamed("ticket_id", "vec_id"), proposing.get("floor", 0.40), "offering"))
     verdicts = pairs.limit(0).select("a", "b", F.lit("YES").alias("verdict"), F.lit("YES").alias("second")) if verdicts is None else verdicts
     removals = pool.limit(0).select("ticket_id") if removals is None else removals
-    good, review = graph.pool_proposals(open_, pairs, verdicts, removals, **proposing)
+    good, review, members = graph.pool_proposals(open_, open_, pairs, verdicts, removals, **proposing)
     figures = first.agg(F.count_if(F.col("outcome") == "matched").alias("own_matched")).crossJoin(second.agg(F.count(F.lit(1)).alias("cross_matched"))).crossJoin(pool.agg(F.count(F.lit(1)).alias("left"))).crossJoin(good.agg(F.count(F.lit(1)).alias("proposals"))).crossJoin(review.agg(F.count(F.lit(1)).alias("needs_review")))
-    return sizes, good, review, figures
+    return sizes, good, review, members, figures

@@ -116,6 +116,9 @@ query("drift_prune", lambda t: G.drift_prune(t.embeddings.select(F.col("vec_id")
       "WITH c AS (SELECT vec_id AS node, vec_id // 3 AS component FROM embeddings UNION ALL SELECT vec_id + 100000, label + 100000 FROM embeddings), n AS (SELECT component, count(*) AS n FROM c GROUP BY 1), k AS (SELECT node, component FROM c JOIN n USING (component) WHERE n < 4 OR NOT (node < 100000 OR node % 4 = 0)) SELECT node, component FROM k WHERE component IN (SELECT component FROM k GROUP BY 1 HAVING count(*) >= 2)")
 
 
+_MEANCOS = "round(avg(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6)"
+
+
 def _proposals(auto: str, verdicts: bool, pool: str) -> str:
     """SQL of pool_proposals over pr (a, b, sim) and the tickets of `pool`, with the verdicts of _VER and the removals below, or without."""
     yes, second, removed = ("(a + b) % 7 <> 0", "(a + b) % 5 <> 0", "ticket_id % 23 = 0 AND ticket_id IN (SELECT ticket_id FROM tickets)") if verdicts else ("false", "false", "false")
@@ -127,15 +130,18 @@ def _proposals(auto: str, verdicts: bool, pool: str) -> str:
  d AS (SELECT node AS ticket_id, component FROM (SELECT node AS ticket_id, node, component, count(*) OVER (PARTITION BY component) AS n FROM k2) WHERE n < 4 OR NOT ({removed})), m AS (SELECT * FROM d WHERE component IN (SELECT component FROM d GROUP BY 1 HAVING count(*) >= 3)),
  sv AS (SELECT m.component, m.ticket_id, t.service FROM m JOIN tickets t ON t.ticket_id = m.ticket_id WHERE t.ticket_id IN (SELECT ticket_id FROM {pool})), sc AS (SELECT component, service, count(*) AS n, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, service) AS r FROM sv GROUP BY 1, 2), th AS (SELECT component, coalesce(max(n) FILTER (r = 3), 0) AS third FROM sc GROUP BY 1),
  fl AS (SELECT sv.component, count(*) FILTER (sc.n <= third) AS flagged, count(DISTINCT sv.service) AS services FROM sv JOIN sc ON sc.component = sv.component AND sc.service = sv.service JOIN th ON th.component = sv.component GROUP BY 1),
- ms AS (SELECT x.component, round(avg(sim), 6) AS mean_sim FROM pr JOIN m x ON x.ticket_id = a JOIN m y ON y.ticket_id = b AND y.component = x.component WHERE sim >= 0.15 GROUP BY 1),
- out AS (SELECT component, n, coalesce(mean_sim, 0.0) AS mean_sim, coalesce(flagged, 0) AS flagged, coalesce(services, 0) AS services, members FROM (SELECT component, count(*) AS n, string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY ticket_id) AS members FROM m GROUP BY 1) LEFT JOIN fl USING (component) LEFT JOIN ms USING (component))
- SELECT component, n, mean_sim, flagged, services, NOT (flagged >= greatest(1, floor(n / 3)) OR mean_sim < 0.10 OR services > 6) AS passed, members FROM out"""
+ ms AS (SELECT x.component, {_MEANCOS} AS mean_sim FROM m x JOIN m y ON y.component = x.component AND y.ticket_id > x.ticket_id JOIN embeddings p ON p.vec_id = x.ticket_id JOIN embeddings q ON q.vec_id = y.ticket_id GROUP BY 1),
+ out AS (SELECT component, n, coalesce(mean_sim, 0.0) AS mean_sim, coalesce(flagged, 0) AS flagged, coalesce(services, 0) AS services FROM (SELECT component, count(*) AS n FROM m GROUP BY 1) LEFT JOIN fl USING (component) LEFT JOIN ms USING (component)),
+ gate AS (SELECT component, n, mean_sim, flagged, services, NOT (flagged >= greatest(1, floor(n / 3)) OR mean_sim < 0.10 OR services > 6) AS passed FROM out)"""
 
 
-query("pool_proposals", lambda t: (lambda p: p[0].unionByName(p[1]))(G.pool_proposals(t.tickets, J.similar_pairs(t.embeddings, 0.15, "label"), _VER(_PR(t)), t.tickets.filter("ticket_id % 23 = 0").select("ticket_id"), 0.15, 0.30, 3, min_sim=0.10)).select("component", "n", "mean_sim", "flagged", "services", "passed", "members"),
-      f"WITH RECURSIVE {_PAIRS}, {_proposals('0.30', True, 'tickets')}", "tickets")
-query("cohesion_gate", lambda t: A.cohesion_gate(t.embeddings.select(F.col("label").alias("component"), F.col("vec_id").alias("ticket_id")), J.similar_pairs(t.embeddings, 0.05, "label"), t.embeddings.select(F.col("label").alias("component"), F.col("vec_id").alias("ticket_id"), (F.col("vec_id") % 5).alias("service"), (F.col("vec_id") % 41 == 0).alias("flagged")), 0.12),
-      f"""WITH {_PAIRS}, s AS (SELECT label AS component, round(avg(sim), 6) AS mean_sim FROM pr JOIN embeddings v ON v.vec_id = a WHERE sim >= 0.05 GROUP BY 1), c AS (SELECT label AS component, count(*) AS n, count(*) FILTER (vec_id % 41 = 0) AS flagged, count(DISTINCT vec_id % 5) AS services FROM embeddings GROUP BY 1)
+_POOLED = lambda t: G.pool_proposals(t.tickets, _EMB(t), J.similar_pairs(t.embeddings, 0.15, "label"), _VER(_PR(t)), t.tickets.filter("ticket_id % 23 = 0").select("ticket_id"), 0.15, 0.30, 3, min_sim=0.10)
+_EMB = lambda t: t.embeddings.select(F.col("vec_id").alias("ticket_id"), "embedding")
+_GATED = lambda good, review: good.unionByName(review).select("component", "n", "mean_sim", "flagged", "services", "passed")
+query("pool_proposals", lambda t: _GATED(*_POOLED(t)[:2]), f"WITH RECURSIVE {_PAIRS}, {_proposals('0.30', True, 'tickets')} SELECT * FROM gate", "tickets")
+query("pool_proposal_members", lambda t: _POOLED(t)[2], f"WITH RECURSIVE {_PAIRS}, {_proposals('0.30', True, 'tickets')} SELECT component, ticket_id FROM m", "tickets")
+query("cohesion_gate", lambda t: A.cohesion_gate(t.embeddings.select(F.col("label").alias("component"), F.col("vec_id").alias("ticket_id")), _EMB(t), t.embeddings.select(F.col("label").alias("component"), F.col("vec_id").alias("ticket_id"), (F.col("vec_id") % 5).alias("service"), (F.col("vec_id") % 41 == 0).alias("flagged")), 0.12),
+      f"""WITH s AS (SELECT p.label AS component, {_MEANCOS} AS mean_sim FROM embeddings p JOIN embeddings q ON p.label = q.label AND p.vec_id < q.vec_id GROUP BY 1), c AS (SELECT label AS component, count(*) AS n, count(*) FILTER (vec_id % 41 = 0) AS flagged, count(DISTINCT vec_id % 5) AS services FROM embeddings GROUP BY 1)
  SELECT component, n, coalesce(mean_sim, 0.0) AS mean_sim, flagged, services, NOT (flagged >= greatest(1, floor(n / 3)) OR coalesce(mean_sim, 0.0) < 0.12 OR services > 6) AS passed FROM c LEFT JOIN s USING (component)""")
 
 # ---- M ---------------------------------------------------------------------------------------
@@ -203,7 +209,6 @@ query("status_update", lambda t: M.status_update(t.tickets.select("ticket_id", "
 query("resync_columns", lambda t: M.resync_columns(t.tickets.withColumn("json", F.when(F.col("ticket_id") % 2 == 0, '{"ticket_kind":"test"}')), "json").select("ticket_id", "ticket_kind", "classification_status"), "SELECT ticket_id, CASE WHEN ticket_id % 2 = 0 THEN 'test' ELSE ticket_kind END AS ticket_kind, classification_status FROM tickets", "tickets")
 query("seed_clusters", lambda t: M.seed_clusters(t.members.groupBy("cluster_id").agg(F.collect_list("ticket_id").alias("member_ids")).select(F.lit("SysA").alias("system"), F.concat(F.lit("P"), F.col("cluster_id")).alias("name"), "member_ids"), t.clusters.select(F.col("cluster_id").cast("string").alias("cluster_id")))[1],
       "WITH s AS (SELECT cluster_id, 'cl_' || substring(sha256('SysA|P' || cluster_id || '|' || string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY CAST(ticket_id AS VARCHAR))), 1, 12) AS id FROM members GROUP BY 1) SELECT s.id AS cluster_id, ticket_id, 'seed' AS assigned_by FROM members JOIN s USING (cluster_id)", "members")
-_EMB = lambda t: t.embeddings.select(F.col("vec_id").alias("ticket_id"), "embedding")
 _ANSWER = lambda b: b.withColumn("group_no", F.when(F.col("ticket_id") % 4 != 0, F.col("ticket_id") % 9)).withColumn("name", F.lit("مشكلة"))
 _SWEEP = lambda t: P.sweep(t.tickets, t.clusters, t.members.withColumn("assigned_by", F.col("assigned_by")), t.assignment_log, _EMB(t), _now(), 0.3, _ANSWER)
 _SWEEPSQL = f"""small AS (SELECT c.cluster_id FROM clusters c LEFT JOIN members m USING (cluster_id) WHERE status = 'active' GROUP BY 1 HAVING count(m.ticket_id) < 2),
@@ -225,10 +230,11 @@ _REPOOL = lambda t: P.repool(t.tickets, _EMB(t), _EX(t), 0.30, 0.35, floor=0.15,
 _REPSQL = f"""{_EXSQL}, b AS (SELECT ticket_id, max(round(list_cosine_similarity(v, e), 6)) AS s FROM tv JOIN ex USING (offering) GROUP BY 1), o AS (SELECT ticket_id, offering, v, coalesce(s >= 0.30, false) AS own FROM tv LEFT JOIN b USING (ticket_id)),
  c AS (SELECT DISTINCT ticket_id FROM tv CROSS JOIN ex WHERE round(list_cosine_similarity(v, e), 6) >= 0.35 AND ticket_id IN (SELECT ticket_id FROM o WHERE NOT own)), l AS (SELECT * FROM o WHERE NOT own AND ticket_id NOT IN (SELECT ticket_id FROM c)),
  z AS (SELECT offering, count(*) AS n FROM l GROUP BY 1 HAVING count(*) >= 3), pr AS (SELECT x.ticket_id AS a, y.ticket_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS sim FROM l x JOIN l y ON x.offering = y.offering AND x.ticket_id < y.ticket_id WHERE x.offering IN (SELECT offering FROM z))"""
-query("repool", lambda t: _REPOOL(t)[3].select("own_matched", "cross_matched", "left"), f"WITH {_REPSQL} SELECT (SELECT count(*) FROM o WHERE own) AS own_matched, (SELECT count(*) FROM c) AS cross_matched, (SELECT count(*) FROM l) AS left", "tickets", "members")
+query("repool", lambda t: _REPOOL(t)[4], f"WITH RECURSIVE {_REPSQL}, {_proposals('0.18', False, 'l')} SELECT (SELECT count(*) FROM o WHERE own) AS own_matched, (SELECT count(*) FROM c) AS cross_matched, (SELECT count(*) FROM l) AS left, (SELECT count(*) FROM gate WHERE passed) AS proposals, (SELECT count(*) FROM gate WHERE NOT passed) AS needs_review", "tickets", "members")
 query("repool_sizes", lambda t: _REPOOL(t)[0], f"WITH {_REPSQL} SELECT * FROM z", "tickets", "members")
-_BOTH = lambda good, review: good.unionByName(review).select("component", "n", "mean_sim", "flagged", "services", "passed", "members")
-query("repool_proposals", lambda t: _BOTH(*_REPOOL(t)[1:3]), f"WITH RECURSIVE {_REPSQL}, {_proposals('0.18', False, 'l')}", "tickets", "members")
+query("repool_proposals", lambda t: _GATED(*_REPOOL(t)[1:3]), f"WITH RECURSIVE {_REPSQL}, {_proposals('0.18', False, 'l')} SELECT * FROM gate", "tickets", "members")
+query("repool_proposal_members", lambda t: _REPOOL(t)[3], f"WITH RECURSIVE {_REPSQL}, {_proposals('0.18', False, 'l')} SELECT component, ticket_id FROM m", "tickets", "members")
+
 
 # ---- ST --------------------------------------------------------------------------------------
 query("ingest_once", lambda t: streamed(t, ST.ingest_once(stream_of(t, "events", "ts").select("user_id", "ts"), "user_id", "ts", "400 days"), "append").select("user_id"), "SELECT DISTINCT user_id FROM events")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ticketflow.operators.joins import candidate_clusters
+from ticketflow.operators.joins import cluster_index, shortlist
 
 
 def ingest_once(stream: DataFrame, ref: str, ts: str, delay: str = "1 hour") -> DataFrame:
@@ -64,8 +64,9 @@ def arrival_counts(stream: DataFrame, ts: str, by: str, size: str, slide: str |
 
 
 def assign_on_arrival(stream: DataFrame, cl: DataFrame, mb: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """ST6: the shortlist of every micro-batch's tickets against the cluster tables, given to `sink`."""
-    return stream.writeStream.foreachBatch(lambda df, n: sink(candidate_clusters(df, cl, mb), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """ST6: the shortlist of every micro-batch's tickets against the clusters, given to `sink`. The clusters' index is built once and its tables serve all batches."""
+    index = cluster_index(cl, mb)
+    return stream.writeStream.foreachBatch(lambda df, n: sink(shortlist(df, index), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def probe_changes(stream: DataFrame, bad: str = "unreachable") -> DataFrame:
