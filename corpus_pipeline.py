@@ -18,11 +18,17 @@ from ticketflow.llm.toxicity import toxicity
 ORACLE_SQL = None
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """The name, with underscores behind it until no column has it; Spark does not tell upper from lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with a number for each row, and that column's name: doc_id, where every row has one of its own."""
-    name = "row_no"
-    while name in docs.columns:
-        name += "_"
+    name = _free("row_no", docs.columns)
     unclear = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null")
     if unclear.isEmpty():
         return docs.withColumn(name, F.col("doc_id").cast("long")), name
@@ -70,8 +76,13 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return mix_sources(docs)
+    """The documents as they are, each with the times that the mix takes it (`copies`) and the figures behind that; a figure whose name a column already has gets an underscore."""
+    rows, no = _numbered(docs)
+    figures = {c: _free(c, docs.columns) for c in ("size", "source_size", "target", "copies", "taken")}
+    mixed = mix_sources(rows.select(F.col(no).alias("doc_id"), "text", "source"))
+    mixed = cut(mixed.select(F.col("doc_id").alias("m_no"), *[F.col(c).alias(name) for c, name in figures.items()]))
+    out = rows.join(mixed.hint(join_hint(mixed, 128)), rows[no] == mixed["m_no"])
+    return out.select(*[rows[c] for c in docs.columns], *[mixed[name] for name in figures.values()])
 
 
 STAGES = [
@@ -92,7 +103,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents; what a stage returns is written to the shared folder and read again, and removed once the next one is written.
 
     Null and empty texts are kept by every filter. Null or repeated doc_ids: each row is a document of its own, of
-    which only copies go. Extra columns stay as they are, up to the last stage. An empty table gives an empty result.
+    which only copies go. Extra columns stay as they are to the end, whatever their names; very long texts are
+    handled whole. The result holds id, text and all columns of what is kept, and the mix's figures. An empty table gives an empty result.
     """
     shared_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
