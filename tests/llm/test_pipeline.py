@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from .conftest import SCHEMA, frame, words
@@ -15,11 +17,21 @@ def test_pipeline(spark, tmp_path):
     extra = [(2000, base, "t"), (2001, near_copies(rng, base, 1, 1)[0], "t"), (2002, f"{words(rng, 60, 9000)} {item} x", "t"), (2003, f"{words(rng, 60, 9000)} token = abcdefgh12", None), (2004, None, "t")]
     extra.append(extra[3])
     columns = [c.split()[0] for c in SCHEMA.split(", ")][:5]
-    docs.unionByName(frame(spark, extra)).select(*columns).write.parquet(f"{tmp_path}/documents.parquet")
+    long = f"{words(rng, 40_000, 9000)} token = abcdefgh12"
+    extra.append((2005, long, "t"))
+    whole = docs.unionByName(frame(spark, extra)).select(*columns).withColumn("ROW_NO", F.col("doc_id") + 7).withColumn("Size", F.lit("large")).withColumn("m_no", F.lit(1))
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
     labels.drop("text").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got & {2000, 2001, 2002, 2003, 2004} == {2000, 2003, 2004}
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    assert result.columns == [*whole.columns, "size_", "source_size", "target", "copies", "taken"]
+    rows = result.collect()
+    got = {r["doc_id"] for r in rows}
+    assert got & {2000, 2001, 2002, 2003, 2004, 2005} == {2000, 2003, 2004, 2005}
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert texts[2000] == base and texts[2004] is None and texts[2003].endswith("<secret>") and texts[2005] == long.replace("token = abcdefgh12", "<secret>")
+    assert all(r["ROW_NO"] == r["doc_id"] + 7 and r["Size"] == "large" and r["m_no"] == 1 for r in rows)
+    assert all(r["taken"] == r["copies"] * len((r["text"] or "").split()) for r in rows)
     toxic = {i for i in range(600) if i % 5 == 0}
     assert len(got & toxic) <= 3 and len(set(range(600)) - toxic - got) <= 3
     kept = corpus_pipeline.hide_secrets(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").filter("doc_id = 2003"), "")
