@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
+from ticketflow.operators import scan
 from ticketflow.operators.vectors import Index, best_groups, build_index, close_pairs, unit
 
 SMALL_ROWS = 200_000
@@ -27,8 +28,8 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 
 def member_details(mb: DataFrame, st: DataFrame) -> DataFrame:
     """Members with their tickets, in order of assignment."""
-    w = Window.partitionBy("cluster_id").orderBy("assigned_at", "ticket_id")
-    return mb.select("cluster_id", "ticket_id", "assigned_by", "assigned_at").join(st, "ticket_id").withColumn("position", F.row_number().over(w))
+    rows = mb.select("cluster_id", "ticket_id", "assigned_by", "assigned_at").join(st, "ticket_id")
+    return scan.numbered(rows, ["cluster_id"], ["assigned_at", "ticket_id"], "position")
 
 
 def member_vectors(mb: DataFrame, st: DataFrame) -> DataFrame:

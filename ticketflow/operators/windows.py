@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
+from ticketflow.operators import scan
 
 
 def latest_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -48,17 +49,13 @@ def weakest_edges(edges: DataFrame, comps: DataFrame, threshold: int = 20, fract
 
 
 def batch_assign(df: DataFrame, size: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Deterministic batches of `size` rows inside each group."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size))
+    """Deterministic batches of `size` rows inside each group, of any size."""
+    return scan.numbered(df, by, order, "_row").withColumn("batch", F.floor((F.col("_row") - 1) / size)).drop("_row")
 
 
 def circuit_breaker(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     """Rows of each key in order, and whether they were attempted: none is after k failures in a row."""
-    w = Window.partitionBy(key).orderBy("attempt_id")
-    run = df.withColumn("island", F.sum((F.col("outcome") == "ok").cast("int")).over(w))
-    streak = run.withColumn("streak", F.sum((F.col("outcome") != "ok").cast("int")).over(Window.partitionBy(key, "island").orderBy("attempt_id")))
-    tripped = F.max((F.col("streak") >= k).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return streak.withColumn("attempted", F.coalesce(tripped, F.lit(0)) == 0).drop("island", "streak")
+    return scan.tripped_before(df, [key], ["attempt_id"], F.col("outcome") != "ok", k, "_tripped").withColumn("attempted", ~F.col("_tripped")).drop("_tripped")
 
 
 def oscillation(lg: DataFrame) -> DataFrame:
@@ -72,17 +69,14 @@ def oscillation(lg: DataFrame) -> DataFrame:
 
 def gap_dedupe(df: DataFrame, key: Column, ts: str, gap_days: int = 7) -> DataFrame:
     """Sightings of a key less than the gap after the one before are one: first and last sighting, count, smallest id."""
-    w = Window.partitionBy("_key").orderBy(ts, "ticket_id")
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumn("_key", key).withColumn("_m", micros).withColumn("_before", F.lag("_m").over(w))
-    rows = rows.withColumn("_new", (F.col("_before").isNull() | (F.col("_m") - F.col("_before") >= gap_days * 86_400_000_000)).cast("int"))
-    rows = rows.withColumn("_island", F.sum("_new").over(w))
+    rows = df.withColumn("_key", key).withColumn("_m", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = scan.islands(rows, ["_key"], [ts, "ticket_id"], "_m", gap_days * 86_400_000_000, "_island")
     return rows.groupBy(F.col("_key").alias("key"), F.col("_island").alias("island")).agg(F.count(F.lit(1)).alias("occurrence_count"), F.min("ticket_id").alias("ticket_id"), F.min("_m").alias("first_seen"), F.max("_m").alias("last_seen"))
 
 
 def state_changes(df: DataFrame, key: str, order: Sequence[str], status: str, bad: str) -> DataFrame:
     """Rows whose status differs from the one before: DOWN or RECOVERED."""
-    rows = df.withColumn("_before", F.lag(status).over(Window.partitionBy(key).orderBy(*order)))
+    rows = scan.preceding(df, [key], order, status, "_before")
     return rows.filter(F.col("_before").isNotNull() & (F.col("_before") != F.col(status))).withColumn("change", F.when(F.col(status) == bad, "DOWN").otherwise("RECOVERED")).drop("_before")
 
 
