@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +33,14 @@ def written(t: Tables, df: DataFrame, fmt: str, **options) -> str:
     return path
 
 
-def streamed(t: Tables, df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream to its end; what each batch gave, with the batch's number."""
+def streamed(t: Tables, df: DataFrame, mode: str, timers: bool = False) -> DataFrame:
+    """Run a stream to its end; what each batch gave, with the batch's number. `timers`: with the state store that they need."""
     path = scratch(t, "stream")
+    before = ST.rocksdb(t.spark) if timers else {}
     write = lambda batch, n: batch.withColumn("batch_no", F.lit(n)).write.mode("append").parquet(f"{path}/out")
     df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for name, value in before.items():
+        t.spark.conf.set(name, value)
     return t.spark.read.parquet(f"{path}/out")
 
 
@@ -72,11 +76,13 @@ query("unwrap_event", lambda t: t.events.select("event_id", F.get_json_object(I.
 _ATT = lambda t: I.explode_attachments(t.pages.select("page_id", F.to_json(F.array(F.struct(F.col("url").alias("name"), F.lit("text/html").alias("mime"), (F.length("html") - F.when(F.col("page_id") % 9 == 0, 10**9).otherwise(0)).alias("size"), (F.col("page_id") % 4 == 0).alias("hidden")))).alias("files")), "page_id", F.col("files"))
 query("explode_attachments", lambda t: _ATT(t)[0].withColumn("error", F.lit(False)).unionByName(_ATT(t)[1].withColumn("error", F.lit(True))), "SELECT page_id, url AS name, 'text/html' AS mime, length(html) - CASE WHEN page_id % 9 = 0 THEN 1000000000 ELSE 0 END AS size, page_id % 9 = 0 AS error FROM pages WHERE page_id % 4 <> 0")
 query("date_range_filter", lambda t: I.date_range_filter(t.events, "ts", "2024-01-05", "2024-01-07").select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' - INTERVAL 3 HOUR AND ts < TIMESTAMP '2024-01-08' - INTERVAL 3 HOUR")
-_CHG = lambda t: t.events.select(F.col("event_id").alias("reference"), F.unix_millis(F.col("ts").cast("timestamp")).alias("change_ms"))
-_OUT = lambda t: t.events.select(F.col("event_id").alias("reference"), F.when(F.col("event_id") % 10007 == 777, "failed").otherwise("ok").alias("result"))
+_CHG = lambda t: t.events.select(F.col("event_id").alias("reference"), F.when(F.col("event_id") % 5003 != 1234, F.unix_millis(F.col("ts").cast("timestamp"))).alias("change_ms"))
+_OUT = lambda t, bad: t.events.select(F.col("event_id").alias("reference"), F.when(bad, "failed").otherwise("ok").alias("result"))
 _STAMP = 1_704_500_000_000
-query("changed_since", lambda t: I.changed_since(_CHG(t), _OUT(t), _STAMP)[1], f"SELECT greatest({_STAMP}, coalesce(least(max((epoch_us(ts) // 1000)) FILTER (event_id % 10007 <> 777) + 1, min((epoch_us(ts) // 1000)) FILTER (event_id % 10007 = 777) - 1), {_STAMP})) AS next_stamp FROM events WHERE (epoch_us(ts) // 1000) >= {_STAMP}")
-query("changed_since_batch", lambda t: I.changed_since(_CHG(t), _OUT(t), _STAMP)[0], f"SELECT event_id AS reference, epoch_us(ts) // 1000 AS change_ms FROM events WHERE (epoch_us(ts) // 1000) >= {_STAMP}")
+_CHGSQL = f"c AS (SELECT event_id AS reference, CASE WHEN event_id % 5003 <> 1234 THEN epoch_us(ts) // 1000 END AS change_ms FROM events), b AS (SELECT * FROM c WHERE change_ms IS NULL OR change_ms >= {_STAMP})"
+query("changed_since", lambda t: I.changed_since(_CHG(t), _OUT(t, F.col("event_id") % 10007 == 777), _STAMP)[1], f"WITH {_CHGSQL} SELECT greatest({_STAMP}, coalesce(least(max(change_ms) FILTER (reference % 10007 <> 777) + 1, min(change_ms) FILTER (reference % 10007 = 777) - 1), {_STAMP})) AS next_stamp FROM b")
+query("changed_since_hold", lambda t: I.changed_since(_CHG(t), _OUT(t, F.col("event_id") % 5003 == 1234), _STAMP)[1], f"WITH {_CHGSQL} SELECT CASE WHEN count(*) FILTER (change_ms IS NULL) > 0 THEN {_STAMP} ELSE greatest({_STAMP}, max(change_ms) + 1) END AS next_stamp FROM b")
+query("changed_since_batch", lambda t: I.changed_since(_CHG(t), _OUT(t, F.col("event_id") % 10007 == 777), _STAMP)[0], f"WITH {_CHGSQL} SELECT * FROM b")
 _marked = lambda rows: rows[0].withColumn("held", F.lit(False)).unionByName(rows[1].withColumn("held", F.lit(True)))
 query("capped_extract", lambda t: _marked(I.capped_extract(t.tickets.select("created_at", "ticket_id"), 50, ["created_at", "ticket_id"])).select("ticket_id", "held"), "SELECT ticket_id, row_number() OVER (ORDER BY created_at, ticket_id) > 50 AS held FROM tickets ORDER BY created_at, ticket_id LIMIT 51", "tickets")
 _PAY = lambda t: I.validate_payload(t.documents.select(F.col("doc_id").cast("string").alias("source_reference"), F.when(F.col("doc_id") % 20 == 3, " ").otherwise(F.substring("text", 1, 50)).alias("title"), F.col("text").alias("description")))
@@ -238,15 +244,32 @@ query("repool_proposal_members", lambda t: _REPOOL(t)[3], f"WITH RECURSIVE {_REP
 
 # ---- ST --------------------------------------------------------------------------------------
 query("ingest_once", lambda t: streamed(t, ST.ingest_once(stream_of(t, "events", "ts").select("user_id", "ts"), "user_id", "ts", "400 days"), "append").select("user_id"), "SELECT DISTINCT user_id FROM events")
-query("job_state", lambda t: ST.job_state(t.attempts, F.lit(NOW).cast("timestamp")),
-      """WITH j AS (SELECT reference, count(*) FILTER (outcome = 'failed') AS failures, max((outcome = 'ok')::INT) AS done, arg_max(ts, attempt_id) AS last FROM attempts GROUP BY 1), s AS (SELECT *, CASE WHEN done = 1 THEN 'succeeded' WHEN failures >= 5 THEN 'flagged' ELSE 'retryable' END AS status FROM j)
- SELECT reference, failures, status, CASE WHEN status = 'retryable' THEN epoch_us(last) + failures * 5000000 END AS next_retry_us FROM s""", "attempts")
-query("job_state_stream", lambda t: ST.latest_of(streamed(t, ST.job_state_stream(stream_of(t, "events").select(F.col("user_id").alias("reference"), F.col("event_id").alias("attempt_id"), F.when(F.col("event_type").isin("error", "signup", "view"), "failed").otherwise("ok").alias("outcome"))), "update"), ["reference"], ["batch_no"]).select("reference", "failures", "status"),
-      "SELECT reference, count(*) FILTER (outcome = 'failed') AS failures, CASE WHEN max((outcome = 'ok')::INT) = 1 THEN 'succeeded' WHEN count(*) FILTER (outcome = 'failed') >= 5 THEN 'flagged' ELSE 'retryable' END AS status FROM attempts GROUP BY 1", "attempts")
+
+
+def _ingested(t: Tables) -> DataFrame:
+    """Events by their user, each user once; every batch is given to the sink twice, and all of them once more at the end."""
+    path = scratch(t, "ingest")
+    sink = ST.once_sink(f"{path}/table", "user_id", "ts", 16)
+
+    def twice(batch: DataFrame, n: int) -> None:
+        sink(batch, n)
+        sink(batch, n)
+
+    for k in range(2):
+        stream_of(t, "events", "ts").select("user_id", "ts", "event_id").writeStream.foreachBatch(lambda batch, n, k=k: twice(batch, n + 1000 * k)).option("checkpointLocation", f"{path}/checkpoint{k}").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/table").select("user_id", F.unix_micros("ts").alias("first_seen"))
+
+
+query("ingest_once_table", _ingested, "SELECT user_id, epoch_us(min(ts)) AS first_seen FROM events GROUP BY 1")
+_JOBS = """WITH j AS (SELECT reference, count(*) FILTER (outcome = 'failed') AS failures, max((outcome = 'ok')::INT) AS done, arg_max(ts, attempt_id) AS last FROM attempts GROUP BY 1), s AS (SELECT *, CASE WHEN done = 1 THEN 'succeeded' WHEN failures >= 5 THEN 'flagged' ELSE 'retryable' END AS status FROM j)
+ SELECT reference, failures, status, CASE WHEN status = 'retryable' THEN epoch_us(last) + failures * 5000000 END AS next_retry_us FROM s"""
+query("job_state", lambda t: ST.job_state(t.attempts, F.lit(NOW).cast("timestamp")), _JOBS, "attempts")
+_ATTEMPTS = lambda t: stream_of(t, "events", "ts").select(F.col("user_id").alias("reference"), F.col("event_id").alias("attempt_id"), F.when(F.col("event_type").isin("error", "signup", "view"), "failed").otherwise("ok").alias("outcome"), "ts")
+query("job_state_stream", lambda t: ST.latest_of(streamed(t, ST.job_state_stream(_ATTEMPTS(t), keep_days=400, delay="400 days"), "update", timers=True), ["reference"], ["batch_no"]).select("reference", "failures", "status", "next_retry_us"), _JOBS, "attempts")
 query("latest_status", lambda t: ST.latest_of(streamed(t, ST.latest_status(stream_of(t, "orders").select(F.col("o_custkey").alias("reference"), F.col("o_orderstatus").alias("source_status"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderkey").alias("update_id"))), "update"), ["reference"], ["batch_no"]).select("reference", "source_status"), "SELECT o_custkey AS reference, arg_max(o_orderstatus, struct_pack(o_orderdate, o_orderkey)) AS source_status FROM orders GROUP BY 1")
-query("stream_gap_dedupe", lambda t: _plain(streamed(t, ST.stream_gap_dedupe(stream_of(t, "events", "ts").select("user_id", "ts"), "user_id", "ts", "6 hours", "1 hour"), "append"), "first_seen", "last_seen").select("user_id", "occurrence_count", "first_seen", "last_seen"),
-      """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
- SELECT user_id, count(*) AS occurrence_count, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen FROM i GROUP BY user_id, k HAVING epoch_us(max(ts)) + 21600000000 <= (SELECT (epoch_us(max(ts)) // 1000) * 1000 FROM events) - 3600000000""")
+query("stream_gap_dedupe", lambda t: _plain(streamed(t, ST.stream_gap_dedupe(stream_of(t, "events", "ts").select("user_id", "ts"), "user_id", "ts", timedelta(hours=6), "1 hour"), "append"), "first_seen", "last_seen").select("user_id", "occurrence_count", "first_seen", "last_seen"),
+      """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+ SELECT user_id, count(*) AS occurrence_count, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen FROM i GROUP BY user_id, k HAVING epoch_us(max(ts)) + 21599999999 <= (SELECT (epoch_us(max(ts)) // 1000) * 1000 FROM events) - 3600000000""")
 query("arrival_counts", lambda t: _plain(streamed(t, ST.arrival_counts(stream_of(t, "events", "ts").select("event_type", "ts"), "ts", "event_type", "1 day", "12 hours"), "append"), "start").select("start", "event_type", "n"),
       "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([epoch_us(time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01')), epoch_us(time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01')) - 43200000000]) AS start FROM events) WHERE start + 86400000000 <= (SELECT (epoch_us(max(ts)) // 1000) * 1000 FROM events) - 3600000000 GROUP BY 1, 2")
 
@@ -260,8 +283,9 @@ def _arrivals(t: Tables) -> DataFrame:
 
 
 query("assign_on_arrival", _arrivals, _CAND.replace("FROM tickets t JOIN embeddings e ON e.vec_id = t.ticket_id", "FROM (SELECT vec_id AS ticket_id, CASE WHEN vec_id % 2 = 0 THEN 'SysA' ELSE 'SysB' END AS affected_system FROM embeddings) t JOIN embeddings e ON e.vec_id = t.ticket_id") + " SELECT * FROM top", "tickets", "clusters", "members")
-query("probe_changes", lambda t: streamed(t, ST.probe_changes(stream_of(t, "events").select(F.col("event_type").alias("service"), "ts", "event_id", F.when(F.col("value") < 5, "unreachable").otherwise("ok").alias("status"))), "append").select("service", "event_id", "change"),
-      "SELECT service, event_id, CASE WHEN status = 'unreachable' THEN 'DOWN' ELSE 'RECOVERED' END AS change FROM (SELECT *, lag(status) OVER (PARTITION BY service ORDER BY ts, event_id) AS b FROM probes) WHERE b IS NOT NULL AND b <> status", "probes")
+_PROBES = lambda t: stream_of(t, "events", "ts").select(F.col("event_type").alias("service"), "ts", "event_id", F.when(F.col("value") < 5, "unreachable").otherwise("ok").alias("status"))
+query("probe_changes", lambda t: streamed(t, ST.probe_changes(_PROBES(t)), "append", timers=True).select("service", "event_id", "change"),
+      "SELECT service, event_id, CASE WHEN status = 'unreachable' THEN 'DOWN' ELSE 'RECOVERED' END AS change FROM (SELECT *, lag(status) OVER (PARTITION BY service ORDER BY ts, event_id) AS b FROM probes) WHERE b IS NOT NULL AND b <> status AND epoch_us(ts) < (SELECT (epoch_us(max(ts)) // 1000) * 1000 FROM events) - 3600000000", "probes")
 query("incremental_extract", lambda t: streamed(t, ST.incremental_extract(t.spark, f"{t.dir}/orders.parquet*", t.orders.schema).select("o_orderkey", "o_orderstatus"), "append").select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders")
 
 # ---- X ---------------------------------------------------------------------------------------

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
+from ticketflow.operators.lineage import cut
 
 # Field names that a ticket may arrive under.
 TITLE = ("DisplayLabel", "display_label", "title", "Title")
@@ -84,12 +85,12 @@ def date_range_filter(df: DataFrame, ts: str, start: str | None = None, end: str
 
 
 def changed_since(df: DataFrame, outcome: DataFrame, stamp: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (reference, change_ms) from `stamp` on, and the next stamp.
+    """Rows (reference, change_ms) from `stamp` on, those without a time included, and the next stamp.
 
     `outcome` (reference, result ok / failed / held) decides: one past the newest ok row, but never past the
     earliest failed or held one; a failed row without a time holds the stamp.
     """
-    batch = df.filter(F.col("change_ms") >= stamp)
+    batch = df.filter(F.col("change_ms").isNull() | (F.col("change_ms") >= stamp))
     o = batch.join(outcome, "reference")
     ok = F.max(F.when(F.col("result") == "ok", F.col("change_ms"))) + 1
     bad = F.min(F.when(F.col("result") != "ok", F.col("change_ms"))) - 1
@@ -104,6 +105,26 @@ def capped_extract(df: DataFrame, cap: int, order: Sequence[str]) -> tuple[DataF
     return rows.filter(F.col("_n") <= cap).drop("_n"), rows.filter(F.col("_n") > cap).drop("_n")
 
 
+def poll_changes(read: Callable[[], DataFrame], handle: Callable[[DataFrame], DataFrame], stamp: int, cap: int, keep: Callable[[int], None], rounds: int = 1000) -> int:
+    """Read (reference, change_ms, ...) from `stamp` on in portions of `cap`, until a round brings the stamp no further; returns the last stamp.
+
+    `handle` gives (reference, result ok / failed) of a portion; the row held back after it counts as held. Each new stamp is given to
+    `keep` once its portion is handled, so a run that starts from a kept stamp misses nothing; rows at the stamp itself may come again.
+    """
+    for _ in range(rounds):
+        batch = read().filter(F.col("change_ms").isNull() | (F.col("change_ms") >= stamp))
+        portion, held = capped_extract(batch, cap, ["change_ms", "reference"])
+        portion = cut(portion)
+        outcome = cut(handle(portion).select("reference", "result").unionByName(held.select("reference", F.lit("held").alias("result"))))
+        seen = portion.select("reference", "change_ms").unionByName(held.select("reference", "change_ms"))
+        new = changed_since(seen, outcome, stamp)[1].first()[0]
+        if new <= stamp:
+            return stamp
+        stamp = int(new)
+        keep(stamp)
+    return stamp
+
+
 def validate_payload(df: DataFrame, rules: dict[str, tuple[int, int]] = RULES) -> tuple[DataFrame, DataFrame]:
     """Rows within the length limits, and the others with their error codes."""
     errors = []

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ticketflow.operators.joins import cluster_index, shortlist
+from ticketflow.operators.lineage import cut
 
 
 def ingest_once(stream: DataFrame, ref: str, ts: str, delay: str = "1 hour") -> DataFrame:
@@ -17,6 +20,30 @@ def ingest_once(stream: DataFrame, ref: str, ts: str, delay: str = "1 hour") ->
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([ref])
 
 
+def once_sink(path: str, ref: str, ts: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """ST1, table sink: a function for foreachBatch that adds each reference to the table once, however late or often it comes again.
+
+    The table is dealt by a hash of the reference, so a batch is joined with the buckets that it touches alone. A batch writes
+    its own folder and does not look at it: run again, it replaces what it wrote. Of a reference's rows in a batch the earliest counts.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c != ts]
+        first = batch.groupBy(F.col(ref).alias("_ref")).agg(F.min(F.struct(ts, *rest)).alias("_x")).select(*[F.col("_x")[c].alias(c) for c in batch.columns])
+        rows = cut(first.withColumn("bucket", F.pmod(F.xxhash64(ref), F.lit(buckets)).cast("int")))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        old = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_no=*"))
+        if len(old):
+            touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # `buckets` at most
+            known = spark.read.option("basePath", path).schema(f"{ref} {batch.schema[ref].dataType.simpleString()}, bucket int, batch_no long").parquet(path)
+            known = known.filter(F.col("bucket").isin(touched) & (F.col("batch_no") != n)).select(ref)
+            rows = rows.join(known.hint("merge"), ref, "left_anti")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch_no={n}")
+
+    return write
+
+
 def job_state(attempts: DataFrame, now: Column, base_s: int = 5, max_attempts: int = 5, stuck_minutes: int = 15) -> DataFrame:
     """ST2, batch: (reference, attempt_id, outcome ok / failed / processing, ts) folded to each job's state."""
     failed = F.count_if(F.col("outcome") == "failed")
@@ -27,23 +54,63 @@ def job_state(attempts: DataFrame, now: Column, base_s: int = 5, max_attempts: i
     return rows.select("reference", "failures", status.alias("status"), F.when(status == "retryable", retry).alias("next_retry_us"))
 
 
-def job_state_stream(attempts: DataFrame, base_s: int = 5, max_attempts: int = 5) -> DataFrame:
-    """ST2, stream: one row for each job and batch, with its failures and status so far."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, done, order, last = state.get if state.exists else (0, False, -1, "")
-        for frame in frames:
-            failures += int((frame["outcome"] == "failed").sum())
-            done = done or bool((frame["outcome"] == "ok").any())
-            newest = frame.loc[frame["attempt_id"].idxmax()]
-            if newest["attempt_id"] > order:
-                order, last = int(newest["attempt_id"]), str(newest["outcome"])
-        state.update((failures, done, order, last))
-        status = "succeeded" if done else "flagged" if failures >= max_attempts else "retryable" if last == "failed" else "processing"
-        yield pd.DataFrame({"reference": [key[0]], "failures": [failures], "status": [status]})
-
-    rows = attempts.select("reference", "attempt_id", "outcome")
-    return rows.groupBy("reference").applyInPandasWithState(fold, "reference long, failures long, status string", "failures long, done boolean, ord long, last string", "update", GroupStateTimeout.NoTimeout)
+class JobFold(StatefulProcessor):
+    """A job's attempts so far, each once; a timer turns a job that is stuck in processing into a retryable one, another forgets an ended one."""
+
+    def __init__(self, base_s: int, max_attempts: int, stuck_ms: int, keep_ms: int):
+        self.base_us, self.max_attempts, self.stuck_ms, self.keep_ms = base_s * 1_000_000, max_attempts, stuck_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "attempt_id long", "outcome string")
+        self.job = handle.getValueState("job", "failures long, done boolean, attempt_id long, outcome string, us long")
+
+    def _answer(self, key: tuple, now_ms: int) -> pd.DataFrame:
+        failures, done, _, outcome, us = self.job.get()
+        late = outcome == "processing" and us // 1000 + self.stuck_ms < now_ms
+        status = "succeeded" if done else "flagged" if failures >= self.max_attempts else "retryable" if outcome == "failed" or late else "processing"
+        retry = us + failures * self.base_us if status == "retryable" else None
+        return pd.DataFrame({"reference": [key[0]], "failures": [failures], "status": [status], "next_retry_us": pd.array([retry], dtype="Int64")})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        failures, done, newest, outcome, us = self.job.get() if self.job.exists() else (0, False, -1, "", 0)
+        for frame in rows:
+            for attempt, result, at in zip(frame["attempt_id"].tolist(), frame["outcome"].tolist(), frame["us"].tolist()):
+                if self.seen.containsKey((attempt,)):
+                    continue
+                self.seen.updateValue((attempt,), (result,))
+                failures, done = failures + (result == "failed"), done or result == "ok"
+                if attempt > newest:
+                    newest, outcome, us = attempt, result, at
+        self.job.update((failures, done, newest, outcome, us))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        ended = done or failures >= self.max_attempts
+        if ended or outcome == "processing":
+            self.handle.registerTimer(us // 1000 + (self.keep_ms if ended else self.stuck_ms) + 1)
+        yield self._answer(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        failures, done, _, _, _ = self.job.get()
+        if done or failures >= self.max_attempts:
+            self.seen.clear()
+            self.job.clear()
+        else:
+            yield self._answer(key, expiredTimerInfo.getExpiryTimeInMs() + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def job_state_stream(attempts: DataFrame, base_s: int = 5, max_attempts: int = 5, stuck_minutes: int = 15, keep_days: int = 30, delay: str = "1 hour") -> DataFrame:
+    """ST2, stream: (reference, attempt_id, outcome, ts) -> a job's failures, status and next retry, whenever rows or a timer change them.
+
+    The clock is the watermark. An attempt that comes twice counts once, in any order. What an ended job needs is forgotten
+    `keep_days` after its end. Needs the session's state store to be RocksDB (see rocksdb).
+    """
+    rows = attempts.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay).select("reference", "attempt_id", "outcome", "us", "ts")
+    fold = JobFold(base_s, max_attempts, stuck_minutes * 60_000, keep_days * 86_400_000)
+    return rows.groupBy("reference").transformWithStateInPandas(fold, "reference long, failures long, status string, next_retry_us long", "Update", "EventTime")
 
 
 def latest_status(stream: DataFrame) -> DataFrame:
@@ -51,9 +118,9 @@ def latest_status(stream: DataFrame) -> DataFrame:
     return stream.groupBy("reference").agg(F.max_by("source_status", F.struct("updated_at", "update_id")).alias("source_status"), F.max("updated_at").alias("updated_at"))
 
 
-def stream_gap_dedupe(stream: DataFrame, key: str, ts: str, gap: str = "7 days", delay: str = "1 hour") -> DataFrame:
-    """ST4: sightings of a key whose gaps are at most `gap` are one session."""
-    w = F.session_window(ts, gap)
+def stream_gap_dedupe(stream: DataFrame, key: str, ts: str, gap: timedelta = timedelta(days=7), delay: str = "1 hour") -> DataFrame:
+    """ST4: W10 online: sightings of a key less than `gap` after the one before are one session."""
+    w = F.session_window(ts, f"{round(gap.total_seconds() * 1_000_000) - 1} microseconds")  # a session takes in what comes just at its end
     return stream.withWatermark(ts, delay).groupBy(key, w.alias("w")).agg(F.count(F.lit(1)).alias("occurrence_count"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")).drop("w")
 
 
@@ -69,21 +136,67 @@ def assign_on_arrival(stream: DataFrame, cl: DataFrame, mb: DataFrame, sink: Cal
     return stream.writeStream.foreachBatch(lambda df, n: sink(shortlist(df, index), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def probe_changes(stream: DataFrame, bad: str = "unreachable") -> DataFrame:
-    """ST7: changes of a service's status, across batches."""
+class OrderedChanges(StatefulProcessor):
+    """Rows of a service wait until the watermark has passed them, and are then compared in order of time."""
+
+    def __init__(self, bad: str):
+        self.bad = bad
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, status string")
+        self.before = handle.getValueState("before", "status string")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, status in zip(rows["event_id"], rows["status"]):
+    def _wake(self, waiting: list[tuple]) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if waiting:
+            self.handle.registerTimer(min(waiting)[0] // 1000 + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [row for frame in rows for row in zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["status"].tolist())]
+        self.waiting.appendList(new)
+        self._wake(list(self.waiting.get()))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get())
+        before, out = self.before.get()[0] if self.before.exists() else None, []
+        rest = [row for row in waiting if row[0] >= due]
+        for _, event_id, status in waiting[: len(waiting) - len(rest)]:
             if before is not None and status != before:
-                out.append((key[0], event_id, "DOWN" if status == bad else "RECOVERED"))
+                out.append((key[0], event_id, "DOWN" if status == self.bad else "RECOVERED"))
             before = status
-        state.update((before,))
-        yield pd.DataFrame(out, columns=["service", "event_id", "change"])
-
-    return stream.groupBy("service").applyInPandasWithState(step, "service string, event_id long, change string", "status string", "append", GroupStateTimeout.NoTimeout)
+        if before is not None:
+            self.before.update((before,))
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        self._wake(rest)
+        if out:
+            yield pd.DataFrame(out, columns=["service", "event_id", "change"])
+
+    def close(self) -> None:
+        pass
+
+
+def probe_changes(stream: DataFrame, bad: str = "unreachable", delay: str = "1 hour") -> DataFrame:
+    """ST7: W11 online: (service, ts, event_id, status) -> changes of a service's status in order of ts and event_id, once the watermark has passed them.
+
+    So rows may come in any order inside `delay`; later ones are dropped. Needs the session's state store to be RocksDB (see rocksdb).
+    """
+    rows = stream.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay).select("service", "event_id", "status", "us", "ts")
+    return rows.groupBy("service").transformWithStateInPandas(OrderedChanges(bad), "service string, event_id long, change string", "Append", "EventTime")
+
+
+def rocksdb(spark: SparkSession) -> dict[str, str]:
+    """Set the state store that timers need, for streams that start from now on; returns what was set before."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = {name: spark.conf.get(name)}
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return before
 
 
 def incremental_extract(spark: SparkSession, path: str, schema, fmt: str = "parquet", files: int = 100) -> DataFrame:
