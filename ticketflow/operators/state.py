@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
 from ticketflow.operators.graph import cut
-from ticketflow.operators.joins import cross_system_members, remint_guard, validate_service, verdict_coverage
+from ticketflow.operators.joins import cross_system_members, generic_service, remint_guard, small, snap_service, split_service, verdict_coverage
 
 PINNED = ("human", "admin")
 #: Fixed value: the name of a group that has no other.
@@ -203,26 +203,90 @@ def recover_or_queue(st: DataFrame, results: DataFrame, queue: DataFrame) -> tup
     return out, q
 
 
-def apply_corrections(st: DataFrame, corrections: DataFrame, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ticket_id, service) corrections that the taxonomy accepts are applied, with their owning system; NONE_OF_THE_ABOVE becomes a gap; others are logged."""
-    none = F.col("service") == "NONE_OF_THE_ABOVE"
-    checked = validate_service(corrections.filter(~none).join(st.select("ticket_id", "affected_system"), "ticket_id"), tx)
-    good = checked.filter("reason is null").select("ticket_id", F.col("service").alias("c_service"), F.col("system").alias("c_system"), F.lit(None).cast("string").alias("c_conf"))
-    gap = corrections.filter(none).join(st.select("ticket_id", F.col("service").alias("was")), "ticket_id").select("ticket_id", F.concat(F.coalesce(S.offering_key(F.col("was")), F.col("was")), F.lit(S.GAP)).alias("c_service"), F.lit(None).cast("string").alias("c_system"), F.lit("low").alias("c_conf"))
-    rows = st.join(good.unionByName(gap), "ticket_id", "left")
-    out = rows.select(*[{"service": F.coalesce("c_service", "service").alias("service"), "affected_system": F.coalesce("c_system", "affected_system").alias("affected_system")}.get(c, F.col(c)) for c in st.columns], F.coalesce("c_conf", F.lit("kept")).alias("confidence"))
-    return out, checked.filter("reason is not null").select("ticket_id", "service", "reason")
-
-
-def resolve_cascade(st: DataFrame, stages: DataFrame, generic: DataFrame) -> DataFrame:
-    """One result from (ticket_id, stage, value): a pinned system beats the rule's, that beats stage 1's; the service stage falls back to the system's generic one; an abstained offering is a gap."""
-    wide = stages.groupBy("ticket_id").pivot("stage", ["pinned", "rule", "system", "service", "offering"]).agg(F.min("value"))
-    rows = st.select("ticket_id").join(wide, "ticket_id", "left").withColumn("final_system", F.coalesce("pinned", "rule", "system"))
-    rows = rows.join(generic.select(F.col("system").alias("final_system"), "generic"), "final_system", "left")
-    base = F.coalesce("service", "generic", F.lit(S.GENERAL))
-    full = F.when(F.col("offering").isNull(), base).when(F.col("offering") == "ABSTAIN", F.concat(base, F.lit(S.GAP))).otherwise(F.concat(base, F.lit("."), F.col("offering")))
-    low = F.col("service").isNull() | F.col("offering").isNull() | (F.col("offering") == "ABSTAIN")
-    return rows.select("ticket_id", F.coalesce("final_system", F.lit("Other")).alias("system"), full.alias("service"), F.when(low, "low").otherwise("high").alias("confidence"))
+NONE = "NONE_OF_THE_ABOVE"
+
+
+def _abstains(value: Column) -> Column:
+    return (value == NONE) | F.endswith(value, F.lit(f".{NONE}"))
+
+
+def _offerings(tx: DataFrame) -> DataFrame:
+    """key, owner, offerings of each taxonomy service, with a join hint by its size."""
+    return small(tx.groupBy(F.col("service").alias("key")).agg(F.min("system").alias("owner"), F.array_sort(F.collect_set("offering")).alias("offerings")))
+
+
+def apply_corrections(st: DataFrame, corrections: DataFrame, tx: DataFrame, allowed: dict[str, Sequence[str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A verifier's corrections (ticket_id, field, value) of affected_system, service and the fields of `allowed` -> (tickets, log, gaps).
+
+    A service must be in the taxonomy (J12) and brings its owning system; a bare one with a single offering takes that, one with several
+    stays bare at low confidence. NONE_OF_THE_ABOVE makes the ticket's service a gap at low confidence and writes a gap row. A system must be
+    known and own the service that the ticket then has. Of several corrections of a field the first by value counts. The log has every correction with its outcome and reason.
+    """
+    fields = ["affected_system", "service", *allowed]
+    given = corrections.withColumn("value", F.trim("value")).join(st.select("ticket_id"), "ticket_id", "left_semi")
+    first = given.filter(F.col("field").isin(fields)).groupBy("ticket_id", "field").agg(F.min("value").alias("value"))
+    wide = first.groupBy("ticket_id").pivot("field", fields).agg(F.first("value")).select("ticket_id", *[F.col(f).alias(f"new_{f}") for f in fields])
+    own = st.select("ticket_id", *[F.col(f).alias(f"old_{f}") for f in fields])
+    rows = own.join(wide.hint("merge"), "ticket_id")
+    known = tx.select(F.col("system").alias("new_affected_system")).distinct().withColumn("known", F.lit(True))
+    keys = _offerings(tx)
+    asked = cut(rows.select("new_service").unionByName(rows.select(F.col("old_service").alias("new_service"))).filter("new_service is not null").distinct())
+    split = small(cut(split_service(asked.withColumnRenamed("new_service", "service"), tx)))
+    of = lambda prefix: split.select(F.col("service").alias(f"{prefix}_service"), F.col("service_key").alias(f"{prefix}_key"), F.col("offering").alias(f"{prefix}_offering"))
+    info = lambda prefix: keys.select(F.col("key").alias(f"{prefix}_key"), F.col("owner").alias(f"{prefix}_owner"), F.col("offerings").alias(f"{prefix}_offerings"))
+    for prefix in ("new", "old"):
+        rows = rows.join(of(prefix), f"{prefix}_service", "left").join(info(prefix), f"{prefix}_key", "left")
+    rows = rows.join(small(known), "new_affected_system", "left")
+    gap = F.coalesce(_abstains(F.col("new_service")), F.lit(False))
+    wrong = F.when(gap, F.when(F.col("old_owner").isNull(), "no service to name a gap of")).when(F.col("new_owner").isNull(), "unknown service").when(F.col("new_offering").isNotNull() & (F.col("new_offering") != S.GAP[1:]) & ~F.array_contains("new_offerings", F.col("new_offering")), "unknown offering")
+    fits = F.col("new_service").isNotNull() & wrong.isNull()
+    bare = F.col("new_offering").isNull() & ~gap
+    only = F.when(bare & (F.size("new_offerings") == 1), F.concat("new_key", F.lit("."), F.col("new_offerings")[0]))
+    service = F.when(fits & gap, F.concat("old_key", F.lit(S.GAP))).when(fits, F.coalesce(only, "new_service")).otherwise(F.col("old_service"))
+    owner = F.when(fits & ~gap, F.col("new_owner")).otherwise(F.col("old_owner"))
+    rows = cut(rows.withColumns({"is_gap": fits & gap, "fits": fits, "service_reason": wrong, "system_reason": F.when(F.col("known").isNull(), "unknown system").when(owner.isNotNull() & (owner != F.col("new_affected_system")), "system of another service"), "out_service": service, "owner": owner, "low": (fits & gap) | (fits & bare & (F.size("new_offerings") > 1))}))
+    moved = F.when(F.col("new_affected_system").isNotNull() & F.col("system_reason").isNull(), F.col("new_affected_system")).when(F.col("fits") & ~F.col("is_gap"), F.col("owner")).otherwise(F.col("old_affected_system"))
+    made = {"affected_system": moved, "service": F.col("out_service")} | {f: F.when(F.col(f"new_{f}").isin(*values), F.col(f"new_{f}")).otherwise(F.col(f"old_{f}")) for f, values in allowed.items()}
+    changed = rows.select("ticket_id", *[c.alias(f"c_{f}") for f, c in made.items()], F.when(F.col("low"), "low").otherwise("kept").alias("confidence"), F.lit(True).alias("hit"))
+    out = st.join(changed.hint("merge"), "ticket_id", "left").select(*[F.when(F.col("hit"), F.col(f"c_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in st.columns], F.coalesce("confidence", F.lit("kept")).alias("confidence"))
+    reasons = rows.select("ticket_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"new_{f}").alias("value"), r.alias("reason")) for f, r in {"affected_system": F.col("system_reason"), "service": F.col("service_reason"), **{f: F.when(~F.col(f"new_{f}").isin(*values), "unknown value") for f, values in allowed.items()}}.items()])).alias("x")).select("ticket_id", "x.*").filter("value is not null")
+    none = given.filter(~F.coalesce(F.col("field").isin(fields), F.lit(False))).select("ticket_id", "field", "value", F.lit("not a field to correct").alias("reason"))
+    log = reasons.unionByName(none).withColumn("outcome", F.when(F.col("reason").isNull(), "applied").otherwise("discarded"))
+    return out, log, rows.filter("is_gap").select("ticket_id", F.col("old_key").alias("service"), F.lit("(unspecified)").alias("suggested_offering"))
+
+
+def resolve_cascade(st: DataFrame, answers: DataFrame, tx: DataFrame, system_pattern: str, rule: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tickets (ticket_id, affected_system and what `rule` reads) and stage answers (ticket_id, stage, attempt, value, suggested) -> (results, gaps).
+
+    System: the ticket's own if the taxonomy has it, else the rule's (P10), else the first answer of stage `system`; without any the ticket is unspecified.
+    Service: the first answer of stage `service` that snaps onto a service of that system (J13), else the system's generic one.
+    Offering: none where the service has none, the only one where it has one, else the first valid answer of stage `offering`; an abstention is a
+    gap, and answers that all fail leave the bare service. `path` says which way was taken; all but picked and forced offerings and services without any are of low confidence.
+    """
+    systems = small(generic_service(tx).withColumnRenamed("system", "known"))
+    base = st.select("ticket_id", F.trim("affected_system").alias("pin"), (rule if rule is not None else F.lit(None).cast("string")).alias("rule"))
+    usable = answers.filter("value is not null")
+    stage = lambda name: usable.filter(F.col("stage") == name)
+    said = stage("system").groupBy("ticket_id").agg(F.min_by("value", "attempt").alias("said"))
+    rows = base.join(systems.select(F.col("known").alias("pin"), F.lit(True).alias("pinned")), "pin", "left").join(said.hint("merge"), "ticket_id", "left")
+    rows = cut(rows.select("ticket_id", F.coalesce(F.when(F.col("pinned"), F.col("pin")), "rule", "said").alias("system")))
+    services = stage("service").select("ticket_id", "attempt", F.col("value").alias("service")).join(rows.hint("merge"), "ticket_id").withColumnRenamed("system", "affected_system")
+    snapped = snap_service(services, tx, system_pattern).filter("snapped is not null").groupBy("ticket_id").agg(F.min_by("snapped", "attempt").alias("key"))
+    rows = rows.join(snapped.hint("merge"), "ticket_id", "left").join(systems.select(F.col("known").alias("system"), "generic"), "system", "left").join(_offerings(tx), "key", "left")
+    rows = cut(rows.withColumn("size", F.coalesce(F.size("offerings"), F.lit(0))))
+    picks = stage("offering").select("ticket_id", "attempt", "value", "suggested").join(rows.filter("size > 1").select("ticket_id", "key", "offerings").hint("merge"), "ticket_id")
+    bare = F.when(F.startswith("value", F.concat("key", F.lit("."))), F.expr("substring(value, length(key) + 2)")).otherwise(F.col("value"))
+    picks = picks.withColumn("offering", F.when(_abstains(F.col("value")), F.lit(S.GAP[1:])).otherwise(bare))
+    valid = (F.col("offering") == S.GAP[1:]) | F.array_contains("offerings", F.col("offering"))
+    picked = picks.filter(valid).groupBy("ticket_id").agg(F.min_by(F.struct("offering", "suggested"), "attempt").alias("pick"))
+    rows = rows.join(picked.hint("merge"), "ticket_id", "left")
+    gap = F.col("pick.offering") == S.GAP[1:]
+    path = F.when(F.col("system").isNull(), "no system").when(F.col("key").isNull(), "no service").when(F.col("size") == 0, "no offerings").when(F.col("size") == 1, "forced").when(F.col("pick").isNull(), "failed").when(gap, "gap").otherwise("picked")
+    tail = F.when(F.col("size") == 1, F.col("offerings")[0]).otherwise(F.col("pick.offering"))
+    service = F.when(F.col("key").isNull(), F.coalesce("generic", F.lit(S.GENERAL))).otherwise(F.concat_ws(".", "key", F.when(F.col("size") > 0, tail)))
+    rows = cut(rows.select("ticket_id", F.coalesce("system", F.lit("Other")).alias("system"), "key", service.alias("service"), path.alias("path"), F.col("pick.suggested").alias("suggested")))
+    results = rows.select("ticket_id", "system", "service", F.when(F.col("path").isin("picked", "forced", "no offerings"), "high").otherwise("low").alias("confidence"), "path")
+    return results, rows.filter("path = 'gap'").select("ticket_id", F.col("key").alias("service"), F.coalesce(F.nullif(F.trim("suggested"), F.lit("")), F.lit("(unspecified)")).alias("suggested_offering"))
 
 
 def status_update(st: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:

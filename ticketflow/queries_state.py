@@ -16,7 +16,7 @@ from ticketflow.operators import joins as J
 from ticketflow.operators import state as M
 from ticketflow.operators import windows as W
 from ticketflow.plans import maintenance as P
-from ticketflow.queries import _ACCEPT, _CAND, _COVER, _EX, _EXSQL, _KEY, _KIND, _MODE, _MT, _OFF, _PAIRS, _PR, _SHOWN, _ST, _SUMV, _SYS, _TV, _VER, _VETO, _ANS, NOW, Tables, _now, _plain, query
+from ticketflow.queries import _ACCEPT, _CAND, _COVER, _EX, _EXSQL, _KEY, _KIND, _MODE, _MT, _OFF, _PAIRS, _PR, _SHOWN, _SPLIT, _CORE, _ST, _SUMV, _SYS, _TV, _VER, _VETO, _ANS, NOW, ORACLE, SYSTEMS, Tables, _now, _plain, query
 from ticketflow.sources import intake as I
 from ticketflow.streaming import streams as ST
 
@@ -202,14 +202,41 @@ _RES = lambda t: t.tickets.filter("ticket_id % 2 = 0").select("ticket_id", F.lit
 query("heal_failed", lambda t: M.heal_failed(t.tickets.select("ticket_id", "service", "classification_status"), _RES(t))[0], "SELECT ticket_id, CASE WHEN h THEN 'healed service' ELSE service END AS service, CASE WHEN h THEN 'ok' ELSE classification_status END AS classification_status FROM (SELECT *, classification_status = 'failed' AND ticket_id % 2 = 0 AND ticket_id % 3 <> 0 AS h FROM tickets)", "tickets")
 query("heal_failed_counts", lambda t: M.heal_failed(t.tickets.select("ticket_id", "service", "classification_status"), _RES(t))[1], "SELECT count(*) FILTER (ticket_id % 3 <> 0) AS healed, count(*) FILTER (ticket_id % 3 = 0) AS still_failed FROM tickets WHERE classification_status = 'failed' AND ticket_id % 2 = 0", "tickets")
 _QUEUE = lambda t: t.tickets.filter("ticket_id % 58 = 0").select("ticket_id", F.lit(2).alias("attempts"))
-query("recover_or_queue", lambda t: M.recover_or_queue(t.tickets.select("ticket_id", "service", "classification_status"), _RES(t).withColumn("classification_status", F.lit("failed")), _QUEUE(t))[1], "SELECT ticket_id, 2 AS attempts FROM tickets WHERE ticket_id % 58 = 0", "tickets")
-_COR = lambda t: t.tickets.filter("ticket_id % 4 = 0").select("ticket_id", F.when(F.col("ticket_id") % 16 == 0, "NONE_OF_THE_ABOVE").when(F.col("ticket_id") % 12 == 0, "no such service").otherwise("Svc src4 - SysA.Off1").alias("service"))
-query("apply_corrections", lambda t: M.apply_corrections(t.tickets.select("ticket_id", "affected_system", "service"), _COR(t), t.taxonomy)[0],
-      f"SELECT ticket_id, CASE WHEN c = 1 THEN 'SysA' ELSE affected_system END AS affected_system, CASE WHEN c = 1 THEN 'Svc src4 - SysA.Off1' WHEN c = 2 THEN coalesce({_OFF}, service) || '.OFFERING-GAP' ELSE service END AS service, CASE WHEN c = 2 THEN 'low' ELSE 'kept' END AS confidence FROM (SELECT *, CASE WHEN ticket_id % 16 = 0 THEN 2 WHEN ticket_id % 12 = 0 THEN 0 WHEN ticket_id % 4 = 0 AND EXISTS (SELECT 1 FROM taxonomy WHERE service = 'Svc src4 - SysA' AND offering = 'Off1') THEN 1 ELSE 0 END AS c FROM tickets)", "tickets", "taxonomy")
-_STG = lambda t: t.tickets.select("ticket_id", F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), v.alias("value")) for s, v in (("pinned", F.col("affected_system")), ("rule", F.when(F.col("ticket_id") % 4 == 1, "SysB")), ("system", F.lit("SysC")), ("service", F.when(F.col("ticket_id") % 3 != 0, F.lit("Svc X"))), ("offering", F.element_at(F.array(F.lit("Off1"), F.lit("ABSTAIN"), F.lit(None)), (F.col("ticket_id") % 3 + 1).cast("int"))))])).alias("x")).select("ticket_id", "x.*").filter("value is not null")
-query("resolve_cascade", lambda t: M.resolve_cascade(t.tickets, _STG(t), J.generic_service(t.taxonomy)),
-      """WITH g AS (SELECT min(service) AS generic FROM taxonomy), r AS (SELECT ticket_id, coalesce(affected_system, CASE WHEN ticket_id % 4 = 1 THEN 'SysB' END, 'SysC') AS system FROM tickets), b AS (SELECT ticket_id, system, CASE WHEN ticket_id % 3 <> 0 THEN 'Svc X' WHEN system = 'SysA' THEN generic ELSE 'General / Unspecified' END AS base FROM r CROSS JOIN g)
- SELECT ticket_id, system, CASE ticket_id % 3 WHEN 0 THEN base || '.Off1' WHEN 1 THEN base || '.OFFERING-GAP' ELSE base END AS service, 'low' AS confidence FROM b""", "tickets", "taxonomy")
+query("recover_or_queue", lambda t: M.recover_or_queue(t.tickets.select("ticket_id", "service", "classification_status"), t.tickets.select("ticket_id", F.lit("again").alias("service"), F.when(F.col("ticket_id") % 3 == 0, "failed").otherwise("ok").alias("classification_status")), _QUEUE(t))[1],
+      "SELECT ticket_id, 2 AS attempts FROM tickets WHERE ticket_id % 58 = 0 UNION ALL SELECT ticket_id, 1 FROM tickets WHERE classification_status = 'failed' AND ticket_id % 58 <> 0 AND ticket_id % 3 = 0", "tickets")
+query("recover_or_queue_tickets", lambda t: M.recover_or_queue(t.tickets.select("ticket_id", "service", "classification_status"), t.tickets.select("ticket_id", F.lit("again").alias("service"), F.when(F.col("ticket_id") % 3 == 0, "failed").otherwise("ok").alias("classification_status")), _QUEUE(t))[0],
+      "SELECT ticket_id, CASE WHEN won THEN 'again' ELSE service END AS service, CASE WHEN won THEN 'ok' ELSE classification_status END AS classification_status FROM (SELECT *, classification_status = 'failed' AND ticket_id % 58 <> 0 AND ticket_id % 3 <> 0 AS won FROM tickets)", "tickets")
+_FIX = {"service": lambda i: F.when(i % 16 == 0, "NONE_OF_THE_ABOVE").when(i % 12 == 0, "no such service").when(i % 20 == 8, "Svc src6 - SysA").when(i % 4 == 0, "Svc src4 - SysA.Off1"), "affected_system": lambda i: F.when(i % 9 == 2, "SysA").when(i % 9 == 4, "SysZ"), "severity": lambda i: F.when(i % 6 == 1, "Cosmetic").when(i % 6 == 3, "Terrible"), "ticket_kind": lambda i: F.when(i % 10 == 7, " test "), "mood": lambda i: F.when(i % 50 == 1, "bad")}
+_COR = lambda t: t.tickets.select("ticket_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v(F.col("ticket_id")).alias("value")) for f, v in _FIX.items()])).alias("x")).select("ticket_id", "x.*").filter("value is not null")
+_CORRECTED = lambda t: M.apply_corrections(t.tickets.select("ticket_id", "affected_system", "service", "severity", "ticket_kind"), _COR(t), t.taxonomy, {"severity": ["Critical", "Major", "Minor", "Cosmetic"], "ticket_kind": ["incident", "test"]})
+_CORSQL = f"""WITH {_SPLIT}, f AS (SELECT count(*) FILTER (service = 'Svc src4 - SysA') > 0 AS has_key, count(*) FILTER (service = 'Svc src4 - SysA' AND offering = 'Off1') > 0 AS has_off, count(*) FILTER (service = 'Svc src6 - SysA') > 0 AS has_bare, count(DISTINCT offering) FILTER (service = 'Svc src6 - SysA') AS n6, min(offering) FILTER (service = 'Svc src6 - SysA') AS o6 FROM taxonomy),
+ x AS (SELECT t.*, s.key AS old_key, f.*, CASE WHEN ticket_id % 16 = 0 THEN 'NONE_OF_THE_ABOVE' WHEN ticket_id % 12 = 0 THEN 'no such service' WHEN ticket_id % 20 = 8 THEN 'Svc src6 - SysA' WHEN ticket_id % 4 = 0 THEN 'Svc src4 - SysA.Off1' END AS ns, CASE ticket_id % 9 WHEN 2 THEN 'SysA' WHEN 4 THEN 'SysZ' END AS nsys, CASE ticket_id % 6 WHEN 1 THEN 'Cosmetic' WHEN 3 THEN 'Terrible' END AS nsev, CASE WHEN ticket_id % 10 = 7 THEN 'test' END AS nkind FROM tickets t LEFT JOIN s ON s.service = t.service CROSS JOIN f),
+ y AS (SELECT *, coalesce(ns = 'NONE_OF_THE_ABOVE', false) AS gap, CASE WHEN ns = 'NONE_OF_THE_ABOVE' THEN CASE WHEN old_key IS NULL THEN 'no service to name a gap of' END WHEN ns = 'no such service' THEN 'unknown service' WHEN ns = 'Svc src6 - SysA' THEN CASE WHEN NOT has_bare THEN 'unknown service' END WHEN ns IS NOT NULL AND NOT has_key THEN 'unknown service' WHEN ns IS NOT NULL AND NOT has_off THEN 'unknown offering' END AS why FROM x),
+ z AS (SELECT *, ns IS NOT NULL AND why IS NULL AS fits, coalesce(ns = 'Svc src6 - SysA', false) AS bare FROM y)"""
+query("apply_corrections", lambda t: _CORRECTED(t)[0], _CORSQL + """ SELECT ticket_id, CASE WHEN nsys = 'SysA' OR fits AND NOT gap THEN 'SysA' ELSE affected_system END AS affected_system, CASE WHEN fits AND gap THEN old_key || '.OFFERING-GAP' WHEN fits AND bare AND n6 = 1 THEN ns || '.' || o6 WHEN fits THEN ns ELSE service END AS service,
+ CASE WHEN nsev = 'Cosmetic' THEN nsev ELSE severity END AS severity, coalesce(nkind, ticket_kind) AS ticket_kind, CASE WHEN fits AND (gap OR bare AND n6 > 1) THEN 'low' ELSE 'kept' END AS confidence FROM z""", "tickets", "taxonomy")
+query("apply_corrections_log", lambda t: _CORRECTED(t)[1], _CORSQL + """, r AS (SELECT ticket_id, 'service' AS field, ns AS value, why AS reason FROM z UNION ALL SELECT ticket_id, 'affected_system', nsys, CASE WHEN nsys = 'SysZ' THEN 'unknown system' END FROM z UNION ALL SELECT ticket_id, 'severity', nsev, CASE WHEN nsev = 'Terrible' THEN 'unknown value' END FROM z
+ UNION ALL SELECT ticket_id, 'ticket_kind', nkind, NULL FROM z UNION ALL SELECT ticket_id, 'mood', CASE WHEN ticket_id % 50 = 1 THEN 'bad' END, 'not a field to correct' FROM z) SELECT *, CASE WHEN reason IS NULL THEN 'applied' ELSE 'discarded' END AS outcome FROM r WHERE value IS NOT NULL""", "tickets", "taxonomy")
+query("apply_corrections_gaps", lambda t: _CORRECTED(t)[2], _CORSQL + " SELECT ticket_id, old_key AS service, '(unspecified)' AS suggested_offering FROM z WHERE fits AND gap", "tickets", "taxonomy")
+_bare = lambda: F.regexp_replace("service", "[.](Off[0-9]+|OFFERING-GAP)$", "")
+_SAID = {("system", 1): lambda i: F.when(i % 7 != 0, "SysA"), ("system", 2): lambda i: F.when(i % 14 == 0, "SysC"), ("service", 1): lambda i: F.when(i % 3 == 0, F.upper(_bare())).when(i % 3 == 1, "nonsense"), ("service", 2): lambda i: F.when(i % 6 != 4, F.regexp_replace(_bare(), " - ", " ")),
+         ("offering", 1): lambda i: F.element_at(F.array(*map(F.lit, ("Off0", "Off1", "bogus", None, "NONE_OF_THE_ABOVE"))), (i % 5 + 1).cast("int")), ("offering", 2): lambda i: F.when(i % 4 < 2, "Off2").otherwise("bogus")}
+_STG = lambda t: t.tickets.select("ticket_id", F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(a).alias("attempt"), v(F.col("ticket_id")).alias("value"), F.when(F.col("ticket_id") % 2 == 0, "new kind").otherwise(" ").alias("suggested")) for (s, a), v in _SAID.items()])).alias("x")).select("ticket_id", "x.*")
+_FEWER = lambda t: t.taxonomy.filter("service not like '%src3 %' or offering is null or offering = 'Off1'").filter("service not like '%src5 %' or offering is null")
+_RULE = lambda: S.resolve_system(F.col("title"), F.col("description"), {"SysA": "benchmark", "SysB": "idiot"}, [("SysC", "token", "[0-9]{4}", "password")], {"SysA": ["clown", "trash"], "SysB": ["license"], "SysD": ["ción"]})
+_CASCADE = lambda t: M.resolve_cascade(t.tickets, _STG(t), _FEWER(t), SYSTEMS, _RULE())
+_CASSQL = f"""WITH tx AS (SELECT * FROM taxonomy WHERE (service NOT LIKE '%src3 %' OR offering IS NULL OR offering = 'Off1') AND (service NOT LIKE '%src5 %' OR offering IS NULL)), k AS (SELECT DISTINCT service AS key FROM tx), g AS (SELECT min(service) AS generic FROM tx), ru AS ({ORACLE['resolve_system']}),
+ sys AS (SELECT t.ticket_id, regexp_replace(t.service, '[.](Off[0-9]+|OFFERING-GAP)$', '') AS service, coalesce(CASE WHEN affected_system = 'SysA' THEN 'SysA' END, ru.system, CASE WHEN t.ticket_id % 7 <> 0 THEN 'SysA' WHEN t.ticket_id % 14 = 0 THEN 'SysC' END) AS system FROM tickets t JOIN ru ON ru.ticket_id = t.ticket_id),
+ n AS (SELECT ticket_id, 1 AS attempt, CASE ticket_id % 3 WHEN 0 THEN upper(service) WHEN 1 THEN 'nonsense' END AS value FROM sys WHERE system = 'SysA' UNION ALL SELECT ticket_id, 2, CASE WHEN ticket_id % 6 <> 4 THEN replace(service, ' - ', ' ') END FROM sys WHERE system = 'SysA'),
+ c AS (SELECT {_CORE.format(c='key')} AS core, min(key) AS key FROM k GROUP BY 1 HAVING count(*) = 1), p AS (SELECT ticket_id, attempt, arg_max(key, length(key)) AS key FROM n JOIN k ON value = key OR starts_with(value, key || '.') GROUP BY 1, 2),
+ sn AS (SELECT n.ticket_id, n.attempt, coalesce(p.key, c.key) AS key FROM n LEFT JOIN p ON p.ticket_id = n.ticket_id AND p.attempt = n.attempt LEFT JOIN c ON c.core = {_CORE.format(c='n.value')} WHERE n.value IS NOT NULL), sv AS (SELECT ticket_id, arg_min(key, attempt) AS key FROM sn WHERE key IS NOT NULL GROUP BY 1),
+ o AS (SELECT service AS key, count(DISTINCT offering) AS size, min(offering) AS sole FROM tx GROUP BY 1),
+ a AS (SELECT ticket_id, 1 AS attempt, ['Off0', 'Off1', 'bogus', NULL, 'OFFERING-GAP'][ticket_id % 5 + 1] AS offering FROM tickets UNION ALL SELECT ticket_id, 2, CASE WHEN ticket_id % 4 < 2 THEN 'Off2' ELSE 'bogus' END FROM tickets),
+ pk AS (SELECT sv.ticket_id, arg_min(a.offering, a.attempt) AS pick FROM sv JOIN a ON a.ticket_id = sv.ticket_id WHERE a.offering = 'OFFERING-GAP' OR EXISTS (SELECT 1 FROM tx WHERE tx.service = sv.key AND tx.offering = a.offering) GROUP BY 1),
+ w AS (SELECT s.ticket_id, s.system, sv.key, coalesce(size, 0) AS size, sole, pick, generic, CASE WHEN s.system IS NULL THEN 'no system' WHEN sv.key IS NULL THEN 'no service' WHEN size = 0 THEN 'no offerings' WHEN size = 1 THEN 'forced' WHEN pick IS NULL THEN 'failed' WHEN pick = 'OFFERING-GAP' THEN 'gap' ELSE 'picked' END AS path FROM sys s CROSS JOIN g LEFT JOIN sv ON sv.ticket_id = s.ticket_id LEFT JOIN o ON o.key = sv.key LEFT JOIN pk ON pk.ticket_id = s.ticket_id)"""
+query("resolve_cascade", lambda t: _CASCADE(t)[0], _CASSQL + """ SELECT ticket_id, coalesce(system, 'Other') AS system, CASE WHEN key IS NULL THEN CASE WHEN system = 'SysA' THEN generic ELSE 'General / Unspecified' END WHEN size = 0 THEN key WHEN size = 1 THEN key || '.' || sole WHEN pick IS NULL THEN key ELSE key || '.' || pick END AS service,
+ CASE WHEN path IN ('picked', 'forced', 'no offerings') THEN 'high' ELSE 'low' END AS confidence, path FROM w""", "tickets", "taxonomy")
+query("resolve_cascade_gaps", lambda t: _CASCADE(t)[1], _CASSQL + " SELECT ticket_id, key AS service, CASE WHEN ticket_id % 2 = 0 THEN 'new kind' ELSE '(unspecified)' END AS suggested_offering FROM w WHERE path = 'gap'", "tickets", "taxonomy")
 query("status_update", lambda t: M.status_update(t.tickets.select("ticket_id", "source_status"), t.status_updates)[0].select("ticket_id", "source_status", "status"),
       f"SELECT ticket_id, source_status, {_ST} AS status FROM (SELECT t.ticket_id, coalesce(u.s, t.source_status) AS source_status FROM tickets t LEFT JOIN (SELECT reference, arg_max(source_status, struct_pack(updated_at, update_id)) AS s FROM status_updates GROUP BY 1) u ON u.reference = t.ticket_id)", "tickets", "status_updates")
 query("resync_columns", lambda t: M.resync_columns(t.tickets.withColumn("json", F.when(F.col("ticket_id") % 2 == 0, '{"ticket_kind":"test"}')), "json").select("ticket_id", "ticket_kind", "classification_status"), "SELECT ticket_id, CASE WHEN ticket_id % 2 = 0 THEN 'test' ELSE ticket_kind END AS ticket_kind, classification_status FROM tickets", "tickets")
