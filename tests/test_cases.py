@@ -1,6 +1,7 @@
 """Hand-made cases for single operators."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from ticketflow.operators import aggs as A
 from ticketflow.operators import graph as G
 from ticketflow.operators import joins as J
 from ticketflow.operators import state as M
+from ticketflow.operators import views as V
 from ticketflow.operators import windows as W
 from ticketflow.sources import intake as I
 
@@ -163,3 +165,26 @@ def test_score_batches_retries_and_redacts(spark):
     df = spark.createDataFrame([(1, "bad")], "id long, prompt string")
     assert rows(X.score_batches(df, flaky, retries=0)) == [(1, None, "<redacted>")]
     assert rows(X.score_batches(df.withColumn("prompt", F.lit("ok")), flaky)) == [(1, "OK", None)]
+
+
+def test_search_reads_only_candidates(spark, tmp_path):
+    """Texts by title, id and description, in any case; only folders of the text's grams and of the tickets that have them all are read."""
+    st = spark.createDataFrame([(k, f"Title {k}", "Printer on FIRE" if k == 7 else f"all quiet {k}" if k % 2 else None) for k in range(200)] + [(900, "ok", "x" * 30_000 + "needle" + "y" * 30_000)], "ticket_id long, title string, description string")
+    V.save_search(st, str(tmp_path))
+    find = lambda text: sorted(r["ticket_id"] for r in V.search_tickets(spark, str(tmp_path), text).collect())
+    assert find("er on fire") == [7] and find("NEEDLE") == [900] and find("quiet 19") == [19, *range(191, 200, 2)] and find("title 7") == [7, *range(70, 80)]
+    assert find("no such text") == [] and 7 in find("7") and find("fire\x007") == []
+    plan = V.search_tickets(spark, str(tmp_path), "needle")._jdf.queryExecution().toString()
+    pruned = re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (?:= \d+|IN \(\d+\))", plan)
+    assert pruned is not None
+
+
+def test_search_of_clusters(spark):
+    cl = spark.createDataFrame([(1, "active", "Login", "SysA"), (2, "active", "Printing", ""), (3, "retired", "Login", "SysA"), (4, "active", "Mail", "SysB")], "cluster_id long, status string, name string, affected_system string")
+    mb = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4), (2, 5), (3, 6), (3, 7), (4, 8)], "cluster_id long, ticket_id long")
+    st = spark.createDataFrame([(k, f"t{k}", "login fails" if k == 5 else "x", "SysA", "svc", "Critical" if k == 4 else "Minor", "north" if k in (1, 4) else "south") for k in range(1, 9)], "ticket_id long, title string, description string, affected_system string, service string, severity string, assign_group string")
+    find = lambda *a, **k: [(r["cluster_id"], r["n"]) for r in V.search_clusters(cl, mb, st, *a, **k).collect()]
+    assert find() == [(1, 3), (2, 2)]
+    assert find("LOGIN") == [(1, 3), (2, 2)] and find("fails") == [(2, 2)] and find("t3") == [(1, 3)]
+    assert find("login", team="north") == [(1, 1)] and find(team="north") == [(2, 1), (1, 1)]
+    assert find(severity="Critical") == [(2, 2)] and find(system="SysB") == []

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
 from ticketflow.operators.joins import centroids, unassigned_pool
+from ticketflow.operators.scan import numbered
 from ticketflow.operators.vectors import unit
 
 
@@ -73,12 +74,23 @@ def cluster_summary(cl: DataFrame, mb: DataFrame, st: DataFrame, min_members: in
     return out.select("cluster_id", "name", F.coalesce(S.blank_to_null(F.col("own_system")), "system").alias("system"), "service", "worst", "n", *(["ids"] if ids else []))
 
 
-def cluster_report(cl: DataFrame, mb: DataFrame, st: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A4: A5, and its members with their similarity in percent, a row each."""
-    summary = cluster_summary(cl, mb, st)
+def cluster_report(cl: DataFrame, mb: DataFrame, st: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A4: A5 with names and texts, its members with their similarity in percent, a row each, and one row of totals.
+
+    A cluster without a name takes `name_en`, then "Cluster"; without a description, its name. `place` ranks by members, largest first.
+    """
+    blank = lambda c: S.blank_to_null(F.col(c)) if c in cl.columns else F.lit(None).cast("string")
+    name = F.coalesce(blank("name"), blank("name_en"), F.lit("Cluster"))
+    labels = cl.select("cluster_id", name.alias("name"), F.coalesce(blank("description"), name).alias("description"))
+    summary = cluster_summary(cl, mb, st).drop("name").join(labels, "cluster_id")
+    summary = summary.withColumn("summary", F.concat_ws(" — ", F.concat("n", F.lit(" tickets")), "name"))
+    ranked = summary.select("cluster_id", "n").withColumn("one", F.lit(0))
+    place = numbered(ranked.withColumn("less", -F.col("n")), ["one"], ["less", "cluster_id"], "place").select("cluster_id", "place")
+    summary = summary.join(place, "cluster_id")
     sim = centroid_similarity(mb.join(st.select("ticket_id"), "ticket_id", "left_semi"))
     members = sim.join(summary.select("cluster_id"), "cluster_id", "left_semi").select("cluster_id", "ticket_id", F.round(F.col("similarity") * 100, 1).alias("percent"))
-    return summary, members
+    totals = st.agg(F.count(F.lit(1)).alias("tickets")).crossJoin(summary.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("clustered")))
+    return summary, members, totals
 
 
 def status_summary(st: DataFrame, cl: DataFrame, mb: DataFrame) -> DataFrame:
@@ -186,7 +198,8 @@ def manager_kpis(cl: DataFrame, mb: DataFrame, st: DataFrame) -> DataFrame:
     open_ = F.col("tickets") - F.col("grouped")
     pct = lambda a, b: F.when(b > 0, F.round(100.0 * a / b, 1)).otherwise(F.lit(0.0))
     rows = t.crossJoin(c)
-    return rows.select("tickets", "clusters", "critical", pct(F.col("critical"), F.col("clusters")).alias("critical_pct"), "systems", open_.alias("ungrouped"), pct(open_, F.col("tickets")).alias("ungrouped_pct"), F.when(F.col("tickets") > 10, F.round(F.col("tickets") / F.greatest(F.lit(1.0), F.round(F.col("tickets") / 6.0)), 2)).alias("deflection"), F.round(2.5 * F.col("clusters")).cast("long").alias("replies"))
+    replies = F.greatest(F.lit(1), F.round(2.5 * F.col("clusters")).cast("long"))
+    return rows.select("tickets", "clusters", "critical", pct(F.col("critical"), F.col("clusters")).alias("critical_pct"), "systems", open_.alias("ungrouped"), pct(open_, F.col("tickets")).alias("ungrouped_pct"), F.when(F.col("tickets") > 10, F.round(F.col("tickets") / F.greatest(F.lit(1.0), F.round(F.col("tickets") / 6.0)), 2)).alias("deflection"), replies.alias("replies"), F.round((F.col("tickets") - replies) * 3 / 60).cast("long").alias("hours"))
 
 
 def team_load(st: DataFrame, roster: DataFrame) -> DataFrame:

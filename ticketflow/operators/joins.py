@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
 from ticketflow.operators import scan
+from ticketflow.operators.lineage import cut
 from ticketflow.operators.vectors import Index, best_groups, build_index, close_pairs, unit
 
 SMALL_ROWS = 200_000
@@ -104,7 +105,7 @@ def taxonomy_audit(st: DataFrame, tx: DataFrame) -> DataFrame:
     rows = split_service(st.select("service").distinct(), tx)
     known = tx.select(F.col("service").alias("service_key"), F.col("offering").alias("known_offering")).filter("known_offering is not null").distinct()
     keys = tx.select(F.col("service").alias("service_key")).distinct().withColumn("is_key", F.lit(True))
-    rows = rows.join(keys, "service_key", "left").join(known, (rows["service_key"] == known["service_key"]) & (rows["offering"] == F.col("known_offering")), "left").drop(known["service_key"])
+    rows = rows.join(keys.hint("merge"), "service_key", "left").join(known.hint("merge"), (rows["service_key"] == known["service_key"]) & (rows["offering"] == F.col("known_offering")), "left").drop(known["service_key"])
     verdict = F.when(F.col("is_key").isNull(), "INVALID").when(F.col("offering").isNull(), "OK-bare").when(F.col("offering") == S.GAP[1:], "OK-gap").when(F.col("known_offering").isNotNull(), "OK-offering").otherwise("INVALID")
     return rows.select("service", verdict.alias("verdict"))
 
@@ -113,7 +114,7 @@ def validate_service(df: DataFrame, tx: DataFrame) -> DataFrame:
     """(ticket_id, affected_system, service) with the owning system put right, or a reason for rejection."""
     rows = split_service(df, tx)
     owner = tx.groupBy(F.col("service").alias("service_key")).agg(F.min("system").alias("owner"), F.collect_set("offering").alias("offerings"))
-    rows = rows.join(owner, "service_key", "left")
+    rows = rows.join(owner.hint("merge"), "service_key", "left")
     ok = F.col("offering").isNull() | (F.col("offering") == S.GAP[1:]) | F.array_contains("offerings", F.col("offering"))
     reason = F.when(F.col("owner").isNull(), "unknown service").when(~ok, "unknown offering")
     return rows.select("ticket_id", "service", F.when(reason.isNull(), F.col("owner")).alias("system"), (reason.isNull() & ~F.col("affected_system").eqNullSafe(F.col("owner"))).alias("corrected"), reason.alias("reason"))
@@ -126,9 +127,9 @@ def snap_service(df: DataFrame, tx: DataFrame, system_pattern: str) -> DataFrame
     hit = values.select("affected_system", "service", F.explode(prefixes(F.trim("service"))).alias("key")).hint("merge").join(keys, ["affected_system", "key"])
     exact = hit.groupBy("affected_system", "service").agg(F.max_by("key", F.length("key")).alias("by_prefix"))
     core = keys.withColumn("core", S.service_core(F.col("key"), system_pattern)).filter("core <> ''").groupBy("affected_system", "core").agg(F.count("*").alias("n"), F.min("key").alias("by_core")).filter("n = 1").drop("n")
-    out = values.withColumn("core", S.service_core(F.col("service"), system_pattern)).join(core, ["affected_system", "core"], "left").join(exact, ["affected_system", "service"], "left")
+    out = values.withColumn("core", S.service_core(F.col("service"), system_pattern)).join(core.hint("merge"), ["affected_system", "core"], "left").join(exact.hint("merge"), ["affected_system", "service"], "left")
     found = out.select("affected_system", "service", F.coalesce("by_prefix", "by_core").alias("snapped"))
-    return df.join(found, ["affected_system", "service"], "left")
+    return df.join(found.hint("merge"), ["affected_system", "service"], "left")
 
 
 def generic_service(tx: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def pinned_system(df: DataFrame, tx: DataFrame, system_pattern: str) -> DataFram
     known = generic_service(tx).withColumnRenamed("system", "pinned")
     rows = df.withColumn("pinned_as", F.trim("affected_system")).join(known, F.col("pinned_as") == F.col("pinned"), "left")
     snapped = snap_service(rows.select("ticket_id", F.col("pinned").alias("affected_system"), "service"), tx, system_pattern).select("ticket_id", "snapped")
-    return rows.join(snapped, "ticket_id", "left").select("ticket_id", "pinned", F.when(F.col("pinned").isNotNull(), F.coalesce("snapped", "generic")).otherwise(F.col("service")).alias("service"))
+    return rows.join(snapped.hint("merge"), "ticket_id", "left").select("ticket_id", "pinned", F.when(F.col("pinned").isNotNull(), F.coalesce("snapped", "generic")).otherwise(F.col("service")).alias("service"))
 
 
 def block_pairs(vec: DataFrame, floor: float, block: str) -> DataFrame:
@@ -245,9 +246,12 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def prediction_vs_truth(df: DataFrame, tx: DataFrame) -> DataFrame:
     """Match flags of model and user at three levels; the offering flag is null where the truth has none."""
-    out = df
+    out, values = df, None
+    for who in ("true", "model", "user"):
+        more = df.select(F.col(f"{who}_service").alias("service"))
+        values = more if values is None else values.unionByName(more)
+    split = small(cut(split_service(values.distinct(), tx)))
     for who in ("true", "model", "user"):
-        split = split_service(df.select(F.col(f"{who}_service").alias("service")).distinct(), tx)
         out = out.join(split.select(F.col("service").alias(f"{who}_service"), F.col("service_key").alias(f"{who}_key"), F.col("offering").alias(f"{who}_offering")), f"{who}_service", "left")
     flags = []
     for who in ("model", "user"):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketflow.functions import scalars as S
 from ticketflow.operators.aggs import cluster_summary
+from ticketflow.operators.joins import small
+from ticketflow.operators.lineage import cut
 
 
 def combine_texts(turns: DataFrame, most: int = 20_000) -> DataFrame:
@@ -16,19 +18,78 @@ def combine_texts(turns: DataFrame, most: int = 20_000) -> DataFrame:
     return each.select("ticket_id", F.substring(text, 1, most).alias("text"))
 
 
-def list_tickets(st: DataFrame, status: str | None = None, system: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of tickets, newest first, of a status and a system if they are given."""
+def list_tickets(st: DataFrame, status: str | None = None, system: str | None = None, limit: int = 50, offset: int = 0, classification_status: str | None = None) -> DataFrame:
+    """A page of tickets, newest first, of a status, a classification status and a system if they are given."""
     if status is not None:
         st = st.filter(S.local_status(F.col("source_status")) == status)
+    if classification_status is not None:
+        st = st.filter(F.col("classification_status") == classification_status)
     if system is not None:
         st = st.filter(F.col("affected_system") == system)
     return st.orderBy(F.desc("created_at"), "ticket_id").offset(offset).limit(limit)
 
 
-def search_clusters(cl: DataFrame, mb: DataFrame, st: DataFrame, text: str) -> DataFrame:
-    """Summaries of the clusters with a member whose description holds the text, in any case."""
-    hits = mb.select("cluster_id", "ticket_id").join(st.filter(F.contains(F.lower("description"), F.lit(text.lower()))).select("ticket_id"), "ticket_id").select("cluster_id").distinct()
-    return cluster_summary(cl.join(hits, "cluster_id", "left_semi"), mb, st)
+#: Characters of a posting's gram, and folders of each search table.
+GRAM, BUCKETS = 3, 64
+
+
+def _searched() -> Column:
+    """What a search looks at, in lower case; a character that no one types keeps the parts apart."""
+    return F.lower(F.concat_ws("\x00", F.coalesce("title", F.lit("")), F.col("ticket_id").cast("string"), F.coalesce("description", F.lit(""))))
+
+
+def _grams(texts: DataFrame) -> DataFrame:
+    """A row for each distinct gram's hash of each text, as `gram`. Characters are a column of their own, so that a text is split once."""
+    chars = texts.filter(F.length("text") >= GRAM).withColumn("_chars", F.split("text", ""))
+    at = lambda i: F.xxhash64(*[F.get(F.col("_chars"), i + k) for k in range(GRAM)])
+    return chars.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.length("text") - GRAM), at)))).drop("_chars", "text")
+
+
+def save_search(st: DataFrame, path: str) -> None:
+    """Write the tables that a search reads: texts, dealt by a hash of the ticket, and postings (gram, ticket_id), dealt by gram."""
+    texts = st.select("ticket_id", _searched().alias("text")).withColumn("bucket", F.pmod(F.xxhash64("ticket_id"), F.lit(BUCKETS)).cast("int"))
+    texts.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/texts")
+    postings = _grams(texts.select("ticket_id", "text")).withColumn("bucket", F.pmod("gram", F.lit(BUCKETS)).cast("int"))
+    postings.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def search_tickets(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """ticket_id of the tickets whose title, id or description holds the text, in any case.
+
+    Tickets that have all of the text's grams are the only ones whose text is read: postings and texts are pruned to the
+    folders of those grams and tickets. A text shorter than a gram is looked for in all texts.
+    """
+    wanted = text.lower()
+    texts = spark.read.parquet(f"{path}/texts")
+    if len(wanted) >= GRAM:
+        hashes = [r["gram"] for r in _grams(spark.createDataFrame([(wanted,)], "text string")).collect()]
+        postings = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(sorted({h % BUCKETS for h in hashes})) & F.col("gram").isin(hashes))
+        found = cut(postings.groupBy("ticket_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == len(hashes)).select("ticket_id", F.pmod(F.xxhash64("ticket_id"), F.lit(BUCKETS)).cast("int").alias("b")))
+        held = [r["b"] for r in found.select("b").distinct().collect()]  # BUCKETS at most
+        texts = texts.filter(F.col("bucket").isin(held)).join(small(found.select("ticket_id")), "ticket_id", "left_semi")
+    return texts.filter(F.contains("text", F.lit(wanted))).select("ticket_id")
+
+
+def search_clusters(cl: DataFrame, mb: DataFrame, st: DataFrame, text: str = "", team: str | None = None, system: str | None = None, severity: str | None = None, tables: str | None = None) -> DataFrame:
+    """Summaries of clusters whose name, or a member's title, id or description, holds the text in any case; largest first, then by severity.
+
+    With a team only its tickets count as members, and clusters without any are left out; system and severity are the cluster's. With
+    `tables` (see save_search) the text is looked up there, else in all members' texts.
+    """
+    summary = cluster_summary(cl, mb, st).drop("n")
+    mine = st if team is None else st.filter(F.col("assign_group") == team)
+    members = mb.select("cluster_id", "ticket_id").join(mine.select("ticket_id"), "ticket_id")
+    out = summary.join(members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "cluster_id")
+    if system is not None:
+        out = out.filter(F.col("system") == system)
+    if severity is not None:
+        out = out.filter(F.col("worst") == severity)
+    if text.strip():
+        wanted = text.strip().lower()
+        tickets = search_tickets(st.sparkSession, tables, wanted) if tables else mine.filter(F.contains(_searched(), F.lit(wanted))).select("ticket_id")
+        hits = members.join(tickets.hint("merge"), "ticket_id", "left_semi").select("cluster_id").distinct().withColumn("hit", F.lit(True))
+        out = out.join(hits.hint("merge"), "cluster_id", "left").filter(F.coalesce("hit", F.contains(F.lower("name"), F.lit(wanted)))).drop("hit")
+    return out.orderBy(F.desc("n"), S.severity_rank(F.col("worst")).desc(), "cluster_id")
 
 
 def routed_projection(st: DataFrame) -> DataFrame:

@@ -117,8 +117,7 @@ query("combine_texts", lambda t: V.combine_texts(t.discussions),
       "SELECT ticket_id, substring(string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text), 1, 20000) AS text FROM discussions WHERE text <> '' GROUP BY ticket_id", "discussions")
 query("list_tickets", lambda t: V.list_tickets(t.tickets, "active", "SysA", 50, 5).select("ticket_id"),
       f"SELECT ticket_id FROM tickets WHERE {_ST} = 'active' AND affected_system = 'SysA' ORDER BY created_at DESC, ticket_id LIMIT 50 OFFSET 5", "tickets")
-query("search_clusters", lambda t: V.search_clusters(t.clusters, t.members, t.tickets, "Clown").select("cluster_id", "n", "worst"),
-      f"SELECT cluster_id, count(*) AS n, {_WORST} AS worst FROM members JOIN tickets USING (ticket_id) JOIN clusters c USING (cluster_id) WHERE c.status = 'active' AND cluster_id IN (SELECT cluster_id FROM members JOIN tickets USING (ticket_id) WHERE contains(lower(description), 'clown')) GROUP BY 1 HAVING count(*) >= 2", "tickets", "members", "clusters")
+query("list_tickets_failed", lambda t: V.list_tickets(t.tickets, classification_status="failed", limit=30).select("ticket_id"), "SELECT ticket_id FROM tickets WHERE classification_status = 'failed' ORDER BY created_at DESC, ticket_id LIMIT 30", "tickets")
 query("routed_projection", lambda t: V.routed_projection(t.tickets),
       f"SELECT ticket_id, CASE WHEN {_KIND} IN ('incident','service_request') THEN severity END AS severity, CASE WHEN {_KIND} IN ('incident','service_request') THEN service ELSE coalesce({_OFF}, service) END AS service FROM tickets", "tickets")
 
@@ -205,9 +204,16 @@ _SUM = f"""{_MT}, summary AS (SELECT c.cluster_id, c.name, coalesce(nullif(trim(
  LEFT JOIN {_MODE.format(by='cluster_id', name='system', src='mt')} a ON a.cluster_id = c.cluster_id LEFT JOIN {_MODE.format(by='cluster_id', name='service', src='mt')} b ON b.cluster_id = c.cluster_id WHERE c.status = 'active' AND n >= 2)"""
 _SUMV = ("members", "tickets", "clusters")
 query("cluster_summary", lambda t: A.cluster_summary(t.clusters, t.members, t.tickets), f"WITH {_SUM} SELECT * FROM summary", *_SUMV)
+query("search_clusters", lambda t: V.search_clusters(t.clusters, t.members, t.tickets, "Clown", team="Field ops", system="SysA").select("cluster_id", "n", "worst"),
+      f"""WITH {_SUM}, o AS (SELECT cluster_id, count(*) AS n, bool_or(contains(lower(title || chr(0) || ticket_id || chr(0) || description), 'clown')) AS hit FROM members JOIN tickets USING (ticket_id) WHERE assign_group = 'Field ops' GROUP BY 1)
+ SELECT s.cluster_id, o.n, s.worst FROM summary s JOIN o ON o.cluster_id = s.cluster_id WHERE s.system = 'SysA' AND (hit OR contains(lower(s.name), 'clown'))""", *_SUMV)
 _SIM = "sim AS (SELECT m.cluster_id, ticket_id, CASE WHEN count(*) OVER (PARTITION BY m.cluster_id) >= 2 THEN round(list_cosine_similarity(embedding::DOUBLE[], c), 3) END AS similarity FROM members m JOIN cent ON cent.cluster_id = m.cluster_id)"
 query("centroid_similarity", lambda t: A.centroid_similarity(t.members), f"WITH {_CENT}, {_SIM} SELECT * FROM sim", "members")
-query("cluster_report", lambda t: A.cluster_report(t.clusters, t.members, t.tickets)[0], f"WITH {_SUM} SELECT * FROM summary", *_SUMV)
+_NAMED = lambda t: t.clusters.select("cluster_id", F.when(F.col("cluster_id") % 3 != 0, F.col("name")).otherwise(" ").alias("name"), F.when(F.col("cluster_id") % 2 == 0, "English").alias("name_en"), F.when(F.col("cluster_id") % 4 == 1, "about").alias("description"), "status", "affected_system")
+query("cluster_report", lambda t: A.cluster_report(_NAMED(t), t.members, t.tickets)[0],
+      f"""WITH {_SUM}, x AS (SELECT * REPLACE (coalesce(CASE WHEN cluster_id % 3 <> 0 THEN name END, CASE WHEN cluster_id % 2 = 0 THEN 'English' END, 'Cluster') AS name) FROM summary)
+ SELECT *, CASE WHEN cluster_id % 4 = 1 THEN 'about' ELSE name END AS description, n || ' tickets — ' || name AS summary, row_number() OVER (ORDER BY n DESC, cluster_id) AS place FROM x""", *_SUMV)
+query("cluster_report_totals", lambda t: A.cluster_report(_NAMED(t), t.members, t.tickets)[2], f"WITH {_SUM} SELECT (SELECT count(*) FROM tickets) AS tickets, count(*) AS clusters, coalesce(sum(n), 0)::BIGINT AS clustered FROM summary", *_SUMV)
 query("cluster_report_members", lambda t: A.cluster_report(t.clusters, t.members, t.tickets)[1], f"WITH {_CENT}, {_SIM}, {_SUM} SELECT cluster_id, ticket_id, round(similarity * 100, 1) AS percent FROM sim WHERE cluster_id IN (SELECT cluster_id FROM summary)", *_SUMV)
 query("status_summary", lambda t: A.status_summary(t.tickets, t.clusters, t.members),
       f"""SELECT (SELECT count(*) FROM tickets) AS tickets, (SELECT count(*) FROM tickets WHERE classification_status <> 'failed') AS ok, (SELECT count(*) FROM tickets WHERE classification_status = 'failed') AS failed, (SELECT count(*) FROM tickets WHERE {_ST} = 'active') AS active, (SELECT count(*) FROM tickets WHERE {_ST} <> 'active') AS resolved,
@@ -236,7 +242,7 @@ query("majority_vote", lambda t: A.majority_vote(_RUNS(t), ["service", "severity
       "WITH r AS (SELECT ticket_id, k, 's' || (ticket_id * k) % 4 AS service, 'v' || ticket_id % (k + 1) AS severity FROM tickets, range(1, 4) x(k)), u AS (SELECT ticket_id, 'service' AS field, service AS value FROM r UNION ALL SELECT ticket_id, 'severity', severity FROM r), v AS (SELECT ticket_id, field, value, count(*) AS n FROM u GROUP BY ALL) SELECT ticket_id, field, arg_max(value, struct_pack(n, value)) FILTER (n >= 2) AS value, count(*) FILTER (n >= 2) = 0 AS needs_review FROM v GROUP BY 1, 2", "tickets")
 query("manager_kpis", lambda t: A.manager_kpis(t.clusters, t.members, t.tickets),
       f"""WITH {_SUM}, x AS (SELECT (SELECT count(*) FROM tickets) AS tickets, count(*) AS clusters, count(*) FILTER (worst = 'Critical') AS critical, count(DISTINCT system) AS systems, coalesce(sum(n), 0) AS grouped FROM summary)
- SELECT tickets, clusters, critical, round(100.0 * critical / clusters, 1) AS critical_pct, systems, (tickets - grouped)::BIGINT AS ungrouped, round(100.0 * (tickets - grouped) / tickets, 1) AS ungrouped_pct, CASE WHEN tickets > 10 THEN round(tickets / greatest(1.0, round(tickets / 6.0)), 2) END AS deflection, round(2.5 * clusters)::BIGINT AS replies FROM x""", *_SUMV)
+ SELECT tickets, clusters, critical, round(100.0 * critical / clusters, 1) AS critical_pct, systems, (tickets - grouped)::BIGINT AS ungrouped, round(100.0 * (tickets - grouped) / tickets, 1) AS ungrouped_pct, CASE WHEN tickets > 10 THEN round(tickets / greatest(1.0, round(tickets / 6.0)), 2) END AS deflection, greatest(1, round(2.5 * clusters)::BIGINT) AS replies, round((tickets - greatest(1, round(2.5 * clusters)::BIGINT)) * 3 / 60)::BIGINT AS hours FROM x""", *_SUMV)
 query("team_load", lambda t: A.team_load(t.tickets, t.events.select(F.concat(F.lit("agent"), F.col("event_id") % 9).alias("assignee"))), "SELECT r.assignee, count(t.ticket_id) AS n FROM (SELECT DISTINCT 'agent' || (event_id % 9) AS assignee FROM events) r LEFT JOIN tickets t ON t.assignee = r.assignee GROUP BY 1", "tickets")
 query("status_breakdown", lambda t: A.status_breakdown(t.members, t.tickets, ["active", "In Progress", "Closed"]),
       "SELECT cluster_id, coalesce(nullif(trim(source_status), ''), 'unknown') AS status, CASE coalesce(nullif(trim(source_status), ''), 'unknown') WHEN 'active' THEN 1 WHEN 'In Progress' THEN 2 WHEN 'Closed' THEN 3 ELSE 4 END AS place, count(*) AS n FROM members JOIN tickets USING (ticket_id) GROUP BY 1, 2, 3", "members", "tickets")

@@ -14,9 +14,10 @@ from ticketflow.operators import aggs as A
 from ticketflow.operators import graph as G
 from ticketflow.operators import joins as J
 from ticketflow.operators import state as M
+from ticketflow.operators import views as V
 from ticketflow.operators import windows as W
 from ticketflow.plans import maintenance as P
-from ticketflow.queries import _ACCEPT, _CAND, _COVER, _EX, _EXSQL, _KEY, _KIND, _MODE, _MT, _OFF, _PAIRS, _PR, _SHOWN, _SPLIT, _CORE, _ST, _SUMV, _SYS, _TV, _VER, _VETO, _ANS, NOW, ORACLE, SYSTEMS, Tables, _now, _plain, query
+from ticketflow.queries import _ACCEPT, _CAND, _COVER, _EX, _EXSQL, _KEY, _KIND, _MODE, _MT, _OFF, _PAIRS, _PR, _SHOWN, _SPLIT, _CORE, _ST, _SUMV, _SYS, _TV, _VER, _VETO, _WORST, _ANS, NOW, ORACLE, SYSTEMS, Tables, _now, _plain, query
 from ticketflow.sources import intake as I
 from ticketflow.streaming import streams as ST
 
@@ -321,6 +322,16 @@ query("embed_texts", lambda t: X.embed_texts(t.tickets.select(F.col("ticket_id")
 query("extract_attachments", lambda t: X.extract_attachments(t.pages.select(F.col("page_id").alias("id"), F.sha2("html", 256).alias("sha"), F.when(F.col("page_id") % 3 == 0, "image/png").otherwise("image/jpeg").alias("mime"), F.length("html").alias("size"), F.col("html").alias("content")), lambda c: c[:5], 3000), "SELECT page_id AS id, CASE WHEN length(html) <= 3000 THEN substring(html, 1, 5) END AS text, CASE WHEN length(html) <= 3000 THEN 'ok' ELSE 'skipped' END AS status FROM pages")
 
 
+def _looked_up(t: Tables) -> DataFrame:
+    """Clusters with "clown" in a name or text, found through the search tables."""
+    path = scratch(t, "search")
+    V.save_search(t.tickets, path)
+    return V.search_clusters(t.clusters, t.members, t.tickets, "CLOWN", tables=path).select("cluster_id", "n", "worst")
+
+
+query("search_clusters_index", _looked_up, f"SELECT cluster_id, count(*) AS n, {_WORST} AS worst FROM members JOIN tickets USING (ticket_id) JOIN clusters c USING (cluster_id) WHERE c.status = 'active' GROUP BY 1 HAVING count(*) >= 2 AND bool_or(contains(lower(title), 'clown') OR contains(lower(description), 'clown'))", "tickets", "members", "clusters")
+
+
 def _sql_functions(t: Tables) -> DataFrame:
     X.register_sql(t.spark)
     vectors = t.embeddings.select(F.col("vec_id").alias("ticket_id"), F.col("embedding").cast("array<double>").alias("v"))
