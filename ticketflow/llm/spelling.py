@@ -68,8 +68,8 @@ def word_counts(docs: DataFrame, every: int = 31, shortest: int = 7) -> DataFram
             start, end = runs(latin_letters(piece.data))
             if not len(start):
                 continue
-            inner = np.zeros(len(piece.data) + 1, dtype=np.int64)
-            np.cumsum((piece.data & 0xC0) == 0x80, out=inner[1:])
+            inner = np.zeros(len(piece.data) + 1, dtype=np.int32)
+            np.cumsum((piece.data & 0xC0) == 0x80, out=inner[1:], dtype=np.int32)
             size = end - start - (inner[end] - inner[start])
             far = size >= shortest
             start, end, size = start[far], end[far], size[far]

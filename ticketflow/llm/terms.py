@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are counted together before rows leave a task.
-HELD_BYTES = 16 << 20
+HELD_BYTES = 8 << 20
 
 _ASCII = np.zeros(256, dtype=bool)
 _ASCII[0x41:0x5B] = _ASCII[0x61:0x7B] = True
