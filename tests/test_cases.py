@@ -188,3 +188,26 @@ def test_search_of_clusters(spark):
     assert find("LOGIN") == [(1, 3), (2, 2)] and find("fails") == [(2, 2)] and find("t3") == [(1, 3)]
     assert find("login", team="north") == [(1, 1)] and find(team="north") == [(2, 1), (1, 1)]
     assert find(severity="Critical") == [(2, 2)] and find(system="SysB") == []
+
+
+def test_sql_functions_are_the_column_functions(spark):
+    X.register_sql(spark)
+    text = "Full name: Jane Roe, passport no: AB12345, call +966 501234567 or mail a.b@c.org; code 5678"
+    df = spark.createDataFrame([(text, "<b>Run 12.5</b>  now", [1.0, 2.0], [2.0, 1.0]), (None, None, [0.0, 0.0], [1.0, 0.0])], "s string, d string, a array<double>, b array<double>")
+    got = df.selectExpr("tf_mask_pii(s)", "tf_content_hash(s, d)", "tf_cosine(a, b)").collect()
+    want = df.select(S.mask_pii(F.col("s")), S.content_hash(F.col("s"), F.col("d")), S.cosine(F.col("a"), F.col("b"))).collect()
+    assert list(map(tuple, got)) == list(map(tuple, want)) and "[EMAIL]" in got[0][0] and "[NAME]" in got[0][0]
+
+
+def test_batches_given_to_a_callable_are_those_of_batch_assign(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def fn(prompts):
+        seen.add(1)
+        assert prompts == sorted(prompts) and len(prompts) <= 4
+        return [f'{{"kind": "{len(prompts)}"}}' for _ in prompts]
+
+    df = spark.createDataFrame([(k, f"{k:03}", k % 2) for k in range(21)], "id long, prompt string, team long").repartition(5)
+    got = X.score_batches(df, fn, 4, by=["team"], fields=["kind"])
+    assert sorted((r["id"], r["kind"]) for r in got.collect()) == [(k, str(4 if k < 16 else 2 if k % 2 else 3)) for k in range(21)]
+    assert got.count() == 21 and seen.value == 6

@@ -31,10 +31,14 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+#: What is replaced before a text is hashed: markup, numbers, runs of spaces.
+HASHED = ((r"<[^>]+>", " "), (r"\p{Nd}+(\.\p{Nd}+)?", "#"), (SPACES, " "))
+
+
 def content_hash(title: Column, description: Column) -> Column:
     """Hash of title and description without markup, with numbers replaced and spaces collapsed."""
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
-    for pattern, to in ((r"<[^>]+>", " "), (r"\p{Nd}+(\.\p{Nd}+)?", "#"), (SPACES, " ")):
+    for pattern, to in HASHED:
         text = F.regexp_replace(text, pattern, to)
     return F.substring(F.sha2(F.trim(text), 256), 1, 16)
 

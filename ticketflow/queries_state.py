@@ -317,6 +317,7 @@ query("probe_changes", lambda t: streamed(t, ST.probe_changes(_PROBES(t)), "appe
 query("incremental_extract", lambda t: streamed(t, ST.incremental_extract(t.spark, f"{t.dir}/orders.parquet*", t.orders.schema).select("o_orderkey", "o_orderstatus"), "append").select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders")
 
 # ---- X ---------------------------------------------------------------------------------------
+query("score_batches_fields", lambda t: X.score_batches(t.replies.select(F.col("ticket_id").alias("id"), F.col("raw").alias("prompt"), (F.col("ticket_id") % 3).alias("team")), lambda prompts: prompts, by=["team"], fields=["kind"]).select("id", "kind"), "SELECT ticket_id AS id, CASE ticket_id % 4 WHEN 0 THEN 'incident' WHEN 1 THEN 'inquiry' WHEN 2 THEN 'test' ELSE 'administrative' END AS kind FROM tickets", "tickets")
 query("score_batches", lambda t: X.score_batches(t.replies.select(F.col("ticket_id").alias("id"), F.col("raw").alias("prompt")), lambda prompts: [str(len(p)) for p in prompts]), "SELECT ticket_id AS id, length(raw)::VARCHAR AS reply, NULL::VARCHAR AS error FROM replies", "tickets", "replies")
 query("embed_texts", lambda t: X.embed_texts(t.tickets.select(F.col("ticket_id").alias("id"), F.col("service").alias("text")), lambda texts: [[len(x), 1.0] for x in texts], 2).select("id", F.col("embedding")[0].alias("first")), "SELECT ticket_id AS id, length(service)::DOUBLE AS first FROM tickets", "tickets")
 query("extract_attachments", lambda t: X.extract_attachments(t.pages.select(F.col("page_id").alias("id"), F.sha2("html", 256).alias("sha"), F.when(F.col("page_id") % 3 == 0, "image/png").otherwise("image/jpeg").alias("mime"), F.length("html").alias("size"), F.col("html").alias("content")), lambda c: c[:5], 3000), "SELECT page_id AS id, CASE WHEN length(html) <= 3000 THEN substring(html, 1, 5) END AS text, CASE WHEN length(html) <= 3000 THEN 'ok' ELSE 'skipped' END AS status FROM pages")
@@ -335,7 +336,7 @@ query("search_clusters_index", _looked_up, f"SELECT cluster_id, count(*) AS n, {
 def _sql_functions(t: Tables) -> DataFrame:
     X.register_sql(t.spark)
     vectors = t.embeddings.select(F.col("vec_id").alias("ticket_id"), F.col("embedding").cast("array<double>").alias("v"))
-    return t.spark.sql("SELECT t.ticket_id, tf_offering_key(service) AS offering, tf_service_key(service) AS key, tf_normalize_code(assign_group) AS code, round(tf_dot(v, v), 4) AS dot FROM {tickets} t LEFT JOIN {vectors} e ON e.ticket_id = t.ticket_id", tickets=t.tickets, vectors=vectors)
+    return t.spark.sql("SELECT t.ticket_id, tf_offering_key(service) AS offering, tf_service_key(service) AS key, tf_normalize_code(assign_group) AS code, round(tf_dot(v, v), 4) AS dot, tf_content_hash(title, description) AS h, round(tf_cosine(v, slice(v, 1, 64)), 4) AS cos FROM {tickets} t LEFT JOIN {vectors} e ON e.ticket_id = t.ticket_id", tickets=t.tickets, vectors=vectors)
 
 
-query("register_sql", _sql_functions, f"SELECT ticket_id, {_OFF} AS offering, {_KEY} AS key, upper(regexp_replace(assign_group, '[ \\t\\r\\n_-]', '', 'g')) AS code, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS dot FROM tickets LEFT JOIN embeddings ON vec_id = ticket_id", "tickets")
+query("register_sql", _sql_functions, f"SELECT ticket_id, {_OFF} AS offering, {_KEY} AS key, upper(regexp_replace(assign_group, '[ \\t\\r\\n_-]', '', 'g')) AS code, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS dot, substring(sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(title || ' ' || description), '<[^>]+>', ' ', 'g'), '\\p{{Nd}}+(\\.\\p{{Nd}}+)?', '#', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))), 1, 16) AS h, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS cos FROM tickets LEFT JOIN embeddings ON vec_id = ticket_id", "tickets")
