@@ -242,6 +242,22 @@ def decision_log_rollup(lg: DataFrame, by: Sequence[str]) -> DataFrame:
     return lg.cube(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ticket_id").alias("tickets"), F.grouping_id(*by).cast("int").alias("level"))
 
 
+def decision_log(lg: DataFrame, limit: int = 100, actions: Sequence[str] | None = None, ticket_id: int | None = None) -> DataFrame:
+    """The newest rows of the log, of some actions or one ticket if they are given."""
+    if actions is not None:
+        lg = lg.filter(F.col("action").isin(*actions))
+    if ticket_id is not None:
+        lg = lg.filter(F.col("ticket_id") == ticket_id)
+    return lg.orderBy(F.desc("created_at"), F.desc("log_id")).limit(limit)
+
+
+def logged_kinds(lg: DataFrame, st: DataFrame) -> DataFrame:
+    """By action and kind of ticket, the log's rows and tickets; a ticket that is not known has the kind `unknown`. Rows of a ticket are counted first, so that they meet once."""
+    each = lg.groupBy("action", "ticket_id").agg(F.count(F.lit(1)).alias("rows"))
+    kinds = st.select("ticket_id", S.ticket_kind(F.col("ticket_kind")).alias("kind"))
+    return each.join(kinds, "ticket_id", "left").groupBy("action", F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("tickets"))
+
+
 def pool_sizes(st: DataFrame, min_count: int = 3) -> DataFrame:
     """Tickets of each offering."""
     return st.groupBy(F.coalesce(S.offering_key(F.col("service")), F.lit(S.NO_OFFERING)).alias("offering")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)

@@ -253,6 +253,8 @@ query("review_hints", lambda t: A.review_hints(t.clusters, t.members, t.tickets,
       f"""WITH {_CENT}, {_SIM}, {_MT}, h AS (SELECT cluster_id, CASE WHEN count(*) >= 12 THEN 'split' WHEN count(DISTINCT lang) > 1 AND count(*) >= 5 THEN 'verify' END AS hint, NULL::BIGINT AS ticket_id FROM mt GROUP BY 1), u AS (SELECT * FROM h WHERE hint IS NOT NULL UNION ALL SELECT cluster_id, 'outlier', min(ticket_id) FROM sim WHERE similarity * 100 < 40 GROUP BY 1)
  SELECT * FROM u WHERE cluster_id IN (SELECT cluster_id FROM clusters WHERE status = 'active')""", *_SUMV)
 query("decision_log_rollup", lambda t: A.decision_log_rollup(t.assignment_log, ["action", "cluster_id"]), "SELECT action, cluster_id, count(*) AS n, count(DISTINCT ticket_id) AS tickets, grouping_id(action, cluster_id) AS level FROM assignment_log GROUP BY CUBE (action, cluster_id)", "assignment_log")
+query("decision_log", lambda t: A.decision_log(t.assignment_log, 60, ["audit_remove", "assign"]).select("log_id", "action"), "SELECT log_id, action FROM assignment_log WHERE action IN ('audit_remove', 'assign') ORDER BY created_at DESC, log_id DESC LIMIT 60", "assignment_log")
+query("logged_kinds", lambda t: A.logged_kinds(t.assignment_log, t.tickets), f"SELECT action, coalesce(kind, 'unknown') AS kind, count(*) AS rows, count(DISTINCT l.ticket_id) AS tickets FROM assignment_log l LEFT JOIN (SELECT ticket_id, {_KIND} AS kind FROM tickets) k ON k.ticket_id = l.ticket_id GROUP BY 1, 2", "assignment_log", "tickets")
 query("pool_sizes", lambda t: A.pool_sizes(t.tickets), f"SELECT coalesce({_OFF}, 'OFFERING-000') AS offering, count(*) AS n FROM tickets GROUP BY 1 HAVING count(*) >= 3", "tickets")
 query("invariant_check", lambda t: A.invariant_check(t.tickets, t.clusters, t.members),
       f"""SELECT 'cross_system_members' AS check, count(*) AS n FROM members JOIN clusters c USING (cluster_id) JOIN (SELECT ticket_id, {_SYS} AS system FROM tickets) t USING (ticket_id) WHERE trim(c.affected_system) <> '' AND c.affected_system <> t.system
