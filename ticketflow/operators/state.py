@@ -178,6 +178,25 @@ def decide_pool_proposals(props: DataFrame, exemplars: DataFrame, pool: DataFram
     return exemplars.unionByName(taken).distinct(), left
 
 
+def check_pool_decisions(props: DataFrame, groups: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Proposals (proposal_id, offering_id, status), groups (group_id) and decisions (proposal_id, decision, target, new_offering) -> (proposals, new groups, refused decisions).
+
+    Only a pending proposal can be decided; a merge needs a target that is a group. An approved proposal becomes a group of
+    its own, under the new offering if one is named. Of several decisions on a proposal none counts.
+    """
+    times = decisions.groupBy("proposal_id").agg(F.count(F.lit(1)).alias("times"))
+    known = groups.select(F.col("group_id").alias("target")).distinct().withColumn("has_target", F.lit(True))
+    rows = decisions.join(times.hint("merge"), "proposal_id").join(props.select("proposal_id", "offering_id", "status"), "proposal_id", "left").join(known.hint("merge"), "target", "left")
+    merge = F.col("decision") == "merge"
+    reason = F.when(F.col("status").isNull(), "unknown proposal").when(F.col("status") != "pending", F.concat(F.lit("already decided: "), "status")).when(F.col("times") > 1, "several decisions").when(~F.coalesce(F.col("decision").isin("approve", "reject", "merge"), F.lit(False)), "unknown decision")
+    rows = cut(rows.withColumn("reason", reason.when(merge & F.col("target").isNull(), "merge without a target").when(merge & F.col("has_target").isNull(), "unknown target")))
+    good = rows.filter("reason is null")
+    minted = good.filter("decision = 'approve'").select(F.col("proposal_id").alias("group_id"), F.coalesce(S.blank_to_null(F.col("new_offering")), "offering_id").alias("offering_id"))
+    done = good.select("proposal_id", F.col("decision").alias("new_status"), F.when(F.col("decision") == "approve", F.col("proposal_id")).when(merge, F.col("target")).alias("group_id"))
+    out = props.join(done.hint("merge"), "proposal_id", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
+    return out, minted, rows.filter("reason is not null").select("proposal_id", "decision", "reason")
+
+
 def active_pool(pool: DataFrame, now: Column) -> DataFrame:
     """Pool rows that are not cooling down."""
     return pool.filter(F.col("cooldown_until").isNull() | (F.col("cooldown_until") <= now))

@@ -198,6 +198,13 @@ query("decide_pool_exemplars", lambda t: M.decide_pool_proposals(_PROPS(t), _HAD
       "SELECT CASE WHEN ticket_id % 2 = 0 THEN 500 ELSE 501 END AS group_id, ticket_id FROM members WHERE ticket_id % 7 = 0 UNION SELECT CASE WHEN cluster_id % 3 = 2 THEN 500 ELSE cluster_id END, ticket_id FROM members WHERE cluster_id % 3 <> 1", "members")
 query("decide_pool_proposals", lambda t: M.decide_pool_proposals(_PROPS(t), _HAD(t), _POOL(t), _PDEC(t), _now())[1].select("ticket_id", F.col("cooldown_until").isNotNull().alias("cooling")),
       "SELECT t.ticket_id, m.ticket_id IS NOT NULL OR t.ticket_id % 4 = 0 AS cooling FROM tickets t LEFT JOIN (SELECT * FROM members WHERE cluster_id % 3 = 1) m ON m.ticket_id = t.ticket_id WHERE t.ticket_id NOT IN (SELECT ticket_id FROM members WHERE cluster_id % 3 <> 1)", "tickets", "members")
+_PENDING = lambda t: t.orders.select(F.col("o_orderkey").alias("proposal_id"), F.concat(F.lit("off"), F.col("o_custkey") % 5).alias("offering_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("reject").alias("status"))
+_DECIDED = lambda t: M.check_pool_decisions(_PENDING(t), t.customer.select(F.col("c_custkey").alias("group_id")), t.orders.select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 50 == 3, 1).otherwise(0)).alias("proposal_id"), F.element_at(F.array(F.lit("approve"), F.lit("reject"), F.lit("merge"), F.lit("later")), (F.col("o_custkey") % 4 + 1).cast("int")).alias("decision"), F.when(F.col("o_orderkey") % 6 != 0, F.col("o_custkey") + F.when(F.col("o_orderkey") % 7 == 0, 10**9).otherwise(0)).alias("target"), F.when(F.col("o_custkey") % 8 == 0, "fresh").otherwise(" ").alias("new_offering")))
+_DECSQL = """WITH p AS (SELECT o_orderkey AS proposal_id, 'off' || (o_custkey % 5) AS offering_id, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'reject' END AS status FROM orders), d AS (SELECT o_orderkey + (o_orderkey % 50 = 3)::INT AS proposal_id, ['approve', 'reject', 'merge', 'later'][o_custkey % 4 + 1] AS decision, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1000000000 ELSE 0 END END AS target, CASE WHEN o_custkey % 8 = 0 THEN 'fresh' ELSE ' ' END AS new_offering FROM orders),
+ r AS (SELECT d.*, p.offering_id, CASE WHEN p.status IS NULL THEN 'unknown proposal' WHEN p.status <> 'pending' THEN 'already decided: ' || p.status WHEN count(*) OVER (PARTITION BY d.proposal_id) > 1 THEN 'several decisions' WHEN decision = 'later' THEN 'unknown decision' WHEN decision = 'merge' AND target IS NULL THEN 'merge without a target' WHEN decision = 'merge' AND target NOT IN (SELECT c_custkey FROM customer) THEN 'unknown target' END AS reason FROM d LEFT JOIN p ON p.proposal_id = d.proposal_id)"""
+query("check_pool_decisions", lambda t: _DECIDED(t)[0], _DECSQL + " SELECT p.proposal_id, p.offering_id, coalesce(g.decision, p.status) AS status, CASE g.decision WHEN 'approve' THEN p.proposal_id WHEN 'merge' THEN g.target END AS group_id FROM p LEFT JOIN (SELECT * FROM r WHERE reason IS NULL) g ON g.proposal_id = p.proposal_id")
+query("check_pool_decisions_groups", lambda t: _DECIDED(t)[1], _DECSQL + " SELECT proposal_id AS group_id, coalesce(nullif(trim(new_offering), ''), offering_id) AS offering_id FROM r WHERE reason IS NULL AND decision = 'approve'")
+query("check_pool_decisions_refused", lambda t: _DECIDED(t)[2], _DECSQL + " SELECT proposal_id, decision, reason FROM r WHERE reason IS NOT NULL")
 query("active_pool", lambda t: M.active_pool(_POOL(t), _now()).select("ticket_id"), "SELECT ticket_id FROM tickets WHERE ticket_id % 4 <> 0", "tickets")
 _RES = lambda t: t.tickets.filter("ticket_id % 2 = 0").select("ticket_id", F.lit("healed service").alias("service"), F.when(F.col("ticket_id") % 3 == 0, "failed").otherwise("ok").alias("classification_status"))
 query("heal_failed", lambda t: M.heal_failed(t.tickets.select("ticket_id", "service", "classification_status"), _RES(t))[0], "SELECT ticket_id, CASE WHEN h THEN 'healed service' ELSE service END AS service, CASE WHEN h THEN 'ok' ELSE classification_status END AS classification_status FROM (SELECT *, classification_status = 'failed' AND ticket_id % 2 = 0 AND ticket_id % 3 <> 0 AS h FROM tickets)", "tickets")
