@@ -91,7 +91,7 @@ def register_sql(spark: SparkSession) -> None:
     for text in (
         f"tf_content_hash(title STRING, description STRING) RETURNS STRING RETURN substring(sha2(trim({_replaced(words, S.HASHED)}), 256), 1, 16)",
         f"tf_mask_pii(s STRING) RETURNS STRING RETURN {_replaced('s', S.PII)}",
-        "tf_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN CASE WHEN exists(a, x -> x <> 0) AND exists(b, x -> x <> 0) THEN aggregate(zip_with(a, b, (x, y) -> x * y), CAST(0 AS DOUBLE), (s, x) -> s + x) / (sqrt(aggregate(a, CAST(0 AS DOUBLE), (s, x) -> s + x * x)) * sqrt(aggregate(b, CAST(0 AS DOUBLE), (s, x) -> s + x * x))) ELSE CAST(0 AS DOUBLE) END",
+        "tf_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN exists(a, x -> x <> 0) AND exists(b, x -> x <> 0) THEN aggregate(zip_with(a, b, (x, y) -> x * y), CAST(0 AS DOUBLE), (s, x) -> s + x) / (sqrt(aggregate(a, CAST(0 AS DOUBLE), (s, x) -> s + x * x)) * sqrt(aggregate(b, CAST(0 AS DOUBLE), (s, x) -> s + x * x))) ELSE CAST(0 AS DOUBLE) END",
         r"tf_offering_key(s STRING) RETURNS STRING RETURN CASE WHEN contains(s, '.') THEN trim(regexp_extract(trim(s), '^(.*)\\.[^.]*$', 1)) END",
         "tf_service_key(s STRING) RETURNS STRING RETURN CASE WHEN coalesce(trim(s), '') = '' OR endswith(trim(s), '.OFFERING-GAP') OR startswith(lower(trim(substring_index(trim(s), '.', 1))), 'system/application') OR trim(substring_index(trim(s), '.', 1)) = 'General / Unspecified' THEN '' ELSE trim(substring_index(trim(s), '.', 1)) END",
         r"tf_normalize_code(s STRING) RETURNS STRING RETURN upper(translate(s, '٠١٢٣٤٥٦٧٨٩ \t\r\n-_', '0123456789'))",
