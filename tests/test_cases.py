@@ -3,10 +3,12 @@
 import math
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ticketflow import queries_state  # noqa: F401  (registers its queries)
 from ticketflow.functions import hooks as X
 from ticketflow.functions import scalars as S
 from ticketflow.operators import aggs as A
@@ -15,6 +17,7 @@ from ticketflow.operators import joins as J
 from ticketflow.operators import state as M
 from ticketflow.operators import views as V
 from ticketflow.operators import windows as W
+from ticketflow.queries import ORACLE
 from ticketflow.sources import intake as I
 
 
@@ -199,6 +202,13 @@ def test_sql_functions_are_the_column_functions(spark):
     assert list(map(tuple, got)) == list(map(tuple, want)) and "[EMAIL]" in got[0][0] and "[NAME]" in got[0][0]
 
 
+def test_cosine_of_a_missing_vector_is_null(spark):
+    X.register_sql(spark)
+    df = spark.createDataFrame([([1.0, 0.0], None), (None, None), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
+    for rows in (df.selectExpr("tf_cosine(a, b)", "tf_cosine(b, a)"), df.select(S.cosine(F.col("a"), F.col("b")), S.cosine(F.col("b"), F.col("a")))):
+        assert list(map(tuple, rows.collect())) == [(None, None), (None, None), (0.0, 0.0)]
+
+
 def test_batches_given_to_a_callable_are_those_of_batch_assign(spark):
     seen = spark.sparkContext.accumulator(0)
 
@@ -211,3 +221,12 @@ def test_batches_given_to_a_callable_are_those_of_batch_assign(spark):
     got = X.score_batches(df, fn, 4, by=["team"], fields=["kind"])
     assert sorted((r["id"], r["kind"]) for r in got.collect()) == [(k, str(4 if k < 16 else 2 if k % 2 else 3)) for k in range(21)]
     assert got.count() == 21 and seen.value == 6
+
+
+def test_sql_of_the_next_stamp_and_of_pruning_on_large_keys():
+    """The SQL holds the stamp for a failed row without a time, and prunes by the listed nodes where keys pass the offset of the second part."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT * FROM (VALUES (4573976, TIMESTAMP '2024-01-20'), (5, TIMESTAMP '2024-01-21')) v(event_id, ts)")
+    assert con.execute(ORACLE["changed_since"]).fetchall() == [(1_704_500_000_000,)]
+    con.execute("CREATE TABLE embeddings AS SELECT * FROM (VALUES (100001, 1), (100002, 1), (100003, 1), (100004, 1), (1, 1)) v(vec_id, label)")
+    assert sorted(con.execute(ORACLE["drift_prune"]).fetchall()) == sorted([(200001, 100001), (200002, 100001), (200003, 100001), (100002, 33334), (100003, 33334), (100004, 33334)])
