@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +43,27 @@ def _searched() -> Column:
 
 
 def _grams(texts: DataFrame) -> DataFrame:
-    """A row for each distinct gram's hash of each text, as `gram`. Characters are a column of their own, so that a text is split once."""
-    chars = texts.filter(F.length("text") >= GRAM).withColumn("_chars", F.split("text", ""))
-    at = lambda i: F.xxhash64(*[F.get(F.col("_chars"), i + k) for k in range(GRAM)])
-    return chars.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.length("text") - GRAM), at)))).drop("_chars", "text")
+    """A row for each distinct gram of each text, as `gram`: its code points in one number, mixed so that every bit tells (no two grams share one)."""
+    kept = [c for c in texts.columns if c != "text"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                found = []
+                for text in part.column("text").to_pylist():
+                    at = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                    ends = max(0, len(at) - GRAM + 1)
+                    gram = np.zeros(ends, np.uint64)
+                    for k in range(GRAM):
+                        gram = gram << np.uint64(21) | at[k : k + ends]
+                    gram = np.unique(gram) * np.uint64(0x9E3779B97F4A7C15)
+                    found.append((gram ^ gram >> np.uint64(32)).view(np.int64))
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(g) for g in found]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(rows) for c in kept], pa.array(np.concatenate(found))], [*kept, "gram"])
+
+    schema = ", ".join([*[f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept], "gram long"])
+    return texts.filter(F.length("text") >= GRAM).mapInArrow(each, schema)
 
 
 def save_search(st: DataFrame, path: str) -> None:
