@@ -44,6 +44,40 @@ def test_probe_changes_on_shuffled_batches(spark, tmp_path):
     assert got.select("batch_no").distinct().count() >= 1
 
 
+def test_probes_that_wait_are_kept_as_arrays():
+    """A row that waits takes some 20 bytes of a Python worker (as a tuple it took over 200); rows without a status are no change."""
+    import tracemalloc
+
+    import pandas as pd
+
+    class Kept(list):
+        get, appendValue, exists = (lambda self: iter(list(self))), list.append, (lambda self: len(self) > 0)
+
+        def update(self, value):
+            self[:] = [value]
+
+    class Handle:
+        timers, states = [], {}
+        listTimers = lambda self: iter(list(self.timers))
+        registerTimer = lambda self, ms: self.timers.append(ms)
+        deleteTimer = lambda self, ms: self.timers.remove(ms)
+        getListState = getValueState = lambda self, name, schema: self.states.setdefault(name, Kept())
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 10**12)
+
+    task, n = ST.OrderedChanges("unreachable"), 200_000
+    task.init(Handle())
+    frames = (pd.DataFrame({"us": range(k, k + 10_000), "event_id": range(k, k + 10_000), "status": ["ok", "unreachable", None, "ok", "ok"] * 2000}) for k in range(0, n, 10_000))
+    tracemalloc.start()
+    list(task.handleInputRows(("s",), frames, Now))
+    assert tracemalloc.get_traced_memory()[0] < 40 * n
+    tracemalloc.stop()
+    out = pd.concat(list(task.handleExpiredTimer(("s",), Now, None)))
+    assert list(out["event_id"]) == list(range(1, n, 5)) and set(out["change"]) == {"DOWN"}
+    assert not Handle.timers
+
+
 def test_gap_dedupe_online_is_gap_dedupe(spark, tmp_path):
     """Gaps of just seven days, one microsecond less and one more, in shuffled batches."""
     rng = random.Random(2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -144,39 +145,59 @@ class OrderedChanges(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, event_id long, status string")
+        self.waiting = handle.getListState("waiting", "us binary, event_id binary, code binary, names array<string>")  # an item holds many rows, as arrays
         self.before = handle.getValueState("before", "status string")
 
-    def _wake(self, waiting: list[tuple]) -> None:
-        for timer in self.handle.listTimers():
+    def _wake(self, least: int | None) -> None:
+        """Keep one timer, for the earliest row that waits."""
+        timers = list(self.handle.listTimers())
+        due = [] if least is None else [least // 1000 + 1]
+        for timer in timers:
             self.handle.deleteTimer(timer)
-        if waiting:
-            self.handle.registerTimer(min(waiting)[0] // 1000 + 1)
+        if due or timers:
+            self.handle.registerTimer(min(due + timers))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [row for frame in rows for row in zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["status"].tolist())]
-        self.waiting.appendList(new)
-        self._wake(list(self.waiting.get()))
+        least = []
+        for frame in rows:
+            if len(frame):
+                us = frame["us"].to_numpy(np.int64)
+                least.append(int(us.min()))
+                self._keep(us, frame["event_id"].to_numpy(np.int64), *pd.factorize(frame["status"]))
+        self._wake(min(least) if least else None)
         return iter(())
 
+    def _keep(self, us: np.ndarray, event_id: np.ndarray, code: np.ndarray, names: np.ndarray) -> None:
+        self.waiting.appendValue((us.tobytes(), event_id.tobytes(), code.astype(np.int32).tobytes(), [str(n) for n in names]))
+
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get())
-        before, out = self.before.get()[0] if self.before.exists() else None, []
-        rest = [row for row in waiting if row[0] >= due]
-        for _, event_id, status in waiting[: len(waiting) - len(rest)]:
-            if before is not None and status != before:
-                out.append((key[0], event_id, "DOWN" if status == self.bad else "RECOVERED"))
-            before = status
-        if before is not None:
-            self.before.update((before,))
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        self._wake(rest)
-        if out:
-            yield pd.DataFrame(out, columns=["service", "event_id", "change"])
+        items = [(np.frombuffer(us, np.int64), np.frombuffer(event_id, np.int64), np.frombuffer(code, np.int32), names) for us, event_id, code, names in (self.waiting.get() if self.waiting.exists() else [])]
+        self.waiting.clear()
+        names = sorted({n for item in items for n in item[3]})
+        ready, least = [], []
+        for us, event_id, code, own in items:
+            later = us >= due
+            if later.any():
+                least.append(int(us[later].min()))
+                self._keep(us[later], event_id[later], code[later], np.array(own, object))
+            ready.append((us[~later], event_id[~later], np.array([*[names.index(n) for n in own], -1], np.int32)[code[~later]]))  # no status: -1
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self._wake(min(least) if least else None)
+        us, event_id, code = (np.concatenate(c) for c in zip(*ready)) if ready else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        if not len(us):
+            return
+        order = np.lexsort((code, event_id, us))
+        event_id, code = event_id[order], code[order]
+        before = self.before.get()[0] if self.before.exists() else None
+        previous = np.append(-1 if before is None else names.index(before) if before in names else len(names), code[:-1])
+        at = np.flatnonzero((code != previous) & (code >= 0) & (previous >= 0))
+        self.before.update((names[code[-1]] if code[-1] >= 0 else None,))
+        for k in range(0, len(at), 50_000):
+            some = at[k : k + 50_000]
+            change = np.where(code[some] == (names.index(self.bad) if self.bad in names else -1), "DOWN", "RECOVERED")
+            yield pd.DataFrame({"service": key[0], "event_id": event_id[some], "change": change})
 
     def close(self) -> None:
         pass
