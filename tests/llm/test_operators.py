@@ -576,6 +576,24 @@ def brute_passages(texts, least, identity):
     return pairs, held
 
 
+@pytest.mark.parametrize("few", [64, 1])
+def test_fuzzy_passages_of_holders_that_are_not_first(spark, monkeypatch, few):
+    monkeypatch.setattr(substring_dedup, "FEW", few)
+    rng, texts, wanted = random.Random(21), [], set()
+    for k in range(8):  # the first document has all that the other two share, but scattered, so that it holds no passage itself
+        runs = [words(rng, 11, 9000) for _ in range(5)]
+        texts += [" ".join(f"{words(rng, 30, 9000)} {r}" for r in runs)]
+        texts += [" ".join([words(rng, 30 + k, 9000), *(f"{words(rng, 1, 9000)} {r}" for r in runs), words(rng, 30, 9000)]) for _ in range(2)]
+        wanted.add((3 * k + 1, 3 * k + 2))
+    line = words(rng, 13, 9000)  # a stock line is no passage
+    texts += [f"{words(rng, 40, 9000)} {line} {words(rng, 40, 9000)}" for _ in range(20)]
+    got = substring_dedup.fuzzy_passages(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    pairs = {(r["other_id"], r["doc_id"]) for r in got}
+    assert wanted <= pairs and len(got) == len(pairs)
+    assert all(r["identity"] >= 0.8 and r["last"] - r["first"] + 1 >= 40 for r in got)
+    assert not any(b >= len(texts) - 20 for _, b in pairs)
+
+
 def test_fuzzy_passages_recall_against_brute_force(spark):
     rng = random.Random(18)
     quotes = words(rng, 160, 9000).split()

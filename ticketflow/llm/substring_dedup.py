@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.llm.text import U64, bitmap_of, cut, join_hint, map_batches, map_iter, maybe_in, mix, ngrams, pieces, powers
@@ -17,6 +17,10 @@ SEED_WORDS, SEED_WINDOW, GAP_COST = 5, 16, 0.05
 MIN_WORDS, MIN_IDENTITY = 40, 0.8
 #: Of so many neighbouring windows of MIN_WORDS words the one with the smallest hash counts: passages of MIN_WORDS + WINDOW_STEP - 1 words have one.
 WINDOW_STEP = 11
+#: Words on either side of a seed that are compared before two of its holders are aligned; keys with more holders than FEW find them through shared grams of GRAM words.
+REACH, GRAM, FEW = 40, 3, 64
+#: Of the grams that two holders of such a key must share, so many are searched for, among all but the most frequent.
+SHARED = 2
 #: Slices of texts for the alignment begin and end at multiples of this many words.
 SLICE = 64
 
@@ -359,34 +363,8 @@ def align_parts(a: list[int], b: list[int], x: np.ndarray, y: np.ndarray, min_wo
     return sorted(out)
 
 
-def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
-    """documents -> doc_id, other_id, first, last, other_first, other_last, equal, identity; one row per passage found.
-
-    A passage of doc_id (words first to last, from 0, both included) occurs, exactly or with edits,
-    in other_id: at least `min_words` words, of which the share `identity` is equal. other_id is the smallest
-    id that has a seed of the passage or a window of `min_words` words of it, so that a passage in n documents gives about n rows
-    and not n squared. Every document that holds a passage of min_words + WINDOW_STEP - 1 words verbatim has a row for it, as doc_id or as other_id,
-    whatever else the first holders of its seeds are; for edited and for shorter passages that depends on seeds alone.
-
-    Seeds are the five-word windows with the smallest hash of SEED_WINDOW neighbours; a seed
-    that several documents have matches each of them with the first. As the first holder of a seed may hold little else
-    of a passage, windows of `min_words` words, sampled in the same way, match each of their holders with the first too; windows
-    whose smallest seed no other document has are left out beforehand, by a bitmap of fixed size. The matches of two documents are chained
-    and the chains aligned on the words of both texts. A chain that runs across unrelated words is split there, and
-    each part that is a passage has a row. Matching is on lower-cased A-Z.
-
-    Null, empty and short texts give nothing; repeats within one document don't count. Rows that share a doc_id
-    are one document, of which one is read for the alignment; rows without a doc_id have no name to report and are left out. Of equal
-    seeds in a text the first counts. Empty table: empty result. Columns other than doc_id and text are not read.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    each = cut(seeds(texts)).select("doc_id", F.inline(F.arrays_zip("hash", "pos")))
-    first = _first_holders(each, "hash")
-    repeated = bitmap_of(first, "hash")
-    matches = _matches(maybe_in(each, "hash", repeated), first, "hash", SEED_WORDS)
-    if min_words >= SEED_WINDOW + SEED_WORDS - 1:  # each window has a seed of its own
-        long = cut(maybe_in(windows(texts, min_words), "hash", repeated).select("doc_id", F.inline(F.arrays_zip("key", "pos"))))
-        matches = matches.unionByName(_matches(long, _first_holders(long, "key"), "key", min_words))
+def _aligned(texts: DataFrame, matches: DataFrame, min_words: int, min_identity: float) -> DataFrame:
+    """(center, doc_id, pos_c, pos, size) -> the passages of each pair: its chains, aligned on the words of both texts."""
     side = lambda low, high: ((F.floor((low - SLICE) / SLICE).cast("int") * SLICE), (F.floor((high + SEED_WORDS) / SLICE).cast("int") + 2) * SLICE)
     rows = _chains(matches)
     for name in ("a", "b"):
@@ -412,3 +390,114 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: fl
 
     rows = rows.select("center", "doc_id", "a", "b", "lo_a", "lo_b", "words_a", "words_b")
     return map_batches(rows, aligned, "doc_id long, other_id long, first long, last long, other_first long, other_last long, equal long, identity double")
+
+
+def _representatives(each: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, hash, pos) and passages -> doc_id, hash, pos: holders of a key of which no smaller document is known to hold the passage round it, the key included.
+
+    All others are members of such a document's class, by the row that they share with it.
+    """
+    spans = found.select(F.col("doc_id").alias("f_doc"), "other_id", F.col("first").alias("f_first"), F.col("last").alias("f_last"), "other_first", "other_last")
+    inside = each.join(spans.hint(join_hint(spans)), (F.col("doc_id") == F.col("f_doc")) & F.col("pos").between(F.col("f_first"), F.col("f_last"))).select("doc_id", "hash", "other_id", "other_first", "other_last")
+    held = each.select(F.col("doc_id").alias("other_id"), "hash", F.col("pos").alias("other_pos"))
+    members = inside.join(held.hint("merge"), ["other_id", "hash"]).filter("other_pos between other_first and other_last").select("doc_id", "hash").distinct()
+    return cut(each.join(members.hint("merge"), ["doc_id", "hash"], "left_anti"))
+
+
+def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, hash, pos) -> doc_id, hash, grams: hashes of the grams of GRAM words that lie within REACH words of the seed; equal ones are told apart by their number."""
+    lists = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos")).alias("parts")).withColumnRenamed("doc_id", "p_id"))
+    texts = docs.join(lists.select("p_id").hint(join_hint(lists)), F.col("doc_id") == F.col("p_id"), "left_semi").dropDuplicates(["doc_id"])
+    rows = texts.join(lists.hint("merge"), F.col("doc_id") == F.col("p_id")).select("doc_id", "text", "parts")
+
+    def grams_of(h: np.ndarray) -> np.ndarray:
+        h = np.sort(h)
+        number = np.arange(len(h)) - np.searchsorted(h, h, side="left")
+        return (mix(h + number.astype(np.uint64)) & U64(0x7FFFFFFF)).astype(np.int32)
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, parts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for piece in pieces(batch.column(1), lower=True):
+            words, doc = piece.word_hashes()
+            h, at = ngrams(words, doc, GRAM)
+            own, begins = doc[at], np.searchsorted(doc, np.arange(len(piece)))
+            cuts = np.searchsorted(own, np.arange(len(piece) + 1))
+            out = []
+            for i in range(len(piece)):
+                where = at[cuts[i] : cuts[i + 1]] - begins[i]
+                for p in parts[piece.first + i]:
+                    lo, hi = np.searchsorted(where, [p["pos"] - REACH, p["pos"] + SEED_WORDS + REACH - GRAM + 1])
+                    out.append((ids[piece.first + i], p["hash"], grams_of(h[cuts[i] + lo : cuts[i] + hi])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["doc_id", "hash", "grams"])
+
+    return cut(map_batches(rows, each, "doc_id long, hash long, grams array<int>"))
+
+
+def _close_holders(docs: DataFrame, holders: DataFrame, least: int) -> DataFrame:
+    """(doc_id, hash, pos) -> a, b: holders of one key that share `least` grams or more round it.
+
+    Keys with few holders compare all. For the others, stock lines mostly, two holders with `least` grams in common share the SHARED rarest of
+    these also without their `least` - SHARED most frequent grams each, so that they meet in a join on grams and no pair of the rest is made.
+    """
+    size = cut(holders.groupBy("hash").agg(F.countDistinct("doc_id").alias("holders")).filter("holders > 1"))
+    wanted = holders.join(size.hint(join_hint(size)), "hash")
+    held = cut(contexts(docs, wanted).join(size.hint(join_hint(size)), "hash").filter(F.size("grams") >= least))
+    few = held.filter(F.col("holders") <= FEW)
+    right = few.select("hash", F.col("doc_id").alias("b"), F.col("grams").alias("other_grams"))
+    pairs = few.withColumnRenamed("doc_id", "a").join(right.hint("merge"), "hash").filter("a < b").filter(F.size(F.array_intersect("grams", "other_grams")) >= least)
+    many = held.filter(F.col("holders") > FEW).select("hash", "doc_id", F.explode("grams").alias("gram"))
+    count = many.groupBy("hash", "gram").agg(F.count(F.lit(1)).alias("n"))
+    frequent = Window.partitionBy("hash", "doc_id").orderBy(F.desc("n"), "gram")
+    rare = cut(many.join(count.hint("merge"), ["hash", "gram"]).withColumn("r", F.row_number().over(frequent)).filter((F.col("r") > least - SHARED) & (F.col("n") > 1)).select("hash", "gram", F.col("doc_id").alias("a")))
+    met = rare.join(rare.withColumnRenamed("a", "b").hint("merge"), ["hash", "gram"]).filter("a < b").groupBy("hash", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED)
+    return pairs.select("a", "b").unionByName(met.select("a", "b")).distinct()
+
+
+def _common_seeds(each: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) -> center, doc_id, pos_c, pos, size: all seeds that both hold."""
+    one = each.select(F.col("doc_id").alias("a"), "hash", F.col("pos").alias("pos_c"))
+    two = each.select(F.col("doc_id").alias("b"), "hash", "pos")
+    rows = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), ["b", "hash"])
+    return rows.select(F.col("a").alias("center"), F.col("b").alias("doc_id"), "pos_c", "pos", F.lit(SEED_WORDS).alias("size"))
+
+
+def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
+    """documents -> doc_id, other_id, first, last, other_first, other_last, equal, identity; one row per passage found.
+
+    A passage of doc_id (words first to last, from 0, both included) occurs, exactly or with edits,
+    in other_id: at least `min_words` words, of which the share `identity` is equal. First other_id is the smallest
+    id that has a seed of the passage or a window of `min_words` words of it. A document that shares a seed's passage with a smaller one is a
+    member of its class by that row; then the classes' representatives, those documents that are no member at the seed, are compared with each other,
+    whichever of them is first, by all seeds that two share. So a passage in n documents gives about n rows and one for each two representatives that are near,
+    not n squared, and members of two classes are linked through these. Representatives are aligned if they share as many grams of GRAM words round the seed as
+    `min_words` words with `min_identity` equal must have, words replaced; two texts that differ there by many single insertions and deletions on both sides can have fewer.
+    Every document that holds a passage of min_words + WINDOW_STEP - 1 words verbatim has a row for it, as doc_id or as other_id,
+    whatever else the first holders of its seeds are; for edited and for shorter passages that depends on seeds alone.
+
+    Seeds are the five-word windows with the smallest hash of SEED_WINDOW neighbours; a seed
+    that several documents have matches each of them with the first. As the first holder of a seed may hold little else
+    of a passage, windows of `min_words` words, sampled in the same way, match each of their holders with the first too; windows
+    whose smallest seed no other document has are left out beforehand, by a bitmap of fixed size. The matches of two documents are chained
+    and the chains aligned on the words of both texts. A chain that runs across unrelated words is split there, and
+    each part that is a passage has a row. Matching is on lower-cased A-Z.
+
+    Null, empty and short texts give nothing; repeats within one document don't count. Rows that share a doc_id
+    are one document, of which one is read for the alignment; rows without a doc_id have no name to report and are left out. Of equal
+    seeds in a text the first counts. Empty table: empty result. Columns other than doc_id and text are not read.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    each = cut(seeds(texts)).select("doc_id", F.inline(F.arrays_zip("hash", "pos")))
+    first = _first_holders(each, "hash")
+    repeated = bitmap_of(first, "hash")
+    each = maybe_in(each, "hash", repeated)
+    matches = _matches(each, first, "hash", SEED_WORDS)
+    if min_words >= SEED_WINDOW + SEED_WORDS - 1:  # each window has a seed of its own
+        long = cut(maybe_in(windows(texts, min_words), "hash", repeated).select("doc_id", F.inline(F.arrays_zip("key", "pos"))))
+        matches = matches.unionByName(_matches(long, _first_holders(long, "key"), "key", min_words))
+    found = cut(_aligned(texts, matches, min_words, min_identity))
+    least = max(SHARED, int(np.ceil(min_identity * min_words)) - (GRAM - 1) * (min_words - int(np.ceil(min_identity * min_words)) + 1))
+    pairs = cut(_close_holders(texts, _representatives(each, found), least))
+    more = _aligned(texts, _common_seeds(each, pairs), min_words, min_identity)
+    known = found.select(F.col("doc_id").alias("k_doc"), F.col("other_id").alias("k_other"), F.col("first").alias("k_first"), F.col("last").alias("k_last"))
+    same = (F.col("doc_id") == F.col("k_doc")) & (F.col("other_id") == F.col("k_other")) & (F.col("first") <= F.col("k_last")) & (F.col("k_first") <= F.col("last"))
+    return found.unionByName(more.join(known.hint(join_hint(known)), same, "left_anti"))
