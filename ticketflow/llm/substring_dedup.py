@@ -399,7 +399,8 @@ def _representatives(each: DataFrame, found: DataFrame) -> DataFrame:
     """
     spans = found.select(F.col("doc_id").alias("f_doc"), "other_id", F.col("first").alias("f_first"), F.col("last").alias("f_last"), "other_first", "other_last")
     inside = each.join(spans.hint(join_hint(spans)), (F.col("doc_id") == F.col("f_doc")) & F.col("pos").between(F.col("f_first"), F.col("f_last"))).select("doc_id", "hash", "other_id", "other_first", "other_last")
-    held = each.select(F.col("doc_id").alias("other_id"), "hash", F.col("pos").alias("other_pos"))
+    others = cut(found.select("other_id").distinct())
+    held = each.select(F.col("doc_id").alias("other_id"), "hash", F.col("pos").alias("other_pos")).join(others.hint(join_hint(others)), "other_id", "left_semi")
     members = inside.join(held.hint("merge"), ["other_id", "hash"]).filter("other_pos between other_first and other_last").select("doc_id", "hash").distinct()
     return cut(each.join(members.hint("merge"), ["doc_id", "hash"], "left_anti"))
 
@@ -430,7 +431,7 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     out.append((ids[piece.first + i], p["hash"], grams_of(h[cuts[i] + lo : cuts[i] + hi])))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["doc_id", "hash", "grams"])
 
-    return cut(map_batches(rows, each, "doc_id long, hash long, grams array<int>"))
+    return map_batches(rows, each, "doc_id long, hash long, grams array<int>")
 
 
 def _close_holders(docs: DataFrame, holders: DataFrame, least: int) -> DataFrame:
@@ -446,17 +447,18 @@ def _close_holders(docs: DataFrame, holders: DataFrame, least: int) -> DataFrame
     right = few.select("hash", F.col("doc_id").alias("b"), F.col("grams").alias("other_grams"))
     pairs = few.withColumnRenamed("doc_id", "a").join(right.hint("merge"), "hash").filter("a < b").filter(F.size(F.array_intersect("grams", "other_grams")) >= least)
     many = held.filter(F.col("holders") > FEW).select("hash", "doc_id", F.explode("grams").alias("gram"))
-    count = many.groupBy("hash", "gram").agg(F.count(F.lit(1)).alias("n"))
+    many = many.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash", "gram"))).filter("n > 1")  # others come last in the order and meet nothing
     frequent = Window.partitionBy("hash", "doc_id").orderBy(F.desc("n"), "gram")
-    rare = cut(many.join(count.hint("merge"), ["hash", "gram"]).withColumn("r", F.row_number().over(frequent)).filter((F.col("r") > least - SHARED) & (F.col("n") > 1)).select("hash", "gram", F.col("doc_id").alias("a")))
+    rare = cut(many.withColumn("r", F.row_number().over(frequent)).filter(F.col("r") > least - SHARED).select("hash", "gram", F.col("doc_id").alias("a")))
     met = rare.join(rare.withColumnRenamed("a", "b").hint("merge"), ["hash", "gram"]).filter("a < b").groupBy("hash", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED)
     return pairs.select("a", "b").unionByName(met.select("a", "b")).distinct()
 
 
 def _common_seeds(each: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b) -> center, doc_id, pos_c, pos, size: all seeds that both hold."""
-    one = each.select(F.col("doc_id").alias("a"), "hash", F.col("pos").alias("pos_c"))
-    two = each.select(F.col("doc_id").alias("b"), "hash", "pos")
+    first, last = (cut(pairs.select(c).distinct()) for c in ("a", "b"))
+    one = each.select(F.col("doc_id").alias("a"), "hash", F.col("pos").alias("pos_c")).join(first.hint(join_hint(first)), "a", "left_semi")
+    two = each.select(F.col("doc_id").alias("b"), "hash", "pos").join(last.hint(join_hint(last)), "b", "left_semi")
     rows = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), ["b", "hash"])
     return rows.select(F.col("a").alias("center"), F.col("b").alias("doc_id"), "pos_c", "pos", F.lit(SEED_WORDS).alias("size"))
 
