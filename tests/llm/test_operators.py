@@ -612,3 +612,15 @@ def test_fuzzy_passages_recall_against_brute_force(spark):
     assert found[32] >= set(range(40, 200)) and found[33] >= set(range(40, 200))
     assert sum(len(found[i] & held[i]) for i in held) >= 0.9 * sum(map(len, held.values()))
     assert set(found) <= set(held)
+
+
+def test_fuzzy_passages_make_no_pair_of_a_stock_line_or_of_one_class(spark, monkeypatch):
+    rng, made = random.Random(23), []
+    line, passage = words(rng, 30, 9000), words(rng, 68, 9000)
+    texts = [f"{words(rng, 60, 9000)} {line} {words(rng, 60, 9000)}" for _ in range(90)]
+    texts += [f"{words(rng, 60, 9000)} {passage} {words(rng, 60, 9000)}" for _ in range(90)]
+    inner = substring_dedup._common_seeds
+    monkeypatch.setattr(substring_dedup, "_common_seeds", lambda each, pairs: made.append(pairs.count()) or inner(each, pairs))
+    got = substring_dedup.fuzzy_passages(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"] for r in got} | {r["other_id"] for r in got} == set(range(90, 180))
+    assert made[0] <= 180 and len(got) <= 180

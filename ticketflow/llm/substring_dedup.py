@@ -19,8 +19,6 @@ MIN_WORDS, MIN_IDENTITY = 40, 0.8
 WINDOW_STEP = 11
 #: Words on either side of a seed that are compared before two of its holders are aligned; keys with more holders than FEW find them through shared grams of GRAM words.
 REACH, GRAM, FEW = 40, 3, 64
-#: Of the grams that two holders of such a key must share, so many are searched for, among all but the most frequent.
-SHARED = 2
 #: Slices of texts for the alignment begin and end at multiples of this many words.
 SLICE = 64
 
@@ -393,65 +391,98 @@ def _aligned(texts: DataFrame, matches: DataFrame, min_words: int, min_identity:
 
 
 def _representatives(each: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, hash, pos) and passages -> doc_id, hash, pos: holders of a key of which no smaller document is known to hold the passage round it, the key included.
+    """(doc_id, hash, pos) and passages -> doc_id, hash, pos: the holders of a key, one of those whose rows lead to one place of one smaller document.
 
-    All others are members of such a document's class, by the row that they share with it.
+    A row that covers the key leads to a place of another document. If that document has the key inside the passage, the holder is a member of its class, else
+    (its seeds there are others) the first of all holders that are led to the same place stands for them: they are linked through that document.
     """
     spans = found.select(F.col("doc_id").alias("f_doc"), "other_id", F.col("first").alias("f_first"), F.col("last").alias("f_last"), "other_first", "other_last")
-    inside = each.join(spans.hint(join_hint(spans)), (F.col("doc_id") == F.col("f_doc")) & F.col("pos").between(F.col("f_first"), F.col("f_last"))).select("doc_id", "hash", "other_id", "other_first", "other_last")
+    place = F.col("other_first") + F.col("pos") - F.col("f_first")
+    inside = cut(each.join(spans.hint(join_hint(spans)), (F.col("doc_id") == F.col("f_doc")) & F.col("pos").between(F.col("f_first"), F.col("f_last"))).select("doc_id", "hash", "other_id", "other_first", "other_last", place.alias("place")))
     others = cut(found.select("other_id").distinct())
     held = each.select(F.col("doc_id").alias("other_id"), "hash", F.col("pos").alias("other_pos")).join(others.hint(join_hint(others)), "other_id", "left_semi")
     members = inside.join(held.hint("merge"), ["other_id", "hash"]).filter("other_pos between other_first and other_last").select("doc_id", "hash").distinct()
-    return cut(each.join(members.hint("merge"), ["doc_id", "hash"], "left_anti"))
+    led = inside.groupBy("doc_id", "hash").agg(F.min(F.struct("other_id", "place")).alias("root"))
+    rows = each.join(members.hint("merge"), ["doc_id", "hash"], "left_anti").join(led.hint("merge"), ["doc_id", "hash"], "left")
+    own = F.coalesce("root", F.struct(F.col("doc_id").alias("other_id"), F.lit(None).cast("long").alias("place")))
+    return cut(rows.groupBy("hash", own.alias("root")).agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("at.doc_id", "hash", "at.pos"))
 
 
-def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, hash, pos) -> doc_id, hash, grams: hashes of the grams of GRAM words that lie within REACH words of the seed; equal ones are told apart by their number."""
-    lists = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos")).alias("parts")).withColumnRenamed("doc_id", "p_id"))
+def contexts(docs: DataFrame, wanted: DataFrame, size: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, hash, pos, holders) -> doc_id, hash, holders, grams, paths, whole: what lies round each seed.
+
+    `grams` are hashes of the grams of GRAM words within REACH words of the seed, equal ones told apart by their number; `paths`, in the same order, those of all
+    words from the seed to the gram, so that two holders share a path where they are alike from the seed on. `whole` are the windows of `size` words that the seed lies in,
+    for keys with more than FEW holders.
+    """
+    lists = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos", "holders")).alias("parts")).withColumnRenamed("doc_id", "p_id"))
     texts = docs.join(lists.select("p_id").hint(join_hint(lists)), F.col("doc_id") == F.col("p_id"), "left_semi").dropDuplicates(["doc_id"])
     rows = texts.join(lists.hint("merge"), F.col("doc_id") == F.col("p_id")).select("doc_id", "text", "parts")
-
-    def grams_of(h: np.ndarray) -> np.ndarray:
-        h = np.sort(h)
-        number = np.arange(len(h)) - np.searchsorted(h, h, side="left")
-        return (mix(h + number.astype(np.uint64)) & U64(0x7FFFFFFF)).astype(np.int32)
+    code = lambda h: (h & U64(0x7FFFFFFF)).astype(np.int32)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, parts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for piece in pieces(batch.column(1), lower=True):
             words, doc = piece.word_hashes()
             h, at = ngrams(words, doc, GRAM)
-            own, begins = doc[at], np.searchsorted(doc, np.arange(len(piece)))
-            cuts = np.searchsorted(own, np.arange(len(piece) + 1))
-            out = []
+            up, down = powers(len(words))
+            run = np.concatenate([[U64(0)], np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+            ends = np.searchsorted(doc, np.arange(len(piece) + 1))
+            out: dict[str, list] = {k: [] for k in ("doc_id", "hash", "holders", "grams", "paths", "whole")}
             for i in range(len(piece)):
-                where = at[cuts[i] : cuts[i + 1]] - begins[i]
                 for p in parts[piece.first + i]:
-                    lo, hi = np.searchsorted(where, [p["pos"] - REACH, p["pos"] + SEED_WORDS + REACH - GRAM + 1])
-                    out.append((ids[piece.first + i], p["hash"], grams_of(h[cuts[i] + lo : cuts[i] + hi])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["doc_id", "hash", "grams"])
-
-    return map_batches(rows, each, "doc_id long, hash long, grams array<int>")
-
-
-def _close_holders(docs: DataFrame, holders: DataFrame, least: int) -> DataFrame:
-    """(doc_id, hash, pos) -> a, b: holders of one key that share `least` grams or more round it.
-
-    Keys with few holders compare all. For the others, stock lines mostly, two holders with `least` grams in common share the SHARED rarest of
-    these also without their `least` - SHARED most frequent grams each, so that they meet in a join on grams and no pair of the rest is made.
+                    k = ends[i] + p["pos"]
+                    lo, hi = np.searchsorted(at, [max(k - REACH, ends[i]), min(k + SEED_WORDS + REACH - GRAM + 1, ends[i + 1])])
+                    g, x = h[lo:hi], at[lo:hi]
+                    order = np.lexsort((np.where(x >= k, x - k, REACH + SEED_WORDS + k - x), g))  # equal ones are numbered from the seed to the right, then to the left
+                    g, x = g[order], x[order]
+                    number = np.arange(len(g)) - np.searchsorted(g, g, side="left")
+                    a, b = np.minimum(x, k), np.maximum(x + GRAM, k + SEED_WORDS)
+                    begin = np.arange(max(ends[i], k + SEED_WORDS - size), min(k, ends[i + 1] - size) + 1) if p["holders"] > FEW else x[:0]
+                    whole = mix((run[begin + size] - run[begin]) * down[begin] + U64(size))
+                    path = mix(mix((run[b] - run[a]) * down[a]) + (x - k).astype(np.uint64))
+                    for name, v in zip(out, (ids[piece.first + i], p["hash"], p["holders"], code(mix(g + number.astype(np.uint64))), code(path), whole.view(np.int64))):
+                        out[name].append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+
+    return map_batches(rows, each, "doc_id long, hash long, holders long, grams array<int>, paths array<int>, whole array<long>")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """(hash, gram, path, doc_id) -> hash, a, b: holders with a gram in common that they reach by different paths."""
+    by = Window.partitionBy("hash", "gram")
+    rows = cut(rows.withColumn("low", F.min("path").over(by)).withColumn("high", F.max("path").over(by)).filter("low < high").drop("low", "high"))
+    kinds = cut(rows.select("hash", "gram", "path").distinct())
+    two = kinds.join(kinds.withColumnRenamed("path", "other_path").hint("merge"), ["hash", "gram"]).filter("path < other_path")
+    met = two.join(rows.withColumnRenamed("doc_id", "a").hint("merge"), ["hash", "gram", "path"])
+    met = met.join(rows.select("hash", "gram", F.col("path").alias("other_path"), F.col("doc_id").alias("b")).hint("merge"), ["hash", "gram", "other_path"])
+    return met.select("hash", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _close_holders(docs: DataFrame, holders: DataFrame, least: int, size: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, hash, pos) -> a, b: holders of one key that can share a passage of `size` words round it.
+
+    These have `least` grams or more in common, and not all of them in the one run of equal words that the seed lies in, unless that run has `size` words: a passage goes on
+    beyond a shorter run, and its ends are seeds or extensions, either of which has a gram. So a stock line alone makes no pair.
+    Keys with few holders compare all. For the others, stock lines mostly, holders meet by grams that they reach by different paths; those of equal windows of
+    `size` words meet the first of them.
     """
-    size = cut(holders.groupBy("hash").agg(F.countDistinct("doc_id").alias("holders")).filter("holders > 1"))
-    wanted = holders.join(size.hint(join_hint(size)), "hash")
-    held = cut(contexts(docs, wanted).join(size.hint(join_hint(size)), "hash").filter(F.size("grams") >= least))
-    few = held.filter(F.col("holders") <= FEW)
-    right = few.select("hash", F.col("doc_id").alias("b"), F.col("grams").alias("other_grams"))
-    pairs = few.withColumnRenamed("doc_id", "a").join(right.hint("merge"), "hash").filter("a < b").filter(F.size(F.array_intersect("grams", "other_grams")) >= least)
-    many = held.filter(F.col("holders") > FEW).select("hash", "doc_id", F.explode("grams").alias("gram"))
-    many = many.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash", "gram"))).filter("n > 1")  # others come last in the order and meet nothing
-    frequent = Window.partitionBy("hash", "doc_id").orderBy(F.desc("n"), "gram")
-    rare = cut(many.withColumn("r", F.row_number().over(frequent)).filter(F.col("r") > least - SHARED).select("hash", "gram", F.col("doc_id").alias("a")))
-    met = rare.join(rare.withColumnRenamed("a", "b").hint("merge"), ["hash", "gram"]).filter("a < b").groupBy("hash", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED)
-    return pairs.select("a", "b").unionByName(met.select("a", "b")).distinct()
+    count = cut(holders.groupBy("hash").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1"))
+    wanted = holders.join(count.hint(join_hint(count)), "hash")
+    held = cut(contexts(docs, wanted, size).filter(F.size("grams") >= least))
+    same, run = F.size(F.array_intersect("grams", "other_grams")), F.size(F.array_intersect("paths", "other_paths"))
+    close = (same >= least) & ((same > run) | (run + GRAM - 1 >= size))
+    few = held.filter(F.col("holders") <= FEW).select("hash", "doc_id", "grams", "paths").repartition("hash")  # one shuffle serves both sides
+    other = {"doc_id": "b", "grams": "other_grams", "paths": "other_paths"}
+    pairs = few.withColumnRenamed("doc_id", "a").join(few.withColumnsRenamed(other).hint("merge"), "hash").filter("a < b").filter(close)
+    many = held.filter(F.col("holders") > FEW)
+    met = _apart(many.select("hash", "doc_id", F.explode(F.arrays_zip("grams", "paths")).alias("x")).select("hash", "doc_id", F.col("x.grams").alias("gram"), F.col("x.paths").alias("path")))
+    side = many.select("hash", "doc_id", "grams", "paths")
+    near = met.join(side.withColumnRenamed("doc_id", "a").hint("merge"), ["hash", "a"]).join(side.withColumnsRenamed(other).hint("merge"), ["hash", "b"]).filter(close)
+    whole = many.select("hash", F.col("doc_id").alias("b"), F.explode("whole").alias("window"))
+    alike = whole.withColumn("a", F.min("b").over(Window.partitionBy("hash", "window"))).filter("a < b")
+    return pairs.select("a", "b").unionByName(near.select("a", "b")).unionByName(alike.select("a", "b")).distinct()
 
 
 def _common_seeds(each: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -497,8 +528,8 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: fl
         long = cut(maybe_in(windows(texts, min_words), "hash", repeated).select("doc_id", F.inline(F.arrays_zip("key", "pos"))))
         matches = matches.unionByName(_matches(long, _first_holders(long, "key"), "key", min_words))
     found = cut(_aligned(texts, matches, min_words, min_identity))
-    least = max(SHARED, int(np.ceil(min_identity * min_words)) - (GRAM - 1) * (min_words - int(np.ceil(min_identity * min_words)) + 1))
-    pairs = cut(_close_holders(texts, _representatives(each, found), least))
+    least = max(2, int(np.ceil(min_identity * min_words)) - (GRAM - 1) * (min_words - int(np.ceil(min_identity * min_words)) + 1))
+    pairs = cut(_close_holders(texts, _representatives(each, found), least, min_words))
     more = _aligned(texts, _common_seeds(each, pairs), min_words, min_identity)
     known = found.select(F.col("doc_id").alias("k_doc"), F.col("other_id").alias("k_other"), F.col("first").alias("k_first"), F.col("last").alias("k_last"))
     same = (F.col("doc_id") == F.col("k_doc")) & (F.col("other_id") == F.col("k_other")) & (F.col("first") <= F.col("k_last")) & (F.col("k_first") <= F.col("last"))
