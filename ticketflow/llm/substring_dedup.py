@@ -501,9 +501,10 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: fl
     in other_id: at least `min_words` words, of which the share `identity` is equal. First other_id is the smallest
     id that has a seed of the passage or a window of `min_words` words of it. A document that shares a seed's passage with a smaller one is a
     member of its class by that row; then the classes' representatives, those documents that are no member at the seed, are compared with each other,
-    whichever of them is first, by all seeds that two share. So a passage in n documents gives about n rows and one for each two representatives that are near,
-    not n squared, and members of two classes are linked through these. Representatives are aligned if they share as many grams of GRAM words round the seed as
-    `min_words` words with `min_identity` equal must have, words replaced; two texts that differ there by many single insertions and deletions on both sides can have fewer.
+    whichever of them is first, by all seeds that two share; of holders that are led to one place of one document the first stands for all. So a passage in n documents gives
+    about n rows and one for each two representatives that are near, not n squared, and members of two classes are linked through these. Representatives are aligned if they share
+    as many grams of GRAM words round the seed as `min_words` words with `min_identity` equal must have, words replaced, and one of these outside the run of equal words that the seed
+    is in, if that is shorter than `min_words`; two texts that differ there by many single insertions and deletions on both sides can have fewer.
     Every document that holds a passage of min_words + WINDOW_STEP - 1 words verbatim has a row for it, as doc_id or as other_id,
     whatever else the first holders of its seeds are; for edited and for shorter passages that depends on seeds alone.
 
