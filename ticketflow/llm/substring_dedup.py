@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketflow.llm.text import U64, bitmap_of, cut, join_hint, map_batches, map_iter, maybe_in, mix, ngrams, pieces, powers
+from ticketflow.llm.text import U64, bitmap_of, cut, join_hint, let_go, map_batches, map_iter, maybe_in, mix, ngrams, pieces, powers
 
 #: Words of a seed, seeds of which the one with the smallest hash counts, cost of a skipped word.
 SEED_WORDS, SEED_WINDOW, GAP_COST = 5, 16, 0.05
@@ -408,13 +408,16 @@ def _representatives(each: DataFrame, found: DataFrame) -> DataFrame:
     return cut(rows.groupBy("hash", own.alias("root")).agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("at.doc_id", "hash", "at.pos"))
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, size: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, hash, pos, holders) -> doc_id, hash, holders, grams, paths, whole: what lies round each seed.
+def contexts(docs: DataFrame, wanted: DataFrame, size: int = MIN_WORDS, identity: float = MIN_IDENTITY) -> DataFrame:
+    """(doc_id, hash, pos, holders) -> doc_id, hash, holders, grams, paths, whole, marks, ways: what lies round each seed.
 
     `grams` are hashes of the grams of GRAM words within REACH words of the seed, equal ones told apart by their number; `paths`, in the same order, those of all
-    words from the seed to the gram, so that two holders share a path where they are alike from the seed on. `whole` are the windows of `size` words that the seed lies in,
-    for keys with more than FEW holders.
+    words from the seed to the gram, so that two holders share a path where they are alike from the seed on. For keys with more than FEW holders, `whole` are the windows of
+    `size` words that the seed lies in, `marks` the same grams, each with its distance from the seed, and the text's other seeds nearer than 2 * `size` words, and `ways` the
+    marks' paths. Of a passage some part of fewer than 2 * `size` words is as equal as the whole, so that in both texts a seed of it has nearly the same distance from
+    another: a seed is marked twice, each time with a range of distances, of which texts that are so equal share one.
     """
+    drift = int(np.ceil((1 - identity) * 2 * size))
     lists = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos", "holders")).alias("parts")).withColumnRenamed("doc_id", "p_id"))
     texts = docs.join(lists.select("p_id").hint(join_hint(lists)), F.col("doc_id") == F.col("p_id"), "left_semi").dropDuplicates(["doc_id"])
     rows = texts.join(lists.hint("merge"), F.col("doc_id") == F.col("p_id")).select("doc_id", "text", "parts")
@@ -428,7 +431,18 @@ def contexts(docs: DataFrame, wanted: DataFrame, size: int = MIN_WORDS) -> DataF
             up, down = powers(len(words))
             run = np.concatenate([[U64(0)], np.cumsum(words * up[: len(words)], dtype=np.uint64)])
             ends = np.searchsorted(doc, np.arange(len(piece) + 1))
-            out: dict[str, list] = {k: [] for k in ("doc_id", "hash", "holders", "grams", "paths", "whole")}
+            others, where = ngrams(words, doc, SEED_WORDS)
+            own = minimizers(others, doc[where])
+            own = own[np.lexsort((where[own], others[own], doc[where[own]]))]
+            new = np.append(True, (others[own][1:] != others[own][:-1]) | (doc[where[own]][1:] != doc[where[own]][:-1]))[: len(own)]
+            own = np.sort(own[new])  # of equal seeds the first, as in `seeds`
+            others, where = others[own], where[own]
+
+            def path(x: np.ndarray, k: int, n: int) -> np.ndarray:
+                a, b = np.minimum(x, k), np.maximum(x + n, k + SEED_WORDS)
+                return code(mix(mix((run[b] - run[a]) * down[a]) + (x - k).astype(np.uint64)))
+
+            out: dict[str, list] = {k: [] for k in ("doc_id", "hash", "holders", "grams", "paths", "whole", "marks", "ways")}
             for i in range(len(piece)):
                 for p in parts[piece.first + i]:
                     k = ends[i] + p["pos"]
@@ -437,47 +451,50 @@ def contexts(docs: DataFrame, wanted: DataFrame, size: int = MIN_WORDS) -> DataF
                     order = np.lexsort((np.where(x >= k, x - k, REACH + SEED_WORDS + k - x), g))  # equal ones are numbered from the seed to the right, then to the left
                     g, x = g[order], x[order]
                     number = np.arange(len(g)) - np.searchsorted(g, g, side="left")
-                    a, b = np.minimum(x, k), np.maximum(x + GRAM, k + SEED_WORDS)
-                    begin = np.arange(max(ends[i], k + SEED_WORDS - size), min(k, ends[i + 1] - size) + 1) if p["holders"] > FEW else x[:0]
+                    grams, paths = code(mix(g + number.astype(np.uint64))), path(x, k, GRAM)
+                    begin = marks = ways = x[:0]
+                    if p["holders"] > FEW:
+                        begin = np.arange(max(ends[i], k + SEED_WORDS - size), min(k, ends[i + 1] - size) + 1)
+                        lo, hi = np.searchsorted(where, [max(k - 2 * size + 1, ends[i]), min(k + 2 * size, ends[i + 1])])
+                        at_seed, ranges = path(where[lo:hi], k, SEED_WORDS), [2 * ((where[lo:hi] - k + n) // (2 * drift)) + (n > 0) for n in (0, drift)]
+                        marks = np.concatenate([code(mix(mix(g) + (x - k).astype(np.uint64))), *(code(mix(~mix(others[lo:hi]) + r.astype(np.uint64))) for r in ranges)])
+                        ways = np.concatenate([paths, at_seed, at_seed])
                     whole = mix((run[begin + size] - run[begin]) * down[begin] + U64(size))
-                    path = mix(mix((run[b] - run[a]) * down[a]) + (x - k).astype(np.uint64))
-                    for name, v in zip(out, (ids[piece.first + i], p["hash"], p["holders"], code(mix(g + number.astype(np.uint64))), code(path), whole.view(np.int64))):
+                    for name, v in zip(out, (ids[piece.first + i], p["hash"], p["holders"], grams, paths, whole.view(np.int64), marks, ways)):
                         out[name].append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
-    return map_batches(rows, each, "doc_id long, hash long, holders long, grams array<int>, paths array<int>, whole array<long>")
+    return map_batches(rows, each, "doc_id long, hash long, holders long, grams array<int>, paths array<int>, whole array<long>, marks array<int>, ways array<int>")
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """(hash, gram, path, doc_id) -> hash, a, b: holders with a gram in common that they reach by different paths."""
-    by = Window.partitionBy("hash", "gram")
-    rows = cut(rows.withColumn("low", F.min("path").over(by)).withColumn("high", F.max("path").over(by)).filter("low < high").drop("low", "high"))
-    kinds = cut(rows.select("hash", "gram", "path").distinct())
-    two = kinds.join(kinds.withColumnRenamed("path", "other_path").hint("merge"), ["hash", "gram"]).filter("path < other_path")
-    met = two.join(rows.withColumnRenamed("doc_id", "a").hint("merge"), ["hash", "gram", "path"])
-    met = met.join(rows.select("hash", "gram", F.col("path").alias("other_path"), F.col("doc_id").alias("b")).hint("merge"), ["hash", "gram", "other_path"])
-    return met.select("hash", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """(hash, mark, way, doc_id) -> hash, a, b: holders with a mark in common that they reach by different ways."""
+    by = Window.partitionBy("hash", "mark")
+    rows = cut(rows.withColumn("low", F.min("way").over(by)).withColumn("high", F.max("way").over(by)).filter("low < high").drop("low", "high"))
+    other = rows.withColumnsRenamed({"doc_id": "b", "way": "other_way"})
+    met = rows.withColumnRenamed("doc_id", "a").join(other.hint("merge"), ["hash", "mark"]).filter("way < other_way and a <> b")
+    return cut(met.select("hash", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _close_holders(docs: DataFrame, holders: DataFrame, least: int, size: int = MIN_WORDS) -> DataFrame:
+def _close_holders(docs: DataFrame, holders: DataFrame, least: int, size: int = MIN_WORDS, identity: float = MIN_IDENTITY) -> DataFrame:
     """(doc_id, hash, pos) -> a, b: holders of one key that can share a passage of `size` words round it.
 
     These have `least` grams or more in common, and not all of them in the one run of equal words that the seed lies in, unless that run has `size` words: a passage goes on
     beyond a shorter run, and its ends are seeds or extensions, either of which has a gram. So a stock line alone makes no pair.
-    Keys with few holders compare all. For the others, stock lines mostly, holders meet by grams that they reach by different paths; those of equal windows of
-    `size` words meet the first of them.
+    Keys with few holders compare all. For the others, stock lines mostly, holders meet by what lies beyond the run that they share: a gram at the same distance, where an
+    extension goes on, or another seed at nearly the same distance, where a chain does; those of equal windows of `size` words meet the first of them.
     """
     count = cut(holders.groupBy("hash").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1"))
     wanted = holders.join(count.hint(join_hint(count)), "hash")
-    held = cut(contexts(docs, wanted, size).filter(F.size("grams") >= least))
+    held = cut(contexts(docs, wanted, size, identity).filter(F.size("grams") >= least))
     same, run = F.size(F.array_intersect("grams", "other_grams")), F.size(F.array_intersect("paths", "other_paths"))
     close = (same >= least) & ((same > run) | (run + GRAM - 1 >= size))
     few = held.filter(F.col("holders") <= FEW).select("hash", "doc_id", "grams", "paths").repartition("hash")  # one shuffle serves both sides
     other = {"doc_id": "b", "grams": "other_grams", "paths": "other_paths"}
     pairs = few.withColumnRenamed("doc_id", "a").join(few.withColumnsRenamed(other).hint("merge"), "hash").filter("a < b").filter(close)
     many = held.filter(F.col("holders") > FEW)
-    met = _apart(many.select("hash", "doc_id", F.explode(F.arrays_zip("grams", "paths")).alias("x")).select("hash", "doc_id", F.col("x.grams").alias("gram"), F.col("x.paths").alias("path")))
+    met = _apart(many.select("hash", "doc_id", F.inline(F.arrays_zip("marks", "ways"))).withColumnsRenamed({"marks": "mark", "ways": "way"}))
     side = many.select("hash", "doc_id", "grams", "paths")
     near = met.join(side.withColumnRenamed("doc_id", "a").hint("merge"), ["hash", "a"]).join(side.withColumnsRenamed(other).hint("merge"), ["hash", "b"]).filter(close)
     whole = many.select("hash", F.col("doc_id").alias("b"), F.explode("whole").alias("window"))
@@ -494,6 +511,20 @@ def _common_seeds(each: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select(F.col("a").alias("center"), F.col("b").alias("doc_id"), "pos_c", "pos", F.lit(SEED_WORDS).alias("size"))
 
 
+def _of_first_holders(texts: DataFrame, min_words: int, min_identity: float) -> tuple[DataFrame, DataFrame]:
+    """documents -> doc_id, hash, pos: the seeds that several may have; and the passages that each document shares with the first holders of its seeds and windows."""
+    each = cut(seeds(texts)).select("doc_id", F.inline(F.arrays_zip("hash", "pos")))
+    first = _first_holders(each, "hash")
+    repeated = bitmap_of(first, "hash")
+    each = maybe_in(each, "hash", repeated)
+    matches = _matches(each, first, "hash", SEED_WORDS)
+    if min_words >= SEED_WINDOW + SEED_WORDS - 1:  # each window has a seed of its own
+        long = cut(maybe_in(windows(texts, min_words), "hash", repeated).select("doc_id", F.inline(F.arrays_zip("key", "pos"))))
+        matches = matches.unionByName(_matches(long, _first_holders(long, "key"), "key", min_words))
+    let_go(texts.sparkSession)
+    return each, cut(_aligned(texts, matches, min_words, min_identity))
+
+
 def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """documents -> doc_id, other_id, first, last, other_first, other_last, equal, identity; one row per passage found.
 
@@ -520,17 +551,13 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity: fl
     seeds in a text the first counts. Empty table: empty result. Columns other than doc_id and text are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    each = cut(seeds(texts)).select("doc_id", F.inline(F.arrays_zip("hash", "pos")))
-    first = _first_holders(each, "hash")
-    repeated = bitmap_of(first, "hash")
-    each = maybe_in(each, "hash", repeated)
-    matches = _matches(each, first, "hash", SEED_WORDS)
-    if min_words >= SEED_WINDOW + SEED_WORDS - 1:  # each window has a seed of its own
-        long = cut(maybe_in(windows(texts, min_words), "hash", repeated).select("doc_id", F.inline(F.arrays_zip("key", "pos"))))
-        matches = matches.unionByName(_matches(long, _first_holders(long, "key"), "key", min_words))
-    found = cut(_aligned(texts, matches, min_words, min_identity))
+    each, found = _of_first_holders(texts, min_words, min_identity)
+    let_go(docs.sparkSession)
     least = max(2, int(np.ceil(min_identity * min_words)) - (GRAM - 1) * (min_words - int(np.ceil(min_identity * min_words)) + 1))
-    pairs = cut(_close_holders(texts, _representatives(each, found), least, min_words))
+    holders = _representatives(each, found)
+    let_go(docs.sparkSession)
+    pairs = cut(_close_holders(texts, holders, least, min_words, min_identity))
+    let_go(docs.sparkSession)
     more = _aligned(texts, _common_seeds(each, pairs), min_words, min_identity)
     known = found.select(F.col("doc_id").alias("k_doc"), F.col("other_id").alias("k_other"), F.col("first").alias("k_first"), F.col("last").alias("k_last"))
     same = (F.col("doc_id") == F.col("k_doc")) & (F.col("other_id") == F.col("k_other")) & (F.col("first") <= F.col("k_last")) & (F.col("k_first") <= F.col("last"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -57,6 +58,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Free the disk of what no table needs any more: files of shuffles and checkpoints go once the driver's JVM has collected their owners, which by itself it may do long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_hint(df: DataFrame, row_bytes: int = HASHED_ROW_BYTES) -> str:
     """How to join a kept table of ids or keys: by broadcast if it was counted to fit BROADCAST_BYTES, else by shuffle."""
     return "broadcast" if df.count() * row_bytes <= BROADCAST_BYTES else "merge"
