@@ -626,12 +626,11 @@ def test_fuzzy_passages_make_no_pair_of_a_stock_line_or_of_one_class(spark, monk
     assert made[0] <= 180 and len(got) <= 180
 
 
-def test_fuzzy_passages_hot_holders_do_not_meet_by_lines_at_far_distances(spark, monkeypatch):
+def test_fuzzy_passages_hot_holders_do_not_meet_by_a_phrase_at_any_distance(spark, monkeypatch):
     rng, met = random.Random(27), []
-    line, other = words(rng, 14, 9000), words(rng, 14, 9000)
-    texts = [f"{words(rng, 30, 9000)} {line} {words(rng, 100 + 20 * (k % 8), 9000)} {other} {words(rng, 30, 9000)}" for k in range(80)]  # too far apart for one passage
-    texts += [f"{line} {words(rng, 10 + k, 9000)} {words(rng, 30, 9000)} {line}" for k in range(40)]  # the same line at both ends
+    line, phrase = words(rng, 14, 9000), words(rng, 3, 9000)
+    texts = [f"{words(rng, 60, 9000)} {line} {words(rng, 1 + k % 35, 9000)} {phrase} {words(rng, 60, 9000)}" for k in range(70)]
     inner = substring_dedup._apart
     monkeypatch.setattr(substring_dedup, "_apart", lambda rows: met.append(inner(rows)) or met[-1])
     assert not substring_dedup.fuzzy_passages(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).count()
-    assert met[0].count() <= len(texts)
+    assert met[0].count() <= 3 * len(texts)
