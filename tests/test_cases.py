@@ -1,5 +1,7 @@
 """Hand-made cases for single operators."""
 
+import ast
+import inspect
 import math
 import re
 
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ticketflow import queries_state  # noqa: F401  (registers its queries)
+from ticketflow import queries, queries_state  # noqa: F401  (registers its queries)
 from ticketflow.functions import hooks as X
 from ticketflow.functions import scalars as S
 from ticketflow.operators import aggs as A
@@ -230,3 +232,10 @@ def test_sql_of_the_next_stamp_and_of_pruning_on_large_keys():
     assert con.execute(ORACLE["changed_since"]).fetchall() == [(1_704_500_000_000,)]
     con.execute("CREATE TABLE embeddings AS SELECT * FROM (VALUES (100001, 1), (100002, 1), (100003, 1), (100004, 1), (1, 1)) v(vec_id, label)")
     assert sorted(con.execute(ORACLE["drift_prune"]).fetchall()) == sorted([(200001, 100001), (200002, 100001), (200003, 100001), (100002, 33334), (100003, 33334), (100004, 33334)])
+
+
+@pytest.mark.parametrize("module", [queries, queries_state])
+def test_helpers_of_queries_are_defined_once(module):
+    """A query calls its helpers when it runs, so a second lambda of a name takes the place of the first in all queries before it."""
+    lambdas = [s.targets[0].id for s in ast.parse(inspect.getsource(module)).body if isinstance(s, ast.Assign) and isinstance(s.value, ast.Lambda)]
+    assert sorted(set(lambdas)) == sorted(lambdas)
