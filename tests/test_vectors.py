@@ -5,7 +5,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ticketflow import queries, queries_state  # noqa: F401  (registers its queries)
+from ticketflow.operators import graph as G
 from ticketflow.operators import joins as J
+from ticketflow.operators import lineage
 from ticketflow.operators import vectors as V
 from ticketflow.operators import windows as W
 
@@ -142,3 +145,54 @@ def test_weakest_edges_with_ties(spark):
     comps = spark.createDataFrame([(k, 0) for k in range(23)] + [(30, 30), (31, 30)], "node long, component long")
     got = sorted((r["sim"], r["a"], r["b"]) for r in W.weakest_edges(edges, comps).collect())
     assert got == sorted((0.1 * (k % 3), 0, k) for k in range(1, 23))[:5]
+
+
+@pytest.mark.parametrize("name", ["oversize_guard"])
+def test_pairs_are_judged_without_being_kept_or_shuffled(spark, monkeypatch, name):
+    """All pairs of a label grow with its square: 500 vectors have 1,500 of them (they were all checkpointed, then joined with their verdicts)."""
+    kept = []
+
+    def cut(df):
+        out = lineage.cut(df)
+        kept.append(out.count())
+        return out
+
+    for module in (queries, G, J, V, W):
+        monkeypatch.setattr(module, "cut", cut)
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert max(kept) <= 500 < df.count()
+    assert "Exchange hashpartitioning" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+def test_a_vector_is_sent_to_a_fixed_number_of_blocks(spark, monkeypatch):
+    """Blocks of a fixed size took each vector to a number of them that grows with the table."""
+    monkeypatch.setattr(V, "PAIRS", 8)
+    x = unit_rows(np.random.default_rng(9).normal(size=(2000, 4)))
+    sent, blocks = [], V.blocks
+    monkeypatch.setattr(V, "blocks", lambda *a: sent.extend(blocks(*a)) or (sent[-2], sent[-1]))
+    V.close_pairs(frame(spark, id=np.arange(2000), block=np.zeros(2000, int), v=x), 0.9)
+    assert sum(df.count() for df in sent) <= 2 * 2000 * 66
+
+
+@pytest.mark.parametrize("keep", [0, 10_000_000])
+@pytest.mark.parametrize("joined", [False, True])
+def test_weak_edges_that_bring_their_answers(spark, monkeypatch, keep, joined):
+    """Ties of sim and of a, a component at the threshold, an edge of no component, a missing answer; by nodes or by the edges' own component."""
+    monkeypatch.setattr(W, "KEPT", keep)
+    rng = np.random.default_rng(11)
+    of = {k: k % 3 for k in range(90)} | {k: 7 for k in range(90, 110)}
+    picked = {tuple(sorted(map(int, rng.choice(110, 2, replace=False)))) for _ in range(900)} | {(200, 201)}
+    edges = [(a, b, round(float(rng.choice([0.1, 0.10004, 0.2, 0.35])), 5), [None, "NO", "YES"][(a + b) % 3]) for a, b in sorted(picked) if of.get(a) == of.get(b)]
+    gone, weak = set(), set()
+    for c in range(3):
+        own = sorted((s, a, b, x) for a, b, s, x in edges if of.get(a) == c)
+        weak |= {(c, a, b, s) for s, a, b, _ in own[: max(1, len(own) // 4)]}
+        gone |= {(a, b, s) for s, a, b, x in own[: max(1, len(own) // 4)] if x != "YES"}
+    df = spark.createDataFrame([(*e, of.get(e[0])) for e in edges], "a long, b long, sim double, second string, component long")
+    df = df if joined else df.drop("component")
+    comps = spark.createDataFrame(list(of.items()), "node long, component long")
+    assert {tuple(r) for r in W.weakest_edges(df, comps).collect()} == weak and len(gone) > 20
+    left = {(a, b, s) for a, b, s, _ in edges} - gone
+    assert {tuple(r) for r in G.oversize_guard(df, comps, None).collect()} == left
+    assert {tuple(r)[:3] for r in G.oversize_guard(df, comps, df).select("a", "b", "sim").collect()} == left
