@@ -147,7 +147,7 @@ def test_weakest_edges_with_ties(spark):
     assert got == sorted((0.1 * (k % 3), 0, k) for k in range(1, 23))[:5]
 
 
-@pytest.mark.parametrize("name", ["oversize_guard"])
+@pytest.mark.parametrize("name", ["confirm_edges", "oversize_guard"])
 def test_pairs_are_judged_without_being_kept_or_shuffled(spark, monkeypatch, name):
     """All pairs of a label grow with its square: 500 vectors have 1,500 of them (they were all checkpointed, then joined with their verdicts)."""
     kept = []
